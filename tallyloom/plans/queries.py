@@ -6,11 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import raw_records
+
 FLAGSHIP = "er_scored_matches"
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    geography = {f"{x}_code": table(spark, d, t) for x, t in (("region", "regions"), ("province", "provinces"), ("city", "cities"), ("barangay", "barangays"))}
+    return raw_records.load_records(table(spark, d, "raw_lines"), geography)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d).where("reason is not null").select("line_id", "reason")
+
+
+def p7_file_report(spark: SparkSession, d: str) -> DataFrame:
+    return raw_records.file_report(_loaded(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p7_found": p7_found, "p7_file_report": p7_file_report}
 
 
 def oracle_sql() -> dict[str, str]:
