@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups
+from . import groups, survivors
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,8 +17,42 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(_table(spark, d, "scored_pairs"))
 
 
+GOLDEN = ("last_name", "first_name", "middle_name", "extension_name", "sex", "barangay_code")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The cases: groups in which the most trusted usable value is also the latest."""
+    rows = survivors.survivors(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), [survivors.contact(), survivors.birthdate()])
+    return rows.where("latest").select("group_id", "field_name", "internal_uuid")
+
+
+def p4_golden(spark: SparkSession, d: str) -> DataFrame:
+    attributes = [survivors.contact(), survivors.birthdate(), *map(survivors.filled, GOLDEN)]
+    return survivors.golden_records(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), attributes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden}
+
+
+_P4 = """
+            with members as (select distinct group_id, internal_uuid from reviewed_groups where group_id is not null),
+            timed as (
+              select *, case upper(trim(source_type)) when 'LOCAL' then 2 when 'IMPORT' then 1 else 0 end p,
+                     epoch(strptime(updated_at[1:19], '%Y-%m-%dT%H:%M:%S'))
+                       - case when updated_at like '%Z' then 0 else (case when updated_at[-6] = '-' then -60 else 60 end) * (60 * updated_at[-5:-4]::int + updated_at[-2:]::int) end secs,
+                     rpad(regexp_extract(updated_at, '[.]([0-9]+)', 1), 9, '0')::bigint nanos,
+                     regexp_replace(coalesce(contact_no, ''), '[^0-9]', '', 'g') digits,
+                     try_strptime(case when regexp_full_match(birthdate_iso, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then birthdate_iso end, '%Y-%m-%d')::date born,
+                     (try_strptime(created_at[1:19], '%Y-%m-%dT%H:%M:%S')
+                       - case when created_at like '%Z' then interval 0 minute else to_minutes((case when created_at[-6] = '-' then -1 else 1 end) * (60 * created_at[-5:-4]::int + created_at[-2:]::int)) end)::date created
+              from members join beneficiaries using (internal_uuid)),
+            fields as (
+              select group_id, internal_uuid, p, secs, nanos, 'contact_no' field_name, contact_no as value from timed
+              where length(digits) >= 10 and replace(digits, digits[1], '') <> ''
+              union all
+              select group_id, internal_uuid, p, secs, nanos, 'birthdate_iso', birthdate_iso from timed where born > date '1900-01-01' and born <= created
+              """ + "".join(f"union all select group_id, internal_uuid, p, secs, nanos, '{x}', {x} from timed where trim({x}) <> '' " for x in GOLDEN) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -34,4 +68,14 @@ def oracle_sql() -> dict[str, str]:
             select g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] as group_uuid,
                    node[1:8] || '-' || node[9:12] || '-' || node[13:16] || '-' || node[17:20] || '-' || node[21:32] as internal_uuid
             from least""",
+        "p4_found": _P4 + """
+            select group_id, field_name, internal_uuid from (
+              select *, row_number() over (partition by group_id, field_name order by p desc, secs desc, nanos desc, internal_uuid desc) k,
+                     rank() over (partition by group_id, field_name order by secs desc, nanos desc) latest from fields)
+            where k = 1 and latest = 1 and field_name in ('contact_no', 'birthdate_iso')""",
+        "p4_golden": _P4 + """
+            , best as (select * from (
+              select *, row_number() over (partition by group_id, field_name order by p desc, secs desc, nanos desc, internal_uuid desc) k from fields) where k = 1)
+            select group_id, """ + ", ".join(f"max(case when field_name = '{x}' then value end) as {x}" for x in ("contact_no", "birthdate_iso", *GOLDEN)) + """
+            from best group by group_id""",
     }
