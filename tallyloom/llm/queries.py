@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, leakage, lookalikes, survivors
+from . import groups, leakage, lookalikes, packing, survivors
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden_records(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), attributes)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(_table(spark, d, "eval_items"), _table(spark, d, "documents"))
 
@@ -40,7 +44,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _P4 = """
