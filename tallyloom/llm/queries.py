@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, leakage, lookalikes, packing, survivors
+from . import groups, leakage, lookalikes, packing, places, survivors
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden_records(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), attributes)
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    gazetteer = places.load_gazetteer(*(_table(spark, d, x) for x in ("regions", "provinces", "cities", "barangays")))
+    columns = ("region", "province", "city_municipality", "barangay")
+    return places.map_places(_table(spark, d, "import_rows").select("row_id", *columns), gazetteer)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).where("not exact").select("row_id", "barangay_code")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"))
 
@@ -44,7 +54,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _P4 = """
