@@ -31,7 +31,7 @@ LEVEL_WORDS = {
     "region": {"region"},
     "province": {"province", "lalawigan", "of", "ng"},
     "city": {"city", "municipality", "bayan", "lungsod", "of", "ng"},
-    "barangay": {"barangay"},
+    "barangay": {"barangay", "no", "number"},
 }
 _FILLERS = {"", "unknown", "n a", "na", "none", "wala", "tba", "to be verified", "no permanent address"}
 _ROMAN = re.compile(r"^(?=[ivxl])(xl|l?x{0,4})(ix|iv|v?i{0,4})$")
@@ -47,7 +47,7 @@ def tokens(text: str | None) -> list[str]:
         except UnicodeError:
             pass
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
-    words = re.findall(r"[^\W_]+", plain)
+    words = re.findall(r"[^\W_]+", re.sub(r"\b(b|brgy|bgy|brg|barangay|pob|no)(?=\d)", r"\1 ", plain))
     return [w.lstrip("0") or "0" if w.isdigit() and len(w) < 10 else ABBREVIATIONS.get(w, w) for w in words]
 
 
@@ -56,7 +56,7 @@ def core(level: str, words: list[str]) -> str:
     kept = [w for w in words if w not in LEVEL_WORDS[level]]
     if level == "barangay" and len(kept) > 1 and any(w.isdigit() for w in kept):
         kept = [w for w in kept if w != "poblacion"]  # "Barangay 3 (Pob.)"
-    return " ".join(kept or words)
+    return " ".join(dict.fromkeys(kept or words))
 
 
 def roman(word: str) -> int | None:
@@ -188,8 +188,8 @@ class Gazetteer:
     def _filled(self, text: str | None) -> bool:
         return " ".join(tokens(text)) not in _FILLERS
 
-    def _chain(self, region: str | None, province: str | None, city: str | None, barangay: str | None) -> tuple[list[str], float]:
-        """Barangays that fit, and the worse score of city and barangay."""
+    def _chain(self, region: str | None, province: str | None, city: str | None, barangay: str | None, strict: bool = False) -> tuple[list[str], float]:
+        """Barangays that fit, and the worse score of city and barangay; strict: a province that fits nothing is not passed over."""
         cities = self.all["city"]
         if self._filled(region):
             found, _ = self.match("region", region, self.all["region"])
@@ -204,7 +204,7 @@ class Gazetteer:
             if found:
                 inside = set(found)
                 cities = [c for c in cities if self.parents[c][1] in inside]
-            elif self.match("province", province, self.all["province"])[1] == 1.0:
+            elif strict or self.match("province", province, self.all["province"])[1] == 1.0:
                 return [], 0.0  # a province of another region
         found, city_score = self.match("city", city, cities) if self._filled(city) else (cities, 0.9)
         if not self._filled(barangay) or not found:
@@ -226,7 +226,7 @@ class Gazetteer:
                 spans = self.mentions(words)
                 tries += [(region, province, " ".join(words[a:b]), " ".join(words[:a])) for a, b, codes in spans if a and any(self.level[c] == "city" for c in codes)]
         elif self._filled(barangay):
-            tries.append((region, province, barangay, city))
+            tries += [(region, *order, True) for order in ((city, province, barangay), (province, barangay, city), (barangay, city, province), (city, barangay, province), (barangay, province, city))]
         for attempt in tries:
             found, _ = self._chain(*attempt)
             if found:
