@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, leakage, lookalikes, packing, places, survivors
+from . import groups, leakage, lookalikes, packing, places, survivors, variants
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden_records(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), attributes)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.name_variants(_table(spark, d, "beneficiaries")).select("uuid_a", "uuid_b")
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     gazetteer = places.load_gazetteer(*(_table(spark, d, x) for x in ("regions", "provinces", "cities", "barangays")))
     columns = ("region", "province", "city_municipality", "barangay")
@@ -54,7 +58,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _P4 = """
