@@ -138,5 +138,6 @@ def pack(documents: DataFrame, limits: Limits = Limits(), tokenizer: str | None
         return frame[out]
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    packed = loose.groupBy("g").applyInPandas(one, f"container_id string, doc_id {kind}, piece_no long, token_start long, n_tokens long, place long")
+    # Groups are small in bytes and long in work: an explicit count keeps the runtime from merging them into few tasks.
+    packed = loose.repartition(min(groups, 8192), "g").groupBy("g").applyInPandas(one, f"container_id string, doc_id {kind}, piece_no long, token_start long, n_tokens long, place long")
     return packed.unionByName(full.select(out)).unionByName(none.select(out))
