@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, leakage, linkage, lookalikes, packing, places, survivors, variants
+from . import groups, history, leakage, linkage, lookalikes, packing, places, survivors, variants
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden_records(_table(spark, d, "reviewed_groups"), _table(spark, d, "beneficiaries"), attributes)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_persons(_table(spark, d, "beneficiaries"), _table(spark, d, "new_beneficiaries"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = linkage.link(_table(spark, d, "beneficiaries"), _table(spark, d, "partner_register"), "internal_uuid", "partner_row")
     return linkage.matches(pairs).select("internal_uuid", "partner_row")
@@ -63,7 +67,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 _P4 = """
