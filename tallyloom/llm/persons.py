@@ -74,6 +74,7 @@ class Name:
         self.lead = ".".join(sorted(lead))
 
 
+@lru_cache(200_000)
 def formal(word: str) -> frozenset[str]:
     """The full names that a word may stand for: itself, or the names of which it is a nickname."""
     return FORMAL.get(word, frozenset()) | {word}
@@ -92,10 +93,14 @@ def forms(name: Name) -> list[str]:
     return sorted(out)
 
 
+@lru_cache(500_000)
 def _typo(a: str, b: str) -> bool:
     least = min(len(a), len(b))
     most = 1 if least <= 4 else 2 if least < 9 else 3
-    return a[:1] != "" and distance(a, b, most) <= most
+    # An edit takes away one letter of a word at most, so letters that the other lacks are a lower bound.
+    if abs(len(a) - len(b)) > most or sum(max(0, a.count(c) - b.count(c)) for c in {*a}) > most:
+        return False
+    return distance(a, b, most) <= most
 
 
 def compare_names(a: Name, b: Name, common: set[str] | frozenset[str] = frozenset()) -> tuple[int, int, int, bool]:
@@ -117,24 +122,21 @@ def compare_names(a: Name, b: Name, common: set[str] | frozenset[str] = frozense
                 y.remove(v)
                 same += 1
                 break
-    for one, two in ((x, y), (y, x)):
-        for w in list(one):
-            parts = [(v, u) for v in two for u in two if v is not u and v + u == w] or [(v, u) for v in two for u in two if v is not u and abs(len(v + u) - len(w)) < 2 and len(w) > 7 and distance(v + u, w, 1) <= 1]
+    for one, two in ((x, y), (y, x)):  # several words typed as one
+        for w in [w for w in one if len(w) > 5] if two else ():
+            joined = {v + u: (v, u) for v in two for u in two if v is not u and abs(len(v) + len(u) - len(w)) < 2}
+            parts = joined.get(w) or next((p for j, p in joined.items() if len(w) > 7 and _typo(j, w)), None)
+            if not parts and len(w) > 7:
+                parts = [v for v in two if len(v) > 3 and v in w or v in FORMAL and any(len(f) > 3 and f in w for f in FORMAL[v])]
             if parts:
                 one.remove(w)
-                two.remove(parts[0][0])
-                two.remove(parts[0][1])
-                same += 2
-    for one, two in ((x, y), (y, x)):
-        for w in list(one):  # several words typed as one
-            if len(w) > 7 and (inside := [v for v in two if any(len(f) > 3 and f in w for f in formal(v))]):
-                one.remove(w)
-                for v in inside:
+                for v in parts:
                     two.remove(v)
-                same += len(inside)
+                same += len(parts)
     for w in list(x):
+        names = FORMAL.get(w)
         for v in y:
-            if not (w in common and v in common) and _typo(w, v) or any(_typo(f, v) for f in FORMAL.get(w, ())) or any(_typo(w, f) for f in FORMAL.get(v, ())):
+            if _typo(w, v) and not (w in common and v in common) or names and any(_typo(f, v) for f in names) or v in FORMAL and any(_typo(w, f) for f in FORMAL[v]):
                 x.remove(w)
                 y.remove(v)
                 typo += 1
