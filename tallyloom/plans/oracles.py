@@ -1,0 +1,287 @@
+"""The core queries as SQL for DuckDB, written from the definitions and not from the Spark plans."""
+
+from __future__ import annotations
+
+_WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def trim_all(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def null_if_blank(x: str) -> str:
+    return f"nullif({trim_all(x)}, '')"
+
+
+def match_name(normal: str, raw: str) -> str:
+    return f"coalesce(nullif(upper({collapse(normal)}), ''), nullif(upper({collapse(raw)}), ''), '')"
+
+
+def location_key(x: str) -> str:
+    return f"lower(trim(regexp_replace(translate(coalesce({x}, ''), 'ñÑ', 'nn'), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')))"
+
+
+def one_byte(x: str) -> str:
+    """Other letters as unused ASCII signs, since DuckDB's edit distance counts bytes."""
+    return f"translate({x}, 'ÑÉÍÓÁÚÜÏÖÄËÈÀÇñéíóáúü', '!#$%&*+=<>?@[]^_{{|}}~;')"
+
+
+def edges(a: str, b: str, otherwise: str) -> str:
+    return f"case when {a} = '' and {b} = '' then 100.0::double when {a} = '' or {b} = '' then 0.0::double when {a} = {b} then 100.0::double else {otherwise} end"
+
+
+def lev(a: str, b: str) -> str:
+    return edges(a, b, f"round(100.0::double * (1 - levenshtein({one_byte(a)}, {one_byte(b)})::double / greatest(length({a}), length({b}))), 6)")
+
+
+def ham(a: str, b: str) -> str:
+    off = f"len(list_filter(range(1, length({a}) + 1), lambda k: substr({a}, k, 1) <> substr({b}, k, 1)))"
+    return edges(a, b, f"case when length({a}) <> length({b}) then 0.0::double else round(100.0::double * (1 - {off}::double / length({a})), 6) end")
+
+
+def jaro_ctes(pairs: str, name: str = "jw") -> str:
+    """CTEs that end in name(a, b, j, w): Jaro and its Winkler form of the distinct non-empty pairs (a, b) of a relation."""
+    return f"""
+      {name}_p as (select distinct a, b, string_split(a, '') x, string_split(b, '') y from {pairs} where a <> '' and b <> '' and a <> b),
+      {name}_q as (select *, greatest(greatest(len(x), len(y)) // 2 - 1, 0) win from {name}_p),
+      {name}_r(a, b, x, y, win, i, used, mine) as (
+        select a, b, x, y, win, 1, []::bigint[], []::varchar[] from {name}_q
+        union all
+        select a, b, x, y, win, i + 1, case when j is null then used else list_append(used, j) end, case when j is null then mine else list_append(mine, x[i]) end
+        from (select *, list_filter(range(greatest(i - win, 1), least(i + win, len(y)) + 1), lambda k: y[k] = x[i] and not list_contains(used, k))[1] j from {name}_r where i <= len(x))),
+      {name}_m as (select a, b, x, y, mine, list_transform(list_sort(used), lambda k: y[k]) other, len(used)::double m from {name}_r where i = len(x) + 1),
+      {name}_j as (select a, b, case when m = 0 then 0.0::double else (m / len(x) + m / len(y) + (m - len(list_filter(range(1, m::bigint + 1), lambda k: mine[k] <> other[k])) / 2.0::double) / m) / 3.0::double end j,
+        case when x[1:4] = y[1:4] and len(x) >= 4 and len(y) >= 4 then 4 when x[1:3] = y[1:3] and len(x) >= 3 and len(y) >= 3 then 3 when x[1:2] = y[1:2] and len(x) >= 2 and len(y) >= 2 then 2 when x[1] = y[1] then 1 else 0 end l from {name}_m),
+      {name} as (select a, b, j, j + l * 0.1::double * (1.0::double - j) w from {name}_j)"""
+
+
+def jw_score(a: str, b: str, w: str = "w") -> str:
+    return edges(a, b, f"round(100.0::double * {w}, 6)")
+
+
+def birth(prefix: str = "") -> str:
+    p = prefix
+    return f"coalesce({null_if_blank(p + 'birthdate_iso')}, case when {p}birth_month is not null and {p}birth_day is not null and {p}birth_year is not null then printf('%04d-%02d-%02d', {p}birth_year, {p}birth_month, {p}birth_day) end, '')"
+
+
+def comparable(where: str = "coalesce(record_status, '') <> 'DELETED'") -> str:
+    name = lambda part, col: f"{match_name('norm_' + col, col)} as {part}"
+    return f"""(select internal_uuid, {name("last", "last_name")}, {name("first", "first_name")}, {name("middle", "middle_name")}, {name("extension", "extension_name")},
+        coalesce({null_if_blank("city_code")}, '') city, coalesce({null_if_blank("barangay_code")}, '') barangay, {birth()} birth, coalesce(printf('%04d', birth_year), '') as year
+        from beneficiaries where {where})"""
+
+
+_KEYS = f"""
+    r as {comparable()},
+    keyed as (select distinct internal_uuid, unnest([case when city <> '' then 'C|' || city || '|' || left("last", 1) end, case when city <> '' then 'C|' || city || '|' || left("first", 1) end,
+      case when barangay <> '' and year <> '' then 'B|' || barangay || '|' || year end, 'N|' || left("last", 3) || '|' || left("first", 3)]) block_key from r),
+    keys as (select * from keyed where block_key is not null),
+    pairs as (select distinct a.internal_uuid uuid_a, b.internal_uuid uuid_b from keys a join keys b using (block_key) where a.internal_uuid < b.internal_uuid)"""
+
+
+def _tri(a: str, b: str) -> str:
+    return f"(case when {a} = '' or {b} = '' then null when {a} = {b} then 1 else 2 end)::int"
+
+
+def _scored(two: str) -> str:
+    """Component scores of a relation with the fields of both sides; needs jw over its first names."""
+    return f"""select uuid_a, uuid_b, {jw_score("first_a", "first_b")} first_name_score, {lev("middle_a", "middle_b")} middle_name_score, {lev("last_a", "last_b")} last_name_score,
+        {ham("extension_a", "extension_b")} extension_name_score, {_tri("birth_a", "birth_b")} birthdate_compare, {_tri("barangay_a", "barangay_b")} barangay_compare
+        from {two} left join jw on jw.a = first_a and jw.b = first_b"""
+
+
+_FIELDS = ", ".join(f'{x}."{c}" as {c}_{x}' for x in "ab" for c in ("last", "first", "middle", "extension", "birth", "barangay"))
+_TOTAL = "round(0.49::double * first_name_score + 0.05::double * middle_name_score + 0.45::double * last_name_score + 0.01::double * extension_name_score, 6)"
+_MATCHES = f"""{_KEYS},
+    two0 as (select uuid_a, uuid_b, {_FIELDS} from pairs join r a on a.internal_uuid = uuid_a join r b on b.internal_uuid = uuid_b),
+    two as (select * from two0 where {lev("last_a", "last_b")} >= 77),
+    names as (select first_a a, first_b b from two), {jaro_ctes("names")},
+    parts as ({_scored("two")}),
+    matches as (select *, {_TOTAL} total_score, uuid_a || '|' || uuid_b pair_key from parts where {_TOTAL} >= 90)"""
+
+_CHAINS = f"""(select r.region_code, r.region_name, p.province_code, p.province_name, c.city_code, c.city_name, b.barangay_code, b.barangay_name
+    from barangays b join cities c on c.city_code = b.city_code
+    left join provinces p on p.province_code = coalesce({null_if_blank("b.province_code")}, {null_if_blank("c.province_code")})
+    join regions r on r.region_code = coalesce({null_if_blank("b.region_code")}, {null_if_blank("p.region_code")}, {null_if_blank("c.region_code")}))"""
+
+_ALIASES = f"""(select alias, arg_min(region_name, region_code) region_name from (
+    select region_code, region_name, unnest([{location_key("region_code")}, k, a1, 'region ' || nullif(a1, ''), a2, replace(a2, ' ', ''),
+      case when contains(k, 'national capital region') then 'ncr' when contains(k, 'cordillera administrative region') then 'car'
+        when contains(k, 'autonomous region in muslim mindanao') and not contains(k, 'bangsamoro') then 'armm' when contains(k, 'autonomous region in muslim mindanao') then 'armm' end]) alias
+    from (select *, {location_key("region_name")} k, regexp_extract({location_key("region_name")}, '^region ([^ ]+)', 1) a1, regexp_extract({location_key("region_name")}, '^region ([^ ]+ [^ ]+)', 1) a2 from regions)) where alias <> '' group by alias)"""
+
+_TYPED = f"select distinct {', '.join(f'{collapse(chr(99) + chr(111) + chr(97) + chr(108) + chr(101) + chr(115) + chr(99) + chr(101) + f'({c}, {chr(39)}{chr(39)})')} as {x}' for c, x in (('region', 'region'), ('province', 'province'), ('city_municipality', 'city'), ('barangay', 'barangay')))} from import_rows"
+
+
+def _flag(x: str) -> str:
+    t = "asked" if x == "region" else x
+    return f"(case when {trim_all(t)} = '' then true else coalesce(lower({t}) = lower({x}_code) or k_{x} = n_{x}, false) end)"
+
+
+def _normalize() -> str:
+    levels = ("region", "province", "city", "barangay")
+    keyed = ", ".join(f"{location_key('asked' if x == 'region' else x)} k_{x}" for x in levels)
+    names = ", ".join(f"{location_key(x + '_name')} n_{x}" for x in levels)
+    vector = " + ".join(f"{w} * {_flag(x)}::int" for w, x in zip((8, 4, 2, 1), levels))
+    by = ", ".join(levels)
+    pairs = " union ".join(f"select lower({'asked' if x == 'region' else x}) a, lower({x}_name) b from toscore where k_{x} <> ''" for x in levels)
+
+    def score(x: str) -> str:
+        a, b = f"lower({'asked' if x == 'region' else x})", f"coalesce(lower({x}_name), '')"
+        return f"case when k_{x} = '' then 0.0::double when {a} = '' or {b} = '' then 0.0::double when {a} = {b} then 1.0::double else least(greatest(coalesce(s_{x}.w, 0.0::double), 0.0::double), 1.0::double) end"
+
+    joins = " ".join(f"left join jw s_{x} on s_{x}.a = lower({'asked' if x == 'region' else x}) and s_{x}.b = lower({x}_name)" for x in levels)
+    filled = " + ".join(f"(k_{x} <> '')::int" for x in levels)
+    order = "concat_ws('|', coalesce(region_code, ''), coalesce(province_code, ''), coalesce(city_code, ''), coalesce(barangay_code, ''))"
+    return f"""
+      typed as ({_TYPED}),
+      asked as (select coalesce(al.region_name, t.region) asked, t.* from typed t left join {_ALIASES} al on al.alias = {location_key("t.region")}),
+      keyed as (select *, {keyed} from asked),
+      catalog as (select *, {names} from {_CHAINS}),
+      crossed as (select *, {vector} v from keyed, catalog),
+      kept as (select *, count(*) over (partition by {by}) survivors from (select *, max(v) over (partition by {by}) top from crossed) where v = top),
+      sure as (select * from kept where top = 15 and survivors = 1 and {filled} > 0),
+      toscore as (select * from kept where not (top = 15 and survivors = 1 and {filled} > 0) and {filled} > 0),
+      pairs_n as ({pairs}), {jaro_ctes("pairs_n")},
+      scored as (select toscore.*, ({" + ".join(score(x) for x in levels)}) / ({filled}) score from toscore {joins}),
+      ranked as (select *, row_number() over w k, lead(score) over w second from scored window w as (partition by {by} order by score desc, {order})),
+      normalized as (
+        select {by}, barangay_code, 'AUTO_APPLIED' status, 'EXACT' match_source, 1.0::double confidence, null::varchar reason from sure
+        union all
+        select {by}, barangay_code, case when abs(score - second) < 0.01 or score < 0.95 then 'REVIEW_NEEDED' else 'AUTO_APPLIED' end, case when score = 1 then 'EXACT' else 'FUZZY' end, score,
+          case when abs(score - second) < 0.01 then 'ambiguous location candidates' when score < 0.95 then 'confidence below threshold' end from ranked where k = 1
+        union all
+        select {by}, null, 'REVIEW_NEEDED', 'NONE', 0.0::double, 'no location candidate matched' from keyed where {filled} = 0)"""
+
+
+def _legacy() -> str:
+    fit = lambda x, code, name: f"({trim_all(x)} <> '' and (lower({trim_all(x)}) = lower({code}) or {location_key(x)} = {location_key(name)}))"
+    return f"""
+      typed as ({_TYPED}), cat as {_CHAINS},
+      l1 as (select t.*, count(distinct c.region_code) n1, min(c.region_code) r1 from typed t left join (select distinct region_code, region_name from cat) c on {fit("t.region", "c.region_code", "c.region_name")} group by all),
+      l2 as (select t.*, count(distinct c.province_code) n2, min(c.province_code) r2 from l1 t left join (select distinct region_code, province_code, province_name from cat) c on n1 = 1 and c.region_code = r1 and {fit("t.province", "c.province_code", "c.province_name")} group by all),
+      l3 as (select t.*, count(distinct c.city_code) n3, min(c.city_code) r3 from l2 t left join (select distinct region_code, province_code, city_code, city_name from cat) c
+        on n1 = 1 and (n2 = 1 or province = '') and c.region_code = r1 and (province = '' or c.province_code = r2) and {fit("t.city", "c.city_code", "c.city_name")} group by all),
+      l4 as (select t.*, count(distinct c.barangay_code) n4, min(c.barangay_code) r4 from l3 t left join (select distinct region_code, city_code, barangay_code, barangay_name from cat) c
+        on n1 = 1 and (n2 = 1 or province = '') and n3 = 1 and c.city_code = r3 and {fit("t.barangay", "c.barangay_code", "c.barangay_name")} group by all),
+      legacy as (select region, province, city, barangay,
+        case when n1 = 0 then 'no region found' when n1 > 1 then 'region is ambiguous' when province <> '' and n2 = 0 then 'no province found' when province <> '' and n2 > 1 then 'province is ambiguous'
+          when n3 = 0 then 'no city found' when n3 > 1 then 'city is ambiguous' when n4 = 0 then 'no barangay found' when n4 > 1 then 'barangay is ambiguous' end error,
+        case when n1 = 1 and (province = '' or n2 = 1) and n3 = 1 and n4 = 1 then r4 end barangay_code from l4)"""
+
+
+def birth_error_sql(iso: str, m: str, d: str, y: str) -> str:
+    day = lambda s: f"try_strptime(case when regexp_full_match({s}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then {s} end, '%Y-%m-%d')"
+    i = null_if_blank(iso)
+    given = f"(({m} is not null)::int + ({d} is not null)::int + ({y} is not null)::int)"
+    return f"""case when {i} is not null then
+          case when {day(i)} is null then 'birthdate_iso must be YYYY-MM-DD' when year({day(i)}) not between 1800 and 3000 then 'birth_year must be between 1800 and 3000'
+            when {m} <> month({day(i)}) or {d} <> day({day(i)}) or {y} <> year({day(i)}) then 'birthdate_iso and birth parts disagree' end
+        when {given} between 1 and 2 then 'birth month, day and year must be given together' when {m} not between 1 and 12 then 'birth_month must be between 1 and 12' when {d} not between 1 and 31 then 'birth_day must be between 1 and 31'
+        when {y} not between 1800 and 3000 then 'birth_year must be between 1800 and 3000'
+        when {given} = 3 and {day(f"printf('%04d-%02d-%02d', {y}, {m}, {d})")} is null then 'birth date is not a valid calendar date' end"""
+
+
+def _is_blank(x: str) -> str:
+    return f"coalesce({trim_all(x)}, '') = ''"
+
+
+_ERROR = f"""coalesce(case when {_is_blank("last_name")} then 'last_name is required' end, case when {_is_blank("first_name")} then 'first_name is required' end,
+      case when {" or ".join(_is_blank(p + "_code") for p in ("region", "province", "city", "barangay"))} then 'location codes are required' end,
+      case when {" or ".join(_is_blank(p + "_name") for p in ("region", "province", "city", "barangay"))} then 'location names are required' end,
+      {birth_error_sql("birthdate_iso", "birth_month", "birth_day", "birth_year")}, case when {_is_blank("sex")} then 'sex is required' end)"""
+_EXACT = "concat_ws(chr(31), " + ", ".join(f"coalesce(trim({c}), '')" for c in ("norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name", "region_code", "province_code", "city_code", "barangay_code", "birthdate_iso", "contact_no_norm", "sex")) + ")"
+
+_DISPOSED = f"""
+      live as (select * from beneficiaries where record_status <> 'DELETED'),
+      d as (select *, batch_no * 10000000 + row_no n, {_ERROR} err, {_EXACT} k, {null_if_blank("source_reference")} ref from new_beneficiaries),
+      e as (select *, ref in (select {null_if_blank("source_reference")} from live where {null_if_blank("source_reference")} is not null) known, k in (select {_EXACT} from live) same from d),
+      f as (select *, err is null and not coalesce(known, false) and not same cand from e),
+      g as (select *, cand and (ref is null or row_number() over (partition by ref, cand order by n) = 1) opened from f),
+      disposed as (select *, opened and row_number() over (partition by k, opened order by n) = 1 ins from g),
+      outcome as (select *, case when err is not null then 'failed' when ins then 'inserted' else 'skipped' end disposition,
+        case when err is not null then err when known then 'source_reference exists' when ins then null when not opened and not same then 'source_reference exists' else 'exact duplicate' end message from disposed)"""
+
+
+def entry(x: str) -> str:
+    return f"regexp_replace({trim_all(x)}, '[\\t\\n\\f\\r ]+', ' ', 'g')"
+
+
+def guard(x: str) -> str:
+    return f"case when regexp_matches({x}, '^[ \\t\\r\\n]*[=+\\-@]') then '''' || {x} else {x} end"
+
+
+def _export() -> str:
+    named = lambda p: f"coalesce({null_if_blank(p + '_name')}, {null_if_blank(p + '_code')}, '')"
+    padded = lambda c, n: f"coalesce(lpad({c}::varchar, {n}, '0'), '')"
+    columns = {"id": "generated_id", "last_name": "last_name", "first_name": "first_name", "middle_name": "middle_name", "extension_name": "extension_name", "region": named("region"), "province": named("province"), "city_municipality": named("city"), "barangay": named("barangay"),
+               "contact_no": "contact_no", "month_mm": padded("birth_month", 2), "day_dd": padded("birth_day", 2), "year_yyyy": padded("birth_year", 4), "sex": "sex"}
+    inner = ", ".join(f"coalesce({v}, '') as {k}" for k, v in columns.items())
+    return f"select {', '.join(f'{guard(k)} as {k}' for k in columns)} from (select {inner} from beneficiaries where record_status in ('ACTIVE', 'RETAINED') and coalesce(duplicate_status, '') <> 'POSSIBLE_DUPLICATE')"
+
+
+def oracle_sql() -> dict[str, str]:
+    whole = lambda x: f"regexp_full_match({trim_all(x)}, '[+-]?[0-9]{{1,18}}')"
+    number = lambda x: f"case when regexp_full_match(trim({x}), '[0-9]{{1,9}}') then trim({x})::bigint end"
+    return {
+        "er_blocking_keys": f"with {_KEYS} select internal_uuid, block_key from keys",
+        "er_candidate_pairs": f"with {_KEYS} select uuid_a, uuid_b from pairs",
+        "er_scored_matches": f"with recursive {_MATCHES} select * from matches",
+        "er_run_totals": f"with recursive {_MATCHES} select (select count(*) from pairs) total_candidates, (select count(*) from matches) total_matches",
+        "er_run_rows": f"with recursive {_MATCHES} select 'run-1-' || case when n < 100000 then lpad(n::varchar, 5, '0') else n::varchar end match_id, 'run-1' run_id, pair_key, total_score, 'PENDING' decision_status from (select *, row_number() over (order by total_score desc, pair_key) n from matches)",
+        "er_hide_decided": "select match_id, run_id, pair_key from scored_pairs s where decision_status = 'PENDING' and not exists (select 1 from scored_pairs r where r.decision_status = 'RESOLVED' and r.pair_key = s.pair_key)",
+        "er_group_scores": f"""with recursive g as (select distinct group_id, internal_uuid from reviewed_groups), r as {comparable("true")},
+            pairs as (select distinct a.internal_uuid uuid_a, b.internal_uuid uuid_b from g a join g b using (group_id) where a.internal_uuid < b.internal_uuid),
+            two as (select uuid_a, uuid_b, {_FIELDS} from pairs join r a on a.internal_uuid = uuid_a join r b on b.internal_uuid = uuid_b),
+            names as (select first_a a, first_b b from two), {jaro_ctes("names")}, parts as ({_scored("two")})
+            select *, {_TOTAL} total_score, uuid_a || '|' || uuid_b pair_key from parts""",
+        "sim_names": f"""with recursive n as (select distinct upper(last_name) a, upper(first_name) b from partner_register where last_name is not null and first_name is not null), {jaro_ctes("n")}
+            select n.a, n.b, {lev("n.a", "n.b")} levenshtein, {ham("n.a", "n.b")} hamming, {jw_score("n.a", "n.b")} jaro_winkler from n left join jw on jw.a = n.a and jw.b = n.b""",
+        "geo_chains": f"select * from {_CHAINS}",
+        "geo_path": "select r.region_code, region_name, p.province_code, province_name, c.city_code, city_name, b.barangay_code, barangay_name from barangays b join cities c using (city_code) join provinces p on p.province_code = c.province_code join regions r on r.region_code = p.region_code",
+        "geo_children": "select city_code, city_name, province_code from cities order by city_name, city_code",
+        "geo_aliases": f"select * from {_ALIASES}",
+        "geo_normalize": f"with recursive {_normalize()} select region, province, city, barangay, barangay_code, status, match_source, round(confidence, 9) confidence, reason from normalized",
+        "geo_exact_resolver": f"with {_legacy()} select * from legacy",
+        "geo_shadow": f"""with recursive {_normalize()}, {_legacy().replace(f"typed as ({_TYPED}), ", "")},
+            both_ as (select n.status = 'AUTO_APPLIED' ap, l.error is null old, n.barangay_code c, l.barangay_code o from normalized n join legacy l using (region, province, city, barangay))
+            select drift, count(*) chains from (select concat_ws(',', case when ap <> old then 'apply_state' end, case when old and c is distinct from o then 'barangay_code' end) drift from both_) group by drift""",
+        "geo_ingest_counts": "select count(*) rows_read, " + ", ".join(f"count(distinct {null_if_blank(x + '_code')}) {y}" for x, y in (("region", "regions"), ("province", "provinces"), ("city", "cities"), ("barangay", "barangays"))) + f", count(*) - count(distinct {null_if_blank('barangay_code')}) rows_skipped from beneficiaries",
+        "geo_ingest_conflicts": f"select barangay_code, m.city_code, m.barangay_name, variants from (select barangay_code, min({{'city_code': city_code, 'barangay_name': barangay_name}}) m, count(distinct {{'city_code': city_code, 'barangay_name': barangay_name}}) variants from beneficiaries where not {_is_blank('barangay_code')} group by barangay_code)",
+        "rec_text_keys": f"""select row_id, {location_key("barangay")} barangay_key, lower({collapse("coalesce(province, '')")}) province_key, regexp_replace(coalesce(contact_no, ''), '[^0-9]', '', 'g') contact_digits,
+            nullif(nullif(string_split(regexp_replace(replace({trim_all("source_reference")}, chr(92), '/'), '/+$', ''), '/')[-1], ''), '.') as file,
+            coalesce(nullif(concat_ws(', ', {null_if_blank("last_name")}, nullif(concat_ws(' ', {null_if_blank("first_name")}, {null_if_blank("middle_name")}, {null_if_blank("extension_name")}), '')), ''), 'n/a') full_name,
+            'G-' || case when row_id < 1000000 then lpad(row_id::varchar, 6, '0') else row_id::varchar end made_id,
+            case when {null_if_blank("id")} is null or contains(coalesce({trim_all("source_reference")}, ''), 'source_generated_id=' || {null_if_blank("id")}) then {null_if_blank("source_reference")}
+              when {_is_blank("source_reference")} then 'source_generated_id=' || {null_if_blank("id")} else {trim_all("source_reference")} || ';source_generated_id=' || {null_if_blank("id")} end provenance,
+            case when {whole("year_yyyy")} then {trim_all("year_yyyy")}::bigint end as year, coalesce({trim_all("year_yyyy")} <> '', false) and not coalesce({whole("year_yyyy")}, false) year_bad from import_rows""",
+        "rec_birth": f"select internal_uuid, {birth()} birth, {birth_error_sql('birthdate_iso', 'birth_month', 'birth_day', 'birth_year')} error from new_beneficiaries",
+        "rec_validate": f"select internal_uuid, error from (select internal_uuid, {_ERROR} error from new_beneficiaries union all select internal_uuid, {_ERROR} error from beneficiaries) where error is not null",
+        "rec_normalize": f"""select internal_uuid, {entry("last_name")} last_name, {entry("first_name")} first_name, {null_if_blank(entry("middle_name"))} middle_name, upper({entry("last_name")}) norm_last_name, upper({entry("first_name")}) norm_first_name,
+            nullif(regexp_replace({null_if_blank("contact_no")}, '[^0-9]', '', 'g'), '') contact_no_norm, nullif({birth()}, '') birthdate_iso, coalesce({entry("sex")}, '') sex from beneficiaries""",
+        "rec_exact_duplicates": f"select n.internal_uuid, min(b.internal_uuid) duplicate_of from (select internal_uuid, {_EXACT} k from new_beneficiaries) n join (select internal_uuid, {_EXACT} k from beneficiaries where record_status <> 'DELETED') b using (k) group by n.internal_uuid",
+        "rec_candidates": "select d.internal_uuid, s.internal_uuid candidate, (row_number() over (partition by d.internal_uuid order by s.norm_last_name, s.norm_first_name, s.norm_middle_name nulls first, s.norm_extension_name nulls first, s.generated_id, s.internal_uuid))::int as position from new_beneficiaries d join beneficiaries s on d.norm_last_name = s.norm_last_name and d.norm_first_name = s.norm_first_name and d.internal_uuid <> s.internal_uuid and s.record_status <> 'DELETED' "
+        + " ".join(f"and ({_is_blank('d.' + c)} or d.{c} = s.{c})" for c in ("norm_middle_name", "norm_extension_name", "city_code", "birthdate_iso")) + " qualify position <= 25",
+        "rec_list_page": "select internal_uuid, last_name, first_name from beneficiaries where record_status = 'ACTIVE' and source_type = 'IMPORT' order by last_name nulls first, first_name nulls first, middle_name nulls first, extension_name nulls first, generated_id nulls first, internal_uuid limit 50 offset 100",
+        "rec_search": "select internal_uuid, last_name, first_name, city_name from beneficiaries where " + " or ".join(f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%rosar%o%'" for c in ("generated_id", "last_name", "first_name", "middle_name", "contact_no", "city_name", "barangay_name")),
+        "imp_dispositions": f"with {_DISPOSED} select internal_uuid, disposition, message from outcome",
+        "imp_counters": f"with {_DISPOSED} select batch_no, count(*) rows_read, count(*) filter (disposition = 'inserted') rows_inserted, count(*) filter (disposition = 'skipped') rows_skipped, count(*) filter (disposition = 'failed') rows_failed from outcome group by batch_no",
+        "imp_preview": f"""with r as (select *, regexp_replace(source_reference, '#row=.*$', '') as file, coalesce(case when {_is_blank("last_name")} then 'last_name is required' end, case when {_is_blank("first_name")} then 'first_name is required' end,
+              {", ".join(f"case when not {_is_blank(c)} and ({number(c)}) is null then '{n} must be a whole number' end" for c, n in (("month_mm", "month"), ("day_dd", "day"), ("year_yyyy", "year")))},
+              {birth_error_sql("null::varchar", f"({number('month_mm')})", f"({number('day_dd')})", f"({number('year_yyyy')})")}, case when {_is_blank("sex")} then 'sex is required' end) err from import_rows),
+            s as (select file, string_agg('row ' || row_id || ': ' || err, '; ' order by row_id) said from (select *, row_number() over (partition by file order by row_id) k from r where err is not null) where k <= 10 group by file)
+            select t.*, coalesce(said, '') sample_errors from (select file, count(*) row_count_total, count(*) filter (err is null) row_count_valid, count(err) row_count_invalid from r group by file) t left join s on s.file is not distinct from t.file""",
+        "imp_repeated": f"select file_hash, idempotency_key, first_import, imports from (select file_hash, idempotency_key, arg_min(import_id, (coalesce(started_at, ''), import_id)) first_import, count(*) imports from import_logs where not {_is_blank('file_hash')} group by all) where imports > 1",
+        "imp_location_outcome": f"with recursive {_normalize()} select case when barangay_code is null then 'review' when status = 'AUTO_APPLIED' then 'apply' when confidence >= 0.9 then 'accept_reviewed' else 'review' end outcome, count(*) chains from normalized group by 1",
+        "exp_rows": _export(),
+        "st_upsert": "select pair_key, match_id, run_id, total_score, decision_status, created_at from (select *, row_number() over (partition by pair_key order by created_at desc, match_id desc) k from (select distinct pair_key, match_id, run_id, total_score, decision_status, created_at from scored_pairs where pair_key is not null)) where k = 1",
+        "st_soft_delete": "select s record_status, count(*) n, max(t) last_deleted from (select case when hit then 'DELETED' else record_status end s, case when hit and coalesce(record_status, '') <> 'DELETED' then '2026-07-01T00:00:00Z' else deleted_at end t from (select *, internal_uuid in (select internal_uuid from reviewed_groups where internal_uuid is not null) hit from beneficiaries)) group by s",
+        "st_transitions": "select previous, event_type, previous is null or (previous, event_type) in (('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('signup', 'view'), ('login', 'view')) allowed, count(*) n from (select *, lag(event_type) over (partition by user_id order by ts, event_id) previous from events) group by all",
+        "dash_counts": "select count(*) total, count(*) filter (coalesce(record_status, '') <> 'DELETED') active, count(*) filter (coalesce(record_status, '') = 'DELETED') deleted from beneficiaries",
+        "hist_latest": "select operator_name, place, import_id from (select *, (row_number() over (partition by operator_name order by started_at desc nulls last, import_id))::int place from import_logs) where place <= 10",
+        "audit_filter": "select import_id, operator_name, status from (select * from import_logs order by started_at desc nulls last, import_id limit 500) where contains(lower(coalesce(operator_name, '')), 'encoder 1') or contains(lower(coalesce(status, '')), 'encoder 1') or contains(lower(coalesce(import_id, '')), 'encoder 1')",
+    }

@@ -1,12 +1,18 @@
-"""Queries of the core operators, and their SQL."""
+"""Queries of the core operators. Each reads whole tables; its SQL is in oracles.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..sources import raw_records
+from ..functions import text
+from ..functions.dates import birth_error, birth_iso
+from ..functions.similarity import hamming_score, jaro_winkler_score, levenshtein_score
+from ..operators import audit, geography, matching, ranking, records, state
+from ..sources import export, raw_records
+from . import importer, oracles
 
 FLAGSHIP = "er_scored_matches"
 
@@ -15,9 +21,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _geography(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, x) for x in ("regions", "provinces", "cities", "barangays")]
+
+
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
-    geography = {f"{x}_code": table(spark, d, t) for x, t in (("region", "regions"), ("province", "provinces"), ("city", "cities"), ("barangay", "barangays"))}
-    return raw_records.load_records(table(spark, d, "raw_lines"), geography)
+    geography_of = {f"{x}_code": t for x, t in zip(geography.LEVELS, _geography(spark, d))}
+    return raw_records.load_records(table(spark, d, "raw_lines"), geography_of)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,9 +38,241 @@ def p7_file_report(spark: SparkSession, d: str) -> DataFrame:
     return raw_records.file_report(_loaded(spark, d))
 
 
+def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d).where("reason is null").select("line_id", "layout", "record.*")
+
+
+# ER: entity resolution
+
+
+def er_blocking_keys(spark: SparkSession, d: str) -> DataFrame:
+    return matching.comparable(table(spark, d, "beneficiaries")).select("internal_uuid", F.explode(matching.blocking_keys()).alias("block_key"))
+
+
+def er_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return matching.candidate_pairs(matching.comparable(table(spark, d, "beneficiaries")))
+
+
+def er_scored_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.ordered(matching.matches(table(spark, d, "beneficiaries")))
+
+
+def er_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return matching.run_totals(table(spark, d, "beneficiaries"))
+
+
+def er_run_rows(spark: SparkSession, d: str) -> DataFrame:
+    return matching.numbered(matching.matches(table(spark, d, "beneficiaries")), "run-1").select("match_id", "run_id", "pair_key", "total_score", "decision_status")
+
+
+def er_hide_decided(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "scored_pairs")
+    return matching.without_decided(pairs.where("decision_status = 'PENDING'"), pairs.where("decision_status = 'RESOLVED' and pair_key is not null")).select("match_id", "run_id", "pair_key")
+
+
+def er_group_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Component scores of all pairs that reviewers put together."""
+    g = table(spark, d, "reviewed_groups").distinct()
+    a, b = g.alias("a"), g.alias("b")
+    pairs = a.join(b, F.col("a.group_id") == F.col("b.group_id")).where("a.internal_uuid < b.internal_uuid").select(F.col("a.internal_uuid").alias("uuid_a"), F.col("b.internal_uuid").alias("uuid_b")).distinct()
+    return matching.scored(matching.with_fields(pairs, matching.comparable(table(spark, d, "beneficiaries"), include_deleted=True)))
+
+
+# SIM: similarities of what partners typed and the norm columns of the person's own list
+
+
+def sim_names(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "partner_register").where("last_name is not null and first_name is not null").select(F.upper("last_name").alias("a"), F.upper("first_name").alias("b")).distinct()
+    return df.select("a", "b", levenshtein_score("a", "b").alias("levenshtein"), hamming_score("a", "b").alias("hamming"), jaro_winkler_score("a", "b").alias("jaro_winkler"))
+
+
+# GEO
+
+
+def geo_chains(spark: SparkSession, d: str) -> DataFrame:
+    return geography.chains(*_geography(spark, d))
+
+
+def geo_path(spark: SparkSession, d: str) -> DataFrame:
+    return geography.path_of(*_geography(spark, d))
+
+
+def geo_children(spark: SparkSession, d: str) -> DataFrame:
+    return geography.children(table(spark, d, "cities"), "city", "province").select("city_code", "city_name", "province_code")
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.durable import durable
+
+    return durable(geography.chains(*_geography(spark, d)), "chains")
+
+
+def geo_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return geography.region_aliases(table(spark, d, "regions"))
+
+
+def _normalized(spark: SparkSession, d: str) -> DataFrame:
+    return geography.normalize(table(spark, d, "import_rows"), _catalog(spark, d), geo_aliases(spark, d))
+
+
+def geo_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _normalized(spark, d).select(*geography.LEVELS, "barangay_code", "status", "match_source", F.round("confidence", 9).alias("confidence"), "reason")
+
+
+def geo_exact_resolver(spark: SparkSession, d: str) -> DataFrame:
+    return geography.exact_resolver(table(spark, d, "import_rows"), _catalog(spark, d))
+
+
+def geo_shadow(spark: SparkSession, d: str) -> DataFrame:
+    drift = geography.shadow(_normalized(spark, d), geo_exact_resolver(spark, d))
+    return drift.groupBy(F.concat_ws(",", "drift_fields").alias("drift")).agg(F.count(F.lit(1)).alias("chains"))
+
+
+def geo_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return geography.ingest_counts(table(spark, d, "beneficiaries"))
+
+
+def geo_ingest_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return geography.distinct_by_code(table(spark, d, "beneficiaries"), "barangay", ["city_code", "barangay_name"])
+
+
+# REC
+
+
+def rec_text_keys(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "import_rows")
+    return df.select(
+        "row_id", text.location_key("barangay").alias("barangay_key"), text.lookup_key(F.coalesce("province", F.lit(""))).alias("province_key"), text.digits(F.coalesce("contact_no", F.lit(""))).alias("contact_digits"),
+        text.basename("source_reference").alias("file"), text.full_name("last_name", "first_name", "middle_name", "extension_name").alias("full_name"), text.padded_id("row_id").alias("made_id"),
+        text.with_provenance("source_reference", "id").alias("provenance"), text.whole_number("year_yyyy")["value"].alias("year"), text.whole_number("year_yyyy")["bad"].alias("year_bad"),
+    )
+
+
+def rec_birth(spark: SparkSession, d: str) -> DataFrame:
+    m, dd, y = F.col("birth_month"), F.col("birth_day"), F.col("birth_year")
+    return table(spark, d, "new_beneficiaries").select("internal_uuid", birth_iso(F.col("birthdate_iso"), m, dd, y).alias("birth"), birth_error(F.col("birthdate_iso"), m, dd, y).alias("error"))
+
+
+def rec_validate(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "new_beneficiaries").unionByName(table(spark, d, "beneficiaries"), allowMissingColumns=True)
+    return df.select("internal_uuid", records.validation_error().alias("error")).where("error is not null")
+
+
+def rec_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return records.normalized(table(spark, d, "beneficiaries")).select("internal_uuid", "last_name", "first_name", "middle_name", "norm_last_name", "norm_first_name", "contact_no_norm", "birthdate_iso", "sex")
+
+
+def rec_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return records.exact_duplicates(table(spark, d, "new_beneficiaries"), table(spark, d, "beneficiaries"))
+
+
+def rec_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return records.duplicate_candidates(table(spark, d, "new_beneficiaries"), table(spark, d, "beneficiaries"))
+
+
+def rec_list_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = state.where_filled(table(spark, d, "beneficiaries"), record_status="ACTIVE", source_type="IMPORT", city_code="")
+    return ranking.page(rows, state.list_order(), 50, 100).select("internal_uuid", "last_name", "first_name")
+
+
+def rec_search(spark: SparkSession, d: str) -> DataFrame:
+    return state.search(table(spark, d, "beneficiaries"), "ROSAR%O").select("internal_uuid", "last_name", "first_name", "city_name")
+
+
+# IMP
+
+
+def _drafts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "new_beneficiaries").withColumn("n", F.col("batch_no") * 10_000_000 + F.col("row_no"))
+
+
+def imp_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    return importer.dispositions(_drafts(spark, d), table(spark, d, "beneficiaries"), [F.col("n")]).select("internal_uuid", "disposition", "message")
+
+
+def imp_counters(spark: SparkSession, d: str) -> DataFrame:
+    return importer.counters(importer.dispositions(_drafts(spark, d), table(spark, d, "beneficiaries"), [F.col("n")]), ["batch_no"])
+
+
+def imp_preview(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "import_rows").withColumn("file", F.regexp_replace("source_reference", "#row=.*$", ""))
+    return importer.preview(rows, ["file"], "row_id", importer.public_draft_error()).withColumn("sample_errors", F.concat_ws("; ", "sample_errors"))
+
+
+def imp_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return importer.repeated_imports(table(spark, d, "import_logs"))
+
+
+def imp_location_outcome(spark: SparkSession, d: str) -> DataFrame:
+    df = _normalized(spark, d).withColumn("outcome", importer.location_outcome(F.col("confidence"), F.col("status"), F.col("barangay_code").isNotNull()))
+    return df.groupBy("outcome").agg(F.count(F.lit(1)).alias("chains"))
+
+
+def imp_ids(spark: SparkSession, d: str) -> DataFrame:
+    wanted = _drafts(spark, d).withColumn("generated_id", F.when(F.col("row_no") % 3 == 0, F.col("generated_id")))
+    return records.allocate_ids(wanted, table(spark, d, "beneficiaries"), [F.asc("n")]).select("internal_uuid", "generated_id", "source_reference")
+
+
+# EXP
+
+
+def exp_rows(spark: SparkSession, d: str) -> DataFrame:
+    return export.export_rows(export.exportable(table(spark, d, "beneficiaries")))
+
+
+# ST
+
+
+def st_upsert(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "scored_pairs").where("pair_key is not null").select("pair_key", "match_id", "run_id", "total_score", "decision_status", "created_at")
+    order = [F.desc("created_at"), F.desc("match_id")]
+    return state.upsert(pairs.limit(0), pairs.distinct(), "pair_key", order)
+
+
+def st_soft_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "reviewed_groups").select("internal_uuid")
+    done = state.soft_delete(table(spark, d, "beneficiaries"), gone, "2026-07-01T00:00:00Z")
+    return done.groupBy("record_status").agg(F.count(F.lit(1)).alias("n"), F.max("deleted_at").alias("last_deleted"))
+
+
+def st_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each event type of a user may follow the one before it."""
+    steps = [("view", "click"), ("click", "purchase"), ("view", "view"), ("signup", "view"), ("login", "view")]
+    df = state.transitions(table(spark, d, "events"), steps, "user_id", "event_type", [F.asc("ts"), F.asc("event_id")])
+    return df.groupBy("previous", "event_type", "allowed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dash_counts(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "beneficiaries").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.col("record_status"), F.lit("")) != "DELETED").alias("active"))
+    return df.withColumn("deleted", F.col("total") - F.col("active"))
+
+
+def hist_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten latest imports of each operator."""
+    w = Window.partitionBy("operator_name").orderBy(F.desc_nulls_last("started_at"), "import_id")
+    return table(spark, d, "import_logs").withColumn("place", F.row_number().over(w)).where("place <= 10").select("operator_name", "place", "import_id")
+
+
+def audit_filter(spark: SparkSession, d: str) -> DataFrame:
+    page = ranking.page(table(spark, d, "import_logs"), [F.desc_nulls_last("started_at"), F.asc("import_id")], 500)
+    return audit.client_filter(page, "encoder 1").select("import_id", "operator_name", "status")
+
+
+def audit_scrub(spark: SparkSession, d: str) -> DataFrame:
+    said = audit.details(file_path=F.concat(F.lit("/srv/in/"), "file_name"), remarks="remarks", source_reference="source_reference", who=F.concat(F.lit(" "), "operator_name", F.lit(" ")))
+    return table(spark, d, "import_logs").select("import_id", audit.scrubbed_json(said).alias("details"))
+
+
+_QUERIES = [
+    p7_found, p7_file_report, p7_loaded, er_blocking_keys, er_candidate_pairs, er_scored_matches, er_run_totals, er_run_rows, er_hide_decided, er_group_scores, sim_names, geo_chains, geo_path, geo_children, geo_aliases, geo_normalize,
+    geo_exact_resolver, geo_shadow, geo_ingest_counts, geo_ingest_conflicts, rec_text_keys, rec_birth, rec_validate, rec_normalize, rec_exact_duplicates, rec_candidates, rec_list_page, rec_search, imp_dispositions, imp_counters, imp_preview,
+    imp_repeated, imp_location_outcome, imp_ids, exp_rows, st_upsert, st_soft_delete, st_transitions, dash_counts, hist_latest, audit_filter, audit_scrub,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_file_report": p7_file_report}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
