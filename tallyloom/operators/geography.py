@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from ..functions.text import blank, blank_to_null, collapse, location_key, same_place
+from ..functions.text import blank, blank_to_null, collapse, location_key
+from .durable import durable
 
 LEVELS = ("region", "province", "city", "barangay")
 # Short names of special regions.
@@ -117,15 +118,19 @@ def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options:
     raw = rows.select(*(collapse(F.coalesce(F.col(c), F.lit(""))).alias(x) for c, x in zip(columns, LEVELS))).distinct()
     named = raw.join(F.broadcast(aliases.select(F.col("alias").alias("__a"), F.col("region_name").alias("__n"))), location_key("region") == F.col("__a"), "left")
     named = named.select(F.coalesce("__n", "region").alias("asked"), *LEVELS)
-    keyed = named.select("asked", *LEVELS, *(location_key("asked" if x == "region" else x).alias(f"k_{x}") for x in LEVELS))
-    names = catalog.select(*(f"{x}_{y}" for x in LEVELS for y in ("code", "name")), *(location_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS))
-    flag = lambda x: F.when(blank("asked" if x == "region" else x), True).otherwise(F.coalesce((F.lower(F.col("asked" if x == "region" else x)) == F.lower(F.col(f"{x}_code"))) | (F.col(f"k_{x}") == F.col(f"n_{x}")), F.lit(False)))
-    flags = F.struct(*(flag(x).alias(x) for x in LEVELS))
+    # Keys are written out, else the product below would compute them for every pair.
+    text_of = lambda x: F.col("asked" if x == "region" else x)
+    keyed = named.select("asked", *LEVELS, *(location_key(text_of(x)).alias(f"k_{x}") for x in LEVELS), *(F.lower(text_of(x)).alias(f"t_{x}") for x in LEVELS))
+    keyed = durable(keyed.withColumn("id", F.xxhash64(*LEVELS)), "typed")
+    names = durable(catalog.select(*(f"{x}_{y}" for x in LEVELS for y in ("code", "name")), *(location_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS), *(F.lower(f"{x}_code").alias(f"c_{x}") for x in LEVELS)).coalesce(1), "names")
+    # The vector of exact flags as a number of four bits has the order of the vector.
+    flag = lambda x: F.when(F.col(f"t_{x}") == "", True).otherwise(F.coalesce((F.col(f"t_{x}") == F.col(f"c_{x}")) | (F.col(f"k_{x}") == F.col(f"n_{x}")), F.lit(False)))
+    flags = sum((F.when(flag(x), w).otherwise(0) for x, w in zip(LEVELS, (8, 4, 2, 1))), F.lit(0))
+    spread = keyed.repartition(64, "id")
     # The greatest vector is found by a partial aggregate; only chains that reach it are kept, so the product never leaves a task.
-    best = keyed.crossJoin(F.broadcast(names.select(*(f"{x}_code" for x in LEVELS), *(f"n_{x}" for x in LEVELS)))).groupBy(*LEVELS).agg(F.max(flags).alias("top"))
-    left = keyed.join(best, list(LEVELS))
-    kept = left.crossJoin(F.broadcast(names)).where(flags == F.col("top"))
-    whole = F.col("top.region") & F.col("top.province") & F.col("top.city") & F.col("top.barangay")
+    best = spread.crossJoin(F.broadcast(names)).select("id", flags.alias("v")).groupBy("id").agg(F.max("v").alias("top"))
+    kept = durable(keyed.join(best, "id").repartition(64, "id").crossJoin(F.broadcast(names)).where(flags == F.col("top")), "kept")
+    whole = F.col("top") == 15
     counted = kept.withColumn("survivors", F.count(F.lit(1)).over(Window.partitionBy(*LEVELS)))
     filled = {x: F.col(f"k_{x}") != "" for x in LEVELS}
     any_filled = filled["region"] | filled["province"] | filled["city"] | filled["barangay"]
@@ -133,9 +138,9 @@ def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options:
     # Names repeat, so each distinct pair of keys is scored once and joined back.
     scores = counted.where(~exact)
     for x in LEVELS:
-        text = "asked" if x == "region" else x
-        pairs = scores.where(filled[x]).select(F.lower(F.col(text)).alias(f"a_{x}"), F.lower(F.col(f"{x}_name")).alias(f"b_{x}")).distinct().withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}")))
-        scores = scores.join(pairs, (F.lower(F.col(text)) == F.col(f"a_{x}")) & (F.lower(F.col(f"{x}_name")) == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
+        pairs = kept.where(filled[x]).select(F.col(f"t_{x}").alias(f"a_{x}"), F.lower(F.col(f"{x}_name")).alias(f"b_{x}")).distinct().repartition(64)
+        pairs = durable(pairs.withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}"))), "scores")
+        scores = scores.join(pairs, (F.col(f"t_{x}") == F.col(f"a_{x}")) & (F.lower(F.col(f"{x}_name")) == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
     parts = sum((F.when(filled[x], 1).otherwise(0) for x in LEVELS), F.lit(0))
     mean = sum((F.when(filled[x], F.coalesce(F.col(f"s_{x}"), F.lit(0.0))).otherwise(0.0) for x in LEVELS), F.lit(0.0)) / parts
     order = Window.partitionBy(*LEVELS).orderBy(F.desc("score"), F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS)))
@@ -155,21 +160,25 @@ def exact_resolver(rows: DataFrame, catalog: DataFrame, columns: tuple[str, str,
     The first level of which nothing or more than one place fits gives the error. A blank province is passed over.
     """
     raw = rows.select(*(collapse(F.coalesce(F.col(c), F.lit(""))).alias(x) for c, x in zip(columns, LEVELS))).distinct()
-    done = raw.withColumns({"parent": F.lit(""), "error": F.lit(None).cast("string")})
+    done = durable(raw.withColumns({f"k_{x}": location_key(x) for x in LEVELS} | {f"t_{x}": F.lower(x) for x in LEVELS}), "typed").withColumn("error", F.lit(None).cast("string"))
     places = {x: catalog.select(*dict.fromkeys(["region_code", "province_code", "city_code", f"{x}_code", f"{x}_name"])).distinct() for x in LEVELS}
     found = None
     for i, x in enumerate(LEVELS):
         above = LEVELS[:i]
         base = done if found is None else found
-        want = places[x].select(*(F.col(f"{y}_code").alias(f"w_{y}") for y in above), F.col(f"{x}_code").alias("w_code"), F.col(f"{x}_name").alias("w_name")).distinct()
-        fits = same_place(x, "w_code", "w_name")
+        want = places[x].select(*(F.col(f"{y}_code").alias(f"w_{y}") for y in above), F.col(f"{x}_code").alias("w_code"), F.lower(f"{x}_code").alias("w_low"), location_key(f"{x}_name").alias("w_key"), F.lit(x).alias("w_x")).distinct()
+        inside = F.lit(True)
         for y in above:
-            fits = fits & (F.col(f"r_{y}").isNull() | F.col(f"r_{y}").eqNullSafe(F.col(f"w_{y}")))
-        hit = base.where(F.col("error").isNull() & ~blank(x)).join(F.broadcast(want), fits).groupBy(*LEVELS).agg(F.count_distinct("w_code").alias("n"), F.min("w_code").alias("code"))
+            inside = inside & (F.col(f"r_{y}").isNull() | F.col(f"r_{y}").eqNullSafe(F.col(f"w_{y}")))
+        # Two equi-joins, by key and by code; a place found by both counts once.
+        asked = base.where(F.col("error").isNull() & (F.col(f"t_{x}") != ""))
+        both = asked.join(want, (F.col(f"k_{x}") == F.col("w_key")) & inside).unionByName(asked.join(want, (F.col(f"t_{x}") == F.col("w_low")) & inside))
+        hit = both.groupBy(*LEVELS).agg(F.count_distinct("w_code").alias("n"), F.min("w_code").alias("code"))
         base = base.join(hit, list(LEVELS), "left")
         skip = blank(x) if x == "province" else F.lit(False)
         error = F.when(F.col("error").isNotNull() | skip, F.col("error")).when(F.coalesce("n", F.lit(0)) == 0, F.concat(F.lit("no "), F.lit(x), F.lit(" found"))).when(F.col("n") > 1, F.lit(f"{x} is ambiguous"))
-        found = base.withColumns({f"r_{x}": F.when(F.col("n") == 1, F.col("code")), "error": error}).drop("n", "code")
+        # A level is read three times by the next one, so it is written.
+        found = durable(base.withColumns({f"r_{x}": F.when(F.col("n") == 1, F.col("code")), "error": error}).drop("n", "code"), x)
     return found.select(*LEVELS, F.when(F.col("error").isNull(), F.col("r_barangay")).alias("barangay_code"), "error")
 
 

@@ -148,12 +148,12 @@ def _normalize() -> str:
       toscore as (select * from kept where not (top = 15 and survivors = 1 and {filled} > 0) and {filled} > 0),
       pairs_n as ({pairs}), {jaro_ctes("pairs_n")},
       scored as (select toscore.*, ({" + ".join(score(x) for x in levels)}) / ({filled}) score from toscore {joins}),
-      ranked as (select *, row_number() over w k, lead(score) over w second from scored window w as (partition by {by} order by score desc, {order})),
+      ranked as (select *, row_number() over w k, lead(score) over w as runner_up from scored window w as (partition by {by} order by score desc, {order})),
       normalized as (
         select {by}, barangay_code, 'AUTO_APPLIED' status, 'EXACT' match_source, 1.0::double confidence, null::varchar reason from sure
         union all
-        select {by}, barangay_code, case when abs(score - second) < 0.01 or score < 0.95 then 'REVIEW_NEEDED' else 'AUTO_APPLIED' end, case when score = 1 then 'EXACT' else 'FUZZY' end, score,
-          case when abs(score - second) < 0.01 then 'ambiguous location candidates' when score < 0.95 then 'confidence below threshold' end from ranked where k = 1
+        select {by}, barangay_code, case when abs(score - runner_up) < 0.01 or score < 0.95 then 'REVIEW_NEEDED' else 'AUTO_APPLIED' end, case when score = 1 then 'EXACT' else 'FUZZY' end, score,
+          case when abs(score - runner_up) < 0.01 then 'ambiguous location candidates' when score < 0.95 then 'confidence below threshold' end from ranked where k = 1
         union all
         select {by}, null, 'REVIEW_NEEDED', 'NONE', 0.0::double, 'no location candidate matched' from keyed where {filled} = 0)"""
 
