@@ -1,0 +1,266 @@
+import hashlib
+import io
+import json
+import random
+import zipfile
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import audit, geography, matching, ranking, records, skew, state
+from tallyloom.plans import importer
+from tallyloom.schemas import LEGACY_COLUMNS, PERSON_COLUMNS, PUBLIC_COLUMNS
+from tallyloom.sources import exchange, export
+from tallyloom.streaming import ingest
+
+LONG = {"birth_month", "birth_day", "birth_year"}
+SCHEMA = ", ".join(f"{c} {'long' if c in LONG else 'string'}" for c in PERSON_COLUMNS)
+
+
+def person(uuid, **given):
+    base = dict.fromkeys(PERSON_COLUMNS) | {
+        "internal_uuid": uuid, "generated_id": f"G-{uuid}", "last_name": "Smith", "first_name": "John", "middle_name": "M", "region_code": "01", "province_code": "0101", "city_code": "010101", "barangay_code": "010101001",
+        "region_name": "R", "province_name": "P", "city_name": "C", "barangay_name": "B", "birth_month": 1, "birth_day": 1, "birth_year": 1990, "birthdate_iso": "1990-01-01", "sex": "M", "record_status": "ACTIVE", "duplicate_status": "CLEAR", "source_type": "LOCAL",
+        "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z",
+    }
+    base |= given
+    for c in ("last_name", "first_name", "middle_name", "extension_name"):
+        if base[f"norm_{c}"] is None and base[c] is not None:
+            base[f"norm_{c}"] = base[c].upper()
+    return tuple(base[c] for c in PERSON_COLUMNS)
+
+
+def people(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_matching(spark):
+    same = people(spark, [person(x) for x in "cab"])
+    assert [r.pair_key for r in matching.ordered(matching.matches(same)).collect()] == ["a|b", "a|c", "b|c"]
+    assert matching.run_totals(same).first() == (3, 3)
+    rows = people(spark, [person("a"), person("b", first_name="Jon"), person("d", record_status="DELETED")])
+    assert matching.run_totals(rows, 100).first() == (1, 0)
+    rows = people(spark, [person("a"), person("d", record_status="DELETED")])
+    assert matching.run_totals(rows, 100, include_deleted=True).first() == (1, 1)
+    apart = people(spark, [person("a", last_name="Alpha", first_name="Bea"), person("b", last_name="Zulu", first_name="Max", birth_year=1980, birthdate_iso="1980-01-01", barangay_code="02")])
+    assert matching.candidate_pairs(matching.comparable(apart)).count() == 0
+    keys = matching.comparable(people(spark, [person("a")])).select(matching.blocking_keys()).first()[0]
+    assert keys == ["B|010101001|1990", "C|010101|J", "C|010101|S", "N|SMI|JOH"]
+    r = matching.matches(people(spark, [person("a"), person("b", birthdate_iso=None, birth_year=None, birth_month=None, birth_day=None, barangay_code="9")]), 1).first()
+    assert (r.birthdate_compare, r.barangay_compare) == (None, 2)
+    assert matching.matches(people(spark, [])).count() == 0
+    for bad in (float("nan"), -1, 101):
+        with pytest.raises(ValueError):
+            matching.threshold_of(bad)
+    assert matching.threshold_of(0) == matching.threshold_of(None) == 90
+
+
+def test_candidates_against_plain_blocks(spark):
+    rng = random.Random(4)
+    rows = [person(f"{i:03d}", last_name=rng.choice(["", "Ab", "Abcd", "Xyz"]), first_name=rng.choice(["Q", "Abe", "Zed"]), city_code=rng.choice(["1", "2", ""]), barangay_code=rng.choice(["7", "8", None]), birth_year=rng.choice([1990, None])) for i in range(120)]
+    fields = matching.comparable(people(spark, rows))
+    keys = {r.internal_uuid: set(r.k) for r in fields.select("internal_uuid", matching.blocking_keys().alias("k")).collect()}
+    want = {(a, b) for a, b in combinations(sorted(keys), 2) if keys[a] & keys[b]}
+    got = [(r.uuid_a, r.uuid_b) for r in matching.candidate_pairs(fields).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    full = matching.scored(matching.with_fields(matching.candidate_pairs(fields), fields)).where("total_score >= 90")
+    assert {r.pair_key for r in full.collect()} == {r.pair_key for r in matching.matches(people(spark, rows)).collect()}
+
+
+def test_numbering_and_pages(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    got = {r.x: r.n for r in ranking.global_row_number(df, [F.desc("x")], "n").collect()}
+    assert got == {x: 1000 - x for x in range(1000)}
+    assert [r.x for r in ranking.page(df, [F.asc("x")], 3, 5).collect()] == [5, 6, 7]
+    assert ranking.page_size(0) == 50 and ranking.page_size(9999) == 500 and ranking.page_size(-1, 25) == 25
+    with pytest.raises(ValueError):
+        ranking.page(df, [F.asc("x")], 1, -1)
+
+
+def test_lookup_join_with_a_hot_key(spark):
+    left = spark.range(900).select(F.when(F.col("id") < 600, 1).when(F.col("id") < 610, None).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.createDataFrame([(1, "hot"), (700, "cold")], "k long, v string")
+    got = skew.lookup_join(left, right, "k", hot_rows=100)
+    assert got.count() == 900 and got.where("v = 'hot'").count() == 600 and got.where("v = 'cold'").count() == 1
+
+
+R, P, C, B = [("01", "Region One")], [("0101", "01", "Alpha"), ("0102", "01", "Beta")], [("010101", "01", "0101", "Santa Cruz City"), ("010102", "01", "0101", "San Jose City"), ("010201", "01", "0102", "San Jose City")], [("010101001", "01", "0101", "010101", "Sto. Niño"), ("010102001", "01", "0101", "010102", "Poblacion"), ("010201001", "01", "0102", "010201", "Poblacion")]
+
+
+def catalog(spark):
+    return geography.chains(spark.createDataFrame(R, "region_code string, region_name string"), spark.createDataFrame(P, "province_code string, region_code string, province_name string"), spark.createDataFrame(C, "city_code string, region_code string, province_code string, city_name string"), spark.createDataFrame(B, "barangay_code string, region_code string, province_code string, city_code string, barangay_name string"))
+
+
+def test_geography(spark):
+    chains = catalog(spark)
+    aliases = geography.region_aliases(spark.createDataFrame([("01", "Region One"), ("02", "Region II (Beta)")], "region_code string, region_name string"))
+    typed = [("01", "0101", "010101", "010101001"), ("Region One", "Alpha Provnce", "Santa Cruz Cty", "Sto Nino"), ("one", "Alpha", "Santa Cruz City", "sto. niño"), ("Region One", "", "San Jose City", "Poblacion"), ("01", "0101", "010201", "010201001"), ("", None, " ", "???"), (None, None, None, None)]
+    rows = spark.createDataFrame(typed, "region string, province string, city_municipality string, barangay string")
+    got = {(r.region, r.province, r.city, r.barangay): r for r in geography.normalize(rows, chains, aliases).collect()}
+    assert len(got) == 7
+    r = got["01", "0101", "010101", "010101001"]
+    assert (r.status, r.match_source, r.confidence) == ("AUTO_APPLIED", "EXACT", 1.0)
+    r = got["Region One", "Alpha Provnce", "Santa Cruz Cty", "Sto Nino"]
+    assert (r.status, r.match_source, r.barangay_name) == ("AUTO_APPLIED", "FUZZY", "Sto. Niño") and r.confidence >= 0.95
+    assert got["one", "Alpha", "Santa Cruz City", "sto. niño"].match_source == "EXACT"
+    assert got["Region One", "", "San Jose City", "Poblacion"].reason == "ambiguous location candidates"
+    assert got["01", "0101", "010201", "010201001"].status == "REVIEW_NEEDED"
+    assert got["", "", "", "???"].reason == got["", "", "", ""].reason == "no location candidate matched"
+    legacy = geography.exact_resolver(rows, chains)
+    errors = {(x.region, x.province, x.city, x.barangay): (x.barangay_code, x.error) for x in legacy.collect()}
+    assert errors["01", "0101", "010101", "010101001"] == ("010101001", None)
+    assert errors["Region One", "", "San Jose City", "Poblacion"] == (None, "city is ambiguous")
+    drift = geography.shadow(geography.normalize(rows.limit(2), chains, aliases), geography.exact_resolver(rows.limit(2), chains)).collect()
+    assert sorted(x.drift_fields for x in drift) == [[], ["apply_state"]]
+    assert {r.alias for r in aliases.where("region_name like '%Beta%'").collect()} >= {"02", "ii", "region ii"}
+    with pytest.raises(ValueError):
+        geography.normalize(rows, chains, aliases, bound=2)
+    with pytest.raises(ValueError):
+        geography.Options(threshold=2)
+
+
+def test_ingest(spark):
+    schema = ", ".join(f"{x}_{y} string" for x in geography.LEVELS for y in ("code", "name"))
+    rows = [("01", "R", "0101", "P", "010101", "C", "01010100" + str(k), f"B{k}") for k in (1, 2, 1)]
+    df = spark.createDataFrame(rows, schema)
+    assert {x: d.count() for x, d in geography.ingest(df).items()} == {"region": 1, "province": 1, "city": 1, "barangay": 2}
+    assert geography.ingest_counts(df).first() == (3, 1, 1, 1, 2, 1)
+    for bad in ([*rows, ("01", "R", "0101", "P", "010101", "Other", "010101009", "B")], [*rows, ("01", "", "0101", "P", "010101", "C", "010101009", "B")], []):
+        with pytest.raises(ValueError):
+            geography.ingest(spark.createDataFrame(bad, schema))
+
+
+def test_records_and_import(spark):
+    store = people(spark, [person("s", contact_no_norm="1"), person("t", source_reference="f#row=1", last_name="Else")])
+    drafts = people(spark, [person("a", contact_no_norm="1"), person("b", last_name="New"), person("c", last_name="New"), person("d", last_name=" "), person("e", last_name="X", source_reference="f#row=1"), person("f", last_name="Y", source_reference="g"), person("g", last_name="Z", source_reference="g"), person("h", last_name="Q", birthdate_iso="1990-02-30")])
+    got = {r.internal_uuid: (r.disposition, r.message) for r in importer.dispositions(drafts, store, [F.col("internal_uuid")]).collect()}
+    assert got["a"] == got["c"] == ("skipped", "exact duplicate") and got["b"][0] == got["f"][0] == "inserted" and got["d"] == ("failed", "last_name is required")
+    assert got["e"] == got["g"] == ("skipped", "source_reference exists") and got["h"][0] == "failed"
+    done = importer.dispositions(drafts.withColumn("one", F.lit(1)), store, [F.col("internal_uuid")])
+    assert importer.counters(done, ["one"]).first() == (1, 8, 2, 4, 2)
+    assert records.exact_duplicates(drafts, store).collect() == [("a", "s")]
+    assert {r.internal_uuid for r in records.duplicate_candidates(drafts, store).collect()} == {"a"}
+    numbered = drafts.withColumn("n", F.ascii("internal_uuid") - 96)
+    stamp = importer.normalization_stamp("v1", "abc")
+    first = importer.commit(numbered, store, "n", "hash", stamp, budget=3)
+    assert first.status == "PARTIAL" and first.rows.count() == 3
+    rest = importer.commit(numbered, store, "n", "hash", stamp, token=first.token)
+    assert rest.status == "RESUMED" and rest.rows.count() == 5
+    with pytest.raises(ValueError):
+        importer.commit(numbered, store, "n", "other", stamp, token=first.token)
+    assert importer.dispositions(drafts.limit(0), store, [F.col("internal_uuid")]).count() == 0
+
+
+def test_ids(spark):
+    taken = spark.createDataFrame([("G-000001",), ("G-000003",), ("IMP-1",), (None,)], "generated_id string")
+    rows = spark.createDataFrame([(1, "IMP-1", "row-1"), (2, "IMP-2", "row-2"), (3, "IMP-2", "row-3"), (4, None, None), (5, "G-000002", "row-5"), (6, " ", "row-6")], "n long, generated_id string, source_reference string")
+    got = {r.n: (r.generated_id, r.source_reference) for r in records.allocate_ids(rows, taken, [F.asc("n")]).collect()}
+    assert got[2] == ("IMP-2", "row-2") and got[5] == ("G-000002", "row-5")
+    assert got[1] == ("G-000004", "row-1;source_generated_id=IMP-1") and got[3] == ("G-000005", "row-3;source_generated_id=IMP-2")
+    assert got[4] == ("G-000006", None) and got[6] == ("G-000007", "row-6")
+
+
+def test_state(spark):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v long, w string")
+    events = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v long, at long")
+    got = {r.k: (r.v, r.w) for r in state.upsert(base, events, "k", [F.desc("at")]).collect()}
+    assert got == {"a": (1, "x"), "b": (4, "y"), "c": (5, None)}
+    more = state.insert_absent(base, spark.createDataFrame([("b", 9, "z"), ("d", 7, "z"), ("d", 8, "z")], base.schema), "k", [F.asc("v")])
+    assert {r.k: r.v for r in more.collect()} == {"a": 1, "b": 2, "d": 7}
+    store = people(spark, [person("a"), person("b", record_status="DELETED", deleted_at="old")])
+    gone = {r.internal_uuid: (r.record_status, r.deleted_at) for r in state.soft_delete(store, spark.createDataFrame([("a",), ("a",), ("b",)], "internal_uuid string"), "now").collect()}
+    assert gone == {"a": ("DELETED", "now"), "b": ("DELETED", "old")}
+    new = {r.internal_uuid: (r.last_name, r.generated_id) for r in state.edited(store, people(spark, [person("a", last_name="Other", generated_id="no")]), ["last_name", "generated_id"], "now").collect()}
+    assert new["a"] == ("Other", "G-a")
+    pairs = spark.createDataFrame([("p", "PENDING"), ("q", "PENDING")], "pair_key string, decision_status string")
+    said = spark.createDataFrame([("p", "DELETE_A", 1), ("q", "DELETE_A", 1), ("q", "RESET", 2)], "pair_key string, decision string, at long")
+    assert {r.pair_key: r.decision_status for r in state.decided(pairs, said, [F.desc("at")]).collect()} == {"p": "RESOLVED", "q": "PENDING"}
+    steps = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (1, "queued", 3)], "job long, state string, at long")
+    assert [r.allowed for r in state.transitions(steps, [("queued", "running")], "job", "state", [F.asc("at")]).orderBy("at").collect()] == [True, True, False]
+    assert state.search(store, "sm_TH").count() == 2 and state.search(store, " ").count() == 2 and state.where_filled(store, record_status="ACTIVE", city_code=" ").count() == 1
+    assert state.where_filled(store, record_status=["ACTIVE", "DELETED"]).count() == 2
+
+
+def test_backup(spark, tmp_path):
+    df = spark.range(5)
+    state.backup(df, f"file://{tmp_path}", "one", "now")
+    assert state.restore(spark, f"file://{tmp_path}", "one").count() == 5
+    spark.range(1).write.mode("append").parquet(f"file://{tmp_path}/one")
+    with pytest.raises(ValueError):
+        state.restore(spark, f"file://{tmp_path}", "one")
+
+
+def test_audit(spark):
+    value = {"file_path": "/a/b/c.csv", "remarks": "secret", "deep": [{"notes": "x", "name": " y "}], "source_reference": "C:\\in\\f.csv#row=1", "n": 3}
+    assert audit.scrub(value) == {"file_path": "c.csv", "remarks": "[redacted]", "deep": [{"notes": "[redacted]", "name": "y"}], "source_reference": "f.csv#row=1", "n": 3}
+    df = spark.createDataFrame([(json.dumps(value),), ("no json",), (None,)], "d string").select(audit.scrubbed_json("d").alias("d"))
+    got = [r.d for r in df.collect()]
+    assert json.loads(got[0]) == audit.scrub(value) and got[1:] == [None, None]
+    assert audit.decode_token(audit.encode_token({"a": 1})) == {"a": 1}
+    for bad in ("!!", "", audit.encode_token({})[:-1] + "é"):
+        with pytest.raises(ValueError):
+            audit.decode_token(bad)
+
+
+def package(rows=1, **change):
+    files = {"manifest.json": json.dumps({"spec_version": "v1", "package_id": "p", "created_at_utc": "t", "source_lgu_name": "l", "source_system_name": "s", "rows_declared": rows, "checksum_algorithm": "sha256"}), "beneficiaries.csv": ",".join(LEGACY_COLUMNS) + "\r\n", "export_meta.json": "{}"} | change
+    files["checksums.txt"] = change.get("checksums.txt") or "\r\n".join(f"{hashlib.sha256(c.encode()).hexdigest()}  {n}" for n, c in files.items() if n in exchange.REQUIRED_ENTRIES)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, c in files.items():
+            z.writestr(n, c)
+    return out.getvalue()
+
+
+def test_packages():
+    p = exchange.open_package(package())
+    exchange.check_rows(p, 1)
+    with pytest.raises(ValueError):
+        exchange.check_rows(p, 2)
+    for bad in ({"../x": "1"}, {"/x": "1"}, {"other.txt": "1"}, {"manifest.json": "{}"}, {"checksums.txt": "abc"}, {"checksums.txt": "0" * 64 + "  beneficiaries.csv"}):
+        with pytest.raises(ValueError):
+            exchange.open_package(package(**bad))
+    assert exchange.open_package(package(**{"README.txt": "x", "attachments/a": "y"})).manifest["package_id"] == "p"
+    assert exchange.layout_of(["﻿id ", *PUBLIC_COLUMNS[1:]]) == "public" and exchange.layout_of(LEGACY_COLUMNS) == "legacy"
+    with pytest.raises(ValueError):
+        exchange.layout_of(["id"])
+    assert exchange.gate("a", None) == "new" and exchange.gate("a", "a") == "same"
+    with pytest.raises(ValueError):
+        exchange.gate("a", "b")
+
+
+def test_files(spark, tmp_path):
+    rows = export.export_rows(export.exportable(people(spark, [person("a", last_name="=Cruz, \"x\"\ny", region_name=" "), person("b", duplicate_status="POSSIBLE_DUPLICATE"), person("c", record_status="DELETED"), person("d", record_status="RETAINED", birth_month=None)]))).orderBy("id")
+    path = str(tmp_path / "out" / "list.csv")
+    assert export.write_one_file(rows, path) == 2
+    raw = open(path, "rb").read()
+    assert raw.startswith(b"\xef\xbb\xbfid,last_name") and raw.count(b"\r\n") == 3
+    back = exchange.read_table(spark, f"file://{path}").orderBy("id").collect()
+    assert (back[0].last_name, back[0].region, back[0].month_mm, back[1].month_mm) == ("'=Cruz, \"x\"\ny", "01", "01", None)
+    records_ = exchange.read_records(spark, f"file://{path}").orderBy("line_no").collect()
+    assert [r.source_reference for r in records_] == ["list.csv#row=000001", "list.csv#row=000002"]
+    assert exchange.fingerprints(spark, f"file://{path}").first().checksum == hashlib.sha256(raw).hexdigest()
+    export.write_many_files(rows, f"file://{tmp_path}/many")
+    assert exchange.read_table(spark, f"file://{tmp_path}/many", "public").count() == 2
+
+
+def test_dimension_file(spark, tmp_path):
+    header = [f"h{i}" for i in range(35)]
+    cells = [f" v{i} " for i in range(35)]
+    (tmp_path / "d.csv").write_text(",".join(header) + "\n" + ",".join(cells) + "\n")
+    row = exchange.read_dimension(spark, f"file://{tmp_path}/d.csv", header).first()
+    assert row.barangay_code == "v21" and row.region_name == "v29"
+    with pytest.raises(ValueError):
+        exchange.read_dimension(spark, f"file://{tmp_path}/d.csv", header[1:])
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    seen = []
+    stream = ingest.file_stream(spark, f"file://{tmp_path}/in", ["x", "y"])
+    ingest.run_batches(stream, lambda df, n: seen.append((n, df.count())), f"file://{tmp_path}/cp").awaitTermination()
+    (tmp_path / "in" / "b.csv").write_text("x,y\n5,6\n")
+    ingest.run_batches(ingest.file_stream(spark, f"file://{tmp_path}/in", ["x", "y"]), lambda df, n: seen.append((n, df.count())), f"file://{tmp_path}/cp").awaitTermination()
+    assert seen == [(0, 2), (1, 1)]
