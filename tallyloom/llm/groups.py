@@ -86,9 +86,12 @@ def connected_groups(edges: DataFrame, beta: float = 0.5, rounds: int = 4, max_l
     """(node, root): one row per vertex of edges(u, v), root being one vertex of its component (not the smallest).
 
     ``beta`` is the rate of the shifts: about ``beta`` of the edges run between clusters and go on to the next level.
-    ``rounds`` bounds a shift and with it a cluster's radius; any bound gives right components. An empty table gives
+    ``rounds`` bounds a shift and with it a cluster's radius; any bound of 2 or more gives right components (within one
+    round nothing starts a whole hop later than its neighbour, so nothing would be captured). An empty table gives
     an empty one; repeated edges and loops are harmless; a null end is not allowed.
     """
+    if rounds < 2 or beta <= 0:
+        raise ValueError("rounds must be 2 or more and beta positive")
     empty = edges.select(F.col("u").alias("v"), F.col("u").alias("c")).limit(0)
     loops = edges.where("u = v").select(F.col("u").alias("node"))
     current, maps = durable(edges.where("u <> v"), "edges-0"), []

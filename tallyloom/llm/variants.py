@@ -21,6 +21,8 @@ from .persons import Name, births_agree, forms, one_person, parse_birth
 NAMES = ["norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name"]
 #: A word is common if more than this share of the records has it; there are few such words at any size.
 COMMON_SHARE = 1 / 2000
+#: A word of fewer records is common in no table, however small; it may be one person's, or a typing error.
+COMMON_LEAST = 10
 
 
 def attributes() -> list[Column]:
@@ -60,7 +62,7 @@ def exploded_forms(classes: DataFrame) -> DataFrame:
 def common_words(formed: DataFrame, share: float = COMMON_SHARE) -> tuple[dict[str, int], int]:
     """Count of each form that more than a share of all records has (at most forms-per-record / share of them), and the records."""
     n = formed.count()
-    rows = formed.select(F.explode("forms").alias("form")).groupBy("form").count().where(F.col("count") > n * share).collect()
+    rows = formed.select(F.explode("forms").alias("form")).groupBy("form").count().where((F.col("count") > n * share) & (F.col("count") >= COMMON_LEAST)).collect()
     return {r["form"]: r["count"] for r in rows}, n
 
 

@@ -1,6 +1,7 @@
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm.groups import connected_groups, match_groups, uuid_key, uuid_text
@@ -51,8 +52,10 @@ def test_nothing_to_link(spark):
 
 
 def test_any_rounds_and_rate(spark):
-    chain = spark.range(60).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("a"), F.concat(F.lit("n"), F.lpad((F.col("id") + 1).cast("string"), 3, "0")).alias("b")).select(uuid_key(F.col("a")).alias("u"), uuid_key(F.col("b")).alias("v"))
-    for beta, rounds in ((0.2, 8), (2.0, 1)):
+    chain = spark.range(20).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("a"), F.concat(F.lit("n"), F.lpad((F.col("id") + 1).cast("string"), 3, "0")).alias("b")).select(uuid_key(F.col("a")).alias("u"), uuid_key(F.col("b")).alias("v"))
+    with pytest.raises(ValueError):
+        connected_groups(chain, 0.5, 1)
+    for beta, rounds in ((0.3, 6), (1.0, 2)):
         found = connected_groups(chain, beta, rounds)
-        assert found.count() == 61 and found.select("root").distinct().count() == 1
-        assert found.select(uuid_text(F.col("node")).alias("n")).distinct().count() == 61
+        assert found.count() == 21 and found.select("root").distinct().count() == 1
+        assert found.select(uuid_text(F.col("node")).alias("n")).distinct().count() == 21
