@@ -138,9 +138,9 @@ def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options:
     # Names repeat, so each distinct pair of keys is scored once and joined back.
     scores = counted.where(~exact)
     for x in LEVELS:
-        pairs = kept.where(filled[x]).select(F.col(f"t_{x}").alias(f"a_{x}"), F.lower(F.col(f"{x}_name")).alias(f"b_{x}")).distinct().repartition(64)
+        pairs = kept.where(filled[x]).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"n_{x}").alias(f"b_{x}")).distinct().repartition(64)
         pairs = durable(pairs.withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}"))), "scores")
-        scores = scores.join(pairs, (F.col(f"t_{x}") == F.col(f"a_{x}")) & (F.lower(F.col(f"{x}_name")) == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
+        scores = scores.join(pairs, (F.col(f"k_{x}") == F.col(f"a_{x}")) & (F.col(f"n_{x}") == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
     parts = sum((F.when(filled[x], 1).otherwise(0) for x in LEVELS), F.lit(0))
     mean = sum((F.when(filled[x], F.coalesce(F.col(f"s_{x}"), F.lit(0.0))).otherwise(0.0) for x in LEVELS), F.lit(0.0)) / parts
     order = Window.partitionBy(*LEVELS).orderBy(F.desc("score"), F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS)))

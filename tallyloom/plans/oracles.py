@@ -128,13 +128,13 @@ def _normalize() -> str:
     names = ", ".join(f"{location_key(x + '_name')} n_{x}" for x in levels)
     vector = " + ".join(f"{w} * {_flag(x)}::int" for w, x in zip((8, 4, 2, 1), levels))
     by = ", ".join(levels)
-    pairs = " union ".join(f"select lower({'asked' if x == 'region' else x}) a, lower({x}_name) b from toscore where k_{x} <> ''" for x in levels)
+    pairs = " union ".join(f"select k_{x} a, n_{x} b from toscore where k_{x} <> ''" for x in levels)
 
     def score(x: str) -> str:
-        a, b = f"lower({'asked' if x == 'region' else x})", f"coalesce(lower({x}_name), '')"
+        a, b = f"k_{x}", f"n_{x}"
         return f"case when k_{x} = '' then 0.0::double when {a} = '' or {b} = '' then 0.0::double when {a} = {b} then 1.0::double else least(greatest(coalesce(s_{x}.w, 0.0::double), 0.0::double), 1.0::double) end"
 
-    joins = " ".join(f"left join jw s_{x} on s_{x}.a = lower({'asked' if x == 'region' else x}) and s_{x}.b = lower({x}_name)" for x in levels)
+    joins = " ".join(f"left join jw s_{x} on s_{x}.a = k_{x} and s_{x}.b = n_{x}" for x in levels)
     filled = " + ".join(f"(k_{x} <> '')::int" for x in levels)
     order = "concat_ws('|', coalesce(region_code, ''), coalesce(province_code, ''), coalesce(city_code, ''), coalesce(barangay_code, ''))"
     return f"""
