@@ -63,7 +63,8 @@ def _plain(c: str) -> str:
     elif unicodedata.category(c) in ("Cf", "Cc") or c in "͏ᅟᅠ឴឵" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or 0x180B <= ord(c) <= 0x180F:
         out = ""
     else:
-        tag, _, codes = unicodedata.decomposition(c).partition(" ")
+        # A look-alike's own compatibility form may have another shape, so the lattice takes it as it is.
+        tag, _, codes = ("", "", "") if c in PROTOTYPE else unicodedata.decomposition(c).partition(" ")
         out = "".join(_plain(chr(int(x, 16))) for x in codes.split()) if tag in _KEPT_TAGS else c
         if out == c and c in SHAPES["Sign"][0]:
             out = PROTOTYPE[c]
@@ -97,20 +98,25 @@ class Scorer:
         shape = "".join(PROTOTYPE.get(c, c) for c in token)
         if shape in self.tokens:
             return self.tokens[shape]
-        # state: script -> (changes of script, -score, rank of scripts, text)
-        states = {}
-        for i, p in enumerate(shape):
-            options = ALTERNATIVES.get(p) or {script_of(p): p}
-            following = {}
+        # state: script -> (changes of script, -score, rank of scripts); back[i] has the script before each at place i.
+        choices = [ALTERNATIVES.get(p) or {script_of(p): p} for p in shape]
+        rank = {s: SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS) for options in choices for s in options}
+        states = {s: (0, -self.score("", c), rank[s]) for s, c in choices[0].items()}
+        back: list[dict[str, str]] = []
+        for before, options in zip(choices, choices[1:]):
+            following, came = {}, {}
             for s, c in options.items():
-                rank = SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS)
-                if not i:
-                    following[s] = (0, -self.score("", c), rank, c)
-                else:
-                    following[s] = min((n + (s != t), cost - self.score(text[-1], c), r + rank, text + c) for t, (n, cost, r, text) in states.items())
+                *state, _, came[s] = min((n + (s != t), cost - self.score(before[t], c), r + rank[s], rank[t], t) for t, (n, cost, r) in states.items())
+                following[s] = tuple(state)
             states = following
-        best = min((n, cost - self.score(text[-1], ""), r, text) for n, cost, r, text in states.values())[3]
-        if len(self.tokens) < 200_000:  # a memo, no limit on tokens
+            back.append(came)
+        last = choices[-1]
+        at = min((n, cost - self.score(last[s], ""), r, rank[s], s) for s, (n, cost, r) in states.items())[4]
+        path = [at]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        best = "".join(options[s] for options, s in zip(choices, reversed(path)))
+        if len(shape) <= 64 and len(self.tokens) < 200_000:  # a memo, no limit on tokens
             self.tokens[shape] = best
         return best
 
