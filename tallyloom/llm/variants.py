@@ -71,9 +71,10 @@ def rarity(shared: set[str], counts: dict[str, int], n: int, share: float = COMM
     return sum(-math.log(counts[f] / n) if f in counts else -math.log(share) for f in shared)
 
 
-def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity: float = 3.0, other_names_only: bool = True) -> DataFrame:
+def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity: float = 0.0, other_names_only: bool = True) -> DataFrame:
     """(uuid_a, uuid_b, rarity), uuid_a < uuid_b: pairs of records of one person, by default those with differently typed names.
 
+    Rarity ranks pairs; unless ``min_rarity`` is set, none that the exact check accepts is left out for a common name.
     Null and empty are equal in every field. Records without two of birth date, contact and place, or without any
     name, join nothing. Repeated ids count as records; a null id is dropped. An empty table gives no rows.
     """

@@ -60,6 +60,14 @@ def test_name_variants(spark):
     assert name_variants(people(spark, [])).count() == 0
 
 
+def test_variants_that_share_a_common_word_only(spark):
+    u = ids(42, 8)
+    rows = [(u[i], f"FAMILY{'ABCDEFGH'[i % 8]}{'JKLMN'[i // 8]}", "MARIA", None, None, f"19{40 + i}-03-04", f"0918{i:07d}", f"02020200{i:02d}", "F") for i in range(40)]
+    rows += [(u[40], "VICASRESMA", "ROSARIO MARIA", None, None, *B), (u[41], "VICASRSMA", "MARIA", None, None, *B)]
+    got = name_variants(people(spark, rows)).collect()
+    assert [(r.uuid_a, r.uuid_b) for r in got] == [(u[40], u[41])] and got[0].rarity < 0.1
+
+
 def test_bloom_and_winnowing():
     rng = random.Random(5)
     import numpy as np
