@@ -2,7 +2,9 @@
 
 Method: MinHash candidate blocking over the attributes, features of each pair's agreement, a logistic classifier
 trained on weak labels, and probabilities calibrated on labels held out. Each view joins two attributes to one string;
-its MinHash over q-grams is the same for equal strings and likely the same for slightly different ones.
+its MinHash over q-grams is the same for equal strings, but rarely for different ones: with ten values a band, one
+changed digit leaves about one pair in ten in a block. Records with one attribute equal and another one mistyped meet
+by further keys, of the equal attribute and the unharmed part of the other (persons.near_keys).
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .persons import Name, births_agree, compare_names, forms, parse_birth
+from .persons import Name, births_agree, births_near, compare_names, contacts_near, forms, near_keys, parse_birth
 from .variants import COMMON_LEAST, COMMON_SHARE, FIELDS, NAMES, attributes, rarity
 
 VIEWS = (("birth", "place"), ("birth", "contact"), ("contact", "place"))
-FEATURES = ("words", "typing errors", "initials", "contradiction", "rarity", "birth equal", "birth close", "birth far", "contact equal", "contact close", "place equal", "city equal", "sex differs", "weak name", "agreements")
+FEATURES = ("words", "typing errors", "initials", "contradiction", "rarity", "birth equal", "birth close", "birth far", "contact equal", "contact close", "place equal", "city equal", "sex differs", "weak name", "agreements", "near agreement")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +70,7 @@ def band_keys(texts: list[str], view: int, blocking: Blocking) -> np.ndarray:
 
 
 def blocks(records: DataFrame, blocking: Blocking) -> DataFrame:
-    """(id, k): the block keys of each record's complete views."""
+    """(id, k): the block keys of each record's complete views, and of its parts that a typing error leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,28 +82,38 @@ def blocks(records: DataFrame, blocking: Blocking) -> DataFrame:
                     keys = band_keys([f"{at[a][i]}|{at[b][i]}" for i in full], v, blocking).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[full], blocking.bands)), pa.array(keys.ravel())], names=["id", "k"])
 
-    return records.select("id", "birth", "contact", "place").mapInArrow(run, "id long, k long")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            keys = [near_keys(Name(*r[:4]).lead, *r[4:]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
+
+    near = records.select("id", *FIELDS[:7]).mapInArrow(parts, "id long, keys array<string>").select("id", F.explode("keys").alias("key"))
+    views = records.select("id", "birth", "contact", "place").mapInArrow(run, "id long, k long")
+    return views.unionByName(near.select("id", F.xxhash64("key").alias("k")))
 
 
 def pair_features(row: tuple, counts: dict[str, int], n: int) -> list[float]:
     """The features of a pair; row holds the 8 fields of one record, then of the other."""
     a, b = Name(*row[:4]), Name(*row[8:12])
     same, typo, initial, contradiction = compare_names(a, b, counts.keys())
-    birth = 2 if row[4] and row[4] == row[12] else births_agree(parse_birth(row[4]), parse_birth(row[12]))
+    births = parse_birth(row[4]), parse_birth(row[12])
+    birth = 2 if row[4] and row[4] == row[12] else births_agree(*births)
     contact, place = bool(row[5]) and row[5] == row[13], bool(row[6]) and row[6] == row[14]
     near = bool(row[5] and row[13]) and not contact and sum(map(ne, row[5], row[13])) <= 2
     weak = same + typo < 2 and not (same + typo and initial)
+    equal, close = (birth == 2) + contact + place, births_near(*births) or contacts_near(row[5], row[13])
     return [
         float(min(same, 4)), float(typo), float(initial), float(contradiction), min(rarity({*forms(a)} & {*forms(b)}, counts, n), 30.0) / 10,
         float(birth == 2), float(birth in (1, -1)), float(birth == -2), float(contact), float(near), float(place), float(row[6][:7] == row[14][:7] != ""),
-        float(bool(row[7] and row[15]) and row[7] != row[15]), float(weak), float((birth == 2) + contact + place >= 2),
+        float(bool(row[7] and row[15]) and row[7] != row[15]), float(weak), float(equal >= 2), float(equal == 1 and close and same >= 2),
     ]
 
 
 def weak_label(x: list[float]) -> int:
-    """1: two attributes agree and several words of the name; 0: a contradiction in names, sex or birth, or little in common; -1: no opinion."""
+    """1: two attributes agree, one of them perhaps but for a typing error, and several words of the name; 0: a contradiction in names, sex or birth, or little in common; -1: no opinion."""
     f = dict(zip(FEATURES, x))
-    if f["contradiction"] or f["sex differs"] or f["birth far"] or f["agreements"] == 0 or f["weak name"]:
+    if f["contradiction"] or f["sex differs"] or f["birth far"] or f["agreements"] + f["near agreement"] == 0 or f["weak name"]:
         return 0
     return 1 if f["words"] + f["typing errors"] >= 2 else -1
 
@@ -136,7 +148,7 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier:
     if len(y) < 10 or y.min() == y.max():
         sign = 1.0 if len(y) and y.mean() > 0.5 else -1.0
         agree = np.zeros(len(FEATURES) + 1)
-        agree[FEATURES.index("agreements")], agree[FEATURES.index("contradiction")], agree[FEATURES.index("weak name")], agree[-1] = 8.0, -16.0, -16.0, -5.0 + 2.0 * sign
+        agree[FEATURES.index("agreements")], agree[FEATURES.index("near agreement")], agree[FEATURES.index("contradiction")], agree[FEATURES.index("weak name")], agree[-1] = 8.0, 8.0, -16.0, -16.0, -5.0 + 2.0 * sign
         return Classifier(agree, np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     fit, held = np.arange(len(y)) % 3 != 0, np.arange(len(y)) % 3 == 0
     mean, scale = x[fit].mean(axis=0), np.maximum(x[fit].std(axis=0), 0.05)
@@ -171,7 +183,7 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blockin
 
     The classifier is fitted on a sample of at most about ``sample`` weakly labelled candidate pairs, chosen by hash;
     candidate search and all counts cover all rows. Rows without two of birth date, contact and place have no
-    candidates. Nulls and empty texts are missing values; repeated rows give a pair each; empty tables give none.
+    candidates. A pair needs two of them equal, or one equal and the birth date or contact of another near. Nulls and empty texts are missing values; repeated rows give a pair each; empty tables give none.
     """
     sides = [_side(left, left_id), _side(right, right_id)]
     classes = [durable(s.select("id", *FIELDS).distinct(), "side") for s in sides]

@@ -204,6 +204,34 @@ def births_agree(a: tuple[int, int, int] | None, b: tuple[int, int, int] | None)
     return 1 if off <= 2 else far
 
 
+def births_near(a: tuple[int, int, int] | None, b: tuple[int, int, int] | None) -> bool:
+    """Unlike in a way of typing errors, with the year or the day of the year kept."""
+    return births_agree(a, b) == 1 and (a[0] == b[0] or a[1:] == b[1:])
+
+
+def contacts_near(a: str, b: str) -> bool:
+    """Ten-digit contacts of which one half is equal and the other differs in one or two digits."""
+    if len(a) != 10 or len(b) != 10 or a == b or a[:5] != b[:5] and a[5:] != b[5:]:
+        return False
+    return sum(x != y for x, y in zip(a, b)) <= 2
+
+
+def near_keys(lead: str, birth: str, contact: str, place: str) -> list[str]:
+    """Texts by which records meet that have one attribute equal and another one mistyped: two whose births or contacts are near share one.
+
+    The place, which many share, is joined with the initials of given and family name.
+    """
+    b = parse_birth(birth)
+    of_birth = [f"y{b[0]}", *([f"d{b[1]}.{b[2]}"] if b[1] and b[2] else [])] if b else []
+    of_contact = [f"p{contact[:5]}", f"s{contact[5:]}"] if len(contact) == 10 else []
+    out = [f"c|{contact}|{x}" for x in of_birth] if of_contact else []
+    if b and b[1] and b[2]:
+        out += [f"b|{b[0]}.{b[1]}.{b[2]}|{x}" for x in of_contact]
+    if place and lead:
+        out += [f"a|{place}|{lead}|{x}" for x in of_birth + of_contact]
+    return out
+
+
 def contact_key(digits: str | None) -> str:
     """The last ten digits of a contact; '' for fewer, or all alike."""
     d = re.sub(r"[^0-9]", "", digits or "")[-10:]

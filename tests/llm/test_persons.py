@@ -135,3 +135,30 @@ def test_link(spark):
     got = {(r.internal_uuid, r.partner_row) for r in matches(link(a, b, "internal_uuid", "partner_row")).collect()}
     assert got == want
     assert link(a.limit(0), b, "internal_uuid", "partner_row").count() == 0
+
+
+def test_link_with_one_mistyped_attribute(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVZ", k=9))
+    left, right, want = [], [], set()
+    for i, u in enumerate(ids(240, 6)):
+        person = [word(), word(), word(), None, f"19{rng.randint(40, 99)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"09{rng.randint(10**8, 10**9 - 1)}", f"01010{rng.randint(10000, 99999)}", rng.choice("MF")]
+        left.append((u, *person))
+        other = list(person)
+        if i % 4 == 0:  # birth date equal, place moved, one digit of the contact wrong
+            k = rng.randrange(2, 11)
+            other[6], other[5] = f"02020{rng.randint(10000, 99999)}", other[5][:k] + str((int(other[5][k]) + 3) % 10) + other[5][k + 1 :]
+        elif i % 4 == 1:  # place equal, no contact, one digit of the year wrong
+            other[5], other[4] = None, other[4][:3] + str((int(other[4][3]) + 1) % 10) + other[4][4:]
+        elif i % 4 == 2:  # place equal, birth date missing, one digit of the contact wrong
+            other[4], other[5] = None, other[5][:-1] + str((int(other[5][-1]) + 1) % 10)
+        else:  # someone else there with a near birth date
+            other[:3] = word(), word(), word()
+            other[5], other[4] = None, other[4][:3] + str((int(other[4][3]) + 1) % 10) + other[4][4:]
+        right.append((i, *other))
+        if i % 4 < 3:
+            want.add((u, i))
+    a = spark.createDataFrame(left, PERSON)
+    b = spark.createDataFrame(right, PERSON.replace("internal_uuid string", "partner_row long"))
+    got = {(r.internal_uuid, r.partner_row) for r in matches(link(a, b, "internal_uuid", "partner_row")).collect()}
+    assert got == want
