@@ -242,13 +242,17 @@ def sex_key(sex: str | None) -> str:
     return (sex or "").strip()[:1].upper()
 
 
-def one_person(a: Name, b: Name, birth: int, contact: bool, place: bool, sex: bool, common: set[str] | frozenset[str] = frozenset()) -> bool:
+def one_person(a: Name, b: Name, birth: int, contact: bool, place: bool, sex: bool, common: set[str] | frozenset[str] = frozenset(), near: bool = False) -> bool:
     """Whether two records with these agreements are one person.
 
     At least two of birth date, contact and place must agree, birth dates and sexes must not differ, and the names must
-    not contradict: some words equal (or, with typing errors, two), and the given name among what fits.
+    not contradict: some words equal (or, with typing errors, two), and the given name among what fits. If birth dates
+    or contacts are ``near``, one agreement is enough for names of two equal words.
     """
-    if birth < -1 or not sex or (birth == 2) + contact + place < 2:
+    agreements = (birth == 2) + contact + place
+    if birth < -1 or not sex or agreements < 2 and not (near and agreements):
         return False
     same, typo, initial, contradiction = compare_names(a, b, common)
+    if agreements < 2:
+        return not contradiction and same >= 2
     return not contradiction and (same + typo >= 2 or (same + typo >= 1 and initial >= 1 and birth >= 0))

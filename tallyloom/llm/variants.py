@@ -3,7 +3,8 @@
 Method: every canonical rewriting of a name (nicknames written out, legal forms, no token order, initials) is exploded
 and equi-joined. A rewriting alone is shared by thousands of namesakes, so it is joined together with two agreeing
 attributes of birth date, contact and place. A pair's score is the rarity of its shared rewritings; an exact check of
-names and attributes follows. Records that are equal in all these fields are one class, so copies join nothing.
+names and attributes follows. Records with one attribute equal and the birth date or contact of another mistyped meet
+by the equal one and the unharmed part of the other (persons.near_keys). Records that are equal in all these fields are one class, so copies join nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .persons import Name, births_agree, forms, one_person, parse_birth
+from .persons import Name, births_agree, births_near, contacts_near, forms, near_keys, one_person, parse_birth
 
 NAMES = ["norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name"]
 #: A word is common if more than this share of the records has it; there are few such words at any size.
@@ -59,6 +60,17 @@ def exploded_forms(classes: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "id long, keys array<long>, forms array<string>")
 
 
+def mistyped_keys(classes: DataFrame) -> DataFrame:
+    """(id, k): by which classes meet that have one attribute equal and another one mistyped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [near_keys(Name(*r[:4]).lead, *r[4:]) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
+
+    return classes.select("id", *FIELDS[:7]).mapInArrow(run, "id long, keys array<string>").select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("k"))
+
+
 def common_words(formed: DataFrame, share: float = COMMON_SHARE) -> tuple[dict[str, int], int]:
     """Count of each form that more than a share of all records has (at most forms-per-record / share of them), and the records."""
     n = formed.count()
@@ -83,6 +95,7 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
     formed = durable(exploded_forms(classes), "forms")
     counts, n = common_words(formed)
     rows = formed.select("id", "keys", F.explode("forms").alias("form")).select("id", "form", F.explode("keys").alias("key")).select("id", F.xxhash64("key", "form").alias("k"))
+    rows = rows.unionByName(mistyped_keys(classes))
     pairs = rows.alias("a").join(rows.alias("b"), "k").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ["id", *FIELDS]))
     two = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
@@ -103,8 +116,10 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
             for i, row in enumerate(zip(*columns)):
                 a, b = Name(*row[:4]), Name(*row[7:11])
                 birth_a, birth_b = row[4], row[11]
-                birth = 2 if birth_a and birth_a == birth_b else births_agree(parse_birth(birth_a), parse_birth(birth_b))
-                if one_person(a, b, birth, bool(row[5]) and row[5] == row[12], bool(row[6]) and row[6] == row[13], True, common):
+                births = parse_birth(birth_a), parse_birth(birth_b)
+                birth = 2 if birth_a and birth_a == birth_b else births_agree(*births)
+                near = births_near(*births) or contacts_near(row[5], row[12])
+                if one_person(a, b, birth, bool(row[5]) and row[5] == row[12], bool(row[6]) and row[6] == row[13], True, common, near):
                     score = rarity({*forms(a)} & {*forms(b)}, counts, n)
                     if score >= min_rarity:
                         keep.append(i)

@@ -68,6 +68,14 @@ def test_variants_that_share_a_common_word_only(spark):
     assert [(r.uuid_a, r.uuid_b) for r in got] == [(u[40], u[41])] and got[0].rarity < 0.1
 
 
+def test_variants_with_one_mistyped_attribute(spark):
+    u = ids(4, 12)
+    rows = [(u[0], "CRUZ", "EDUARDO", "LOPEZ", None, *A), (u[1], "CRUZ", "EDDIE", "LOPEZ", None, A[0], "09171234576", "0909090009", "M")]
+    rows += [(u[2], "CRUZ", "EDUARDO", None, None, "1981-01-02", None, A[2], "M"), (u[3], "REYES", "EDUARDO", "LIM", None, "1981-01-02", None, A[2], "M")]
+    got = {(r.uuid_a, r.uuid_b) for r in name_variants(people(spark, rows)).collect()}
+    assert got == {(u[0], u[1]), (u[0], u[2])}
+
+
 def test_bloom_and_winnowing():
     rng = random.Random(5)
     import numpy as np
