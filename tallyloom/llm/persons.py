@@ -205,8 +205,13 @@ def births_agree(a: tuple[int, int, int] | None, b: tuple[int, int, int] | None)
 
 
 def births_near(a: tuple[int, int, int] | None, b: tuple[int, int, int] | None) -> bool:
-    """Unlike in a way of typing errors, with the year or the day of the year kept."""
-    return births_agree(a, b) == 1 and (a[0] == b[0] or a[1:] == b[1:])
+    """Unlike in one digit, or with month and day exchanged; the year or the day of the year is kept."""
+    if births_agree(a, b) != 1 or not (a[0] == b[0] or a[1:] == b[1:]):
+        return False
+    if a[0] == b[0] and a[1:] == b[2:0:-1]:
+        return True
+    x, y = ("%04d%02d%02d" % d for d in (a, b))
+    return sum(p != q for p, q in zip(x, y)) == 1
 
 
 def contacts_near(a: str, b: str) -> bool:

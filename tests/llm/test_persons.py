@@ -4,7 +4,7 @@ import uuid
 
 from tallyloom.llm.history import Bloom, repeated_persons, winnow
 from tallyloom.llm.linkage import FEATURES, band_keys, Blocking, link, matches, train
-from tallyloom.llm.persons import Name, births_agree, compare_names, contact_key, forms, parse_birth
+from tallyloom.llm.persons import Name, births_agree, births_near, compare_names, contact_key, forms, parse_birth
 from tallyloom.llm.variants import name_variants
 
 COLUMNS = ["internal_uuid", "norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name", "birthdate_iso", "contact_no_norm", "barangay_code", "sex"]
@@ -44,6 +44,12 @@ def test_births_and_contacts():
     assert p("") is None and p("1900-01-01") is None and p("soon") is None and contact_key("+63 917-123-4567") == "9171234567" and contact_key("0000000000") == "" and contact_key(None) == ""
 
 
+def test_near_births():
+    near = lambda a, b: births_near(parse_birth(a), parse_birth(b))
+    assert near("1980-01-02", "1981-01-02") and near("1980-01-02", "1980-02-01") and near("1980-01-02", "1980-01-12")
+    assert not near("1995-05-15", "1963-05-15") and not near("2003-08-11", "1971-08-11") and not near("1987-07-21", "1987-08-31") and not near("1980-01-02", "1980-01-02") and not near("", None)
+
+
 def people(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], PERSON + ", id string")
 
