@@ -1,9 +1,10 @@
 """Problem 6: places as people typed them, mapped to the geography tables or reported as unmatched.
 
 Method: a multi-pattern automaton over canonical names and their aliases finds the places that a text mentions, the
-longest mentions that don't overlap winning; values that it leaves open go to token-set similarity. Levels are
-resolved from the region down, each among the children of what was found above, so a barangay is one of the named city.
-The geography is a small table of fixed size, checked against a bound before it is sent to all tasks.
+longest mentions that don't overlap winning; values that it leaves open go to token-set similarity: words that both
+sides have cancel out, and the rest is compared letter by letter. Levels are resolved from the region down, each among
+the children of what was found above, so a barangay is one of the named city. A geography of a checked size is sent to
+all tasks; a larger one reaches them by a shuffle, with equal results.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +37,31 @@ LEVEL_WORDS = {
     "city": {"city", "municipality", "bayan", "lungsod", "of", "ng"},
     "barangay": {"barangay", "no", "number"},
 }
-_FILLERS = {"", "unknown", "n a", "na", "none", "wala", "tba", "to be verified", "no permanent address"}
+# What is typed where nothing is known, words that announce a part of a place, and words glued to a number.
+FILLERS = ("", "unknown", "n a", "na", "none", "wala", "tba", "to be verified", "no permanent address")
+PARTS = ("purok", "sitio", "zone", "block", "blk", "lot", "phase", "street", "st")
+GLUED = ("b", "brgy", "bgy", "brg", "barangay", "pob", "no")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words of one country's place names; another country brings its own.
+
+    parts are words that, with the word or number after them, may stand beside a name without being part of it.
+    """
+
+    abbreviations: dict[str, str] = field(default_factory=lambda: ABBREVIATIONS)
+    level_words: dict[str, set[str]] = field(default_factory=lambda: LEVEL_WORDS)
+    fillers: tuple[str, ...] = FILLERS
+    parts: tuple[str, ...] = PARTS
+    glued: tuple[str, ...] = GLUED
+
+
+DEFAULT = Vocabulary()
 _ROMAN = re.compile(r"^(?=[ivxl])(xl|l?x{0,4})(ix|iv|v?i{0,4})$")
 
 
-def tokens(text: str | None) -> list[str]:
+def tokens(text: str | None, vocabulary: Vocabulary = DEFAULT) -> list[str]:
     """Lower-case words without accents, abbreviations written out, numbers without leading zeros."""
     if not text:
         return []
@@ -47,13 +71,15 @@ def tokens(text: str | None) -> list[str]:
         except UnicodeError:
             pass
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
-    words = re.findall(r"[^\W_]+", re.sub(r"\b(b|brgy|bgy|brg|barangay|pob|no)(?=\d)", r"\1 ", plain))
-    return [w.lstrip("0") or "0" if w.isdigit() and len(w) < 10 else ABBREVIATIONS.get(w, w) for w in words]
+    if vocabulary.glued:
+        plain = re.sub(rf"\b({'|'.join(map(re.escape, vocabulary.glued))})(?=\d)", r"\1 ", plain)
+    words = re.findall(r"[^\W_]+", plain)
+    return [w.lstrip("0") or "0" if w.isdigit() and len(w) < 10 else vocabulary.abbreviations.get(w, w) for w in words]
 
 
-def core(level: str, words: list[str]) -> str:
+def core(level: str, words: list[str], vocabulary: Vocabulary = DEFAULT) -> str:
     """What tells a name from others of its level; the whole if only level words are left."""
-    kept = [w for w in words if w not in LEVEL_WORDS[level]]
+    kept = [w for w in words if w not in vocabulary.level_words[level]]
     if level == "barangay" and len(kept) > 1 and any(w.isdigit() for w in kept):
         kept = [w for w in kept if w != "poblacion"]  # "Barangay 3 (Pob.)"
     return " ".join(dict.fromkeys(kept or words))
@@ -88,23 +114,63 @@ def _numbers(key: str) -> list[str]:
     return [w for w in key.split() if w.isdigit() or roman(w) is not None or len(w) == 1]
 
 
+def _most(longest: int) -> int:
+    return 1 if longest < 6 else 2 if longest < 14 else 3
+
+
 def similarity(a: str, b: str) -> float:
-    """Token-set similarity of two cores, 0 below a share of edits; numbers and numerals must be the same."""
+    """Token-set similarity of two cores, 0 below a share of edits; numbers and numerals must be the same.
+
+    Words that both have cancel out, whatever their order; the rest counts by its edits. Edits of the whole without
+    spaces count where words were joined or cut.
+    """
     if a == b:
         return 1.0
     if _numbers(a) != _numbers(b):
         return 0.0
     x, y = a.replace(" ", ""), b.replace(" ", "")
     longest = max(len(x), len(y))
-    most = 1 if longest < 6 else 2 if longest < 14 else 3
-    d = min(distance(x, y, most), distance("".join(sorted(a.split())), "".join(sorted(b.split())), most))
+    most = _most(longest)
+    v, w = a.split(), b.split()
+    left, right = sorted(set(v) - set(w)), sorted(set(w) - set(v))
+    d = min(distance("".join(left), "".join(right), most), distance(x, y, most))
     return 0.0 if d > most else 0.99 - d / longest
 
 
+class _Scope:
+    """The places of one level among which a text is looked for: their keys, and letter counts that bound edits from below."""
+
+    def __init__(self, keys: dict[str, list[str]], codes: list[str]):
+        self.codes, self.inside = codes, set(codes)
+        self.keys = [(k, c) for c in codes for k in keys[c]]
+        self.known: dict[str, tuple[list[str], float]] = {}
+        self.counts: np.ndarray | None = None
+
+    @staticmethod
+    def _count(keys: list[str]) -> np.ndarray:
+        """Letters of each key by their code modulo 64; equal remainders only make the bound lower."""
+        out = np.zeros((len(keys), 64), np.int16)
+        for i, k in enumerate(keys):
+            codes = np.frombuffer(k.replace(" ", "").encode("utf-32-le"), np.uint32)
+            out[i] = np.minimum(np.bincount(codes & 63, minlength=64), 30_000)
+        return out
+
+    def best(self, key: str) -> tuple[list[str], float]:
+        """The codes whose keys are most similar. A key whose letters differ too much can't be similar and isn't compared."""
+        if self.counts is None:
+            self.counts = self._count([k for k, _ in self.keys])
+        off = self.counts - self._count([key])
+        differ = np.maximum(np.where(off > 0, off, 0).sum(axis=1, dtype=np.int64), np.where(off < 0, -off, 0).sum(axis=1, dtype=np.int64))
+        scored = [(similarity(key, self.keys[i][0]), self.keys[i][1]) for i in np.flatnonzero(differ <= 3).tolist()]
+        score = max((s for s, _ in scored), default=0.0)
+        return ([*dict.fromkeys(c for s, c in scored if s == score)] if score > 0 else []), score
+
+
 class Gazetteer:
     """The four geography tables with their aliases. regions: (code, name); provinces: (code, region, name); cities: (code, region, province, name); barangays: (code, city, name)."""
 
-    def __init__(self, regions: list, provinces: list, cities: list, barangays: list):
+    def __init__(self, regions: list, provinces: list, cities: list, barangays: list, vocabulary: Vocabulary = DEFAULT):
+        self.vocabulary = vocabulary
         self.names: dict[str, str] = {}
         self.parents: dict[str, tuple] = {}
         self.level: dict[str, str] = {}
@@ -138,12 +204,15 @@ class Gazetteer:
                 self.automaton.add_word(f" {key} ", (key, codes))
         if patterns:
             self.automaton.make_automaton()
-        self.memo: dict = {}
+        self.scopes: dict[tuple, _Scope] = {}
+
+    def _core(self, level: str, text: str) -> str:
+        return core(level, tokens(text, self.vocabulary), self.vocabulary)
 
     def _aliases(self, level: str, name: str) -> list[str]:
-        found = [core(level, tokens(name))]
+        found = [self._core(level, name)]
         if level == "region":  # number, number in digits, and what stands in brackets
-            found += [core(level, tokens(part)) for part in re.split(r"[()]", name)]
+            found += [self._core(level, part) for part in re.split(r"[()]", name)]
             found += [str(n) for w in found[0].split()[:1] if (n := roman(w))]
         return [k for k in dict.fromkeys(found) if k]
 
@@ -158,59 +227,71 @@ class Gazetteer:
                 out.append((a, b, codes))
         return sorted((starts[a], starts[b], codes) for a, b, codes in out)
 
-    def match(self, level: str, text: str | None, among: list[str]) -> tuple[list[str], float]:
-        """The codes among some of a level that fit a text best, and how well."""
+    def _scope(self, level: str, parents: tuple, codes: Iterator[str]) -> _Scope:
+        """The places of a level under some parents, made once for each set of parents."""
+        known = self.scopes.get((level, parents))
+        if known is None:
+            if len(self.scopes) > 20_000:
+                self.scopes.clear()
+            known = self.scopes[level, parents] = _Scope(self.keys, list(codes))
+        return known
+
+    def _beside(self, level: str, words: list[str]) -> bool:
+        """Whether words say nothing of a name: level words, and parts of a place with the word after them."""
+        left = [w for w in words if w not in self.vocabulary.level_words[level]]
+        i = 0
+        while i < len(left) and left[i] in self.vocabulary.parts:
+            i += 2
+        return i >= len(left)
+
+    def match(self, level: str, text: str | None, scope: _Scope) -> tuple[list[str], float]:
+        """The codes in a scope that fit a text best, and how well."""
         raw = (text or "").strip()
         if raw.isdigit() and len(raw) >= 9:
-            return ([raw], 1.0) if raw in among else ([], 0.0)
-        memo = (level, raw, among[0] if among else "", len(among), among[-1] if among else "")
-        if memo in self.memo:
-            return self.memo[memo]
-        words = tokens(raw)
-        key, inside = core(level, words), set(among)
-        found = [c for c in self.by_key.get((level, key), ()) if c in inside]
+            return ([raw], 1.0) if raw in scope.inside else ([], 0.0)
+        if raw in scope.known:
+            return scope.known[raw]
+        words = tokens(raw, self.vocabulary)
+        key = core(level, words, self.vocabulary)
+        found = [c for c in self.by_key.get((level, key), ()) if c in scope.inside]
         score = 1.0
-        if not found:  # a mention beside words that say nothing
-            for a, b, codes in self.mentions(words):
-                rest = [w for w in words[:a] + words[b:] if w not in LEVEL_WORDS[level]]
-                if not rest:
-                    found = [c for c in codes if c in inside]
+        if not found:  # the longest mention, beside words that say nothing
+            for a, b, codes in sorted(self.mentions(words), key=lambda m: m[0] - m[1]):
+                found = [c for c in codes if c in scope.inside]
+                if found and self._beside(level, words[:a] + words[b:]):
                     break
+                found = []
         if not found and key:
-            scored = [(max(similarity(key, k) for k in self.keys[c]), c) for c in among if self.keys[c]]
-            score = max((s for s, _ in scored), default=0.0)
-            found = [c for s, c in scored if s == score] if score > 0 else []
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        self.memo[memo] = found, score if found else 0.0
-        return self.memo[memo]
+            found, score = scope.best(key)
+        if len(scope.known) > 200_000:
+            scope.known.clear()
+        scope.known[raw] = found, score if found else 0.0
+        return scope.known[raw]
 
     def _filled(self, text: str | None) -> bool:
-        return " ".join(tokens(text)) not in _FILLERS
+        return " ".join(tokens(text, self.vocabulary)) not in self.vocabulary.fillers
 
     def _chain(self, region: str | None, province: str | None, city: str | None, barangay: str | None, strict: bool = False) -> tuple[list[str], float]:
         """Barangays that fit, and the worse score of city and barangay; strict: a province that fits nothing is not passed over."""
-        cities = self.all["city"]
+        every = self._scope("region", (), self.all["region"]), self._scope("province", (), self.all["province"])
+        regions: tuple | None = None
         if self._filled(region):
-            found, _ = self.match("region", region, self.all["region"])
-            if not found:
+            regions = tuple(self.match("region", region, every[0])[0])
+            if not regions:
                 return [], 0.0
-            cities = [c for r in found for c in self.children["city", r]]
-            provinces = [p for r in found for p in self.children["province", r]]
-        else:
-            provinces = self.all["province"]
+        within: tuple | None = None
         if self._filled(province):
-            found, _ = self.match("province", province, provinces)
-            if found:
-                inside = set(found)
-                cities = [c for c in cities if self.parents[c][1] in inside]
-            elif strict or self.match("province", province, self.all["province"])[1] == 1.0:
+            among = every[1] if regions is None else self._scope("province", regions, (p for r in regions for p in self.children["province", r]))
+            within = tuple(self.match("province", province, among)[0]) or None
+            if within is None and (strict or self.match("province", province, every[1])[1] == 1.0):
                 return [], 0.0  # a province of another region
-        found, city_score = self.match("city", city, cities) if self._filled(city) else (cities, 0.9)
+        inside = self.all["city"] if regions is None else [c for r in regions for c in self.children["city", r]]
+        cities = self._scope("city", (regions, within), (c for c in inside if within is None or self.parents[c][1] in within))
+        found, city_score = self.match("city", city, cities) if self._filled(city) else (cities.codes, 0.9)
         if not self._filled(barangay) or not found:
             return [], 0.0
-        among = [b for c in found for b in self.children["barangay", c]]
-        found, score = self.match("barangay", barangay, among)
+        under = self._scope("barangay", tuple(found), (b for c in found for b in self.children["barangay", c]))
+        found, score = self.match("barangay", barangay, under)
         return found, min(city_score, score)
 
     def resolve(self, region: str | None, province: str | None, city: str | None, barangay: str | None) -> str:
@@ -222,7 +303,7 @@ class Gazetteer:
                 over = province if self._filled(province) or len(parts) < 3 else parts[2]
                 tries = [(region, over, parts[1], parts[0])]
             else:
-                words = tokens(barangay)
+                words = tokens(barangay, self.vocabulary)
                 spans = self.mentions(words)
                 tries += [(region, province, " ".join(words[a:b]), " ".join(words[:a])) for a, b, codes in spans if a and any(self.level[c] == "city" for c in codes)]
         elif self._filled(barangay):
@@ -234,44 +315,81 @@ class Gazetteer:
         return NONE
 
 
-def load_gazetteer(regions: DataFrame, provinces: DataFrame, cities: DataFrame, barangays: DataFrame, bound: int = 500_000) -> Gazetteer:
-    """The geography at the driver; over ``bound`` barangays it is refused rather than sent to all tasks."""
-    parts = [
-        df.select(*columns).limit(bound + 1).collect()
-        for df, columns in ((regions, ["region_code", "region_name"]), (provinces, ["province_code", "region_code", "province_name"]), (cities, ["city_code", "region_code", "province_code", "city_name"]), (barangays, ["barangay_code", "city_code", "barangay_name"]))
-    ]
-    if any(len(p) > bound for p in parts):
-        raise ValueError(f"a geography table has over {bound} rows")
-    return Gazetteer(*[sorted((tuple(r) for r in p), key=lambda r: r[0]) for p in parts])
+GEOGRAPHY = "level string, code string, parent string, above string, name string"
 
 
-def map_places(rows: DataFrame, gazetteer: Gazetteer, columns: tuple[str, str, str, str] = ("region", "province", "city_municipality", "barangay"), out: str = "barangay_code") -> DataFrame:
+def _listed(regions: DataFrame, provinces: DataFrame, cities: DataFrame, barangays: DataFrame) -> DataFrame:
+    """The four tables as one: (level, code, parent, above, name); a city's parents are its region and its province."""
+    none = F.lit(None).cast("string")
+    parts = [
+        regions.select(F.lit("region"), "region_code", none, none, "region_name"), provinces.select(F.lit("province"), "province_code", "region_code", none, "province_name"),
+        cities.select(F.lit("city"), "city_code", "region_code", "province_code", "city_name"), barangays.select(F.lit("barangay"), "barangay_code", "city_code", none, "barangay_name"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.toDF("level", "code", "parent", "above", "name").where("code is not null")
+
+
+def gazetteer_of(rows: list[tuple], vocabulary: Vocabulary = DEFAULT) -> Gazetteer:
+    """A gazetteer from rows (level, code, parent, above, name)."""
+    of: dict[str, list] = {level: [] for level in LEVELS}
+    for level, code, parent, above, name in sorted(rows, key=lambda r: (r[0], r[1])):
+        of[level].append((code, *{"region": (), "province": (parent,), "city": (parent, above), "barangay": (parent,)}[level], name))
+    return Gazetteer(*(of[level] for level in LEVELS), vocabulary)
+
+
+def _resolved(gazetteer: Gazetteer, typed: list[tuple], known: dict) -> tuple[list[str], list[bool]]:
+    codes = []
+    for t in typed:
+        if t not in known:
+            if len(known) > 500_000:  # a memo, no limit on rows
+                known.clear()
+            known[t] = gazetteer.resolve(*t)
+        codes.append(known[t])
+    return codes, [tuple(x or "" for x in t) in gazetteer.exact for t in typed]
+
+
+def map_places(rows: DataFrame, geography: tuple[DataFrame, DataFrame, DataFrame, DataFrame], columns: tuple[str, str, str, str] = ("region", "province", "city_municipality", "barangay"), out: str = "barangay_code", vocabulary: Vocabulary = DEFAULT, bound: int = 500_000, task_rows: int = 200_000) -> DataFrame:
     """rows with the code of the barangay meant (NONE: unmatched) and ``exact``: all four are the tables' names, character by character.
 
-    Null and empty are equal, and name the province of a city without one. What fits several barangays equally well is
-    NONE. Repeated rows get equal results; columns that bear a new name give way.
+    ``geography`` are the tables of regions, provinces, cities and barangays. Up to ``bound`` rows in all they are
+    broadcast. Beyond, they are copied to each group of about ``task_rows`` rows by a shuffle, with the same results:
+    a name may be typed at any level and without its parents, so each task needs them all. Null and empty are equal,
+    and name the province of a city without one. What fits several barangays equally well is NONE. Repeated rows get
+    equal results; columns that bear a new name give way; an empty table gives no rows.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((gazetteer.exact, [[(c, *gazetteer.parents[c], gazetteer.names[c]) for c in gazetteer.all[level]] for level in LEVELS]))
-    made: list = []
+    from pyspark.sql import types as T
+
+    listed = _listed(*geography)
+    source = rows.drop(out, "exact")
+    schema = T.StructType([*source.schema.fields, T.StructField(out, T.StringType()), T.StructField("exact", T.BooleanType())])
+    small = [tuple(r) for r in listed.limit(bound + 1).collect()]
+    made: list[Gazetteer] = []
+    if len(small) > bound:
+        groups = -(-source.count() // task_rows)
+        if not groups:
+            return source.withColumns({out: F.lit(None).cast("string"), "exact": F.lit(None).cast("boolean")})
+        keyed = source.withColumn("__g", F.pmod(F.xxhash64(*columns), F.lit(groups)))
+        copied = listed.withColumn("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(keyed.select("__g").distinct(), "__g", "left_semi")
+
+        def both(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+            plain = lambda x: None if x is None or x != x else x
+            gazetteer = gazetteer_of([tuple(map(plain, r[:5])) for r in table.itertuples(index=False)], vocabulary)
+            typed = [tuple(map(plain, t)) for t in zip(*(frame[c] for c in columns))]
+            codes, same = _resolved(gazetteer, typed, {})
+            return frame.drop(columns="__g").assign(**{out: codes, "exact": same})
+
+        return keyed.groupBy("__g").cogroup(copied.groupBy("__g")).applyInPandas(both, schema)
+    shared = rows.sparkSession.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, parts = shared.value
         if not made:
-            made.append(Gazetteer(*parts))
+            made.append(gazetteer_of(shared.value, vocabulary))
         known: dict = {}
         for batch in batches:
             typed = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)))
-            codes, same = [], []
-            for t in typed:
-                if t not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[t] = made[0].resolve(*t)
-                codes.append(known[t])
-                same.append(tuple(x or "" for x in t) in exact)
+            codes, same = _resolved(made[0], typed, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string()), pa.array(same, pa.bool_())], names=[*batch.schema.names, out, "exact"])
 
-    from pyspark.sql import types as T
-
-    source = rows.drop(out, "exact")
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out, T.StringType()), T.StructField("exact", T.BooleanType())]))
+    return source.mapInArrow(run, schema)

@@ -45,9 +45,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    gazetteer = places.load_gazetteer(*(_table(spark, d, x) for x in ("regions", "provinces", "cities", "barangays")))
-    columns = ("region", "province", "city_municipality", "barangay")
-    return places.map_places(_table(spark, d, "import_rows").select("row_id", *columns), gazetteer)
+    geography = tuple(_table(spark, d, x) for x in ("regions", "provinces", "cities", "barangays"))
+    return places.map_places(_table(spark, d, "import_rows").select("row_id", "region", "province", "city_municipality", "barangay"), geography)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
