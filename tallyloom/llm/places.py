@@ -375,7 +375,7 @@ def map_places(rows: DataFrame, geography: tuple[DataFrame, DataFrame, DataFrame
 
         def both(frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
             plain = lambda x: None if x is None or x != x else x
-            gazetteer = gazetteer_of([tuple(map(plain, r[:5])) for r in table.itertuples(index=False)], vocabulary)
+            gazetteer = gazetteer_of([tuple(map(plain, r)) for r in zip(*(table[c] for c in ("level", "code", "parent", "above", "name")))], vocabulary)
             typed = [tuple(map(plain, t)) for t in zip(*(frame[c] for c in columns))]
             codes, same = _resolved(gazetteer, typed, {})
             return frame.drop(columns="__g").assign(**{out: codes, "exact": same})
