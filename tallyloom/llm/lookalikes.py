@@ -5,6 +5,7 @@ look-alike lattice. A lattice has at every letter all characters of that shape;
 script wins, among those the one with the best character-bigram score in its script, among those Latin first. The
 lattice depends on the token's shapes alone, so two tokens that look alike always get the same form, and tokens of
 different shapes never do. Bigrams are counted over all texts, by script, from letters that stand beside each other.
+Shapes come from a short fixed table and, where the session has it, from the Unicode confusables of Spark's own ICU.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
@@ -37,70 +38,123 @@ SCRIPTS = ("Latn", "Grek", "Cyrl", "Armn")
 #: Compatibility mappings that change no shape; superscripts, fractions, circled and styled forms look different.
 _KEPT_TAGS = {"<wide>", "<narrow>", "<small>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
-PROTOTYPE: dict[str, str] = {}
-ALTERNATIVES: dict[str, dict[str, str]] = {}
-for _script, (_chars, _like) in SHAPES.items():
-    for _c, _p in zip(_chars, _like):
-        if _p not in _SIGNS:
-            PROTOTYPE[_c] = _p
-            if _script not in ("Sign", "Latn"):
-                ALTERNATIVES.setdefault(_p, {"Latn": _p}).setdefault(_script, _c)
-
 _PLAIN = r"\x20-\x7eÀ-ÖØ-öø-İĴ-ľŁ-ňŊ-ž"
 _SPECIAL = re.compile(f"[^{_PLAIN}]")
-_LOOKALIKE = re.compile("[" + "".join(re.escape(c) for c in PROTOTYPE if c not in SHAPES["Sign"][0]) + "]")
 _TOKEN = re.compile(r"[^\W\d_]+")
-_AMBIGUOUS = re.compile(r"(?<![^\W\d_])[" + "".join(sorted(ALTERNATIVES)) + r"]+(?![^\W\d_])")
-_cache: dict[str, str] = {}
-
-
-def _plain(c: str) -> str:
-    """One character without its compatibility form, '' if it is ignorable, a space for any white space."""
-    if c in _cache:
-        return _cache[c]
-    if c.isspace() or c in "\x1c\x1d\x1e\x1f⠀ㅤ":
-        out = " "
-    elif unicodedata.category(c) in ("Cf", "Cc") or c in "͏ᅟᅠ឴឵" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or 0x180B <= ord(c) <= 0x180F:
-        out = ""
-    else:
-        # A look-alike's own compatibility form may have another shape, so the lattice takes it as it is.
-        tag, _, codes = ("", "", "") if c in PROTOTYPE else unicodedata.decomposition(c).partition(" ")
-        out = "".join(_plain(chr(int(x, 16))) for x in codes.split()) if tag in _KEPT_TAGS else c
-        if out == c and c in SHAPES["Sign"][0]:
-            out = PROTOTYPE[c]
-    return _cache.setdefault(c, out)
+_SCRIPT_NAMES = {"LATIN": "Latn", "GREEK": "Grek", "CYRILLIC": "Cyrl", "ARMENIAN": "Armn"}
 
 
 def script_of(c: str) -> str:
-    name = unicodedata.name(c, "")
-    return next((s for s, n in (("Latn", "LATIN"), ("Grek", "GREEK"), ("Cyrl", "CYRILLIC"), ("Armn", "ARMENIAN")) if name.startswith(n)), "Zyyy")
+    """The script of a letter by the first word of its name; Zyyy for signs and what has no name."""
+    if not c.isalpha():
+        return "Zyyy"
+    first = unicodedata.name(c, "Zyyy").partition(" ")[0]
+    return _SCRIPT_NAMES.get(first, first)
+
+
+class Shapes:
+    """The look-alike table: the shape of each character, and the characters of each shape by script.
+
+    ``extra`` adds (character, shape) to the fixed table. Of two letters of one script with one shape only the first
+    counts, as a script tells its own letters apart; further Latin forms of a Latin letter all count.
+    """
+
+    def __init__(self, extra: Iterable[tuple[str, str]] = ()):
+        self.extra = tuple(extra)
+        self.prototype: dict[str, str] = {}
+        self.alternatives: dict[str, dict[str, str]] = {}
+        for script, (chars, like) in SHAPES.items():
+            for c, shape in zip(chars, like):
+                if shape not in _SIGNS:
+                    self._add(c, shape, script)
+        for c, shape in self.extra:
+            script = script_of(c)
+            if c not in self.prototype and (script == "Latn" or script not in self.alternatives.get(shape, {})):
+                self._add(c, shape, script)
+        self.signs = {*SHAPES["Sign"][0]}
+        self.scripts = [*SCRIPTS, *sorted({s for of in self.alternatives.values() for s in of} - {*SCRIPTS})]
+        self.letters = {"", *(c for of in self.alternatives.values() for c in of.values())}
+        charset = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+        self.lookalike = re.compile(charset({*self.prototype} - self.signs))
+        self.choice = re.compile(charset({*self.prototype, *self.alternatives} - self.signs))
+        self.ambiguous = re.compile(r"(?<![^\W\d_])" + charset(self.alternatives) + r"+(?![^\W\d_])")
+        self.cache: dict[str, str] = {}
+
+    def __reduce__(self) -> tuple:
+        return Shapes, (self.extra,)
+
+    def _add(self, c: str, shape: str, script: str) -> None:
+        self.prototype[c] = shape
+        if script not in ("Sign", "Latn"):
+            self.alternatives.setdefault(shape, {"Latn": shape}).setdefault(script, c)
+
+    def plain(self, c: str) -> str:
+        """One character without its compatibility form, '' if it is ignorable, a space for any white space."""
+        if c in self.cache:
+            return self.cache[c]
+        if c.isspace() or c in "\x1c\x1d\x1e\x1f⠀ㅤ":
+            out = " "
+        elif unicodedata.category(c) in ("Cf", "Cc") or c in "͏ᅟᅠ឴឵" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF or 0x180B <= ord(c) <= 0x180F:
+            out = ""
+        else:
+            # A look-alike's own compatibility form may have another shape, so the lattice takes it as it is.
+            tag, _, codes = ("", "", "") if c in self.prototype else unicodedata.decomposition(c).partition(" ")
+            out = "".join(self.plain(chr(int(x, 16))) for x in codes.split()) if tag in _KEPT_TAGS else c
+            if out == c and c in self.signs:
+                out = self.prototype[c]
+        return self.cache.setdefault(c, out)
+
+
+DEFAULT_SHAPES = Shapes()
+
+
+def icu_shapes(spark: SparkSession) -> Shapes:
+    """The fixed table with all cased letters (and Lisu, which has capitals only) that ICU calls confusable with one letter of the alphabet.
+
+    ICU has one class for l, I and 1; capitals go to I and small letters to l. Letters that decompose look different, and
+    of further Latin letters only small capitals of the very letter are taken, as most others differ at a glance. Without
+    ICU in the session's Java classes it is the fixed table alone.
+    """
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:
+        return DEFAULT_SHAPES
+    cased = lambda c: unicodedata.category(c) in ("Lu", "Ll") or unicodedata.name(c, "").startswith("LISU LETTER")
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if cased(c) and not unicodedata.decomposition(c)]
+    found = checker.getSkeleton("\n".join(letters)).split("\n")
+    if len(found) != len(letters):
+        return DEFAULT_SHAPES
+    capital = lambda c: unicodedata.category(c) != "Ll"
+    alike = lambda c, k: len(k) == 1 and k.isascii() and k.isalpha() and (script_of(c) != "Latn" or unicodedata.name(c) == f"LATIN LETTER SMALL CAPITAL {k.upper()}")
+    return Shapes((c, "I" if k == "l" and capital(c) else k) for c, k in zip(letters, found) if alike(c, k))
 
 
 class Scorer:
     """Bigram scores by script. Without counts all bigrams score alike, and Latin wins where it is possible."""
 
-    def __init__(self, counts: dict[tuple[str, str], int] | None = None):
-        self.counts = counts or {}
+    def __init__(self, counts: dict[tuple[str, str], int] | None = None, shapes: Shapes = DEFAULT_SHAPES):
+        self.counts, self.shapes = counts or {}, shapes
         self.total = sum(self.counts.values()) + 1
         self.tokens: dict[str, str] = {}
-        shapes = ["", *ALTERNATIVES]
-        form = lambda p, s: ALTERNATIVES[p].get(s) if p else ""
+        self.alternatives, self.prototype = shapes.alternatives, shapes.prototype
         #: Whether no bigram of look-alike shapes is more frequent in another script than in Latin: then no Latin token can change.
-        self.latin_first = all(
-            self.counts.get((a, b), 0) >= self.counts.get((form(a, s), form(b, s)), 0) for a in shapes for b in shapes for s in SCRIPTS[1:] if (a or b) and form(a, s) is not None and form(b, s) is not None
-        )
+        self.latin_first = all(n <= self.counts.get((self.prototype.get(a, a), self.prototype.get(b, b)), 0) for (a, b), n in self.counts.items() if a in self.prototype or b in self.prototype)
+
+    def __reduce__(self) -> tuple:
+        return Scorer, (self.counts, self.shapes)
 
     def score(self, a: str, b: str) -> float:
         return math.log((self.counts.get((a, b), 0) + 0.5) / self.total)
 
     def token(self, token: str) -> str:
         """The best path through the lattice of a token's shapes; '' stands before and after the token in bigrams."""
-        shape = "".join(PROTOTYPE.get(c, c) for c in token)
+        shape = "".join(self.prototype.get(c, c) for c in token)
         if shape in self.tokens:
             return self.tokens[shape]
         # state: script -> (changes of script, -score, rank of scripts); back[i] has the script before each at place i.
-        choices = [ALTERNATIVES.get(p) or {script_of(p): p} for p in shape]
-        rank = {s: SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS) for options in choices for s in options}
+        choices = [self.alternatives.get(p) or {script_of(p): p} for p in shape]
+        order = self.shapes.scripts
+        rank = {s: order.index(s) if s in order else len(order) for options in choices for s in options}
         states = {s: (0, -self.score("", c), rank[s]) for s, c in choices[0].items()}
         back: list[dict[str, str]] = []
         for before, options in zip(choices, choices[1:]):
@@ -120,12 +174,19 @@ class Scorer:
             self.tokens[shape] = best
         return best
 
+    def _token(self, m: re.Match) -> str:
+        """A token goes through the lattice if any character of it could be another one; a token of plain Latin letters needn't where Latin is first."""
+        t, shapes = m[0], self.shapes
+        if shapes.lookalike.search(t) or (not self.latin_first or _SPECIAL.search(t)) and shapes.choice.search(t):
+            return self.token(t)
+        return t
+
     def canonical(self, text: str) -> str:
         if _SPECIAL.search(text):
-            text = unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: _plain(m[0]), text))
-            if _LOOKALIKE.search(text):
-                return _TOKEN.sub(lambda m: self.token(m[0]) if _LOOKALIKE.search(m[0]) or not self.latin_first else m[0], text)
-        return text if self.latin_first else _AMBIGUOUS.sub(lambda m: self.token(m[0]), text)
+            text = unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: self.shapes.plain(m[0]), text))
+            if _SPECIAL.search(text) or self.shapes.lookalike.search(text):
+                return _TOKEN.sub(self._token, text)
+        return text if self.latin_first else self.shapes.ambiguous.sub(lambda m: self.token(m[0]), text)
 
 
 _LETTER = np.full(256, 52, np.int32)
@@ -153,47 +214,43 @@ def count_bigrams(texts: Iterable[str]) -> Counter:
     return out
 
 
-def bigram_scorer(documents: DataFrame, text: str = "text") -> Scorer:
-    """The scorer of a corpus. The counted bigrams are bounded by the alphabets, so their table, added up by the cluster, may come to the driver."""
+def bigram_scorer(documents: DataFrame, text: str = "text", shapes: Shapes | None = None) -> Scorer:
+    """The scorer of a corpus. Only bigrams of the lattice's letters count, so their table, added up by the cluster, is bounded by the square of the look-alike table whatever the texts."""
+    shapes = icu_shapes(documents.sparkSession) if shapes is None else shapes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             total.update(count_bigrams(x for x in batch.column(0).to_pylist() if x))
+        total = Counter({k: n for k, n in total.items() if k[0] in shapes.letters and k[1] in shapes.letters})
         if total:
             yield pa.RecordBatch.from_pydict({"a": [a for a, _ in total], "b": [b for _, b in total], "n": list(total.values())})
 
     rows = documents.select(F.col(text)).mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return Scorer({(r.a, r.b): r.n for r in rows})
+    return Scorer({(r.a, r.b): r.n for r in rows}, shapes)
 
 
 def canonical_text(documents: DataFrame, scorer: Scorer, text: str = "text", out: str = "canonical") -> DataFrame:
     """documents with the consistent form of a text; null stays null. A column that bears the new name gives way."""
-    counts = scorer.counts
-    made: list[Scorer] = []
 
     @F.pandas_udf("string")
     def form(s):  # noqa: ANN001, ANN202
-        if not made:
-            made.append(Scorer(counts))
-        return s.map(made[0].canonical, na_action="ignore")
+        return s.map(scorer.canonical, na_action="ignore")
 
     return documents.withColumn(out, form(F.col(text)))
 
 
 def look_keys(documents: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, look, raw): 128-bit digests of the consistent form and of the text itself, of every text that isn't null or empty."""
-    counts = scorer.counts
 
     def digest(s: str) -> bytes:
         return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(counts)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             raw = [digest(t) for t in texts]
-            look = [r if (c := own.canonical(t)) == t else digest(c) for t, r in zip(texts, raw)]
+            look = [r if (c := scorer.canonical(t)) == t else digest(c) for t, r in zip(texts, raw)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "look", "raw"])
 
     source = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -4,7 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyloom.llm import leakage, lookalikes, packing
-from tallyloom.llm.lookalikes import ALTERNATIVES, PROTOTYPE, Scorer, canonical_text, count_bigrams, same_look_pairs
+from tallyloom.llm.lookalikes import DEFAULT_SHAPES, Scorer, canonical_text, count_bigrams, icu_shapes, same_look_pairs
+
+ALTERNATIVES, PROTOTYPE = DEFAULT_SHAPES.alternatives, DEFAULT_SHAPES.prototype
 
 DOCS = "doc_id long, text string, raw string, look string"
 
@@ -28,7 +30,7 @@ def test_canonical_column(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text("".join(ALTERNATIVES) + "mnrt z", max_size=25), st.randoms(use_true_random=False))
+@given(st.text("".join(ALTERNATIVES) + "mnrt zЖñΩ", max_size=25), st.randoms(use_true_random=False))
 def test_form_depends_on_shape_only(text, rng):
     other = "".join(rng.choice([c, *(ALTERNATIVES.get(c) or {"": c}).values()]) for c in text)
     counts = count_bigrams(["она сор рос вера " * 9, "case notes on a person"])
@@ -42,6 +44,17 @@ def test_a_script_of_its_own_is_kept():
     assert s.canonical("вода") == "вода" and s.canonical("росу") == "росу" and s.canonical("pocy") == "росу"
 
 
+def test_tokens_that_mix_scripts_and_more_scripts(spark):
+    s = Scorer()
+    assert s.canonical("Жaop") == s.canonical("Жаор") and s.canonical("Жaop x") != s.canonical("Жaor x")
+    shapes = icu_shapes(spark)
+    own = Scorer(shapes=shapes)
+    assert {own.canonical(x) for x in ("ѵery", "very", "ᴠery")} == {"very"} and own.canonical("ꓮtlas") == own.canonical("Ꭺtlas") == "Atlas" and own.canonical("ⲟne") == "one"
+    assert own.canonical("σοφ") != own.canonical("οσφ") and len(shapes.prototype) > len(PROTOTYPE)
+    texts = ["ѵery nice", "very nice", "Ꭺ man", "A man", "Жaop", "Жаор"]
+    assert sorted(tuple(r) for r in same_look_pairs(docs(spark, texts)).collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
 def plain_leaks(items, texts, n):
     s, out = Scorer(), set()
     for d, t in texts:
