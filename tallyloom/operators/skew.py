@@ -10,15 +10,33 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """left joined with right, whose key is unique. No row of either side is dropped to escape skew.
 
     Keys with over ``hot_rows`` left rows are found by an exact, pre-aggregated count; there are at most
-    ``count(left) / hot_rows`` of them, so their right rows are broadcast and their left rows stay where they are.
-    All other rows take the shuffled join. A null key matches nothing and stays in a left join.
+    ``count(left) / hot_rows`` of them, and the runtime broadcasts their right rows if their measured size allows it;
+    else both are spread over salts. All other rows take the shuffled join. A null key matches nothing and stays in a
+    left join.
     """
-    hot = left.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(F.col(key), F.lit(True).alias("__hot"))
-    marked = left.join(F.broadcast(hot), key, "left")
-    few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
-    cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(right, key, how)
-    warm = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(few), key, how)
-    return cold.unionByName(warm)
+    hot = left.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull())
+    split = _salts(hot, key, hot_rows)
+    a = left.join(split, key, "left").withColumn("__salt", F.when(F.col("__n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("__n"))).otherwise(F.lit(0).cast("long"))).drop("__n")
+    b = right.join(split, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__n") - 1, F.lit(0).cast("long"))))).drop("__n")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
+def _salts(counts: DataFrame, key: str, per_task: int) -> DataFrame:
+    """(key, __n): in how many parts each counted key is split."""
+    return counts.select(key, F.ceil(F.col("count") / per_task).cast("long").alias("__n"))
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, by: str, per_task: int = 2_000) -> DataFrame:
+    """All pairs of left and right rows of one block, blocks being of any size.
+
+    A block's pairs are many times its rows, so it is split by its rows, not its bytes: the left rows of a block of over
+    ``per_task`` of them are spread by a hash of column ``by`` over as many parts as needed, and its right rows are
+    copied to each. Other blocks stay whole.
+    """
+    split = _salts(left.groupBy(key).count().where(F.col("count") > per_task), key, per_task)
+    a = left.join(split, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__n", F.lit(1).cast("long")))).drop("__n")
+    b = right.join(split, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__n") - 1, F.lit(0).cast("long"))))).drop("__n")
+    return a.join(b, [key, "__salt"]).drop("__salt")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
