@@ -1,10 +1,11 @@
 """Problem 3: records of one person in two tables without a common key.
 
-Method: MinHash candidate blocking over the attributes, features of each pair's agreement, a logistic classifier
-trained on weak labels, and probabilities calibrated on labels held out. Each view joins two attributes to one string;
-its MinHash over q-grams is the same for equal strings, but rarely for different ones: with ten values a band, one
-changed digit leaves about one pair in ten in a block. Records with one attribute equal and another one mistyped meet
-by further keys, of the equal attribute and the unharmed part of the other (persons.near_keys).
+Method: MinHash candidate blocking across attributes, features of each pair's agreement, a logistic classifier trained
+on weak labels, and probabilities calibrated on labels held out. The MinHash is of the q-grams of the name's words, in
+bands of few values, each joined with the birth date or with the contact: names that differ in a few letters meet if
+one of these is equal. Of two equal attributes any names meet, which is the limit of bands of no value at all. Records
+with one attribute equal and another one mistyped meet by keys of the equal one and the unharmed part of the other
+(persons.near_keys).
 """
 
 from __future__ import annotations
@@ -19,21 +20,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .persons import Name, births_agree, births_near, compare_names, contacts_near, forms, near_keys, parse_birth
-from .variants import COMMON_LEAST, COMMON_SHARE, FIELDS, NAMES, attributes, rarity
+from ..operators.skew import block_join
+from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, compare_names, contacts_near, forms, near_keys, parse_birth
+from .variants import COUNTED_SHARE, FIELDS, NAMES, agreement_keys, attributes, class_id, rarity
 
-VIEWS = (("birth", "place"), ("birth", "contact"), ("contact", "place"))
+#: The attributes with which a band of the name is joined. A place is too common for that.
+ANCHORS = ("birth", "contact")
 FEATURES = ("words", "typing errors", "initials", "contradiction", "rarity", "birth equal", "birth close", "birth far", "contact equal", "contact close", "place equal", "city equal", "sex differs", "weak name", "agreements", "near agreement")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Blocking:
-    """q-gram length, bands per view, and MinHash values per band: more values make a block purer, more bands catch more errors."""
+    """q-gram length, bands, and MinHash values per band: more values make a block purer, more bands catch more errors.
 
-    q: int = 4
-    bands: int = 2
-    rows: int = 10
+    Two names of J equal q-grams among all of them meet with probability 1 - (1 - J ** rows) ** bands.
+    """
+
+    q: int = 3
+    bands: int = 5
+    rows: int = 3
 
 
 def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -46,7 +52,7 @@ def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def band_keys(texts: list[str], view: int, blocking: Blocking) -> np.ndarray:
+def band_keys(texts: list[str], blocking: Blocking) -> np.ndarray:
     """A 64-bit block key of each text and band. Texts of one length are hashed together."""
     out = np.zeros((len(texts), blocking.bands), np.uint64)
     lengths = np.array([len(t) for t in texts])
@@ -58,9 +64,9 @@ def band_keys(texts: list[str], view: int, blocking: Blocking) -> np.ndarray:
             codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32).reshape(len(which), width)
             h = _hashes(codes, blocking.q)
             for band in range(blocking.bands):
-                key = np.full(len(which), view * 1000 + band + 1, np.uint64)
+                key = np.full(len(which), band + 1, np.uint64)
                 for r in range(blocking.rows):
-                    salt = np.uint64((view * 10007 + band * 101 + r + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
+                    salt = np.uint64((band * 101 + r + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
                     m = (h ^ salt) * _MIX
                     m ^= m >> np.uint64(32)
                     key = (key ^ m.min(axis=1)) * _MIX
@@ -69,34 +75,38 @@ def band_keys(texts: list[str], view: int, blocking: Blocking) -> np.ndarray:
     return out
 
 
-def blocks(records: DataFrame, blocking: Blocking) -> DataFrame:
-    """(id, k): the block keys of each record's complete views, and of its parts that a typing error leaves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "birth", "contact", "place")}
-            ids = np.array(at["id"], np.int64)
-            for v, (a, b) in enumerate(VIEWS):
-                full = [i for i, (x, y) in enumerate(zip(at[a], at[b])) if x and y]
-                if full:
-                    keys = band_keys([f"{at[a][i]}|{at[b][i]}" for i in full], v, blocking).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[full], blocking.bands)), pa.array(keys.ravel())], names=["id", "k"])
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
-            keys = [near_keys(Name(*r[:4]).lead, *r[4:]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
+def name_text(name: Name) -> str:
+    """The words of a name in their first formal reading and in alphabetical order, '' without a word."""
+    return " ".join(sorted(min(name.lexicon.formal(w)) for w in name.words))
 
-    near = records.select("id", *FIELDS[:7]).mapInArrow(parts, "id long, keys array<string>").select("id", F.explode("keys").alias("key"))
-    views = records.select("id", "birth", "contact", "place").mapInArrow(run, "id long, k long")
-    return views.unionByName(near.select("id", F.xxhash64("key").alias("k")))
 
+def blocks(records: DataFrame, blocking: Blocking, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(id, k): the block keys of each record: bands of its name with each anchor, its pairs of attributes, and its parts that a typing error leaves."""
 
-def pair_features(row: tuple, counts: dict[str, int], n: int) -> list[float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
+            names = [Name(*r[:4], lexicon) for r in rows]
+            near = [near_keys(n.lead, *r[4:]) for n, r in zip(names, rows)]
+            texts = [name_text(n) for n in names]
+            full = [i for i, t in enumerate(texts) if t]
+            bands: list[list[int]] = [[] for _ in texts]
+            for i, keys in zip(full, band_keys([texts[i] for i in full], blocking).astype(np.int64).tolist()):
+                bands[i] = keys
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array(near, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "birth", "contact", "near", "bands"])
+
+    made = records.select("id", *FIELDS[:7]).mapInArrow(run, "id binary, birth string, contact string, near array<string>, bands array<long>")
+    # All keys of a record come from one pass over it.
+    joined = lambda x: F.when(F.col(x) != "", F.transform("bands", lambda b: F.xxhash64(F.lit(x), F.col(x), b))).otherwise(F.array().cast("array<long>"))
+    of_name = F.concat(*map(joined, ANCHORS))
+    keyed = made.select("id", F.explode(F.concat(of_name, F.transform("near", lambda t: F.xxhash64(t)))).alias("k"))
+    return keyed.unionByName(records.select("id", F.explode(agreement_keys()).alias("k")))
+
+
+def pair_features(row: tuple, counts: dict[str, int], n: int, lexicon: Lexicon = DEFAULT) -> list[float]:
     """The features of a pair; row holds the 8 fields of one record, then of the other."""
-    a, b = Name(*row[:4]), Name(*row[8:12])
-    same, typo, initial, contradiction = compare_names(a, b, counts.keys())
+    a, b = Name(*row[:4], lexicon), Name(*row[8:12], lexicon)
+    same, typo, initial, contradiction = compare_names(a, b)
     births = parse_birth(row[4]), parse_birth(row[12])
     birth = 2 if row[4] and row[4] == row[12] else births_agree(*births)
     contact, place = bool(row[5]) and row[5] == row[13], bool(row[6]) and row[6] == row[14]
@@ -118,45 +128,50 @@ def weak_label(x: list[float]) -> int:
     return 1 if f["words"] + f["typing errors"] >= 2 else -1
 
 
+# What is believed of each feature before any label is seen, as weights of a logistic model, and its constant.
+PRIOR = {"contradiction": -12.0, "birth far": -8.0, "sex differs": -8.0, "weak name": -12.0, "words": 1.0, "agreements": 6.0, "near agreement": 6.0}
+PRIOR_CONSTANT = -3.0
+
+
 class Classifier:
     """Logistic regression with Platt scaling."""
 
-    def __init__(self, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, slope: float = 1.0, shift: float = 0.0):
-        self.weights, self.mean, self.scale, self.slope, self.shift = weights, mean, scale, slope, shift
+    def __init__(self, weights: np.ndarray, slope: float = 1.0, shift: float = 0.0):
+        self.weights, self.slope, self.shift = weights, slope, shift
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]) @ self.weights
+        return np.column_stack([x, np.ones(len(x))]) @ self.weights
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -50, 50)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
+    """The weights of greatest posterior probability under a normal prior around some weights, of precision ``ridge``."""
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
+        gradient = x.T @ (p - y) + ridge * (w - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), gradient)
-        w -= step
+        # A long step from a saturated start overshoots; its direction is kept.
+        w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier:
-    """Fitted on two thirds of the labelled pairs, calibrated on the rest. With one class only, that class is certain."""
-    if len(y) < 10 or y.min() == y.max():
-        sign = 1.0 if len(y) and y.mean() > 0.5 else -1.0
-        agree = np.zeros(len(FEATURES) + 1)
-        agree[FEATURES.index("agreements")], agree[FEATURES.index("near agreement")], agree[FEATURES.index("contradiction")], agree[FEATURES.index("weak name")], agree[-1] = 8.0, 8.0, -16.0, -16.0, -5.0 + 2.0 * sign
-        return Classifier(agree, np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
+def train(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Classifier:
+    """Fitted on two thirds of the labelled pairs, calibrated on the rest, at any number of them.
+
+    Weights and calibration start from a prior (PRIOR; slope 1, shift 0) that labels move as far as they bear out:
+    none leave it as it is, one class or few move it a little.
+    """
     fit, held = np.arange(len(y)) % 3 != 0, np.arange(len(y)) % 3 == 0
-    mean, scale = x[fit].mean(axis=0), np.maximum(x[fit].std(axis=0), 0.05)
-    model = Classifier(_newton(np.column_stack([(x[fit] - mean) / scale, np.ones(fit.sum())]), y[fit], ridge), mean, scale)
-    if 0 < y[held].mean() < 1:
-        slope, shift = _newton(np.column_stack([model.margin(x[held]), np.ones(held.sum())]), y[held], 1e-3)
-        if slope > 0:
-            model.slope, model.shift = float(slope), float(shift)
+    prior = np.array([*(PRIOR.get(f, 0.0) for f in FEATURES), PRIOR_CONSTANT])
+    model = Classifier(_newton(np.column_stack([x[fit], np.ones(fit.sum())]), y[fit], prior, ridge))
+    slope, shift = _newton(np.column_stack([model.margin(x[held]), np.ones(held.sum())]), y[held], np.array([1.0, 0.0]), ridge)
+    if slope > 0:  # a calibration must keep the order of the pairs
+        model.slope, model.shift = float(slope), float(shift)
     return model
 
 
@@ -164,7 +179,7 @@ def _side(df: DataFrame, record: str) -> DataFrame:
     for c in ("norm_middle_name", "norm_extension_name"):
         if c not in df.columns:
             df = df.withColumn(c, F.upper(F.trim(F.col(c.removeprefix("norm_")))))
-    return df.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), *attributes()).withColumn("id", F.xxhash64(*FIELDS))
+    return df.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), *attributes()).withColumn("id", class_id())
 
 
 def _word_counts(sides: list[DataFrame], share: float) -> tuple[dict[str, int], int]:
@@ -174,22 +189,22 @@ def _word_counts(sides: list[DataFrame], share: float) -> tuple[dict[str, int],
         both = both.unionByName(s.select(*NAMES[:3]))
     words = both.select(F.explode(F.array_distinct(F.split(F.upper(F.concat_ws(" ", *NAMES[:3])), r"[^\p{L}\p{Nd}]+"))).alias("w"))
     n = both.count()
-    rows = words.where("length(w) > 2").groupBy("w").count().where((F.col("count") > n * share) & (F.col("count") >= COMMON_LEAST)).collect()
+    rows = words.where("length(w) > 2").groupBy("w").count().where(F.col("count") > n * share).collect()
     return {r["w"]: r["count"] for r in rows}, max(n, 1)
 
 
-def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blocking: Blocking = Blocking(), sample: int = 60_000, least: float = 0.01) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blocking: Blocking = Blocking(), sample: int = 60_000, least: float = 0.01, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(left_id, right_id, confidence): each candidate pair with the calibrated probability, of ``least`` or more, that it is one person.
 
     The classifier is fitted on a sample of at most about ``sample`` weakly labelled candidate pairs, chosen by hash;
     candidate search and all counts cover all rows. Rows without two of birth date, contact and place have no
-    candidates. A pair needs two of them equal, or one equal and the birth date or contact of another near. Nulls and empty texts are missing values; repeated rows give a pair each; empty tables give none.
+    candidates but by their names. A pair is likely with two of them equal, or with one equal and the birth date or contact of another near. Nulls and empty texts are missing values; repeated rows give a pair each; empty tables give none.
     """
     sides = [_side(left, left_id), _side(right, right_id)]
     classes = [durable(s.select("id", *FIELDS).distinct(), "side") for s in sides]
-    counts, n = _word_counts(classes, COMMON_SHARE)
-    keyed = [blocks(c, blocking) for c in classes]
-    pairs = keyed[0].withColumnRenamed("id", "id_a").join(keyed[1].withColumnRenamed("id", "id_b"), "k").select("id_a", "id_b").distinct()
+    counts, n = _word_counts(classes, COUNTED_SHARE)
+    keyed = [durable(blocks(c, blocking, lexicon), "keys") for c in classes]
+    pairs = block_join(keyed[0].withColumnRenamed("id", "id_a"), keyed[1].withColumnRenamed("id", "id_b"), "k", "id_a").select("id_a", "id_b").distinct()
     side = lambda x, df: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ["id", *FIELDS]))
     two = pairs.join(side("a", classes[0]), "id_a").join(side("b", classes[1]), "id_b")
     ordered = two.select("id_a", "id_b", *(f"{c}_{x}" for x in "ab" for c in FIELDS))
@@ -198,10 +213,10 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blockin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            x = [pair_features(row, counts, n) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            x = [pair_features(row, counts, n, lexicon) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["id_a", "id_b", "x"])
 
-    scored = durable(ordered.mapInArrow(run, "id_a long, id_b long, x array<float>"), "features")
+    scored = durable(ordered.mapInArrow(run, "id_a binary, id_b binary, x array<float>"), "features")
     total = scored.count()
     share = min(1.0, sample / max(total, 1))
     chosen = scored.where((F.shiftrightunsigned(F.xxhash64("id_a", "id_b"), 11) / float(1 << 53)) < share).limit(2 * sample).select("x").collect()
@@ -214,7 +229,7 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blockin
             x = batch.column(2).values.to_numpy().reshape(-1, len(FEATURES)) if batch.num_rows else np.empty((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.probability(x.astype(float)))], names=["id_a", "id_b", "confidence"])
 
-    rated = scored.mapInArrow(rate, "id_a long, id_b long, confidence double").where(F.col("confidence") >= least)
+    rated = scored.mapInArrow(rate, "id_a binary, id_b binary, confidence double").where(F.col("confidence") >= least)
     of = lambda x, s, name: s.select(F.col("id").alias(f"id_{x}"), F.col("record").alias(name))
     return rated.join(of("a", sides[0], left_id), "id_a").join(of("b", sides[1], right_id), "id_b").select(left_id, right_id, "confidence")
 

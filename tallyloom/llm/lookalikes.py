@@ -40,6 +40,8 @@ _KEPT_TAGS = {"<wide>", "<narrow>", "<small>", "<noBreak>", "<compat>", "<initia
 
 _PLAIN = r"\x20-\x7eÀ-ÖØ-öø-İĴ-ľŁ-ňŊ-ž"
 _SPECIAL = re.compile(f"[^{_PLAIN}]")
+#: A letter that no plain Latin text has; all letters of the look-alike table but signs are such.
+_FOREIGN = re.compile(f"[^\\W\\d_{_PLAIN}]")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _SCRIPT_NAMES = {"LATIN": "Latn", "GREEK": "Grek", "CYRILLIC": "Cyrl", "ARMENIAN": "Armn"}
 
@@ -177,14 +179,14 @@ class Scorer:
     def _token(self, m: re.Match) -> str:
         """A token goes through the lattice if any character of it could be another one; a token of plain Latin letters needn't where Latin is first."""
         t, shapes = m[0], self.shapes
-        if shapes.lookalike.search(t) or (not self.latin_first or _SPECIAL.search(t)) and shapes.choice.search(t):
+        if shapes.lookalike.search(t) or (not self.latin_first or _FOREIGN.search(t)) and shapes.choice.search(t):
             return self.token(t)
         return t
 
     def canonical(self, text: str) -> str:
         if _SPECIAL.search(text):
             text = unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: self.shapes.plain(m[0]), text))
-            if _SPECIAL.search(text) or self.shapes.lookalike.search(text):
+            if _FOREIGN.search(text):
                 return _TOKEN.sub(self._token, text)
         return text if self.latin_first else self.shapes.ambiguous.sub(lambda m: self.token(m[0]), text)
 

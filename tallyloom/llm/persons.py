@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from .places import distance
@@ -26,26 +27,53 @@ EXTENSIONS = {"JR": "JR", "JUNIOR": "JR", "JNR": "JR", "SR": "SR", "SENIOR": "SR
 LEGAL_FORMS = {"STA": "SANTA", "STO": "SANTO", "THERESA": "TERESA"}
 PARTICLES = {"DE", "LA", "LAS", "LOS", "DEL", "DELA", "DELOS", "D", "Y"}
 
-FORMAL: dict[str, frozenset[str]] = {}
-for _name, _nicks in NICKNAMES.items():
-    for _nick in _nicks.split():
-        FORMAL[_nick] = FORMAL.get(_nick, frozenset()) | {_name}
-
 _LETTERS = re.compile(r"[^\W_]+")
 
 
+class Lexicon:
+    """What a country's names need: nicknames of each given name, spellings of extensions, legal forms of parts, particles.
+
+    All are tables that a caller may load from elsewhere; nothing here depends on the records that are compared.
+    """
+
+    def __init__(self, nicknames: dict[str, str] = NICKNAMES, extensions: dict[str, str] = EXTENSIONS, legal_forms: dict[str, str] = LEGAL_FORMS, particles: Iterable[str] = PARTICLES):
+        self.nicknames, self.extensions, self.legal_forms, self.particles = nicknames, extensions, legal_forms, frozenset(particles)
+        self.full: dict[str, frozenset[str]] = {}
+        for name, nicks in nicknames.items():
+            for nick in nicks.split():
+                self.full[nick] = self.full.get(nick, frozenset()) | {name}
+        #: Given names in their own right: two of them are two names, however alike they are.
+        self.known = frozenset(nicknames) | frozenset(self.full)
+        self.long_particles = tuple(p for p in sorted(self.particles) if len(p) > 4)
+
+    def __reduce__(self) -> tuple:
+        return Lexicon, (self.nicknames, self.extensions, self.legal_forms, self.particles)
+
+    def formal(self, word: str) -> frozenset[str]:
+        """The full names that a word may stand for: itself, or the names of which it is a nickname."""
+        return self.full.get(word, frozenset()) | {word}
+
+    def is_particle(self, word: str) -> bool:
+        """A particle, a long one also with a typing error after its first letter."""
+        return word in self.particles or any(word[:1] == p[0] and distance(word, p, 1) <= 1 for p in self.long_particles)
+
+
+DEFAULT = Lexicon()
+
+
 @lru_cache(200_000)
-def _words(text: str) -> tuple[str, ...]:
+def _words(text: str, lexicon: Lexicon) -> tuple[str, ...]:
     plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).upper()
-    return tuple(LEGAL_FORMS.get(w, w) for w in _LETTERS.findall(plain.replace("'", "")))
+    return tuple(lexicon.legal_forms.get(w, w) for w in _LETTERS.findall(plain.replace("'", "")))
 
 
 class Name:
     """A typed name as a bag of words: full words in their order, initials, and the extension, wherever it was typed."""
 
-    __slots__ = ("words", "initials", "extension", "particles", "lead")
+    __slots__ = ("words", "initials", "extension", "particles", "lead", "lexicon")
 
-    def __init__(self, last: str | None, first: str | None, middle: str | None, extension: str | None):
+    def __init__(self, last: str | None, first: str | None, middle: str | None, extension: str | None, lexicon: Lexicon = DEFAULT):
+        self.lexicon = lexicon
         self.words: list[str] = []
         self.initials: list[str] = []
         self.extension = ""
@@ -53,33 +81,27 @@ class Name:
         lead: list[str] = []
         for k, text in enumerate((first, last, middle, extension)):
             first_here = True
-            for w in _words(text) if text else ():
-                if w in EXTENSIONS:
-                    self.extension = self.extension or EXTENSIONS[w]
+            for w in _words(text, lexicon) if text else ():
+                if w in lexicon.extensions:
+                    self.extension = self.extension or lexicon.extensions[w]
                 elif k == 3:
                     continue
                 elif len(w) == 1:
                     self.initials.append(w)
-                elif w in PARTICLES or w[:1] == "D" and distance(w, "DELOS", 1) <= 1:
+                elif lexicon.is_particle(w):
                     self.particles += w[0]
                     continue
                 elif w not in self.words:
                     self.words.append(w)
                 if k < 2 and first_here:
-                    lead.append(min(formal(w))[0])
+                    lead.append(min(lexicon.formal(w))[0])
                     first_here = False
         if len(lead) < 2:
-            lead = [min(formal(w))[0] for w in self.words[:2]]
+            lead = [min(lexicon.formal(w))[0] for w in self.words[:2]]
         #: Initials of the given and the family name, in the order of the alphabet.
         self.lead = ".".join(sorted(lead))
 
 
-@lru_cache(200_000)
-def formal(word: str) -> frozenset[str]:
-    """The full names that a word may stand for: itself, or the names of which it is a nickname."""
-    return FORMAL.get(word, frozenset()) | {word}
-
-
 def forms(name: Name) -> list[str]:
     """Canonical rewritings of a name, by which its variants meet.
 
@@ -87,7 +109,7 @@ def forms(name: Name) -> list[str]:
     particles left out), or the whole name reduced to the initials of given and family name, which errors inside words
     and missing parts leave alone.
     """
-    out = {f for w in name.words for f in formal(w) if len(f) > 2}
+    out = {f for w in name.words for f in name.lexicon.formal(w) if len(f) > 2}
     if name.lead:
         out.add(f"={name.lead}")
     return sorted(out)
@@ -103,11 +125,13 @@ def _typo(a: str, b: str) -> bool:
     return distance(a, b, most) <= most
 
 
-def compare_names(a: Name, b: Name, common: set[str] | frozenset[str] = frozenset()) -> tuple[int, int, int, bool]:
+def compare_names(a: Name, b: Name) -> tuple[int, int, int, bool]:
     """(words that are equal up to nicknames and joins, words equal up to typing errors, initials that fit, contradiction).
 
-    Two different words that are both common names are no typing error of each other.
+    Two different words that the lexicon knows as names are no typing error of each other.
     """
+    lexicon = a.lexicon
+    formal, full, known = lexicon.formal, lexicon.full, lexicon.known
     x, y = list(a.words), list(b.words)
     same = typo = initial = 0
     for w in list(x):
@@ -127,16 +151,16 @@ def compare_names(a: Name, b: Name, common: set[str] | frozenset[str] = frozense
             joined = {v + u: (v, u) for v in two for u in two if v is not u and abs(len(v) + len(u) - len(w)) < 2}
             parts = joined.get(w) or next((p for j, p in joined.items() if len(w) > 7 and _typo(j, w)), None)
             if not parts and len(w) > 7:
-                parts = [v for v in two if len(v) > 3 and v in w or v in FORMAL and any(len(f) > 3 and f in w for f in FORMAL[v])]
+                parts = [v for v in two if len(v) > 3 and v in w or v in full and any(len(f) > 3 and f in w for f in full[v])]
             if parts:
                 one.remove(w)
                 for v in parts:
                     two.remove(v)
                 same += len(parts)
     for w in list(x):
-        names = FORMAL.get(w)
+        names = full.get(w)
         for v in y:
-            if _typo(w, v) and not (w in common and v in common) or names and any(_typo(f, v) for f in names) or v in FORMAL and any(_typo(w, f) for f in FORMAL[v]):
+            if _typo(w, v) and not (w in known and v in known) or v not in known and names and any(_typo(f, v) for f in names) or w not in known and v in full and any(_typo(w, f) for f in full[v]):
                 x.remove(w)
                 y.remove(v)
                 typo += 1
@@ -247,7 +271,7 @@ def sex_key(sex: str | None) -> str:
     return (sex or "").strip()[:1].upper()
 
 
-def one_person(a: Name, b: Name, birth: int, contact: bool, place: bool, sex: bool, common: set[str] | frozenset[str] = frozenset(), near: bool = False) -> bool:
+def one_person(a: Name, b: Name, birth: int, contact: bool, place: bool, sex: bool, near: bool = False) -> bool:
     """Whether two records with these agreements are one person.
 
     At least two of birth date, contact and place must agree, birth dates and sexes must not differ, and the names must
@@ -257,7 +281,7 @@ def one_person(a: Name, b: Name, birth: int, contact: bool, place: bool, sex: bo
     agreements = (birth == 2) + contact + place
     if birth < -1 or not sex or agreements < 2 and not (near and agreements):
         return False
-    same, typo, initial, contradiction = compare_names(a, b, common)
+    same, typo, initial, contradiction = compare_names(a, b)
     if agreements < 2:
         return not contradiction and same >= 2
     return not contradiction and (same + typo >= 2 or (same + typo >= 1 and initial >= 1 and birth >= 0))

@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .persons import Name, births_agree, births_near, contacts_near, forms, near_keys, one_person, parse_birth
+from ..operators.skew import block_join
+from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, contacts_near, forms, near_keys, one_person, parse_birth
 
 NAMES = ["norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name"]
-#: A word is common if more than this share of the records has it; there are few such words at any size.
-COMMON_SHARE = 1 / 2000
-#: A word of fewer records is common in no table, however small; it may be one person's, or a typing error.
-COMMON_LEAST = 10
+#: The rarity of a form is counted if more than this share of the records has it; there are few such forms at any size, all others weigh alike.
+COUNTED_SHARE = 1 / 2000
 
 
 def attributes() -> list[Column]:
@@ -42,61 +41,68 @@ def attributes() -> list[Column]:
 FIELDS = [*NAMES, "birth", "contact", "place", "sex"]
 
 
+def class_id() -> Column:
+    """128 bits of the compared fields: records that are equal in all of them are one class."""
+    fields = F.to_json(F.array(*FIELDS))
+    return F.unhex(F.md5(fields))
+
+
 def agreement_keys() -> Column:
     """Hashes of the three pairs of attributes, without those of which one is missing."""
     pair = lambda n, a, b: F.when((F.col(a) != "") & (F.col(b) != ""), F.xxhash64(F.lit(n), a, b))
     return F.array_compact(F.array(pair(1, "birth", "place"), pair(2, "birth", "contact"), pair(3, "contact", "place")))
 
 
-def exploded_forms(classes: DataFrame) -> DataFrame:
+def exploded_forms(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(id, keys, forms) of classes with an agreement key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([forms(Name(*n)) for n in names], pa.list_(pa.string()))], names=["id", "keys", "forms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([forms(Name(*n, lexicon)) for n in names], pa.list_(pa.string()))], names=["id", "keys", "forms"])
 
     keyed = classes.select("id", agreement_keys().alias("keys"), *NAMES).where(F.size("keys") > 0)
-    return keyed.mapInArrow(run, "id long, keys array<long>, forms array<string>")
+    return keyed.mapInArrow(run, "id binary, keys array<long>, forms array<string>")
 
 
-def mistyped_keys(classes: DataFrame) -> DataFrame:
+def mistyped_keys(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(id, k): by which classes meet that have one attribute equal and another one mistyped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [near_keys(Name(*r[:4]).lead, *r[4:]) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            keys = [near_keys(Name(*r[:4], lexicon).lead, *r[4:]) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
 
-    return classes.select("id", *FIELDS[:7]).mapInArrow(run, "id long, keys array<string>").select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("k"))
+    return classes.select("id", *FIELDS[:7]).mapInArrow(run, "id binary, keys array<string>").select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("k"))
 
 
-def common_words(formed: DataFrame, share: float = COMMON_SHARE) -> tuple[dict[str, int], int]:
+def counted_forms(formed: DataFrame, share: float = COUNTED_SHARE) -> tuple[dict[str, int], int]:
     """Count of each form that more than a share of all records has (at most forms-per-record / share of them), and the records."""
     n = formed.count()
-    rows = formed.select(F.explode("forms").alias("form")).groupBy("form").count().where((F.col("count") > n * share) & (F.col("count") >= COMMON_LEAST)).collect()
+    rows = formed.select(F.explode("forms").alias("form")).groupBy("form").count().where(F.col("count") > n * share).collect()
     return {r["form"]: r["count"] for r in rows}, n
 
 
-def rarity(shared: set[str], counts: dict[str, int], n: int, share: float = COMMON_SHARE) -> float:
+def rarity(shared: set[str], counts: dict[str, int], n: int, share: float = COUNTED_SHARE) -> float:
     """Sum of -log(share of records) over shared forms; a form below the counted share weighs as that share."""
     return sum(-math.log(counts[f] / n) if f in counts else -math.log(share) for f in shared)
 
 
-def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity: float = 0.0, other_names_only: bool = True) -> DataFrame:
+def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity: float = 0.0, other_names_only: bool = True, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(uuid_a, uuid_b, rarity), uuid_a < uuid_b: pairs of records of one person, by default those with differently typed names.
 
     Rarity ranks pairs; unless ``min_rarity`` is set, none that the exact check accepts is left out for a common name.
     Null and empty are equal in every field. Records without two of birth date, contact and place, or without any
     name, join nothing. Repeated ids count as records; a null id is dropped. An empty table gives no rows.
     """
-    base = records.where(F.col(record).isNotNull()).select(F.col(record).alias("uuid"), *attributes()).withColumn("id", F.xxhash64(*FIELDS))
+    base = records.where(F.col(record).isNotNull()).select(F.col(record).alias("uuid"), *attributes()).withColumn("id", class_id())
     classes = durable(base.groupBy("id", *FIELDS).agg(F.count(F.lit(1)).alias("copies")), "classes")
-    formed = durable(exploded_forms(classes), "forms")
-    counts, n = common_words(formed)
+    formed = durable(exploded_forms(classes, lexicon), "forms")
+    counts, n = counted_forms(formed)
     rows = formed.select("id", "keys", F.explode("forms").alias("form")).select("id", "form", F.explode("keys").alias("key")).select("id", F.xxhash64("key", "form").alias("k"))
-    rows = rows.unionByName(mistyped_keys(classes))
-    pairs = rows.alias("a").join(rows.alias("b"), "k").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    rows = rows.unionByName(mistyped_keys(classes, lexicon))
+    rows = durable(rows, "keys")
+    pairs = block_join(rows.withColumnRenamed("id", "id_a"), rows.withColumnRenamed("id", "id_b"), "k", "id_a").where("id_a < id_b").select("id_a", "id_b").distinct()
     side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ["id", *FIELDS]))
     two = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     differ = ~F.lit(True)
@@ -109,17 +115,16 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
-        common = set(counts)
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(f"{c}_{x}")).to_pylist() for x in "ab" for c in FIELDS[:7]]
             keep, scores = [], []
             for i, row in enumerate(zip(*columns)):
-                a, b = Name(*row[:4]), Name(*row[7:11])
+                a, b = Name(*row[:4], lexicon), Name(*row[7:11], lexicon)
                 birth_a, birth_b = row[4], row[11]
                 births = parse_birth(birth_a), parse_birth(birth_b)
                 birth = 2 if birth_a and birth_a == birth_b else births_agree(*births)
                 near = births_near(*births) or contacts_near(row[5], row[12])
-                if one_person(a, b, birth, bool(row[5]) and row[5] == row[12], bool(row[6]) and row[6] == row[13], True, common, near):
+                if one_person(a, b, birth, bool(row[5]) and row[5] == row[12], bool(row[6]) and row[6] == row[13], True, near):
                     score = rarity({*forms(a)} & {*forms(b)}, counts, n)
                     if score >= min_rarity:
                         keep.append(i)
@@ -128,7 +133,7 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(scores, pa.float64())], names=["id_a", "id_b", "rarity"])
 
     ordered = two.select("id_a", "id_b", *(f"{c}_{x}" for x in "ab" for c in FIELDS[:7]))
-    found = durable(ordered.mapInArrow(verify, "id_a long, id_b long, rarity double"), "variants")
+    found = durable(ordered.mapInArrow(verify, "id_a binary, id_b binary, rarity double"), "variants")
     if not other_names_only:  # pairs within a class: its records are equal in all fields, so one of them stands for the others
         same = classes.where("copies > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("rarity"))
         found = found.unionByName(same)

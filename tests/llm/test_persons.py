@@ -115,7 +115,7 @@ def test_repeated_persons(spark):
 
 
 def test_blocks_and_classifier():
-    x, y, z = band_keys(["1980-01-02|0101010001", "1980-01-02|0101010001", "1944-09-17|0909030012"], 0, Blocking())
+    x, y, z = band_keys(["ANA CRUZ", "ANA CRUZ", "EDUARDO LOPEZ"], Blocking())
     assert (x == y).all() and not (x == z).any()
     import numpy as np
 
@@ -125,9 +125,42 @@ def test_blocks_and_classifier():
     model = train(f, label)
     p = model.probability(f)
     assert ((p > 0.5) == (label > 0.5)).mean() > 0.97 and abs(p.mean() - label.mean()) < 0.03
+    # Labels move a prior: none, one class or few of them give sane and ordered probabilities.
+    at = {name: i for i, name in enumerate(FEATURES)}
+    good, bad = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+    good[at["words"]], good[at["agreements"]], bad[at["contradiction"]] = 3, 1, 1
+    for k, y in ((0, label), (1, np.ones(1)), (9, np.zeros(9)), (9, np.ones(9))):
+        p = train(np.tile(good if y[:1].sum() else bad, (k, 1)), y[:k]).probability(np.array([good, bad]))
+        assert p[0] > 0.5 > p[1]
     assert train(f[:0], label[:0]).probability(f).shape == (3000,)
 
 
+def test_minhash_recall_for_one_changed_letter():
+    rng = random.Random(13)
+    letters, n = "ABCDEFGHIJKLMNOPRSTUVZ", 3000
+    names = [" ".join(sorted("".join(rng.choices(letters, k=rng.randint(5, 9))) for _ in range(3))) for _ in range(n)]
+    off = []
+    for t in names:
+        k = rng.choice([i for i, c in enumerate(t) if c != " "])
+        off.append(t[:k] + rng.choice([c for c in letters if c != t[k]]) + t[k + 1 :])
+    a, b = band_keys(names, Blocking()), band_keys(off, Blocking())
+    assert (a == b).any(axis=1).mean() > 0.9 and (a[1:] == b[:-1]).any(axis=1).mean() < 0.01
+
+
+def test_a_slice_gives_the_rows_of_the_whole(spark):
+    rng = random.Random(14)
+    u, given = ids(400, 15), ["MARIO", "MARIA", "ERIC", "ERICA", "JOSE", "ROSE"]
+    rows = []
+    for i in range(0, 400, 2):
+        last, birth, place = "".join(rng.choices("ABCDEFGHIJ", k=8)), f"19{rng.randint(40, 99)}-01-02", f"01010{i:05d}"
+        k = rng.randrange(6)
+        rows += [(u[i], last, given[k], None, None, birth, None, place, None), (u[i + 1], last, given[k ^ rng.randint(0, 1)], "L", None, birth, None, place, None)]
+    whole = {tuple(r)[:2] for r in name_variants(people(spark, rows)).collect()}
+    part = {tuple(r)[:2] for r in name_variants(people(spark, rows[:20])).collect()}
+    kept = {r[0] for r in rows[:20]}
+    assert part == {p for p in whole if p[0] in kept} and whole
+
+
 def test_link(spark):
     rng = random.Random(9)
     letters = "ABCDEFGHIJKLMNOPRSTUVZ"
