@@ -26,17 +26,40 @@ def _salts(counts: DataFrame, key: str, per_task: int) -> DataFrame:
     return counts.select(key, F.ceil(F.col("count") / per_task).cast("long").alias("__n"))
 
 
-def block_join(left: DataFrame, right: DataFrame, key: str, by: str, per_task: int = 2_000) -> DataFrame:
-    """All pairs of left and right rows of one block, blocks being of any size.
+def hot_keys(df: DataFrame, key: str, expected: int, least: int = 2_000) -> DataFrame | None:
+    """Durable (key, __n): keys with more rows than one task should pair, and into how many parts each is split; None if there is none.
 
-    A block's pairs are many times its rows, so it is split by its rows, not its bytes: the left rows of a block of over
-    ``per_task`` of them are spread by a hash of column ``by`` over as many parts as needed, and its right rows are
-    copied to each. Other blocks stay whole.
+    Rows are first counted by hash buckets, which reduces them to a small table within each task; the numbers of full
+    buckets (at most 400,000, mostly none) come to the driver, and only keys of these are counted themselves. A key counts as hot from ``least`` rows, or from a share of 1 / 100,000 of the
+    ``expected`` rows, so there are at most 100,000 of them. The numbers steer the work and never the result.
     """
-    split = _salts(left.groupBy(key).count().where(F.col("count") > per_task), key, per_task)
-    a = left.join(split, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__n", F.lit(1).cast("long")))).drop("__n")
-    b = right.join(split, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__n") - 1, F.lit(0).cast("long"))))).drop("__n")
-    return a.join(b, [key, "__salt"]).drop("__salt")
+    from .durable import durable
+
+    per_task = max(least, expected // 100_000)
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(16, 4 * expected // per_task)))
+    found = df.groupBy(bucket.alias("__b")).count().where(F.col("count") > per_task).select("__b").collect()
+    if not found:
+        return None
+    full = df.sparkSession.createDataFrame(found, "__b long")
+    counts = df.withColumn("__b", bucket).join(full, "__b").where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > per_task)
+    hot = durable(_salts(counts, key, per_task), "hot")
+    return hot if hot.count() else None
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, by: str, expected: int, least: int = 2_000) -> DataFrame:
+    """All pairs of left and right rows of one block (equal keys), blocks being of any size.
+
+    A block's pairs are many times its rows, so it is split by its rows, not its bytes: the left rows of a hot block are
+    spread by a hash of column ``by`` over as many parts as needed, and its right rows are copied to each. Other blocks
+    take a plain shuffled join.
+    """
+    hot = hot_keys(left, key, expected, least)
+    if hot is None:
+        return left.join(right, key)
+    cold = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key)
+    a = left.join(hot, key).withColumn("__salt", F.pmod(F.xxhash64(by), F.col("__n"))).drop("__n")
+    b = right.join(hot, key).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    return cold.unionByName(a.join(b, [key, "__salt"]).drop("__salt"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -264,3 +264,17 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("x,y\n5,6\n")
     ingest.run_batches(ingest.file_stream(spark, f"file://{tmp_path}/in", ["x", "y"]), lambda df, n: seen.append((n, df.count())), f"file://{tmp_path}/cp").awaitTermination()
     assert seen == [(0, 2), (1, 1)]
+
+
+def test_block_join_splits_hot_blocks(spark):
+    rows = [(i, 7 if i % 3 else i % 50) for i in range(900)] + [(1000, None)]
+    left = spark.createDataFrame(rows, "a long, k long")
+    right = spark.createDataFrame([(b, k) for b, k in rows if b % 2], "b long, k long")
+    want = sorted((a, b) for a, k in rows for b, j in rows if b % 2 and k is not None and k == j)
+    for least in (10, 100_000):
+        assert sorted((r.a, r.b) for r in skew.block_join(left, right, "k", "a", 900, least).collect()) == want
+    hot = skew.hot_keys(left, "k", 900, 100).collect()
+    assert [(r["k"], r["__n"]) for r in hot] == [(7, 7)] and skew.hot_keys(left, "k", 900, 1000) is None
+    assert skew.block_join(left.limit(0), right, "k", "a", 0).count() == 0
+    found = skew.lookup_join(left, spark.createDataFrame([(7, "x"), (3, "y"), (99, "z")], "k long, v string"), "k", hot_rows=50).collect()
+    assert len(found) == len(rows) and all(r.v == {7: "x", 3: "y"}.get(r.k) for r in found)
