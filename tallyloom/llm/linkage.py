@@ -2,10 +2,9 @@
 
 Method: MinHash candidate blocking across attributes, features of each pair's agreement, a logistic classifier trained
 on weak labels, and probabilities calibrated on labels held out. The MinHash is of the q-grams of the name's words, in
-bands of few values, each joined with the birth date or with the contact: names that differ in a few letters meet if
-one of these is equal. Of two equal attributes any names meet, which is the limit of bands of no value at all. Records
-with one attribute equal and another one mistyped meet by keys of the equal one and the unharmed part of the other
-(persons.near_keys).
+bands of few values, each joined with the birth date: names that differ in a few letters meet if it is equal. Of two
+equal attributes any names meet, which is the limit of bands of no value at all. Records with one attribute equal and
+another one mistyped meet by keys of the equal one and the unharmed part of the other (persons.near_keys).
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from ..operators.skew import block_join
 from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, compare_names, contacts_near, forms, near_keys, parse_birth
 from .variants import COUNTED_SHARE, FIELDS, NAMES, agreement_keys, attributes, class_id, rarity
 
-#: The attributes with which a band of the name is joined. A place is too common for that.
-ANCHORS = ("birth", "contact")
+#: The attributes with which a band of the name is joined. A place is too common for that, and a contact needs no band.
+ANCHORS = ("birth",)
 FEATURES = ("words", "typing errors", "initials", "contradiction", "rarity", "birth equal", "birth close", "birth far", "contact equal", "contact close", "place equal", "city equal", "sex differs", "weak name", "agreements", "near agreement")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,7 +80,7 @@ def name_text(name: Name) -> str:
 
 
 def blocks(records: DataFrame, blocking: Blocking, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(id, k): the block keys of each record: bands of its name with each anchor, its pairs of attributes, and its parts that a typing error leaves."""
+    """(h, k): the block keys of each record: bands of its name with each anchor, its pairs of attributes, and its parts that a typing error leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,14 +92,14 @@ def blocks(records: DataFrame, blocking: Blocking, lexicon: Lexicon = DEFAULT) -
             bands: list[list[int]] = [[] for _ in texts]
             for i, keys in zip(full, band_keys([texts[i] for i in full], blocking).astype(np.int64).tolist()):
                 bands[i] = keys
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array(near, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "birth", "contact", "near", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(near, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=["h", "birth", "near", "bands"])
 
-    made = records.select("id", *FIELDS[:7]).mapInArrow(run, "id binary, birth string, contact string, near array<string>, bands array<long>")
+    made = records.select("h", *FIELDS[:7]).mapInArrow(run, "h long, birth string, near array<string>, bands array<long>")
     # All keys of a record come from one pass over it.
     joined = lambda x: F.when(F.col(x) != "", F.transform("bands", lambda b: F.xxhash64(F.lit(x), F.col(x), b))).otherwise(F.array().cast("array<long>"))
     of_name = F.concat(*map(joined, ANCHORS))
-    keyed = made.select("id", F.explode(F.concat(of_name, F.transform("near", lambda t: F.xxhash64(t)))).alias("k"))
-    return keyed.unionByName(records.select("id", F.explode(agreement_keys()).alias("k")))
+    keyed = made.select("h", F.explode(F.concat(of_name, F.transform("near", lambda t: F.xxhash64(t)))).alias("k"))
+    return keyed.unionByName(records.select("h", F.explode(agreement_keys()).alias("k")))
 
 
 def pair_features(row: tuple, counts: dict[str, int], n: int, lexicon: Lexicon = DEFAULT) -> list[float]:
@@ -201,12 +200,13 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, blockin
     candidates but by their names. A pair is likely with two of them equal, or with one equal and the birth date or contact of another near. Nulls and empty texts are missing values; repeated rows give a pair each; empty tables give none.
     """
     sides = [_side(left, left_id), _side(right, right_id)]
-    classes = [durable(s.select("id", *FIELDS).distinct(), "side") for s in sides]
+    # Blocks carry 64 bits of a class; where two classes share them, both are compared.
+    classes = [durable(s.select("id", *FIELDS).distinct().withColumn("h", F.xxhash64(*FIELDS)), "side") for s in sides]
     counts, n = _word_counts(classes, COUNTED_SHARE)
-    keyed = [durable(blocks(c, blocking, lexicon), "keys") for c in classes]
-    pairs = block_join(keyed[0].withColumnRenamed("id", "id_a"), keyed[1].withColumnRenamed("id", "id_b"), "k", "id_a").select("id_a", "id_b").distinct()
-    side = lambda x, df: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ["id", *FIELDS]))
-    two = pairs.join(side("a", classes[0]), "id_a").join(side("b", classes[1]), "id_b")
+    keyed = [blocks(c, blocking, lexicon) for c in classes]
+    pairs = block_join(keyed[0].withColumnRenamed("h", "h_a"), keyed[1].withColumnRenamed("h", "h_b"), "k", "h_a", 16 * classes[0].count()).select("h_a", "h_b").distinct()
+    side = lambda x, df: df.select(*(F.col(c).alias(f"{c}_{x}") for c in ["h", "id", *FIELDS]))
+    two = pairs.join(side("a", classes[0]), "h_a").join(side("b", classes[1]), "h_b")
     ordered = two.select("id_a", "id_b", *(f"{c}_{x}" for x in "ab" for c in FIELDS))
     shared = left.sparkSession.sparkContext.broadcast(counts)
 

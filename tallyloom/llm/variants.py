@@ -54,26 +54,26 @@ def agreement_keys() -> Column:
 
 
 def exploded_forms(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(id, keys, forms) of classes with an agreement key."""
+    """(h, keys, forms) of classes with an agreement key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([forms(Name(*n, lexicon)) for n in names], pa.list_(pa.string()))], names=["id", "keys", "forms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([forms(Name(*n, lexicon)) for n in names], pa.list_(pa.string()))], names=["h", "keys", "forms"])
 
-    keyed = classes.select("id", agreement_keys().alias("keys"), *NAMES).where(F.size("keys") > 0)
-    return keyed.mapInArrow(run, "id binary, keys array<long>, forms array<string>")
+    keyed = classes.select("h", agreement_keys().alias("keys"), *NAMES).where(F.size("keys") > 0)
+    return keyed.mapInArrow(run, "h long, keys array<long>, forms array<string>")
 
 
 def mistyped_keys(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(id, k): by which classes meet that have one attribute equal and another one mistyped."""
+    """(h, k): by which classes meet that have one attribute equal and another one mistyped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [near_keys(Name(*r[:4], lexicon).lead, *r[4:]) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["h", "keys"])
 
-    return classes.select("id", *FIELDS[:7]).mapInArrow(run, "id binary, keys array<string>").select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("k"))
+    return classes.select("h", *FIELDS[:7]).mapInArrow(run, "h long, keys array<string>").select("h", F.explode("keys").alias("key")).select("h", F.xxhash64("key").alias("k"))
 
 
 def counted_forms(formed: DataFrame, share: float = COUNTED_SHARE) -> tuple[dict[str, int], int]:
@@ -96,15 +96,15 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
     name, join nothing. Repeated ids count as records; a null id is dropped. An empty table gives no rows.
     """
     base = records.where(F.col(record).isNotNull()).select(F.col(record).alias("uuid"), *attributes()).withColumn("id", class_id())
-    classes = durable(base.groupBy("id", *FIELDS).agg(F.count(F.lit(1)).alias("copies")), "classes")
+    classes = durable(base.groupBy("id", *FIELDS).agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64(*FIELDS)), "classes")
     formed = durable(exploded_forms(classes, lexicon), "forms")
     counts, n = counted_forms(formed)
-    rows = formed.select("id", "keys", F.explode("forms").alias("form")).select("id", "form", F.explode("keys").alias("key")).select("id", F.xxhash64("key", "form").alias("k"))
+    # Blocks carry 64 bits of a class; where two classes share them, both are compared with what they meet.
+    rows = formed.select("h", "keys", F.explode("forms").alias("form")).select("h", "form", F.explode("keys").alias("key")).select("h", F.xxhash64("key", "form").alias("k"))
     rows = rows.unionByName(mistyped_keys(classes, lexicon))
-    rows = durable(rows, "keys")
-    pairs = block_join(rows.withColumnRenamed("id", "id_a"), rows.withColumnRenamed("id", "id_b"), "k", "id_a").where("id_a < id_b").select("id_a", "id_b").distinct()
-    side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ["id", *FIELDS]))
-    two = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    pairs = block_join(rows.withColumnRenamed("h", "h_a"), rows.withColumnRenamed("h", "h_b"), "k", "h_a", 32 * classes.count()).where("h_a < h_b").select("h_a", "h_b").distinct()
+    side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ["h", "id", *FIELDS]))
+    two = pairs.join(side("a"), "h_a").join(side("b"), "h_b")
     differ = ~F.lit(True)
     for c in NAMES:
         differ = differ | (F.col(f"{c}_a") != F.col(f"{c}_b"))

@@ -2,7 +2,9 @@ import itertools
 import random
 import uuid
 
-from tallyloom.llm.history import Bloom, repeated_persons, winnow
+from pyspark.sql import functions as F
+
+from tallyloom.llm.history import Bloom, FingerprintStore, repeated_persons, winnow
 from tallyloom.llm.linkage import FEATURES, band_keys, Blocking, link, matches, train
 from tallyloom.llm.persons import Name, births_agree, births_near, compare_names, contact_key, forms, parse_birth
 from tallyloom.llm.variants import name_variants
@@ -92,6 +94,8 @@ def test_bloom_and_winnowing():
     assert bloom.might_hold(np.array([rng.getrandbits(63) for _ in range(5000)], np.int64)).mean() < 0.02
     a, b, c = winnow(["1980-01-020101010001", "1980-01-020101010001", "x"], 1, 16, 3)
     assert (a == b).all() and len(c) == 1 and not set(a) & set(c)
+    d, e = winnow(["0123456789", "0123456789abcdef"], 1, -2, 1)
+    assert len(d) == len(e) == 3
 
 
 def test_repeated_persons(spark):
@@ -114,6 +118,60 @@ def test_repeated_persons(spark):
     assert sorted((r.uuid_a, r.uuid_b) for r in repeated_persons(people(spark, []), batches).collect()) == sorted(tuple(sorted(x)) for x in ((u[4], u[3]), (u[5], u[3])))
 
 
+def test_store_is_opened_again_and_read_in_part(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVZ", k=9))
+    one = lambda u: (u, word(), word(), word(), None, f"19{rng.randint(40, 99)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"09{rng.randint(10**8, 10**9 - 1)}", f"01010{rng.randint(10000, 99999)}", rng.choice("MF"))
+    u = ids(1010, 22)
+    history, path = [one(x) for x in u[:1000]], f"file://{tmp_path}/store"
+    FingerprintStore(spark, path, partition_rows=100, least_partitions=64).accept(people(spark, history), F.lit(0))
+    again = FingerprintStore(spark, path)
+    assert again.batches == 1 and len(again.segments) == 1 and again.segments[0].fingerprints > 4000
+    # A batch of one known and one new row reads the partitions of its positives only; a new segment takes what is too much for the old one.
+    part = lambda name: {f"{r[0]}" for r in spark.read.parquet(f"{path}/{name}").select("part").distinct().collect()}
+    read: list[int] = []
+    table = FingerprintStore._table
+    FingerprintStore._table = lambda self, name, schema, parts=None: (read.append(len(parts)) if parts is not None else None, table(self, name, schema, parts))[1]
+    try:
+        batch = spark.createDataFrame([(1, 1, u[1000], *history[7][1:]), (1, 2, *one(u[1001]))], "batch_no long, row_no long, " + PERSON)
+        got = [tuple(r) for r in repeated_persons(people(spark, []), batch, store=again).collect()]
+    finally:
+        FingerprintStore._table = table
+    assert got == [tuple(sorted((u[1000], u[7])))]
+    assert max(read) < len(part("fingerprints")) / 4
+    third = FingerprintStore(spark, path)
+    assert third.batches == 2 and third.order == 1
+    batch = spark.createDataFrame([(9, 1, u[1002], *history[7][1:]), (9, 2, *[*batch.collect()[1][2:]])], "batch_no long, row_no long, " + PERSON)
+    got = {tuple(r) for r in repeated_persons(people(spark, []), batch, store=third).collect()}
+    assert (u[7], u[1002]) in got or (u[1002], u[7]) in got
+
+
+def test_coverage_rejects_what_shares_a_part_of_a_run(spark):
+    u = ids(4, 23)
+    history = [(u[0], "CRUZ", "EDUARDO", "LOPEZ", None, A[0], None, "0101010001", "M"), (u[1], "REYES", "ANA", None, None, B[0], B[1], None, "F")]
+    # Born on one day in places of two regions whose other digits are equal: some grams are shared, a whole run isn't.
+    batch = spark.createDataFrame([(1, 1, u[2], "CRUZ", "EDUARDO", "LOPEZ", None, A[0], None, "0201010001", "M"), (1, 2, u[3], "REYES", "ANA", None, None, B[0], B[1], "0101010002", "F")], "batch_no long, row_no long, " + PERSON)
+
+    def pairs(coverage):
+        store = FingerprintStore(spark, coverage=coverage)
+        store.accept(people(spark, history), F.lit(0))
+        found: list[int] = []
+        verified = store._verified
+        store._verified = lambda covered, own: (found.append(covered.count()), verified(covered, own))[1]
+        repeated_persons(people(spark, history), batch, store=store).count()
+        return found[0]
+
+    assert pairs(0.8) == 1 and pairs(0.1) == 2
+
+
+def test_reference_and_names_find_a_person_with_one_agreement(spark):
+    u = ids(2, 24)
+    columns = PERSON + ", source_reference string"
+    history = spark.createDataFrame([(u[0], "CRUZ", "EDUARDO", "LOPEZ", None, A[0], None, "0101010001", "M", "clinic-7#row=000012")], columns)
+    batch = spark.createDataFrame([(1, 1, u[1], "CRUZ", "EDUARDO", "LOPEZ", None, "1980-01-12", None, "0101010001", "M", "clinic-7#row=000012")], "batch_no long, row_no long, " + columns)
+    assert [tuple(r) for r in repeated_persons(history, batch).collect()] == [tuple(u)]
+
+
 def test_blocks_and_classifier():
     x, y, z = band_keys(["ANA CRUZ", "ANA CRUZ", "EDUARDO LOPEZ"], Blocking())
     assert (x == y).all() and not (x == z).any()
