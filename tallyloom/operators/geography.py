@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from ..functions.text import blank, blank_to_null, collapse, location_key
+from ..functions.text import blank, blank_to_null, collapse, location_key, lookup_key, trim_all
 from .durable import durable
 
 LEVELS = ("region", "province", "city", "barangay")
@@ -16,18 +16,51 @@ LEVELS = ("region", "province", "city", "barangay")
 REGION_SHORT_NAMES = {"national capital region": "ncr", "cordillera administrative region": "car", "autonomous region in muslim mindanao": "armm", "bangsamoro autonomous region in muslim mindanao": "barmm"}
 
 
+CHAIN = [f"{x}_{y}" for x in LEVELS for y in ("code", "name")]
+INCOMPLETE = "could not resolve a unique full hierarchy chain"
+
+
 def chains(regions: DataFrame, provinces: DataFrame, cities: DataFrame, barangays: DataFrame) -> DataFrame:
-    """One row per barangay with codes and names of all levels; a missing parent code is taken from the next level up.
+    """One row per barangay with codes and names of all levels, and whether its parents agree with each other (``consistent``).
 
-    A barangay without city, or whose region is not found, is left out; a province may be missing.
+    A blank province is the city's; an unknown region is the province's. A barangay whose city, province or region is
+    not found is left out. Parents agree if province, city and barangay name the region, and city and barangay, where
+    they name a province at all, name that province.
+    """
+    edge = lambda c: F.coalesce(trim_all(c), F.lit(""))
+    b = barangays.where(~blank("barangay_code")).select(trim_all("barangay_code").alias("barangay_code"), edge("barangay_name").alias("barangay_name"), edge("city_code").alias("bc"), edge("region_code").alias("br"), F.col("province_code").alias("bp"))
+    c = cities.where(~blank("city_code")).select(trim_all("city_code").alias("city_code"), edge("city_name").alias("city_name"), edge("region_code").alias("cr"), F.col("province_code").alias("cp"))
+    p = provinces.where(~blank("province_code")).select(trim_all("province_code").alias("province_code"), edge("province_name").alias("province_name"), edge("region_code").alias("pr"))
+    r = regions.where(~blank("region_code")).select(trim_all("region_code").alias("region_code"), edge("region_name").alias("region_name"))
+    found = b.join(c, F.col("bc") == F.col("city_code")).withColumn("pc", F.coalesce(blank_to_null("bp"), blank_to_null("cp"))).join(p, F.col("pc") == F.col("province_code"))
+    known = r.select(F.col("region_code").alias("known"))
+    found = found.join(known, F.col("br") == F.col("known"), "left").withColumn("rc", F.coalesce("known", "pr")).join(r, F.col("rc") == F.col("region_code"))
+    names = lambda c: F.coalesce(trim_all(c) == F.col("province_code"), F.lit(True))
+    agree = (F.col("pr") == F.col("region_code")) & (F.col("cr") == F.col("region_code")) & (F.col("br") == F.col("region_code")) & names("cp") & names("bp")
+    return found.select(*CHAIN, agree.alias("consistent"))
+
+
+def chain_fault(rows: DataFrame, regions: DataFrame, provinces: DataFrame, cities: DataFrame, barangays: DataFrame) -> DataFrame:
+    """rows with ``chain_fault``: the first fault of their four codes, null if they are one chain of the tables.
+
+    Codes must be given and known; a province must lie in the region, a city in region and province, a barangay in
+    region, province and city, where city and barangay may name no province.
     """
-    b = barangays.select("barangay_code", "barangay_name", F.col("city_code").alias("bc"), blank_to_null("province_code").alias("bp"), blank_to_null("region_code").alias("br"))
-    c = cities.select("city_code", "city_name", blank_to_null("province_code").alias("cp"), blank_to_null("region_code").alias("cr"))
-    p = provinces.select("province_code", "province_name", blank_to_null("region_code").alias("pr"))
-    r = regions.select("region_code", "region_name")
-    found = b.join(c, F.col("bc") == F.col("city_code")).withColumn("pc", F.coalesce("bp", "cp")).join(p, F.col("pc") == F.col("province_code"), "left")
-    found = found.withColumn("rc", F.coalesce("br", "pr", "cr")).join(r, F.col("rc") == F.col("region_code"))
-    return found.select(*(f"{x}_{y}" for x in LEVELS for y in ("code", "name")))
+    of = dict(zip(LEVELS, (regions, provinces, cities, barangays)))
+    df = rows
+    for x in LEVELS:
+        above = [f"{y}_code" for y in LEVELS[: LEVELS.index(x)] if f"{y}_code" in of[x].columns]
+        t = of[x].select(F.trim(f"{x}_code").alias(f"__{x}"), *(F.trim(c).alias(f"__{x}_{c}") for c in above)).where(F.col(f"__{x}").isNotNull()).dropDuplicates([f"__{x}"])
+        df = df.join(t, trim_all(f"{x}_code") == F.col(f"__{x}"), "left")
+    code = {x: trim_all(f"{x}_code") for x in LEVELS}
+    checks = [F.when(blank("region_code") | blank("province_code") | blank("city_code") | blank("barangay_code"), F.lit("location codes are required"))]
+    checks += [F.when(F.col(f"__{x}").isNull(), F.concat(F.lit(f"unknown {x} "), code[x])) for x in LEVELS]
+    for x in LEVELS[1:]:
+        for y in LEVELS[: LEVELS.index(x)]:
+            held = F.col(f"__{x}_{y}_code")
+            wrong = held != code[y] if y == "province" else ~held.eqNullSafe(code[y])
+            checks.append(F.when(wrong, F.concat(F.lit(f"{x} "), code[x], F.lit(f" does not belong to {y} "), code[y])))
+    return df.select(*rows.columns, F.coalesce(*checks).alias("chain_fault"))
 
 
 def path_of(regions: DataFrame, provinces: DataFrame, cities: DataFrame, barangays: DataFrame, code: str | None = None) -> DataFrame:
@@ -56,9 +89,10 @@ def distinct_by_code(rows: DataFrame, level: str, carried: list[str]) -> DataFra
 def ingest(rows: DataFrame) -> dict[str, DataFrame]:
     """The four dimensions of a denormalized table with eight code and name columns; all or nothing.
 
-    A blank field that isn't a province's, a code with two names or parents, or no row at all is an error.
+    A blank field, a code with two names or parents, a parent that names another parent than its child does, or no row
+    at all is an error.
     """
-    need = [c for c in (f"{x}_{y}" for x in LEVELS for y in ("code", "name")) if not c.startswith("province")]
+    need = CHAIN
     bad = rows.select(F.count(F.lit(1)).alias("n"), *(F.count_if(blank(c)).alias(c) for c in need)).first()
     if not bad["n"]:
         raise ValueError("no rows")
@@ -69,9 +103,26 @@ def ingest(rows: DataFrame) -> dict[str, DataFrame]:
     for x, df in out.items():
         if clash := df.where("variants > 1").select(f"{x}_code").limit(5).collect():
             raise ValueError(f"conflicting {x} rows: {', '.join(r[0] for r in clash)}")
+    if wrong := parent_faults(out).limit(5).collect():
+        raise ValueError("; ".join(r["fault"] for r in wrong))
     return {x: df.drop("variants") for x, df in out.items()}
 
 
+def parent_faults(dimensions: dict[str, DataFrame]) -> DataFrame:
+    """(level, code, fault): rows of dimensions whose parent is unknown, or names other parents than they do."""
+    out = None
+    for x in LEVELS[1:]:
+        for y in LEVELS[: LEVELS.index(x)]:
+            shared = [f"{z}_code" for z in LEVELS[: LEVELS.index(y)]]
+            child = dimensions[x].select(F.col(f"{x}_code").alias("code"), F.col(f"{y}_code").alias("parent"), *(F.col(c).alias(f"own_{c}") for c in shared))
+            above = dimensions[y].select(F.col(f"{y}_code").alias("parent"), *shared, F.lit(True).alias("known"))
+            at = lambda said: F.concat(F.lit(f"{x} "), F.col("code"), F.lit(said), F.col("parent"))  # noqa: B023, E731
+            faults = [F.when(F.col("known").isNull(), at(f" references unknown {y} ")), *(F.when(~F.col(c).eqNullSafe(F.col(f"own_{c}")), at(f" names another {c.removesuffix('_code')} than {y} ")) for c in shared)]
+            bad = child.join(above, "parent", "left").select(F.lit(x).alias("level"), "code", F.coalesce(*faults).alias("fault")).where("fault is not null")
+            out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 def ingest_counts(rows: DataFrame) -> DataFrame:
     """(rows_read, regions, provinces, cities, barangays, rows_skipped) of a denormalized table."""
     n = lambda x: F.count_distinct(F.when(~blank(f"{x}_code"), F.col(f"{x}_code")))
@@ -79,13 +130,19 @@ def ingest_counts(rows: DataFrame) -> DataFrame:
 
 
 def region_aliases(regions: DataFrame) -> DataFrame:
-    """(alias, region_name): code, name, the number after 'Region' with and without that word, and short names; the least code wins an alias."""
-    key = location_key("region_name")
-    after = F.regexp_extract(key, r"^region (\S+)", 1)
-    two = F.regexp_extract(key, r"^region (\S+ \S+)", 1)
-    short = F.coalesce(*(F.when(F.contains(key, F.lit(name)), F.lit(s)) for name, s in REGION_SHORT_NAMES.items()))
-    forms = F.array(location_key("region_code"), key, after, F.concat(F.lit("region "), F.nullif(after, F.lit(""))), two, F.replace(two, F.lit(" "), F.lit("")), short)
-    rows = regions.select("region_code", "region_name", F.explode(F.array_distinct(F.filter(forms, lambda x: x != ""))).alias("alias"))
+    """(alias, region_name): by what a region may be called, in lower case and with single spaces.
+
+    Its code, its name, the up to two words after 'region' with, without and without spaces between them, and the
+    short names of special regions. Of two regions with one alias the one with the least code has it.
+    """
+    key = lookup_key("region_name")
+    words = F.split(key, " ")
+    # Words after the first end where the word region stands again.
+    after = F.when((F.size(words) > 1) & (words[0] == "region") & (words[1] != "region"), F.when((F.size(words) > 2) & (F.get(words, F.lit(2)) != "region"), F.concat_ws(" ", words[1], F.get(words, F.lit(2)))).otherwise(words[1]))
+    short = F.coalesce(*(F.when(key == name, F.lit(s)) for name, s in REGION_SHORT_NAMES.items()))
+    forms = F.array_compact(F.array(lookup_key("region_code"), key, after, F.replace(after, F.lit(" "), F.lit("")), F.concat(F.lit("region "), after), short))
+    named = regions.where(~blank("region_code") & ~blank("region_name"))
+    rows = named.select(trim_all("region_code").alias("region_code"), trim_all("region_name").alias("region_name"), F.explode(F.array_distinct(F.filter(forms, lambda x: x != ""))).alias("alias"))
     best = rows.groupBy("alias").agg(F.min(F.struct("region_code", "region_name")).alias("r"))
     return best.select("alias", F.col("r.region_name").alias("region_name"))
 
@@ -103,55 +160,101 @@ class Options:
             raise ValueError("options out of range")
 
 
-def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options = Options(), columns: tuple[str, str, str, str] = ("region", "province", "city_municipality", "barangay"), bound: int = 500_000) -> DataFrame:
-    """(the four typed texts, resolved codes and names, status, match_source, confidence, reason): one row per distinct typed chain.
+TYPED = ("region", "province", "city_municipality", "barangay")
+
+
+def typed_chains(rows: DataFrame, columns: tuple[str, str, str, str] = TYPED) -> DataFrame:
+    """The distinct typed chains of a table: four texts, trimmed and with single spaces, null being empty."""
+    return rows.select(*(collapse(F.coalesce(F.col(c), F.lit(""))).alias(x) for c, x in zip(columns, LEVELS))).distinct()
 
-    Distinct typed chains meet every catalog chain once in a broadcast join (the catalog's size is checked against
-    ``bound``). A level narrows the chains if any matches exactly and is passed over if none does, which is to keep the
-    chains with the greatest vector of exact flags. One survivor of which all filled levels match is EXACT; otherwise
-    survivors are scored by the mean Jaro-Winkler similarity of the levels whose key is filled. Equal best scores are
-    ambiguous, low ones need review.
+
+def _narrowed(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, columns: tuple[str, str, str, str]) -> tuple[DataFrame, DataFrame]:
+    """(survivors, typed): each distinct typed chain with the catalog chains that exact matches leave it.
+
+    Level by level an equi-join by name and by code, under what the levels above left, narrows a chain to the codes
+    that match; where none does, the level is passed over. What is left is then looked up under its deepest code. Only a
+    chain of which no level matches meets the whole catalog, as its definition says.
     """
-    size = catalog.limit(bound + 1).count()
-    if size > bound:
-        raise ValueError(f"the catalog has over {bound} chains")
-    raw = rows.select(*(collapse(F.coalesce(F.col(c), F.lit(""))).alias(x) for c, x in zip(columns, LEVELS))).distinct()
-    named = raw.join(F.broadcast(aliases.select(F.col("alias").alias("__a"), F.col("region_name").alias("__n"))), location_key("region") == F.col("__a"), "left")
-    named = named.select(F.coalesce("__n", "region").alias("asked"), *LEVELS)
-    # Keys are written out, else the product below would compute them for every pair.
+    raw = typed_chains(rows, columns)
+    named = raw.join(aliases.select(F.col("alias").alias("__a"), F.col("region_name").alias("__n")), F.lower("region") == F.col("__a"), "left").withColumn("asked", F.coalesce("__n", "region"))
     text_of = lambda x: F.col("asked" if x == "region" else x)
-    keyed = named.select("asked", *LEVELS, *(location_key(text_of(x)).alias(f"k_{x}") for x in LEVELS), *(F.lower(text_of(x)).alias(f"t_{x}") for x in LEVELS))
-    keyed = durable(keyed.withColumn("id", F.xxhash64(*LEVELS)), "typed")
-    names = durable(catalog.select(*(f"{x}_{y}" for x in LEVELS for y in ("code", "name")), *(location_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS), *(F.lower(f"{x}_code").alias(f"c_{x}") for x in LEVELS)).coalesce(1), "names")
-    # The vector of exact flags as a number of four bits has the order of the vector.
-    flag = lambda x: F.when(F.col(f"t_{x}") == "", True).otherwise(F.coalesce((F.col(f"t_{x}") == F.col(f"c_{x}")) | (F.col(f"k_{x}") == F.col(f"n_{x}")), F.lit(False)))
-    flags = sum((F.when(flag(x), w).otherwise(0) for x, w in zip(LEVELS, (8, 4, 2, 1))), F.lit(0))
-    spread = keyed.repartition(64, "id")
-    # The greatest vector is found by a partial aggregate; only chains that reach it are kept, so the product never leaves a task.
-    best = spread.crossJoin(F.broadcast(names)).select("id", flags.alias("v")).groupBy("id").agg(F.max("v").alias("top"))
-    kept = durable(keyed.join(best, "id").repartition(64, "id").crossJoin(F.broadcast(names)).where(flags == F.col("top")), "kept")
-    whole = F.col("top") == 15
-    counted = kept.withColumn("survivors", F.count(F.lit(1)).over(Window.partitionBy(*LEVELS)))
-    filled = {x: F.col(f"k_{x}") != "" for x in LEVELS}
-    any_filled = filled["region"] | filled["province"] | filled["city"] | filled["barangay"]
-    exact = whole & (F.col("survivors") == 1) & any_filled
-    # Names repeat, so each distinct pair of keys is scored once and joined back.
-    scores = counted.where(~exact)
+    typed = named.select(*LEVELS, F.unhex(F.md5(F.concat_ws("\x1f", *LEVELS))).alias("id"), *(F.lower(text_of(x)).alias(f"t_{x}") for x in LEVELS), *(location_key(text_of(x)).alias(f"k_{x}") for x in LEVELS))
+    typed = durable(typed, "typed")
+    entries = durable(catalog.select(*CHAIN, "consistent", *(lookup_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS), *(location_key(f"{x}_name").alias(f"l_{x}") for x in LEVELS)).coalesce(1), "names")
+    none = F.lit(None).cast("string")
+    state = typed.select("id", *(f"t_{x}" for x in LEVELS), *(none.alias(f"w_{x}") for x in LEVELS), *(F.lit(False).alias(f"m_{x}") for x in LEVELS))
+    for i, x in enumerate(LEVELS):
+        upto = LEVELS[: i + 1]
+        places = entries.select(*(F.col(f"{y}_code").alias(f"e_{y}") for y in upto), F.col(f"n_{x}").alias("__n")).distinct()
+        called = places.unionByName(places.withColumn("__n", F.lower(f"e_{x}"))).distinct()
+        inside = F.col(f"t_{x}") == F.col("__n")
+        for y in upto[:-1]:
+            inside = inside & (F.col(f"w_{y}").isNull() | (F.col(f"w_{y}") == F.col(f"e_{y}")))
+        hit = state.where(F.col(f"t_{x}") != "").join(called, inside)
+        hit = hit.select("id", *(f"t_{y}" for y in LEVELS), *((F.col(f"e_{y}") if y in upto else F.col(f"w_{y}")).alias(f"w_{y}") for y in LEVELS), *((F.lit(True) if y == x else F.col(f"m_{y}")).alias(f"m_{y}") for y in LEVELS)).distinct()
+        hit = durable(hit, f"at-{x}")
+        state = hit.unionByName(state.join(hit.select("id").distinct(), "id", "left_anti"))
+    deepest = lambda of: F.coalesce(*(F.concat(F.lit(f"{x}|"), of(x)) for x in reversed(LEVELS)), F.lit("*"))
+    scoped = entries.withColumn("scope", F.explode(F.array(F.lit("*"), *(F.concat(F.lit(f"{x}|"), F.col(f"{x}_code")) for x in LEVELS))))
+    kept = state.withColumn("scope", deepest(lambda x: F.col(f"w_{x}"))).join(scoped, "scope")
+    for x in LEVELS:
+        kept = kept.where(F.col(f"w_{x}").isNull() | (F.col(f"w_{x}") == F.col(f"{x}_code")))
+    whole = F.lit(True)
     for x in LEVELS:
-        pairs = kept.where(filled[x]).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"n_{x}").alias(f"b_{x}")).distinct().repartition(64)
+        whole = whole & ((F.col(f"t_{x}") == "") | F.col(f"m_{x}"))
+    return durable(kept.select("id", whole.alias("whole"), *CHAIN, "consistent", *(f"l_{x}" for x in LEVELS)), "kept"), typed
+
+
+def _ranked(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options, columns: tuple[str, str, str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sure, ranked, typed): chains that match exactly and alone; scored candidates of the others, best first; all typed chains."""
+    kept, typed = _narrowed(rows, catalog, aliases, columns)
+    alone = kept.where("whole").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id")
+    sure = kept.join(alone, "id")
+    keys = typed.select("id", *(f"k_{x}" for x in LEVELS))
+    any_filled = F.lit(False)
+    for x in LEVELS:
+        any_filled = any_filled | (F.col(f"k_{x}") != "")
+    scores = kept.join(alone, "id", "left_anti").join(keys, "id").where(any_filled)
+    # Names repeat, so each distinct pair of unequal keys is scored once and joined back; equal keys score 1.
+    for x in LEVELS:
+        unlike = (F.col(f"k_{x}") != "") & (F.col(f"k_{x}") != F.col(f"l_{x}"))
+        pairs = scores.where(unlike).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"l_{x}").alias(f"b_{x}")).distinct().repartition(F.col(f"a_{x}"), F.col(f"b_{x}"))
         pairs = durable(pairs.withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}"))), "scores")
-        scores = scores.join(pairs, (F.col(f"k_{x}") == F.col(f"a_{x}")) & (F.col(f"n_{x}") == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
-    parts = sum((F.when(filled[x], 1).otherwise(0) for x in LEVELS), F.lit(0))
-    mean = sum((F.when(filled[x], F.coalesce(F.col(f"s_{x}"), F.lit(0.0))).otherwise(0.0) for x in LEVELS), F.lit(0.0)) / parts
-    order = Window.partitionBy(*LEVELS).orderBy(F.desc("score"), F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS)))
-    ranked = scores.where(any_filled).withColumn("score", mean).withColumns({"k": F.row_number().over(order), "second": F.lead("score").over(order)}).where(F.col("k") <= options.candidates).where("k = 1")
-    result = [*LEVELS, *(f"{x}_{y}" for x in LEVELS for y in ("code", "name"))]
-    sure = counted.where(exact).select(*result, F.lit("AUTO_APPLIED").alias("status"), F.lit("EXACT").alias("match_source"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("reason"))
-    reason = F.when(F.abs(F.col("score") - F.col("second")) < options.tie, "ambiguous location candidates").when(F.col("score") < options.threshold, "confidence below threshold")
-    scored = ranked.select(*result, F.when(reason.isNull(), "AUTO_APPLIED").otherwise("REVIEW_NEEDED").alias("status"), F.when(F.col("score") == 1, "EXACT").otherwise("FUZZY").alias("match_source"), F.col("score").alias("confidence"), reason.alias("reason"))
-    none = named.where(blank("region") & blank("province") & blank("city") & blank("barangay") | (location_key("asked") == "") & (location_key("province") == "") & (location_key("city") == "") & (location_key("barangay") == ""))
-    empty = none.select(*LEVELS, *(F.lit(None).cast("string").alias(c) for c in result[4:]), F.lit("REVIEW_NEEDED").alias("status"), F.lit("NONE").alias("match_source"), F.lit(0.0).alias("confidence"), F.lit("no location candidate matched").alias("reason"))
-    return sure.unionByName(scored).unionByName(empty)
+        scores = scores.join(pairs, (F.col(f"k_{x}") == F.col(f"a_{x}")) & (F.col(f"l_{x}") == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
+        scores = scores.withColumn(f"s_{x}", F.when(F.col(f"k_{x}") == "", 0.0).when(F.col(f"k_{x}") == F.col(f"l_{x}"), 1.0).otherwise(F.col(f"s_{x}")))
+    filled = sum((F.when(F.col(f"k_{x}") != "", 1).otherwise(0) for x in LEVELS), F.lit(0))
+    total = F.col("s_region") + F.col("s_province") + F.col("s_city") + F.col("s_barangay")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS)))
+    ranked = scores.withColumn("score", total / filled).withColumns({"place": F.row_number().over(order), "second": F.lead("score").over(order)}).where(F.col("place") <= options.candidates)
+    return sure, ranked.select("id", *CHAIN, "consistent", "score", "place", "second"), typed
+
+
+def candidates(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options = Options(), columns: tuple[str, str, str, str] = TYPED) -> DataFrame:
+    """(the four typed texts, place, score, codes and names): the best catalog chains of each typed chain that has no exact match of its own."""
+    _, ranked, typed = _ranked(rows, catalog, aliases, options, columns)
+    return ranked.join(typed.select("id", *LEVELS), "id").select(*LEVELS, "place", "score", *CHAIN)
+
+
+def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options = Options(), columns: tuple[str, str, str, str] = TYPED) -> DataFrame:
+    """(the four typed texts, resolved codes and names, status, match_source, confidence, reason): one row per distinct typed chain.
+
+    A level narrows the catalog's chains if any matches exactly, by code or by name in any letter case, and is passed
+    over if none does. One survivor of which all filled levels match is EXACT; otherwise survivors are scored by the
+    mean Jaro-Winkler similarity of the levels whose key is filled. Equal best scores are ambiguous, low ones need
+    review, and so does a chain whose parents disagree in the tables.
+    """
+    sure, ranked, typed = _ranked(rows, catalog, aliases, options, columns)
+    exact = sure.select("id", *CHAIN, "consistent", F.lit("EXACT").alias("match_source"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("said"))
+    said = F.when(F.abs(F.col("score") - F.col("second")) < options.tie, "ambiguous location candidates").when(F.col("score") < options.threshold, "confidence below threshold")
+    source = F.when((F.col("score") == 1) & said.isNull(), "EXACT").otherwise("FUZZY")
+    scored = ranked.where("place = 1").select("id", *CHAIN, "consistent", source.alias("match_source"), F.col("score").alias("confidence"), said.alias("said"))
+    done = typed.select("id", *LEVELS).join(exact.unionByName(scored), "id", "left")
+    found = F.col("match_source").isNotNull()
+    reason = F.when(~found, "no location candidate matched").when(F.col("said").isNotNull(), F.col("said")).when(~F.col("consistent"), INCOMPLETE)
+    return done.select(
+        *LEVELS, *CHAIN, F.when(reason.isNull(), "AUTO_APPLIED").otherwise("REVIEW_NEEDED").alias("status"), F.coalesce("match_source", F.lit("NONE")).alias("match_source"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), reason.alias("reason"),
+    )
 
 
 def exact_resolver(rows: DataFrame, catalog: DataFrame, columns: tuple[str, str, str, str] = ("region", "province", "city_municipality", "barangay")) -> DataFrame:
@@ -179,13 +282,74 @@ def exact_resolver(rows: DataFrame, catalog: DataFrame, columns: tuple[str, str,
         error = F.when(F.col("error").isNotNull() | skip, F.col("error")).when(F.coalesce("n", F.lit(0)) == 0, F.concat(F.lit("no "), F.lit(x), F.lit(" found"))).when(F.col("n") > 1, F.lit(f"{x} is ambiguous"))
         # A level is read three times by the next one, so it is written.
         found = durable(base.withColumns({f"r_{x}": F.when(F.col("n") == 1, F.col("code")), "error": error}).drop("n", "code"), x)
-    return found.select(*LEVELS, F.when(F.col("error").isNull(), F.col("r_barangay")).alias("barangay_code"), "error")
+    codes = found.select(*LEVELS, "error", *(F.when(F.col("error").isNull(), F.col(f"r_{x}")).alias(f"__{x}") for x in LEVELS))
+    # A province that was passed over is the chain's own.
+    whole = catalog.select(*CHAIN)
+    return codes.join(whole, F.col("__barangay") == F.col("barangay_code"), "left").select(*LEVELS, *CHAIN, "error")
 
 
 def shadow(normalized: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Both resolvers side by side: drift_fields lists what differs (apply_state, barangay_code)."""
-    old = legacy.select(*LEVELS, F.col("barangay_code").alias("legacy_code"), F.col("error").isNull().alias("legacy_applied"))
+    """Both resolvers side by side; drift_fields lists what differs: apply_state, and where both applied each of the eight codes and names."""
+    old = legacy.select(*LEVELS, *(F.col(c).alias(f"legacy_{c}") for c in CHAIN), F.col("error").isNull().alias("legacy_applied"))
     both = normalized.join(old, list(LEVELS))
     applied = F.col("status") == "AUTO_APPLIED"
-    fields = F.array_compact(F.array(F.when(applied != F.col("legacy_applied"), F.lit("apply_state")), F.when(F.col("legacy_applied") & ~F.col("legacy_code").eqNullSafe(F.col("barangay_code")), F.lit("barangay_code"))))
-    return both.select(*LEVELS, "status", "legacy_applied", "barangay_code", "legacy_code", fields.alias("drift_fields"))
+    differ = [F.when(applied & F.col("legacy_applied") & ~F.col(f"legacy_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in CHAIN]
+    fields = F.array_compact(F.array(F.when(applied != F.col("legacy_applied"), F.lit("apply_state")), *differ))
+    return both.select(*LEVELS, "status", "legacy_applied", *CHAIN, *(f"legacy_{c}" for c in CHAIN), fields.alias("drift_fields"))
+
+
+def shadow_totals(drift: DataFrame) -> DataFrame:
+    """(total_rows, auto_apply_rows, review_rows, drift_rows) of a shadow comparison."""
+    df = drift.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("status") == "AUTO_APPLIED").alias("auto_apply_rows"), F.count_if(F.size("drift_fields") > 0).alias("drift_rows"))
+    return df.select("total_rows", "auto_apply_rows", (F.col("total_rows") - F.col("auto_apply_rows")).alias("review_rows"), "drift_rows")
+
+
+def differs() -> Column:
+    """Whether a record's place (the eight columns) is not the resolved one (the same with the prefix resolved_), trimmed."""
+    edge = lambda c: F.coalesce(trim_all(c), F.lit(""))
+    out = F.lit(False)
+    for c in CHAIN:
+        out = out | (edge(c) != edge(f"resolved_{c}"))
+    return out
+
+
+def backfill(records: DataFrame, catalog: DataFrame, aliases: DataFrame, at: str, options: Options = Options()) -> DataFrame:
+    """records with the outcome of resolving their places again: resolved_ columns, status, match_source, confidence, reason, updated.
+
+    A record's typed place is its names, or its codes where a name is blank. A place that is applied but was not given
+    whole is forced to review. ``updated`` are those that are applied and differ; nothing is written (see backfilled).
+    """
+    raw = {f"__{x}": F.coalesce(blank_to_null(f"{x}_name"), blank_to_null(f"{x}_code"), F.lit("")) for x in LEVELS}
+    df = records.withColumns({k: collapse(v) for k, v in raw.items()})
+    done = normalize(df, catalog, aliases, options, tuple(raw)).select(*(F.col(x).alias(f"__{x}") for x in LEVELS), *(F.col(c).alias(f"resolved_{c}") for c in CHAIN), "status", "match_source", "confidence", "reason")
+    part = F.lit(False)
+    for x in LEVELS:
+        part = part | (F.col(f"__{x}") == "")
+    forced = (F.col("status") == "AUTO_APPLIED") & part
+    df = df.join(done, [f"__{x}" for x in LEVELS], "left").withColumns({"reason": F.when(forced, "raw location chain incomplete").otherwise(F.col("reason")), "status": F.when(forced, "REVIEW_NEEDED").otherwise(F.col("status"))})
+    return df.withColumn("updated", (F.col("status") == "AUTO_APPLIED") & differs()).withColumn("applied_at", F.when(F.col("updated"), F.lit(at)))
+
+
+def backfilled(records: DataFrame, done: DataFrame) -> DataFrame:
+    """The snapshot after a backfill: places and updated_at of the updated records are the resolved ones."""
+    values = {c: F.when(F.col("updated"), F.col(f"resolved_{c}")).otherwise(F.col(c)) for c in CHAIN}
+    return done.withColumns(values | {"updated_at": F.coalesce("applied_at", "updated_at")}).select(*records.columns)
+
+
+def backfill_counts(done: DataFrame) -> DataFrame:
+    """(total_rows, auto_applied_rows, review_rows, updated_rows)."""
+    applied = F.count_if(F.col("status") == "AUTO_APPLIED")
+    return done.agg(F.count(F.lit(1)).alias("total_rows"), applied.alias("auto_applied_rows"), (F.count(F.lit(1)) - applied).alias("review_rows"), F.count_if("updated").alias("updated_rows"))
+
+
+def lineage(done: DataFrame, run_id: str, order: list[Column]) -> DataFrame:
+    """One ledger row per record of a backfill: number, reference (source_reference, else generated_id, else uuid), typed and resolved place, outcome."""
+    from .ranking import global_row_number
+
+    reference = F.coalesce(blank_to_null("source_reference"), blank_to_null("generated_id"), blank_to_null("internal_uuid"))
+    rows = done.select(
+        F.lit(run_id).alias("run_id"), reference.alias("item_reference"), *(F.col(f"__{x}").alias(f"raw_{x}") for x in LEVELS), *(f"resolved_{c}" for c in CHAIN), "confidence", "match_source", "status",
+        (F.col("status") != "AUTO_APPLIED").alias("needs_review"), "reason", *(o.alias(f"__o{i}") for i, o in enumerate(order)),
+    )
+    numbered = global_row_number(rows, [F.asc_nulls_first(f"__o{i}") for i in range(len(order))], "row_number")
+    return numbered.drop(*(f"__o{i}" for i in range(len(order)))).withColumn("item_id", F.concat(F.lit(f"{run_id}-"), F.col("row_number").cast("string")))

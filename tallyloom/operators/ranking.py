@@ -12,8 +12,6 @@ DEFAULT_PAGE, LARGEST_PAGE, LOOKUP_PAGE = 50, 500, 25
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
     """df with its 1-based position in a total order, by a range shuffle and one count per partition."""
-    import pandas as pd  # noqa: F401
-
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = durable(spread.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranked")
     sizes = {r["__part"]: (r["n"], r["least"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("least")).collect()}

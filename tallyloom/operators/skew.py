@@ -21,6 +21,12 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return a.join(b, [key, "__salt"], how).drop("__salt")
 
 
+def keyed_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left join by a key that may be null in many rows: these match nothing and stay out of the shuffle."""
+    kept = left.where(F.col(key).isNotNull()).join(right, key, "left")
+    return kept.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def _salts(counts: DataFrame, key: str, per_task: int) -> DataFrame:
     """(key, __n): in how many parts each counted key is split."""
     return counts.select(key, F.ceil(F.col("count") / per_task).cast("long").alias("__n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_pattern
 
 #: Columns of the record list's search, and its order.
-SEARCHED = ("generated_id", "last_name", "first_name", "middle_name", "contact_no", "city_name", "barangay_name")
+SEARCHED = ("generated_id", "last_name", "first_name", "middle_name", "extension_name", "contact_no_norm", "source_reference")
 LIST_ORDER = ("last_name", "first_name", "middle_name", "extension_name", "generated_id", "internal_uuid")
 
 
@@ -87,23 +88,76 @@ def list_order(columns: Iterable[str] = LIST_ORDER) -> list[Column]:
     return [F.asc_nulls_first(c) for c in columns]
 
 
+def page_with_total(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page of a list and how many rows the whole list has."""
+    from .ranking import page
+
+    return page(df, order, limit, offset), df.count()
+
+
+def pages_of(df: DataFrame, order: list[Column], size: int = 20) -> DataFrame:
+    """df with the number of the page of ``size`` rows on which each row stands, from 1."""
+    from .ranking import global_row_number
+
+    return global_row_number(df, order, "__n").withColumn("page", (F.floor((F.col("__n") - 1) / size) + 1).cast("int")).drop("__n")
+
+
+def versions(applied: DataFrame, known: list[int], target: int | None = None) -> tuple[int, list[int], list[int]]:
+    """(current version, versions to apply upwards, versions to take back downwards) of a journal of applied versions; an empty journal is at 0.
+
+    Without a target all known versions are applied. A journal that has a version nobody knows is an error.
+    """
+    done = sorted(r[0] for r in applied.select("version").distinct().collect())  # one row per schema version
+    if unknown := [v for v in done if v not in known]:
+        raise ValueError(f"unknown versions {unknown}")
+    goal = max(known, default=0) if target is None else target
+    return max(done, default=0), [v for v in sorted(known) if v <= goal and v not in done], [v for v in reversed(done) if v > goal]
+
+
 def backup(snapshot: DataFrame, path: str, name: str, at: str) -> dict:
-    """Writes a snapshot with a manifest of its rows, columns and an order-free checksum; returns the manifest."""
+    """Writes a snapshot with a manifest of its rows, columns, bytes and an order-free checksum; returns the manifest."""
     snapshot.write.mode("errorifexists").parquet(f"{path}/{name}")
-    manifest = manifest_of(snapshot.sparkSession.read.parquet(f"{path}/{name}")) | {"name": name, "created_at_utc": at}
-    snapshot.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/{name}.manifest")
+    spark = snapshot.sparkSession
+    manifest = manifest_of(spark.read.parquet(f"{path}/{name}")) | {"name": name, "created_at_utc": at, "size": _bytes(spark, f"{path}/{name}")}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/{name}.manifest")
     return manifest
 
 
+def _bytes(spark, path: str) -> int:  # noqa: ANN001
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def manifest_of(df: DataFrame) -> dict:
-    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0)).alias("checksum")).first()
-    return {"rows": row["rows"], "checksum": f"{row['checksum'] & 0xFFFFFFFFFFFFFFFF:016x}", "columns": sorted(df.columns)}
+    """Rows, columns and a checksum of two independent sums of row hashes: equal rows add up and don't cancel, and the order doesn't count."""
+    columns = sorted(df.columns)
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    halves = [F.conv(F.substring(digest, a, 15), 16, 10).cast("decimal(20,0)") for a in (1, 16, 31, 46)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(h), F.lit(0)).alias(f"s{i}") for i, h in enumerate(halves))).first()
+    text = f"{row['rows']}|" + "|".join(str(int(row[f"s{i}"])) for i in range(4))
+    return {"rows": row["rows"], "checksum": hashlib.sha256(text.encode()).hexdigest(), "columns": columns}
 
 
-def restore(spark, path: str, name: str) -> DataFrame:  # noqa: ANN001
-    """The snapshot, after its rows and checksum are found to be those of its manifest."""
+def validated(spark, path: str, name: str, jobs: DataFrame | None = None) -> dict:  # noqa: ANN001
+    """A dry run of a restore: the manifest, after the snapshot is found to be what it says, and the number of jobs that stand in the way."""
     manifest = json.loads(spark.read.text(f"{path}/{name}.manifest").first()[0])
-    df = spark.read.parquet(f"{path}/{name}")
-    if (found := manifest_of(df)) != {k: manifest[k] for k in found}:
+    found = manifest_of(spark.read.parquet(f"{path}/{name}")) | {"size": _bytes(spark, f"{path}/{name}")}
+    if found != {k: manifest[k] for k in found}:
         raise ValueError(f"{name} is not what its manifest says")
-    return df
+    blocking = 0 if jobs is None else jobs.where(F.col("state").isin("queued", "running", "cancel_requested")).count()
+    return manifest | {"blocking_jobs": blocking, "apply_ready": blocking == 0}
+
+
+def restore(spark, path: str, name: str, jobs: DataFrame | None = None, live: DataFrame | None = None, confirmation: str | None = None, phrase: str | None = None, at: str | None = None) -> DataFrame:  # noqa: ANN001
+    """The snapshot, after all checks. A phrase, if one is required, must be confirmed; jobs in the way are an error.
+
+    A live table is backed up first, as pre-restore-<at> beside the snapshot, to roll back to.
+    """
+    if phrase is not None and (confirmation or "").strip() != phrase:
+        raise ValueError("the restore must be confirmed by its phrase" if not (confirmation or "").strip() else "the confirmation is not the phrase")
+    checked = validated(spark, path, name, jobs)
+    if not checked["apply_ready"]:
+        raise ValueError(f"{checked['blocking_jobs']} unfinished jobs stand in the way")
+    if live is not None:
+        backup(live, path, f"pre-restore-{''.join(c for c in at or '' if c.isalnum())}", at or "")
+    return spark.read.parquet(f"{path}/{name}")

@@ -103,59 +103,72 @@ _MATCHES = f"""{_KEYS},
     parts as ({_scored("two")}),
     matches as (select *, {_TOTAL} total_score, uuid_a || '|' || uuid_b pair_key from parts where {_TOTAL} >= 90)"""
 
-_CHAINS = f"""(select r.region_code, r.region_name, p.province_code, p.province_name, c.city_code, c.city_name, b.barangay_code, b.barangay_name
-    from barangays b join cities c on c.city_code = b.city_code
-    left join provinces p on p.province_code = coalesce({null_if_blank("b.province_code")}, {null_if_blank("c.province_code")})
-    join regions r on r.region_code = coalesce({null_if_blank("b.region_code")}, {null_if_blank("p.region_code")}, {null_if_blank("c.region_code")}))"""
+_EIGHT = [f"{x}_{y}" for x in ("region", "province", "city", "barangay") for y in ("code", "name")]
 
-_ALIASES = f"""(select alias, arg_min(region_name, region_code) region_name from (
-    select region_code, region_name, unnest([{location_key("region_code")}, k, a1, 'region ' || nullif(a1, ''), a2, replace(a2, ' ', ''),
-      case when contains(k, 'national capital region') then 'ncr' when contains(k, 'cordillera administrative region') then 'car'
-        when contains(k, 'autonomous region in muslim mindanao') and not contains(k, 'bangsamoro') then 'armm' when contains(k, 'autonomous region in muslim mindanao') then 'armm' end]) alias
-    from (select *, {location_key("region_name")} k, regexp_extract({location_key("region_name")}, '^region ([^ ]+)', 1) a1, regexp_extract({location_key("region_name")}, '^region ([^ ]+ [^ ]+)', 1) a2 from regions)) where alias <> '' group by alias)"""
 
-_TYPED = f"select distinct {', '.join(f'{collapse(chr(99) + chr(111) + chr(97) + chr(108) + chr(101) + chr(115) + chr(99) + chr(101) + f'({c}, {chr(39)}{chr(39)})')} as {x}' for c, x in (('region', 'region'), ('province', 'province'), ('city_municipality', 'city'), ('barangay', 'barangay')))} from import_rows"
+def _edge(x: str) -> str:
+    return f"coalesce({trim_all(x)}, '')"
 
 
-def _flag(x: str) -> str:
-    t = "asked" if x == "region" else x
-    return f"(case when {trim_all(t)} = '' then true else coalesce(lower({t}) = lower({x}_code) or k_{x} = n_{x}, false) end)"
+def squeezed(x: str) -> str:
+    """Trimmed, with single spaces, null being empty."""
+    return collapse(f"coalesce({x}, '')")
 
 
-def _normalize() -> str:
-    levels = ("region", "province", "city", "barangay")
-    keyed = ", ".join(f"{location_key('asked' if x == 'region' else x)} k_{x}" for x in levels)
-    names = ", ".join(f"{location_key(x + '_name')} n_{x}" for x in levels)
-    vector = " + ".join(f"{w} * {_flag(x)}::int" for w, x in zip((8, 4, 2, 1), levels))
-    by = ", ".join(levels)
-    pairs = " union ".join(f"select k_{x} a, n_{x} b from toscore where k_{x} <> ''" for x in levels)
+def _lower(x: str) -> str:
+    """Lower case with single spaces."""
+    return f"lower({squeezed(x)})"
+
+
+_CHAINS = f"""(select r.region_code, {_edge("r.region_name")} region_name, p.province_code, {_edge("p.province_name")} province_name, c.city_code, {_edge("c.city_name")} city_name, b.barangay_code, {_edge("b.barangay_name")} barangay_name,
+      p.region_code = r.region_code and c.region_code = r.region_code and b.region_code = r.region_code and coalesce({trim_all("c.province_code")} = p.province_code, true) and coalesce({trim_all("b.province_code")} = p.province_code, true) as consistent
+    from barangays b join cities c on c.city_code = b.city_code
+    join provinces p on p.province_code = coalesce({null_if_blank("b.province_code")}, {null_if_blank("c.province_code")})
+    join regions r on r.region_code = case when b.region_code in (select region_code from regions) then b.region_code else p.region_code end)"""
+
+# What follows 'region' up to the next 'region', two words at most.
+_ALIASES = f"""(select alias, arg_min(region_name, region_code) region_name from (
+    select region_code, region_name, unnest([{_lower("region_code")}, k, joined, replace(joined, ' ', ''), 'region ' || joined,
+      case k when 'national capital region' then 'ncr' when 'cordillera administrative region' then 'car' when 'autonomous region in muslim mindanao' then 'armm' when 'bangsamoro autonomous region in muslim mindanao' then 'barmm' end]) alias
+    from (select *, nullif(case when w[1] = 'region' then array_to_string(list_slice(case when list_position(w[2:], 'region') > 0 then w[2:list_position(w[2:], 'region')] else w[2:] end, 1, 2), ' ') end, '') joined
+      from (select region_code, {_edge("region_name")} region_name, {_lower("region_name")} k, string_split({_lower("region_name")}, ' ') w from regions) where region_name <> '')) where alias <> '' group by alias)"""
 
-    def score(x: str) -> str:
-        a, b = f"k_{x}", f"n_{x}"
-        return f"case when k_{x} = '' then 0.0::double when {a} = '' or {b} = '' then 0.0::double when {a} = {b} then 1.0::double else least(greatest(coalesce(s_{x}.w, 0.0::double), 0.0::double), 1.0::double) end"
+_TYPED = "select distinct " + ", ".join(f"{squeezed(c)} as {x}" for c, x in (("region", "region"), ("province", "province"), ("city_municipality", "city"), ("barangay", "barangay"))) + " from import_rows"
 
-    joins = " ".join(f"left join jw s_{x} on s_{x}.a = k_{x} and s_{x}.b = n_{x}" for x in levels)
+
+def _normalize(typed: str = _TYPED) -> str:
+    """CTEs that end in normalized: each level narrows the chains left by the levels above to its exact matches, if there are any."""
+    levels = ("region", "province", "city", "barangay")
+    asked = lambda x: "asked" if x == "region" else x
+    match = lambda x: f"{asked(x)} <> '' and (lower({asked(x)}) = lower({x}_code) or lower({asked(x)}) = {_lower(x + '_name')})"
+    by = ", ".join(levels)
+    steps = [f"n0 as (select *, {', '.join(f'({match(x)}) as m_{x}' for x in levels)} from keyed, {_CHAINS})"]
+    for i, x in enumerate(levels, 1):
+        steps.append(f"n{i} as (select * from (select *, bool_or(m_{x}) over (partition by {by}) as some_{x} from n{i - 1}) where not some_{x} or m_{x})")
+    whole = " and ".join(f"({asked(x)} = '' or m_{x})" for x in levels)
+    keys = {x: location_key(asked(x)) for x in levels}
     filled = " + ".join(f"(k_{x} <> '')::int" for x in levels)
-    order = "concat_ws('|', coalesce(region_code, ''), coalesce(province_code, ''), coalesce(city_code, ''), coalesce(barangay_code, ''))"
+    score = lambda x: f"case when k_{x} = '' or l_{x} = '' then 0.0::double when k_{x} = l_{x} then 1.0::double else least(greatest(coalesce(s_{x}.w, 0.0::double), 0.0::double), 1.0::double) end"
+    pairs = " union ".join(f"select k_{x} a, l_{x} b from toscore where k_{x} <> ''" for x in levels)
+    joins = " ".join(f"left join jw s_{x} on s_{x}.a = k_{x} and s_{x}.b = l_{x}" for x in levels)
+    eight, nulls = ", ".join(_EIGHT), ", ".join(f"null::varchar as {c}" for c in _EIGHT)
+    code = " || '|' || ".join(f"{x}_code" for x in levels)
     return f"""
-      typed as ({_TYPED}),
-      asked as (select coalesce(al.region_name, t.region) asked, t.* from typed t left join {_ALIASES} al on al.alias = {location_key("t.region")}),
-      keyed as (select *, {keyed} from asked),
-      catalog as (select *, {names} from {_CHAINS}),
-      crossed as (select *, {vector} v from keyed, catalog),
-      kept as (select *, count(*) over (partition by {by}) survivors from (select *, max(v) over (partition by {by}) top from crossed) where v = top),
-      sure as (select * from kept where top = 15 and survivors = 1 and {filled} > 0),
-      toscore as (select * from kept where not (top = 15 and survivors = 1 and {filled} > 0) and {filled} > 0),
+      typed as ({typed}),
+      keyed as (select coalesce(al.region_name, t.region) asked, t.* from typed t left join {_ALIASES} al on al.alias = lower(t.region)),
+      {", ".join(steps)},
+      counted as (select *, count(*) over (partition by {by}) = 1 and {whole} as alone, {", ".join(f"{keys[x]} as k_{x}" for x in levels)}, {", ".join(f"{location_key(x + '_name')} as l_{x}" for x in levels)} from n4),
+      toscore as (select * from counted where not alone and {filled} > 0),
       pairs_n as ({pairs}), {jaro_ctes("pairs_n")},
-      scored as (select toscore.*, ({" + ".join(score(x) for x in levels)}) / ({filled}) score from toscore {joins}),
-      ranked as (select *, row_number() over w k, lead(score) over w as runner_up from scored window w as (partition by {by} order by score desc, {order})),
-      normalized as (
-        select {by}, barangay_code, 'AUTO_APPLIED' status, 'EXACT' match_source, 1.0::double confidence, null::varchar reason from sure
+      ranked as (select *, row_number() over w place, lead(score) over w as runner_up from (select toscore.*, ({" + ".join(score(x) for x in levels)}) / ({filled}) score from toscore {joins}) window w as (partition by {by} order by score desc, {code})),
+      decided as (
+        select {by}, {eight}, consistent, 'EXACT' source, 1.0::double confidence, null::varchar said from counted where alone
         union all
-        select {by}, barangay_code, case when abs(score - runner_up) < 0.01 or score < 0.95 then 'REVIEW_NEEDED' else 'AUTO_APPLIED' end, case when score = 1 then 'EXACT' else 'FUZZY' end, score,
-          case when abs(score - runner_up) < 0.01 then 'ambiguous location candidates' when score < 0.95 then 'confidence below threshold' end from ranked where k = 1
+        select {by}, {eight}, consistent, null, score, case when abs(score - runner_up) < 0.01 then 'ambiguous location candidates' when score < 0.95 then 'confidence below threshold' end from ranked where place = 1
         union all
-        select {by}, null, 'REVIEW_NEEDED', 'NONE', 0.0::double, 'no location candidate matched' from keyed where {filled} = 0)"""
+        select {by}, {nulls}, false, 'NONE', 0.0::double, 'no location candidate matched' from counted where not alone and {filled} = 0 group by {by}),
+      normalized as (select {by}, {eight}, case when said is null and consistent then 'AUTO_APPLIED' else 'REVIEW_NEEDED' end status, coalesce(source, case when said is null and confidence = 1 then 'EXACT' else 'FUZZY' end) match_source, confidence,
+        coalesce(said, case when not consistent then 'could not resolve a unique full hierarchy chain' end) reason from decided)"""
 
 
 def _legacy() -> str:
@@ -171,7 +184,8 @@ def _legacy() -> str:
       legacy as (select region, province, city, barangay,
         case when n1 = 0 then 'no region found' when n1 > 1 then 'region is ambiguous' when province <> '' and n2 = 0 then 'no province found' when province <> '' and n2 > 1 then 'province is ambiguous'
           when n3 = 0 then 'no city found' when n3 > 1 then 'city is ambiguous' when n4 = 0 then 'no barangay found' when n4 > 1 then 'barangay is ambiguous' end error,
-        case when n1 = 1 and (province = '' or n2 = 1) and n3 = 1 and n4 = 1 then r4 end barangay_code from l4)"""
+        c.region_code, c.region_name, c.province_code, c.province_name, c.city_code, c.city_name, c.barangay_code, c.barangay_name
+        from l4 left join cat c on c.barangay_code = case when n1 = 1 and (province = '' or n2 = 1) and n3 = 1 and n4 = 1 then r4 end)"""
 
 
 def birth_error_sql(iso: str, m: str, d: str, y: str) -> str:
@@ -190,12 +204,33 @@ def _is_blank(x: str) -> str:
     return f"coalesce({trim_all(x)}, '') = ''"
 
 
-_ERROR = f"""coalesce(case when {_is_blank("last_name")} then 'last_name is required' end, case when {_is_blank("first_name")} then 'first_name is required' end,
-      case when {" or ".join(_is_blank(p + "_code") for p in ("region", "province", "city", "barangay"))} then 'location codes are required' end,
-      case when {" or ".join(_is_blank(p + "_name") for p in ("region", "province", "city", "barangay"))} then 'location names are required' end,
-      {birth_error_sql("birthdate_iso", "birth_month", "birth_day", "birth_year")}, case when {_is_blank("sex")} then 'sex is required' end)"""
+_REQUIRED = ("last_name", "first_name", "region_code", "region_name", "province_code", "province_name", "city_code", "city_name", "barangay_code", "barangay_name", "sex")
+_ERROR = f"""coalesce({", ".join(f"case when {_is_blank(c)} then '{c} is required' end" for c in _REQUIRED)}, {birth_error_sql("birthdate_iso", "birth_month", "birth_day", "birth_year")})"""
 _EXACT = "concat_ws(chr(31), " + ", ".join(f"coalesce(trim({c}), '')" for c in ("norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name", "region_code", "province_code", "city_code", "barangay_code", "birthdate_iso", "contact_no_norm", "sex")) + ")"
 
+_BACKFILL_RAW = ", ".join(f"{squeezed(f'coalesce({null_if_blank(x + "_name")}, {null_if_blank(x + "_code")})')} as raw_{x}" for x in ("region", "province", "city", "barangay"))
+_BACKFILL_TYPED = f"select distinct raw_region region, raw_province province, raw_city city, raw_barangay barangay from (select {_BACKFILL_RAW} from beneficiaries)"
+_BACKFILLED = f"""
+      raw as (select *, {_BACKFILL_RAW} from beneficiaries),
+      resolved as (select raw.*, {", ".join(f"n.{c} resolved_{c}" for c in _EIGHT)}, n.match_source, n.confidence, n.status said_status, n.reason said_reason, n.status = 'AUTO_APPLIED' and (raw_region = '' or raw_province = '' or raw_city = '' or raw_barangay = '') forced
+        from raw join normalized n on n.region = raw_region and n.province = raw_province and n.city = raw_city and n.barangay = raw_barangay),
+      backfilled as (select *, case when forced then 'REVIEW_NEEDED' else said_status end status, case when forced then 'raw location chain incomplete' else said_reason end reason,
+        said_status = 'AUTO_APPLIED' and not forced and ({" or ".join(f"coalesce({trim_all(c)}, '') <> coalesce({trim_all('resolved_' + c)}, '')" for c in _EIGHT)}) updated from resolved)"""
+_OF = {"region": "regions", "province": "provinces", "city": "cities", "barangay": "barangays"}
+
+
+def _parents() -> str:
+    levels, out = list(_OF), []
+    for i, x in enumerate(levels[1:], 1):
+        for j, y in enumerate(levels[:i]):
+            faults = [f"case when p.{y}_code is null then '{x} ' || c.{x}_code || ' references unknown {y} ' || c.{y}_code end"]
+            faults += [f"case when p.{z}_code is distinct from c.{z}_code then '{x} ' || c.{x}_code || ' names another {z} than {y} ' || c.{y}_code end" for z in levels[:j]]
+            out.append(f"select '{x}' as level, c.{x}_code code, coalesce({', '.join(faults)}) fault from {_OF[x]} c left join {_OF[y]} p using ({y}_code)")
+    return f"select * from ({' union all '.join(out)}) where fault is not null"
+
+
+_PARENTS = _parents()
+
 _DISPOSED = f"""
       live as (select * from beneficiaries where record_status <> 'DELETED'),
       d as (select *, batch_no * 10000000 + row_no n, {_ERROR} err, {_EXACT} k, {null_if_blank("source_reference")} ref from new_beneficiaries),
@@ -207,6 +242,9 @@ _DISPOSED = f"""
         case when err is not null then err when known then 'source_reference exists' when ins then null when not opened and not same then 'source_reference exists' else 'exact duplicate' end message from disposed)"""
 
 
+_OPTIONAL = ("norm_middle_name", "norm_extension_name", "birthdate_iso", "contact_no_norm", "region_code", "province_code", "city_code", "barangay_code", "sex")
+
+
 def entry(x: str) -> str:
     return f"regexp_replace({trim_all(x)}, '[\\t\\n\\f\\r ]+', ' ', 'g')"
 
@@ -224,6 +262,27 @@ def _export() -> str:
     return f"select {', '.join(f'{guard(k)} as {k}' for k in columns)} from (select {inner} from beneficiaries where record_status in ('ACTIVE', 'RETAINED') and coalesce(duplicate_status, '') <> 'POSSIBLE_DUPLICATE')"
 
 
+_PUBLIC = f"""
+      src as (select *, {", ".join(f"{squeezed(c)} as raw_{x}" for c, x in (("region", "region"), ("province", "province"), ("city_municipality", "city"), ("barangay", "barangay")))} from import_rows),
+      pub as (select s.row_id, s.source_reference, s.last_name, s.first_name, s.middle_name, s.extension_name, s.contact_no, s.sex, s.month_mm, s.day_dd, s.year_yyyy, s.raw_barangay, n.region_code, n.province_code, n.city_code, n.barangay_code, n.region_name, n.province_name, n.city_name, n.barangay_name, n.status, n.confidence, n.match_source,
+        raw_region = '' or raw_province = '' or raw_city = '' or raw_barangay = '' missing from src s join normalized n on n.region = raw_region and n.province = raw_province and n.city = raw_city and n.barangay = raw_barangay),
+      nums as (select *, not missing and (barangay_code is null or status <> 'AUTO_APPLIED' and confidence < 0.9) review, {", ".join(f"case when regexp_full_match({trim_all(c)}, '[+-]?[0-9]{{1,18}}') then {trim_all(c)}::bigint end as {x}" for c, x in (("month_mm", "m"), ("day_dd", "dd"), ("year_yyyy", "y")))} from pub),
+      faults as (select *, case when review then null else coalesce(case when missing then 'region, province, city_municipality, and barangay are required' end, {", ".join(f"case when not {_is_blank(c)} and {x} is null then '{c} must be a whole number' end" for c, x in (("month_mm", "m"), ("day_dd", "dd"), ("year_yyyy", "y")))},
+        {", ".join(f"case when {_is_blank(c)} then '{c} is required' end" for c in ("last_name", "first_name", "sex"))}, {birth_error_sql("null::varchar", "m", "dd", "y")}) end err from nums),
+      d as (select *, upper({entry("last_name")}) norm_last_name, upper({entry("first_name")}) norm_first_name, upper({null_if_blank(entry("middle_name"))}) norm_middle_name, upper({null_if_blank(entry("extension_name"))}) norm_extension_name,
+        nullif(regexp_replace({null_if_blank(entry("contact_no"))}, '[^0-9]', '', 'g'), '') contact_no_norm, case when m is not null and dd is not null and y is not null then printf('%04d-%02d-%02d', y, m, dd) end birthdate_iso, {null_if_blank("source_reference")} ref from (select * exclude (sex), upper(coalesce({entry("sex")}, '')) sex from faults)),
+      live as (select * from beneficiaries where record_status <> 'DELETED'),
+      e as (select *, {_EXACT} k from d), e2 as (select *, coalesce(ref in (select {null_if_blank("source_reference")} from live where {null_if_blank("source_reference")} is not null), false) known, k in (select {_EXACT} from live) same from e),
+      f as (select *, not review and err is null and not known and not same may from e2),
+      g as (select *, may and (ref is null or row_number() over (partition by ref, may order by row_id) = 1) opened from f),
+      h as (select *, opened and row_number() over (partition by k, opened order by row_id) = 1 ins from g),
+      outcome as (select *, case when review then 'skipped' when err is not null then 'failed' when ins then 'inserted' else 'skipped' end disposition,
+        case when review then 'location needs review' when err is not null then err when known then 'source_reference exists' when ins then null when not opened and not same then 'source_reference exists' else 'exact duplicate' end message from h)"""
+
+_REQUESTS = """with sides as (select match_id, min(pair_key) pair_key, min(record_a_uuid) a, min(record_b_uuid) b from scored_pairs where pair_key is not null and decision_status = 'RESOLVED' and match_id is not null group by match_id),
+            asked as (select *, case when match_id like '%1' or match_id like '%5' then 'DELETE_A_SOFT' when match_id like '%2' then 'DELETE_B_SOFT' else 'RETAIN_BOTH' end decision from sides)"""
+
+
 def oracle_sql() -> dict[str, str]:
     whole = lambda x: f"regexp_full_match({trim_all(x)}, '[+-]?[0-9]{{1,18}}')"
     number = lambda x: f"case when regexp_full_match(trim({x}), '[0-9]{{1,9}}') then trim({x})::bigint end"
@@ -242,14 +301,31 @@ def oracle_sql() -> dict[str, str]:
         "sim_names": f"""with recursive n as (select distinct upper(last_name) a, upper(first_name) b from partner_register where last_name is not null and first_name is not null), {jaro_ctes("n")}
             select n.a, n.b, {lev("n.a", "n.b")} levenshtein, {ham("n.a", "n.b")} hamming, {jw_score("n.a", "n.b")} jaro_winkler from n left join jw on jw.a = n.a and jw.b = n.b""",
         "geo_chains": f"select * from {_CHAINS}",
+        "geo_candidates": f"with recursive {_normalize()} select region, province, city, barangay, place::int place, round(score, 9) score, barangay_code from ranked where place <= 10",
+        "geo_shadow_totals": f"""with recursive {_normalize()}, {_legacy().replace(f"typed as ({_TYPED}), ", "")},
+            both_ as (select status = 'AUTO_APPLIED' ap, error is null old, {" or ".join(f"n.{c} is distinct from l.{c}" for c in _EIGHT)} other from normalized n join legacy l using (region, province, city, barangay))
+            select count(*) total_rows, count(*) filter (ap) auto_apply_rows, count(*) filter (not ap) review_rows, count(*) filter (ap <> old or ap and old and other) drift_rows from both_""",
+        "geo_backfill": f"""with recursive {_normalize(_BACKFILL_TYPED)}, {_BACKFILLED}
+            select internal_uuid, status, match_source, round(confidence, 9) confidence, reason, resolved_barangay_code, updated from backfilled""",
+        "geo_backfill_counts": f"""with recursive {_normalize(_BACKFILL_TYPED)}, {_BACKFILLED}
+            select count(*) total_rows, count(*) filter (status = 'AUTO_APPLIED') auto_applied_rows, count(*) filter (status <> 'AUTO_APPLIED') review_rows, count(*) filter (updated) updated_rows from backfilled""",
+        "geo_lineage": f"""with recursive {_normalize(_BACKFILL_TYPED)}, {_BACKFILLED}
+            select row_number() over (order by last_name nulls first, first_name nulls first, middle_name nulls first, extension_name nulls first, generated_id nulls first, internal_uuid) row_number,
+              coalesce({null_if_blank("source_reference")}, {null_if_blank("generated_id")}, {null_if_blank("internal_uuid")}) item_reference, raw_barangay, resolved_barangay_code, status, status <> 'AUTO_APPLIED' needs_review from backfilled""",
+        "geo_parent_faults": _PARENTS,
+        "geo_chain_fault": f"""select partner_row, coalesce(case when {" or ".join(_is_blank("n." + x + "_code") for x in ("region", "province", "city", "barangay"))} then 'location codes are required' end,
+            {", ".join(f"case when {x[0]}.{x}_code is null then 'unknown {x} ' || {trim_all(f'n.{x}_code')} end" for x in ("region", "province", "city", "barangay"))},
+            case when p.region_code <> {trim_all("n.region_code")} then 'province ' || {trim_all("n.province_code")} || ' does not belong to region ' || {trim_all("n.region_code")} end,
+            {", ".join(f"case when {'coalesce(' if y != 'province' else ''}{x[0]}.{y}_code <> {trim_all(f'n.{y}_code')}{', true)' if y != 'province' else ''} then '{x} ' || {trim_all(f'n.{x}_code')} || ' does not belong to {y} ' || {trim_all(f'n.{y}_code')} end" for x, ys in (("city", ("region", "province")), ("barangay", ("region", "province", "city"))) for y in ys)}) fault
+            from partner_register n left join regions r on r.region_code = {trim_all("n.region_code")} left join provinces p on p.province_code = {trim_all("n.province_code")} left join cities c on c.city_code = {trim_all("n.city_code")} left join barangays b on b.barangay_code = {trim_all("n.barangay_code")}""",
         "geo_path": "select r.region_code, region_name, p.province_code, province_name, c.city_code, city_name, b.barangay_code, barangay_name from barangays b join cities c using (city_code) join provinces p on p.province_code = c.province_code join regions r on r.region_code = p.region_code",
         "geo_children": "select city_code, city_name, province_code from cities order by city_name, city_code",
         "geo_aliases": f"select * from {_ALIASES}",
         "geo_normalize": f"with recursive {_normalize()} select region, province, city, barangay, barangay_code, status, match_source, round(confidence, 9) confidence, reason from normalized",
-        "geo_exact_resolver": f"with {_legacy()} select * from legacy",
+        "geo_exact_resolver": f"with {_legacy()} select region, province, city, barangay, region_code, province_code, city_code, barangay_code, error from legacy",
         "geo_shadow": f"""with recursive {_normalize()}, {_legacy().replace(f"typed as ({_TYPED}), ", "")},
-            both_ as (select n.status = 'AUTO_APPLIED' ap, l.error is null old, n.barangay_code c, l.barangay_code o from normalized n join legacy l using (region, province, city, barangay))
-            select drift, count(*) chains from (select concat_ws(',', case when ap <> old then 'apply_state' end, case when old and c is distinct from o then 'barangay_code' end) drift from both_) group by drift""",
+            both_ as (select n.status = 'AUTO_APPLIED' ap, l.error is null old, {", ".join(f"n.{c} n_{c}, l.{c} l_{c}" for c in _EIGHT)} from normalized n join legacy l using (region, province, city, barangay))
+            select drift, count(*) chains from (select concat_ws(',', case when ap <> old then 'apply_state' end, {", ".join(f"case when ap and old and n_{c} is distinct from l_{c} then '{c}' end" for c in _EIGHT)}) drift from both_) group by drift""",
         "geo_ingest_counts": "select count(*) rows_read, " + ", ".join(f"count(distinct {null_if_blank(x + '_code')}) {y}" for x, y in (("region", "regions"), ("province", "provinces"), ("city", "cities"), ("barangay", "barangays"))) + f", count(*) - count(distinct {null_if_blank('barangay_code')}) rows_skipped from beneficiaries",
         "geo_ingest_conflicts": f"select barangay_code, m.city_code, m.barangay_name, variants from (select barangay_code, min({{'city_code': city_code, 'barangay_name': barangay_name}}) m, count(distinct {{'city_code': city_code, 'barangay_name': barangay_name}}) variants from beneficiaries where not {_is_blank('barangay_code')} group by barangay_code)",
         "rec_text_keys": f"""select row_id, {location_key("barangay")} barangay_key, lower({collapse("coalesce(province, '')")}) province_key, regexp_replace(coalesce(contact_no, ''), '[^0-9]', '', 'g') contact_digits,
@@ -262,12 +338,13 @@ def oracle_sql() -> dict[str, str]:
         "rec_birth": f"select internal_uuid, {birth()} birth, {birth_error_sql('birthdate_iso', 'birth_month', 'birth_day', 'birth_year')} error from new_beneficiaries",
         "rec_validate": f"select internal_uuid, error from (select internal_uuid, {_ERROR} error from new_beneficiaries union all select internal_uuid, {_ERROR} error from beneficiaries) where error is not null",
         "rec_normalize": f"""select internal_uuid, {entry("last_name")} last_name, {entry("first_name")} first_name, {null_if_blank(entry("middle_name"))} middle_name, upper({entry("last_name")}) norm_last_name, upper({entry("first_name")}) norm_first_name,
-            nullif(regexp_replace({null_if_blank("contact_no")}, '[^0-9]', '', 'g'), '') contact_no_norm, nullif({birth()}, '') birthdate_iso, coalesce({entry("sex")}, '') sex from beneficiaries""",
+            nullif(regexp_replace({null_if_blank("contact_no")}, '[^0-9]', '', 'g'), '') contact_no_norm, nullif({birth()}, '') birthdate_iso, upper(coalesce({entry("sex")}, '')) sex, {null_if_blank(entry("contact_no"))} contact_no,
+            coalesce(year(try_strptime(case when regexp_full_match({birth()}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then {birth()} end, '%Y-%m-%d')), birth_year) birth_year from beneficiaries""",
         "rec_exact_duplicates": f"select n.internal_uuid, min(b.internal_uuid) duplicate_of from (select internal_uuid, {_EXACT} k from new_beneficiaries) n join (select internal_uuid, {_EXACT} k from beneficiaries where record_status <> 'DELETED') b using (k) group by n.internal_uuid",
         "rec_candidates": "select d.internal_uuid, s.internal_uuid candidate, (row_number() over (partition by d.internal_uuid order by s.norm_last_name, s.norm_first_name, s.norm_middle_name nulls first, s.norm_extension_name nulls first, s.generated_id, s.internal_uuid))::int as position from new_beneficiaries d join beneficiaries s on d.norm_last_name = s.norm_last_name and d.norm_first_name = s.norm_first_name and d.internal_uuid <> s.internal_uuid and s.record_status <> 'DELETED' "
-        + " ".join(f"and ({_is_blank('d.' + c)} or d.{c} = s.{c})" for c in ("norm_middle_name", "norm_extension_name", "city_code", "birthdate_iso")) + " qualify position <= 25",
+        + " ".join(f"and ({_is_blank('d.' + c)} or d.{c} = s.{c})" for c in _OPTIONAL) + f" where not {_is_blank('d.norm_last_name')} and not {_is_blank('d.norm_first_name')} qualify position <= 25",
         "rec_list_page": "select internal_uuid, last_name, first_name from beneficiaries where record_status = 'ACTIVE' and source_type = 'IMPORT' order by last_name nulls first, first_name nulls first, middle_name nulls first, extension_name nulls first, generated_id nulls first, internal_uuid limit 50 offset 100",
-        "rec_search": "select internal_uuid, last_name, first_name, city_name from beneficiaries where " + " or ".join(f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%rosar%o%'" for c in ("generated_id", "last_name", "first_name", "middle_name", "contact_no", "city_name", "barangay_name")),
+        "rec_search": "select internal_uuid, last_name, first_name, city_name from beneficiaries where " + " or ".join(f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%rosar%o%'" for c in ("generated_id", "last_name", "first_name", "middle_name", "extension_name", "contact_no_norm", "source_reference")),
         "imp_dispositions": f"with {_DISPOSED} select internal_uuid, disposition, message from outcome",
         "imp_counters": f"with {_DISPOSED} select batch_no, count(*) rows_read, count(*) filter (disposition = 'inserted') rows_inserted, count(*) filter (disposition = 'skipped') rows_skipped, count(*) filter (disposition = 'failed') rows_failed from outcome group by batch_no",
         "imp_preview": f"""with r as (select *, regexp_replace(source_reference, '#row=.*$', '') as file, coalesce(case when {_is_blank("last_name")} then 'last_name is required' end, case when {_is_blank("first_name")} then 'first_name is required' end,
@@ -275,6 +352,42 @@ def oracle_sql() -> dict[str, str]:
               {birth_error_sql("null::varchar", f"({number('month_mm')})", f"({number('day_dd')})", f"({number('year_yyyy')})")}, case when {_is_blank("sex")} then 'sex is required' end) err from import_rows),
             s as (select file, string_agg('row ' || row_id || ': ' || err, '; ' order by row_id) said from (select *, row_number() over (partition by file order by row_id) k from r where err is not null) where k <= 10 group by file)
             select t.*, coalesce(said, '') sample_errors from (select file, count(*) row_count_total, count(*) filter (err is null) row_count_valid, count(err) row_count_invalid from r group by file) t left join s on s.file is not distinct from t.file""",
+        "imp_public": f"with recursive {_normalize()}, {_PUBLIC} select row_id, disposition, message, barangay_code from outcome",
+        "imp_ledger": f"""with recursive {_normalize()}, {_PUBLIC} select row_id row_number, raw_barangay, barangay_code resolved_barangay_code, match_source, case when review then 'REVIEW_NEEDED' else status end status, round(confidence, 9) confidence from outcome where not missing""",
+        "imp_run_counts": f"""with recursive {_normalize()}, {_PUBLIC} select count(*) total_rows, count(*) filter (not missing and not review and status = 'AUTO_APPLIED') auto_applied_rows, count(*) filter (not missing and (review or status <> 'AUTO_APPLIED')) review_rows,
+            count(*) filter (disposition = 'failed') failed_rows from outcome""",
+        "imp_idempotent": "select import_id, status from (select * from import_logs order by started_at desc nulls last, import_id limit 500) l where exists (select 1 from import_logs w where w.status = 'SUCCEEDED' and w.file_hash = l.file_hash and w.idempotency_key = l.idempotency_key)",
+        "imp_ids": f"""with d as (select internal_uuid, source_reference, batch_no * 10000000 + row_no n, case when row_no % 3 = 0 then {null_if_blank("generated_id")} end want from new_beneficiaries),
+            f as (select *, want is not null and row_number() over (partition by want order by n) = 1 and want not in (select generated_id from beneficiaries where generated_id is not null) own from d),
+            used as (select distinct try_cast(regexp_extract(g, '^G-0*([1-9][0-9]*)$', 1) as bigint) u from (select generated_id g from beneficiaries union all select want from f where own)),
+            free as (select g, row_number() over (order by g) k from (select unnest(range(1, (select count(*) from d) + (select count(*) from beneficiaries) + 2)) g) where g not in (select u from used where u is not null)),
+            rest as (select *, row_number() over (order by n) k from f where not own)
+            select internal_uuid, want generated_id, source_reference from f where own union all
+            select internal_uuid, 'G-' || case when g < 1000000 then lpad(g::varchar, 6, '0') else g::varchar end, case when want is null or contains(coalesce({trim_all("source_reference")}, ''), 'source_generated_id=' || want) then {null_if_blank("source_reference")}
+              when {_is_blank("source_reference")} then 'source_generated_id=' || want else {trim_all("source_reference")} || ';source_generated_id=' || want end from rest join free using (k)""",
+        "rec_precheck": f"""with c as (select d.internal_uuid id, d.k = s.k same, row_number() over (partition by d.internal_uuid order by s.norm_last_name, s.norm_first_name, s.norm_middle_name nulls first, s.norm_extension_name nulls first, s.generated_id, s.internal_uuid) place
+              from (select *, {_EXACT} k from new_beneficiaries) d join (select *, {_EXACT} k from beneficiaries where record_status <> 'DELETED') s on d.norm_last_name = s.norm_last_name and d.norm_first_name = s.norm_first_name and d.internal_uuid <> s.internal_uuid """
+        + " ".join(f"and ({_is_blank('d.' + c)} or d.{c} = s.{c})" for c in _OPTIONAL) + f""" where not {_is_blank("d.norm_last_name")} and not {_is_blank("d.norm_first_name")}),
+            n as (select id, count(*) candidates, count(*) filter (same) exact from c where place <= 25 group by id)
+            select internal_uuid, coalesce(candidates, 0) candidates, coalesce(exact, 0) exact, case when exact > 0 then 'exact duplicate' when candidates > 0 then 'possible duplicates' else 'no duplicates' end message from new_beneficiaries left join n on n.id = internal_uuid""",
+        "rec_page_total": "select count(*) total from beneficiaries where record_status = 'ACTIVE' and source_type = 'IMPORT'",
+        "rec_created": f"""select internal_uuid, {entry("last_name")} last_name, upper({entry("first_name")}) norm_first_name, upper({entry("sex")}) sex, 'ACTIVE' record_status, 'CLEAR' duplicate_status, 'LOCAL' source_type, '2026-07-01T00:00:00Z' created_at from new_beneficiaries where {_ERROR} is null""",
+        "er_decided_records": f"""{_REQUESTS}, touched as (select uuid, max(gone) gone from (select a uuid, decision = 'DELETE_A_SOFT' gone from asked union all select b, decision = 'DELETE_B_SOFT' from asked) group by uuid)
+            select internal_uuid, case when gone then 'DELETED' else record_status end record_status, case when uuid is not null then 'RESOLVED' else duplicate_status end duplicate_status, case when gone and coalesce(record_status, '') <> 'DELETED' then '2026-07-01T00:00:00Z' else deleted_at end deleted_at
+            from beneficiaries left join touched on uuid = internal_uuid""",
+        "er_decided_audit": f"""{_REQUESTS} select match_id entity_id, case when previous is null then 'DEDUP_DECISION_APPLIED' else 'DEDUP_DECISION_RECOMPUTED' end as action, previous from (select *, lag(decision) over (partition by pair_key order by match_id) previous from asked)""",
+        "er_reset_records": f"""{_REQUESTS}, last as (select pair_key, arg_max(decision, match_id) final from asked group by pair_key),
+            gone as (select uuid, max(g) gone from (select a uuid, decision = 'DELETE_A_SOFT' g from asked union all select b, decision = 'DELETE_B_SOFT' from asked) group by uuid),
+            back as (select uuid, max(g) back from (select a uuid, final = 'DELETE_A_SOFT' g from asked join last using (pair_key) union all select b, final = 'DELETE_B_SOFT' from asked join last using (pair_key)) group by uuid)
+            select internal_uuid, case when gone or record_status = 'DELETED' then case when back then 'ACTIVE' else 'DELETED' end else record_status end record_status, case when b.uuid is not null then 'POSSIBLE_DUPLICATE' else duplicate_status end duplicate_status
+            from beneficiaries left join gone g on g.uuid = internal_uuid left join back b on b.uuid = internal_uuid""",
+        "st_jobs": """select import_id job_id, case when step in ('queued>running', 'running>succeeded', 'running>failed', 'recoverable>running') then split_part(step, '>', 2) else split_part(step, '>', 1) end state,
+            case when step in ('queued>running', 'recoverable>running') then 2 else 1 end attempt, case when step = 'queued>running' then 0.0 when step = 'running>succeeded' then 100.0 else 40.0 end::double progress
+            from (select import_id, case status when 'PARTIAL' then 'running' when 'FAILED' then 'recoverable' when 'RESUMED' then 'queued' else 'succeeded' end || '>' || case status when 'PARTIAL' then 'succeeded' else 'running' end step from import_logs)""",
+        "st_recovered": "select import_id job_id, case when status = 'PARTIAL' then 'recoverable' when status = 'FAILED' then 'recoverable' when status = 'RESUMED' then 'queued' else 'succeeded' end state from import_logs",
+        "st_overlay": "select pair_key, coalesce(max(run_id) filter (decision_status = 'RESOLVED'), max(run_id) filter (decision_status = 'PENDING')) run_id from scored_pairs where pair_key is not null group by pair_key",
+        "exp_log": "select 'exp-1' export_id, 'people.csv' file_name, 'BENEFICIARIES' export_type, count(*) rows_exported from beneficiaries where record_status in ('ACTIVE', 'RETAINED') and coalesce(duplicate_status, '') <> 'POSSIBLE_DUPLICATE'",
+        "hist_pages": "select import_id, ((row_number() over (order by started_at desc nulls last, import_id) - 1) // 20 + 1)::int page from import_logs",
         "imp_repeated": f"select file_hash, idempotency_key, first_import, imports from (select file_hash, idempotency_key, arg_min(import_id, (coalesce(started_at, ''), import_id)) first_import, count(*) imports from import_logs where not {_is_blank('file_hash')} group by all) where imports > 1",
         "imp_location_outcome": f"with recursive {_normalize()} select case when barangay_code is null then 'review' when status = 'AUTO_APPLIED' then 'apply' when confidence >= 0.9 then 'accept_reviewed' else 'review' end outcome, count(*) chains from normalized group by 1",
         "exp_rows": _export(),

@@ -53,3 +53,9 @@ def to_text(rows: list[list[str]], header: list[str]) -> str:
     buffer = io.StringIO()
     csv.writer(buffer, lineterminator="\r\n").writerows([header, *rows])
     return buffer.getvalue()
+
+
+def export_log(rows: DataFrame, path: str, export_id: str, at: str, by: str | None = None) -> DataFrame:
+    """(export_id, file_name, export_type, rows_exported, created_at, performed_by): the log row of an export to a path."""
+    name = path.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
+    return rows.agg(F.count(F.lit(1)).alias("rows_exported")).select(F.lit(export_id).alias("export_id"), F.lit(name).alias("file_name"), F.lit("BENEFICIARIES").alias("export_type"), "rows_exported", F.lit(at).alias("created_at"), F.lit((by or "").strip() or None).cast("string").alias("performed_by"))
