@@ -6,13 +6,16 @@ import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LEGACY_COLUMNS, PUBLIC_COLUMNS
+from .raw_records import FIELD_START, QUOTED, line_states
 
 # Entries of a package and its version; columns of a dimension file that are used.
 REQUIRED_ENTRIES = ("manifest.json", "beneficiaries.csv", "checksums.txt", "export_meta.json")
@@ -43,30 +46,66 @@ def read_table(spark: SparkSession, path: str, layout: str | None = None) -> Dat
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(source_reference, line_no, raw_text): the records of text files, for the fault-tolerant loader, split by line ends outside quotes.
+    """(source_reference, line_no, raw_text): the records of text files, for the fault-tolerant loader, cut at line feeds outside quotes.
 
-    A file is one row of the binary source and is split within one task; line 1 is the header and is left out.
+    Files are read in blocks by the usual splits. Each block gives its transition function over line starts (inside a
+    quote or not) with the number of records it begins in either case; these few numbers a block are composed at the
+    driver, and a second pass cuts every block from its then known start. A quote opens only at the start of a field, so
+    a stray one spoils its own line alone; one that is never closed runs on to the next quote. Record 1 is the header
+    and is left out; a byte order mark and a carriage return at a record's end are dropped; empty lines are no records.
     """
-    import pandas as pd
-
-    def split(batches):  # noqa: ANN001, ANN202
-        for frame in batches:
-            for p, content in zip(frame["path"], frame["content"]):
-                text = bytes(content).decode("utf-8-sig", "replace")
-                records, quoted, start = [], False, 0
-                for piece in text.splitlines(keepends=True):
-                    start += len(piece)
-                    if quoted:
-                        records[-1] += piece
-                    else:
-                        records.append(piece)
-                    quoted ^= piece.count('"') % 2 == 1
-                rows = [r.rstrip("\n").rstrip("\r") for r in records[1:]]
-                name = p.replace("\\", "/").rsplit("/", 1)[-1]
-                yield pd.DataFrame({"source_reference": [f"{name}#row={i:06d}" for i in range(1, len(rows) + 1)], "line_no": range(1, len(rows) + 1), "raw_text": rows})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(split, "source_reference string, line_no long, raw_text string")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes]]]:
+        """Runs of lines of one block, in order; a block may come in several runs."""
+        for batch in batches:
+            value, file, block = (c.to_pylist() for c in batch.columns)
+            start = 0
+            for i in range(1, len(value) + 1):
+                if i == len(value) or (file[i], block[i]) != (file[start], block[start]):
+                    yield file[start], block[start], [(v or "").encode("utf-8", "surrogatepass") for v in value[start:i]]
+                    start = i
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[tuple[str, int], list[list[int]]] = {}
+        for file, block, run in blocks(batches):
+            found = ends.setdefault((file, block), [[FIELD_START, 0], [QUOTED, 0]])
+            for f in found:
+                before, f[0] = line_states(run, f[0])
+                f[1] += sum(1 for s, t in zip(before.tolist(), run) if s != QUOTED and t.rstrip(b"\r"))
+        yield pa.RecordBatch.from_pydict({"file": [k[0] for k in ends], "block": [k[1] for k in ends], **{f"{n}_{w}": [v[i][j] for v in ends.values()] for i, n in enumerate(("plain", "quoted")) for j, w in enumerate(("end", "records"))}}, pa.schema([("file", pa.string()), ("block", pa.int64()), *((f"{n}_{w}", pa.int64()) for n in ("plain", "quoted") for w in ("end", "records"))]))
+
+    starts: dict[tuple[str, int], tuple[int, int]] = {}
+    state, count, last = FIELD_START, 0, None
+    for r in lines.mapInArrow(functions, "file string, block long, plain_end long, plain_records long, quoted_end long, quoted_records long").orderBy("file", "block").collect():
+        if r["file"] != last:
+            state, count, last = FIELD_START, 0, r["file"]
+        starts[r["file"], r["block"]] = state, count
+        name = "quoted" if state == QUOTED else "plain"
+        state, count = r[f"{name}_end"], count + r[f"{name}_records"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[tuple[str, int], list[int]] = {}
+        for file, block, run in blocks(batches):
+            at = now.setdefault((file, block), [*starts[file, block], 0])
+            before, at[0] = line_states(run, at[0])
+            numbers, pieces, texts = [], [], []
+            for s, t in zip(before.tolist(), run):
+                if s != QUOTED and not t.rstrip(b"\r"):
+                    continue
+                at[1] += s != QUOTED
+                at[2] += 1
+                numbers.append(at[1])
+                pieces.append(at[2])
+                texts.append(t.decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(texts), pa.string()), pa.array(numbers, pa.int64()), pa.array([block] * len(texts), pa.int64()), pa.array(pieces, pa.int64()), pa.array(texts, pa.string())], names=["file", "number", "block", "piece", "text"])
+
+    pieces = lines.mapInArrow(cut, "file string, number long, block long, piece long, text string")
+    whole = pieces.groupBy("file", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece", "text"))), lambda x: x["text"]), "\n").alias("text")).where("number > 1")
+    name = F.element_at(F.split(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "/"), -1)
+    line = F.col("number") - 1
+    reference = F.concat(name, F.lit("#row="), F.when(line < 1_000_000, F.lpad(line.cast("string"), 6, "0")).otherwise(line.cast("string")))
+    return whole.select(reference.alias("source_reference"), line.alias("line_no"), F.regexp_replace("text", "\r$", "").alias("raw_text"))
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:

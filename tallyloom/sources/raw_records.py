@@ -31,17 +31,20 @@ NEXT = np.array(
     ],
     np.uint8,
 )
+#: The same over lines of a file: a line end inside quotes ends no record.
+NEXT_LINE = NEXT.copy()
+NEXT_LINE[QUOTED, END] = QUOTED
 END_BYTE = 0xFF  # occurs in no UTF-8 text
 CLASS = np.zeros(256, np.uint8)
 CLASS[[ord(","), ord('"'), END_BYTE]] = COMMA, QUOTE, END
 ERRORS = {"": "", "bare": "quote inside an unquoted field", "after": "text after a closing quote", "open": "quote never closed"}
 
 
-def chunk_transitions(classes: np.ndarray) -> np.ndarray:
+def chunk_transitions(classes: np.ndarray, table: np.ndarray = NEXT) -> np.ndarray:
     """End state of each chunk (row of byte classes) for each start state."""
     state = np.tile(np.arange(5, dtype=np.uint8), (len(classes), 1))
     for column in classes.T:
-        state = NEXT[state, column[:, None]]
+        state = table[state, column[:, None]]
     return state
 
 
@@ -54,19 +57,28 @@ def start_states(transitions: np.ndarray, first: int = FIELD_START) -> np.ndarra
     return np.concatenate([[first], composed[:-1, first]]).astype(np.uint8)
 
 
-def states_before(data: np.ndarray, chunk: int = 64) -> np.ndarray:
+def states_before(data: np.ndarray, chunk: int = 64, first: int = FIELD_START, table: np.ndarray = NEXT) -> np.ndarray:
     """The tokenizer's state before each byte."""
     padded = np.full(-(-len(data) // chunk) * chunk, END_BYTE, np.uint8)
     padded[: len(data)] = data
     classes = CLASS[padded].reshape(-1, chunk)
     states = np.empty(classes.shape, np.uint8)
-    now = start_states(chunk_transitions(classes))
+    now = start_states(chunk_transitions(classes, table), first)
     for i in range(chunk):
         states[:, i] = now
-        now = NEXT[now, classes[:, i]]
+        now = table[now, classes[:, i]]
     return states.ravel()[: len(data)]
 
 
+def line_states(lines: list[bytes], first: int) -> tuple[np.ndarray, int]:
+    """(state before each line, state after the last): a line continues a record if the state before it is QUOTED."""
+    data = np.frombuffer(b"\xff".join(lines) + b"\xff", np.uint8)
+    states = states_before(data, first=first, table=NEXT_LINE)
+    ends = np.flatnonzero(data == END_BYTE)
+    after = int(NEXT_LINE[states[-1], END])
+    return states[np.concatenate([[0], ends[:-1] + 1])], after
+
+
 PARSED = T.StructType(
     [
         T.StructField("fields", T.ArrayType(T.StringType())),

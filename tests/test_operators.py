@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audit, geography, matching, ranking, records, skew, state
+from tallyloom.operators import audit, decisions, geography, jobs, matching, ranking, records, skew, state
 from tallyloom.plans import importer
 from tallyloom.schemas import LEGACY_COLUMNS, PERSON_COLUMNS, PUBLIC_COLUMNS
 from tallyloom.sources import exchange, export
@@ -94,7 +94,7 @@ def catalog(spark):
 
 def test_geography(spark):
     chains = catalog(spark)
-    aliases = geography.region_aliases(spark.createDataFrame([("01", "Region One"), ("02", "Region II (Beta)")], "region_code string, region_name string"))
+    aliases = geography.region_aliases(spark.createDataFrame([("01", "Region One"), ("02", "Region II (Beta)"), ("03", "Region III")], "region_code string, region_name string"))
     typed = [("01", "0101", "010101", "010101001"), ("Region One", "Alpha Provnce", "Santa Cruz Cty", "Sto Nino"), ("one", "alpha province", "Santa Cruz City", "sto. niño"), ("Region One", "", "San Jose City", "Poblacion"), ("01", "0101", "010201", "010201001"), ("", None, " ", "???"), (None, None, None, None)]
     rows = spark.createDataFrame(typed, "region string, province string, city_municipality string, barangay string")
     got = {(r.region, r.province, r.city, r.barangay): r for r in geography.normalize(rows, chains, aliases).collect()}
@@ -113,9 +113,9 @@ def test_geography(spark):
     assert errors["Region One", "", "San Jose City", "Poblacion"] == (None, "city is ambiguous")
     drift = geography.shadow(geography.normalize(rows.limit(2), chains, aliases), geography.exact_resolver(rows.limit(2), chains)).collect()
     assert sorted(x.drift_fields for x in drift) == [[], ["apply_state"]]
-    assert {r.alias for r in aliases.where("region_name like '%Beta%'").collect()} >= {"02", "ii", "region ii"}
-    with pytest.raises(ValueError):
-        geography.normalize(rows, chains, aliases, bound=2)
+    assert {r.alias for r in aliases.where("region_name like '%Beta%'").collect()} == {"02", "region ii (beta)", "ii (beta)", "ii(beta)"}
+    assert {r.alias for r in aliases.where("region_name = 'Region III'").collect()} == {"03", "region iii", "iii"}
+    assert [r.place for r in geography.candidates(rows.limit(2), chains, aliases, geography.Options(candidates=1)).collect()] == [1]
     with pytest.raises(ValueError):
         geography.Options(threshold=2)
 
@@ -278,3 +278,119 @@ def test_block_join_splits_hot_blocks(spark):
     assert skew.block_join(left.limit(0), right, "k", "a", 0).count() == 0
     found = skew.lookup_join(left, spark.createDataFrame([(7, "x"), (3, "y"), (99, "z")], "k long, v string"), "k", hot_rows=50).collect()
     assert len(found) == len(rows) and all(r.v == {7: "x", 3: "y"}.get(r.k) for r in found)
+
+
+def test_aliases_and_parents(spark):
+    names = [("04", "Region IV-A"), ("05", "Region IV-B"), ("15", "Bangsamoro Autonomous Region in Muslim Mindanao"), ("16", "Old Bangsamoro Autonomous Region in Muslim Mindanao"), ("09", "Region A region B")]
+    got = {r.alias: r.region_name for r in geography.region_aliases(spark.createDataFrame(names, "region_code string, region_name string")).collect()}
+    assert got["iv-a"] == "Region IV-A" and got["region iv-b"] == "Region IV-B" and "iv" not in got and got["barmm"] == names[2][1] and "armm" not in got and got["a"] == "Region A region B" and "a region" not in got
+    r = spark.createDataFrame([("01", "One"), ("02", "Two")], "region_code string, region_name string")
+    p = spark.createDataFrame([("0101", "01", "P"), ("0201", "02", "Q")], "province_code string, region_code string, province_name string")
+    c = spark.createDataFrame([("A", "01", "0101", "A"), ("B", "02", "0101", "B"), ("C", "01", None, "C")], "city_code string, region_code string, province_code string, city_name string")
+    b = spark.createDataFrame([("A1", "01", "0101", "A", "x"), ("B1", "01", "0101", "B", "x"), ("C1", "01", None, "C", "x"), ("C2", "09", "0201", "C", "x")], "barangay_code string, region_code string, province_code string, city_code string, barangay_name string")
+    chains = {x.barangay_code: (x.region_code, x.consistent) for x in geography.chains(r, p, c, b).collect()}
+    assert chains == {"A1": ("01", True), "B1": ("01", False), "C2": ("02", False)}
+    asked = spark.createDataFrame([("01", "0101", "A", "A1"), ("01", "0101", "A", "B1"), ("02", "0101", "A", "A1"), ("01", " ", "A", "A1"), ("01", "0101", "C", "C1"), ("01", "0101", "Z", "A1")], "region_code string, province_code string, city_code string, barangay_code string")
+    faults = {tuple(x)[:4]: x.chain_fault for x in geography.chain_fault(asked, r, p, c, b).collect()}
+    assert list(faults.values()).count(None) == 2 and faults["01", "0101", "A", "B1"] == "barangay B1 does not belong to city A" and faults["02", "0101", "A", "A1"] == "province 0101 does not belong to region 02"
+    assert faults["01", " ", "A", "A1"] == "location codes are required" and faults["01", "0101", "Z", "A1"] == "unknown city Z"
+    assert {x.code for x in geography.parent_faults({"region": r, "province": p, "city": c, "barangay": b}).collect()} >= {"B", "B1", "C2"}
+    schema = ", ".join(f"{x}_{y} string" for x in geography.LEVELS for y in ("code", "name"))
+    with pytest.raises(ValueError):
+        geography.ingest(spark.createDataFrame([("01", "R", "0101", "P", "A", "C", "A1", "B"), ("02", "S", "0101", "P", "A", "C", "A2", "B")], schema))
+
+
+def test_backfill(spark):
+    chains, aliases = catalog(spark), geography.region_aliases(spark.createDataFrame(R, "region_code string, region_name string"))
+    place = {"region_name": "Region One", "province_name": "Alpha Province", "city_name": "Santa Cruz City", "barangay_name": "sto. niño", "region_code": "x", "source_reference": None}
+    rows = people(spark, [person("a", **place), person("b", **place | {"province_name": None, "province_code": None, "barangay_name": "Sto. Niño"}), person("c", **place | {"barangay_name": "Elsewhere", "source_reference": "f"})])
+    done = geography.backfill(rows, chains, aliases, "now")
+    got = {r.internal_uuid: (r.status, r.updated, r.reason) for r in done.collect()}
+    assert got["a"] == ("AUTO_APPLIED", True, None) and got["b"] == ("REVIEW_NEEDED", False, "raw location chain incomplete") and got["c"][0] == "REVIEW_NEEDED"
+    assert geography.backfill_counts(done).first() == (3, 1, 2, 1)
+    after = {r.internal_uuid: (r.region_code, r.barangay_name, r.updated_at) for r in geography.backfilled(rows, done).collect()}
+    assert after["a"] == ("01", "Sto. Niño", "now") and after["c"][0] == "x"
+    items = geography.lineage(done, "run", [F.col("internal_uuid")]).orderBy("row_number").collect()
+    assert [r.item_reference for r in items] == ["G-a", "G-b", "f"] and [r.row_number for r in items] == [1, 2, 3]
+
+
+def test_decisions(spark):
+    matches = spark.createDataFrame([("m1", "a|b", "a", "b", "PENDING"), ("m2", "c|d", "c", "d", "PENDING")], "match_id string, pair_key string, record_a_uuid string, record_b_uuid string, decision_status string")
+    store = people(spark, [person(x) for x in "abcde"])
+    none = spark.createDataFrame([], "pair_key string, record_a_uuid string, record_b_uuid string, decision string, resolved_by string, resolved_at string, notes string")
+    asked = spark.createDataFrame([(1, "m1", "RETAIN_BOTH", "x", None), (2, "m1", "DELETE_B_SOFT", "x", "why"), (3, "m9", "RETAIN_A", "x", None), (4, "m2", "NO", "x", None), (5, "m2", "RETAIN_A", " ", None)], "n long, match_id string, decision string, resolved_by string, notes string")
+    out = decisions.applied(matches, store, none, asked, [F.col("n")], "now")
+    assert {r.match_id: r.decision_status for r in out.matches.collect()} == {"m1": "RESOLVED", "m2": "PENDING"}
+    got = {r.internal_uuid: (r.record_status, r.duplicate_status) for r in out.records.collect()}
+    assert got["a"] == ("ACTIVE", "RESOLVED") and got["b"] == ("DELETED", "RESOLVED") and got["c"] == ("ACTIVE", "CLEAR")
+    assert [(r.pair_key, r.decision) for r in out.decisions.collect()] == [("a|b", "DELETE_B_SOFT")]
+    assert sorted((r.action, json.loads(r.details).get("previous_decision"), json.loads(r.details).get("notes")) for r in out.audit.collect()) == [("DEDUP_DECISION_APPLIED", None, None), ("DEDUP_DECISION_RECOMPUTED", "RETAIN_BOTH", "[redacted]")]
+    assert sorted(r.reason for r in out.refused.collect()) == ["resolved_by is required", "unknown decision", "unknown match"]
+    back = decisions.reset(out.matches, out.records, out.decisions, spark.createDataFrame([("m1", "x", None), ("m2", "x", None)], "match_id string, reset_by string, notes string"), "later")
+    got = {r.internal_uuid: (r.record_status, r.duplicate_status, r.deleted_at) for r in back.records.collect()}
+    assert got["b"] == ("ACTIVE", "POSSIBLE_DUPLICATE", None) and got["a"][1] == "POSSIBLE_DUPLICATE" and got["d"][1] == "CLEAR"
+    assert [r.reason for r in back.refused.collect()] == ["no decision to reset"] and {r.decision_status for r in back.matches.collect()} == {"PENDING"}
+
+
+def test_jobs(spark):
+    now = spark.createDataFrame([("a", "queued", "t", 0, None, "", None), ("b", "running", "t", 1, 30.0, "", None), ("c", "recoverable", "t", 1, 30.0, "m", "e"), ("d", "succeeded", "t", 1, 100.0, "", None), ("e", "cancel_requested", "t", 1, 10.0, "", None)], "job_id string, state string, updated_at string, attempt int, progress double, message string, error_code string")
+    asked = spark.createDataFrame([("a", "running", None, None, None), ("b", "failed", None, " ", "boom"), ("c", "running", None, "again", None), ("d", "running", None, None, None), ("z", "running", None, None, None)], "job_id string, next string, progress double, message string, error_code string")
+    after, refused = jobs.moved(now, asked, "now")
+    got = {r.job_id: (r.state, r.attempt, r.progress, r.message, r.error_code) for r in after.collect()}
+    assert got == {"a": ("running", 1, 0.0, "", None), "b": ("failed", 1, 30.0, "", "boom"), "c": ("running", 2, 30.0, "again", None), "d": ("succeeded", 1, 100.0, "", None), "e": ("cancel_requested", 1, 10.0, "", None)}
+    assert {r.job_id: r.reason for r in refused.collect()} == {"d": "no step from succeeded to running", "z": "unknown job"}
+    again = {r.job_id: (r.state, r.message) for r in jobs.recovered(now, "now").collect()}
+    assert again["b"] == ("recoverable", "recovered after a restart") and again["e"][0] == "cancel_requested"
+
+
+def test_guarded_restore(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    state.backup(spark.createDataFrame([("x",), ("x",), ("y",)], "v string"), path, "one", "now")
+    assert state.manifest_of(spark.createDataFrame([("x",), ("x",)], "v string"))["checksum"] != state.manifest_of(spark.createDataFrame([("y",), ("y",)], "v string"))["checksum"]
+    busy = spark.createDataFrame([("j", "running")], "job_id string, state string")
+    assert not state.validated(spark, path, "one", busy)["apply_ready"]
+    for wrong in ({"jobs": busy}, {"phrase": "RESTORE", "confirmation": "no"}, {"phrase": "RESTORE"}):
+        with pytest.raises(ValueError):
+            state.restore(spark, path, "one", **wrong)
+    live = spark.createDataFrame([("now",)], "v string")
+    assert state.restore(spark, path, "one", live=live, phrase="RESTORE", confirmation=" RESTORE ", at="2026-07-01").count() == 3
+    assert state.restore(spark, path, "pre-restore-20260701").first() == ("now",)
+    journal = spark.createDataFrame([(1,), (2,)], "version int")
+    assert state.versions(journal, [1, 2, 3]) == (2, [3], []) and state.versions(journal.limit(0), [1], 0) == (0, [], []) and state.versions(journal, [1, 2, 3], 1) == (2, [], [2])
+    with pytest.raises(LookupError):
+        records.found(live, "v", "x")
+
+
+def test_public_import_and_repeated_commit(spark):
+    chains, aliases = catalog(spark), geography.region_aliases(spark.createDataFrame(R, "region_code string, region_name string"))
+    good = ["Region One", "Alpha Province", "Santa Cruz City", "Sto. Niño"]
+    rows = [(1, "f#1", None, "Cruz", "Ana", *good, "1", "2", "1990", "f"), (2, "f#2", None, "Cruz", "Ana", *good, "1", "2", "1990", "F "), (3, "f#3", None, "Diaz", "Ben", "Region One", "Alpha Province", "Nowhere", "Nothing", "x", None, None, "M"), (4, "f#4", None, "Diaz", "Ben", *good, "x", None, None, "M"), (5, "f#5", None, "Diaz", "Ben", "", *good[1:], None, None, None, "M"), (6, "f#6", None, "Diaz", " ", *good, None, None, None, "M")]
+    df = spark.createDataFrame([(*r[:5], None, None, *r[5:9], None, *r[9:]) for r in rows], "row_id long, source_reference string, id string, last_name string, first_name string, middle_name string, extension_name string, region string, province string, city_municipality string, barangay string, contact_no string, month_mm string, day_dd string, year_yyyy string, sex string")
+    drafts = importer.public_drafts(df, geography.normalize(df, chains, aliases))
+    done = importer.dispositions(drafts, people(spark, [person("s")]), [F.col("row_id")], F.col("draft_error"), F.col("needs_review"))
+    got = {r.row_id: (r.disposition, r.message) for r in done.collect()}
+    assert got[1] == ("inserted", None) and got[2] == ("skipped", "exact duplicate") and got[3] == ("skipped", "location needs review") and got[4] == ("failed", "month_mm must be a whole number")
+    assert got[5][0] == "failed" and got[6] == ("failed", "first_name is required")
+    items = importer.ledger(done, "run", "row_id")
+    assert {r.row_number: r.status for r in items.collect()} == {1: "AUTO_APPLIED", 2: "AUTO_APPLIED", 3: "REVIEW_NEEDED", 4: "AUTO_APPLIED", 6: "AUTO_APPLIED"} and importer.run_counts(done, items).first() == (6, 4, 1, 3)
+    logs = spark.createDataFrame([("i", "h", "k", "SUCCEEDED", "2024")], "import_id string, file_hash string, idempotency_key string, status string, started_at string")
+    numbered = people(spark, [person("a", last_name="New")]).withColumn("n", F.lit(1))
+    again = importer.commit(numbered, people(spark, [person("s")]), "n", "h", "stamp", logs=logs, key=" k ")
+    assert (again.repeated, again.status, again.rows.count()) == ("i", "SUCCEEDED", 0)
+    assert importer.commit(numbered, people(spark, [person("s")]), "n", "other", "stamp", logs=logs, key="k").rows.count() == 1
+    made = records.created(people(spark, [person(" ", last_name="  De  La ", record_status=" ", sex="m", generated_id="G-s"), person("z", sex=None)]), people(spark, [person("s")]), [F.col("last_name")], "now").collect()
+    assert len(made) == 1 and (made[0].last_name, made[0].record_status, made[0].sex, made[0].generated_id, len(made[0].internal_uuid)) == ("De La", "ACTIVE", "M", "G-000001", 36)
+
+
+def test_records_of_a_file_cut_across_blocks(spark, tmp_path):
+    rng, pieces = random.Random(3), ["a\x0bB,1", "C\u2028D,2", 'x,"two\nlines",3', 'stray " quote,4', "plain,\u0085,5", '"q ""q"", z",6', "", '"open\n\nstill",7']
+    wanted = [rng.choice(pieces) for _ in range(400)]
+    (tmp_path / "f.csv").write_bytes(("\ufeffhead,er\n" + "\r\n".join(wanted) + "\n").encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = exchange.read_records(spark, f"file://{tmp_path}/f.csv").orderBy("line_no").collect()
+            assert [r.raw_text for r in got] == [w for w in wanted if w] and got[6].source_reference == "f.csv#row=000007"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
