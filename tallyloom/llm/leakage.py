@@ -4,12 +4,13 @@ Method: a positional inverted index of the corpus, kept as a table and partition
 postings (word positions) of all terms of its documents. Test items come to every segment in blocks of bounded size.
 Of each window of n words the rarest term over all documents is looked up; its postings are intersected, shifted by
 their offsets, with those of its neighbours in the item; survivors are compared word by word over the whole window.
+Proximity matches (see nearby) look up the rarest words of a window instead and count its words in a short span.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
-from .lookalikes import Scorer
+from .lookalikes import Scorer, icu_shapes
 
 _WORD = re.compile(r"[^\W_]+")
 #: Unused positions between documents, so that no window crosses an edge; windows may be as long as this.
@@ -62,15 +63,17 @@ class _Segment:
         return pa.RecordBatch.from_arrays([pa.array([self.ids], pa.list_(kind)), s, pa.array([list(self.terms)], pa.list_(pa.string())), e, f, p], names=["doc_ids", "starts", "terms", "ends", "found", "positions"])
 
 
-def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", segment_words: int = 2_000_000) -> DataFrame:
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", segment_words: int = 2_000_000, path: str | None = None) -> DataFrame:
     """The positional index of all documents as a durable table, a row per segment of about ``segment_words`` words.
 
     A segment ends with a whole document; a text of any length is indexed whole. Null, empty and wordless texts have
-    no postings. New documents are added by appending their index.
+    no postings. With a path the index is a table that outlives the session: it is appended to what stands there, and
+    any later session reads it by spark.read.parquet(path).
     """
+    shapes = icu_shapes(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, segment = Scorer(), _Segment()
+        scorer, segment = Scorer(shapes=shapes), _Segment()
         for batch in batches:
             kind = batch.schema.field(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -82,7 +85,11 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield segment.row(kind)
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return durable(documents.select(F.col(doc_id), F.col(text)).mapInArrow(run, SEGMENT.format(id=kind)), "postings")
+    made = documents.select(F.col(doc_id), F.col(text)).mapInArrow(run, SEGMENT.format(id=kind))
+    if path is None:
+        return durable(made, "postings")
+    made.write.mode("append").option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
 def document_frequencies(index: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -153,6 +160,57 @@ def _search(segment: dict, items: list[tuple], n: int) -> Iterator[tuple]:
             yield item, segment["doc_ids"][k - 1]
 
 
+def _nearby(segment: dict, items: list[tuple], span: int, least: int) -> Iterator[tuple]:
+    """(item, document) of one segment. An item is (id, [(window's words, words to look up)])."""
+    place = {w: i for i, w in enumerate(segment["terms"])}
+    ends, at, starts = (np.frombuffer(segment[c], np.int32) for c in ("ends", "positions", "starts"))
+    begins = np.concatenate([[0], ends[:-1]])
+    flow = np.full(int(at.max()) + 2 * GAP, -1, np.int32)
+    flow[at] = np.repeat(np.arange(len(ends), dtype=np.int32), ends - begins)
+    reach = np.arange(-(span - 1), span)
+    for item, windows in items:
+        hit: set[int] = set()
+        for own, anchors in windows:
+            terms = [place[w] for w in own if w in place]
+            if len(terms) < least:
+                continue
+            found = np.concatenate([at[begins[place[w]] : ends[place[w]]] for w in anchors if w in place] or [np.empty(0, np.int32)])
+            for part in np.array_split(found, max(1, -(-len(found) // 20_000))):
+                near = flow[np.maximum(part[:, None] + reach, 0)]
+                present = np.zeros((len(part), span), np.int16)
+                for t in terms:  # whether a term stands in each of the spans that hold the anchor
+                    seen = np.cumsum(near == t, axis=1)
+                    present += (seen[:, span - 1 :] - np.concatenate([np.zeros((len(part), 1), seen.dtype), seen[:, : span - 1]], axis=1)) > 0
+                hit.update(np.searchsorted(starts, part[(present >= least).any(axis=1)], "right").tolist())
+        for k in hit:
+            yield item, segment["doc_ids"][k - 1]
+
+
+def nearby(items: DataFrame, documents: DataFrame, n: int = 12, least: int = 10, span: int = 16, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", block_chars: int = 4_000_000, index: DataFrame | None = None) -> DataFrame:
+    """(item_id, doc_id), distinct: the documents in which ``least`` different words of some n consecutive words of an item stand within ``span`` words, in any order.
+
+    Of a window with d different words any d - least + 1 hold one that must be there, so the rarest of them are looked
+    up and no match is lost. Items come in blocks as in leaked; 1 <= span < 64. Nulls, empty texts and tables, and
+    windows of fewer than ``least`` different words, give no rows.
+    """
+    if not (1 <= span < GAP and 1 <= least <= n):
+        raise ValueError(f"span must lie between 1 and {GAP - 1}, least between 1 and n")
+    index = build_index(documents, doc_id, text) if index is None else index
+
+    def windows(ws: list[str], frequency: dict[str, int]) -> list[tuple]:
+        out = {}
+        for i in range(max(1, len(ws) - n + 1)):
+            own = sorted(set(ws[i : i + n]), key=lambda w: (frequency.get(w, 0), w))
+            if len(own) >= least:
+                out[tuple(own)] = own[: len(own) - least + 1]
+        return list(out.items())
+
+    def listed(asked: list[tuple], frequency: dict[str, int]) -> list[tuple]:
+        return [(i, w) for i, ws in asked if ws and (w := windows(ws, frequency))]
+
+    return _matched(items, documents, index, item_id, doc_id, text, block_chars, listed, lambda segment, block: _nearby(segment, block, span, least))
+
+
 def leaked(items: DataFrame, documents: DataFrame, n: int = 12, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", block_chars: int = 4_000_000, index: DataFrame | None = None) -> DataFrame:
     """(item_id, doc_id), distinct: the documents that hold n or more consecutive words of an item.
 
@@ -162,28 +220,36 @@ def leaked(items: DataFrame, documents: DataFrame, n: int = 12, item_id: str = "
     if not 1 <= n < GAP:
         raise ValueError(f"n must lie between 1 and {GAP - 1}")
     index = build_index(documents, doc_id, text) if index is None else index
+
+    def listed(asked: list[tuple], frequency: dict[str, int]) -> list[tuple]:
+        found = [(i, ws, _anchors([frequency.get(w, 0) for w in ws], n)) for i, ws in asked if len(ws) >= n]
+        # A window of which one word is nowhere in the corpus has that word as its anchor and is nowhere either.
+        found = [(i, ws, [p for p in ps if frequency.get(ws[p])]) for i, ws, ps in found]
+        return [x for x in found if x[2]]
+
+    return _matched(items, documents, index, item_id, doc_id, text, block_chars, listed, lambda segment, block: _search(segment, block, n))
+
+
+def _matched(items: DataFrame, documents: DataFrame, index: DataFrame, item_id: str, doc_id: str, text: str, block_chars: int, listed: Callable, search: Callable) -> DataFrame:
+    """The distinct pairs of a search, the items going to all segments in blocks of bounded size."""
     source = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null and item_id is not null")
     blocks = max(1, -(-(source.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     kinds = items.schema[item_id].dataType.simpleString(), documents.schema[doc_id].dataType.simpleString()
-    schema = f"item_id {kinds[0]}, doc_id {kinds[1]}"
+    types = [pa.from_numpy_dtype(np.int64) if k == "bigint" else pa.int32() if k == "int" else pa.string() for k in kinds]
+    scorer = Scorer(shapes=icu_shapes(documents.sparkSession))
     out = None
     for block in range(blocks):
-        scorer = Scorer()
         own = source if blocks == 1 else source.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         asked = [(r.item_id, words(r.text, scorer)) for r in own.collect()]
         frequency = document_frequencies(index, {w for _, ws in asked for w in ws})
-        listed = [(i, ws, _anchors([frequency.get(w, 0) for w in ws], n)) for i, ws in asked if len(ws) >= n]
-        # A window of which one word is nowhere in the corpus has that word as its anchor and is nowhere either.
-        listed = [(i, ws, [p for p in ps if frequency.get(ws[p])]) for i, ws, ps in listed]
-        shared = documents.sparkSession.sparkContext.broadcast([x for x in listed if x[2]])
+        shared = documents.sparkSession.sparkContext.broadcast(listed(asked, frequency))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
                 for row in batch.to_pylist():
-                    pairs = list(_search(row, shared.value, n))
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], batch_type) for k, batch_type in enumerate(_types)], names=["item_id", "doc_id"])
+                    pairs = list(search(row, shared.value))
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k, kind in enumerate(types)], names=["item_id", "doc_id"])
 
-        _types = [pa.from_numpy_dtype(np.int64) if k == "bigint" else pa.int32() if k == "int" else pa.string() for k in kinds]
-        part = index.mapInArrow(run, schema)
+        part = index.mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -141,3 +141,13 @@ def pack(documents: DataFrame, limits: Limits = Limits(), tokenizer: str | None
     # Groups are small in bytes and long in work: an explicit count keeps the runtime from merging them into few tasks.
     packed = loose.repartition(min(groups, 8192), "g").groupBy("g").applyInPandas(one, f"container_id string, doc_id {kind}, piece_no long, token_start long, n_tokens long, place long")
     return packed.unionByName(full.select(out)).unionByName(none.select(out))
+
+
+def checked(documents: DataFrame, packed: DataFrame, limits: Limits, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row: documents packed whole, texts cut though a container could take them, and containers over each limit (0 each if all is well)."""
+    sizes = token_counts(documents, tokenizer, doc_id, text).withColumnRenamed("n_tokens", "size")
+    pieces = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("packed"))
+    both = sizes.join(pieces, "doc_id", "left").agg(F.count_if(F.col("size") == F.col("packed")).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= limits.piece)).alias("cut_below"))
+    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("d"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("a"))
+    over = boxes.agg(F.count_if(F.col("t") > limits.tokens).alias("over_tokens"), F.count_if(F.col("d") > limits.documents).alias("over_documents"), F.count_if(F.col("a") > limits.attention).alias("over_attention"))
+    return both.crossJoin(over)  # two single rows

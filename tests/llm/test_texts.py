@@ -84,6 +84,27 @@ def test_leaks_against_plain(spark):
     assert leakage.leaked(a, none).count() == 0 and leakage.leaked(a.limit(0), b).count() == 0
 
 
+def test_nearby_against_plain_and_a_stored_index(spark, tmp_path):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 14)))) for i in range(12)] + [(30, None)]
+    texts = [(d, " ".join(rng.choices(vocabulary, k=rng.randint(0, 50)))) for d in range(40)] + [(60, None), (61, "")]
+    texts += [(100 + i, "x " + " ".join(rng.sample(t.split(), len(t.split()))) + " y") for i, t in items if t]
+    n, least, span, want = 6, 4, 7, set()
+    for i, t in items:
+        ws = (t or "").split()
+        for k in range(max(1, len(ws) - n + 1)):
+            own = set(ws[k : k + n])
+            want |= {(i, d) for d, x in texts if x and len(own) >= least and any(len(own & set(x.split()[q : q + span])) >= least for q in range(len(x.split())))}
+    a, b = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in leakage.nearby(a, b, n, least, span).collect()} == want
+    path = f"file://{tmp_path}/index"
+    leakage.build_index(b.where("doc_id < 100"), path=path)
+    leakage.build_index(b.where("doc_id >= 100"), path=path)
+    assert {(r.item_id, r.doc_id) for r in leakage.nearby(a, b, n, least, span, index=spark.read.parquet(path)).collect()} == want
+    assert leakage.nearby(a, b.limit(0), n, least, span).count() == 0
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(["word"] * rng.choice([0, 1, 5, 40, 200, 3000])) for _ in range(300)] + [None, "", "x" * 50_000]
