@@ -215,10 +215,13 @@ def _ranked(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Op
     for x in LEVELS:
         any_filled = any_filled | (F.col(f"k_{x}") != "")
     scores = kept.join(alone, "id", "left_anti").join(keys, "id").where(any_filled)
+    tasks = max(64, 8 * rows.sparkSession.sparkContext.defaultParallelism)
     # Names repeat, so each distinct pair of unequal keys is scored once and joined back; equal keys score 1.
     for x in LEVELS:
         unlike = (F.col(f"k_{x}") != "") & (F.col(f"k_{x}") != F.col(f"l_{x}"))
-        pairs = scores.where(unlike).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"l_{x}").alias(f"b_{x}")).distinct().repartition(F.col(f"a_{x}"), F.col(f"b_{x}"))
+        pairs = scores.where(unlike).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"l_{x}").alias(f"b_{x}")).distinct()
+        # Pairs are small in bytes and long in work: an explicit count keeps the runtime from merging them into few tasks.
+        pairs = pairs.repartition(tasks, f"a_{x}", f"b_{x}")
         pairs = durable(pairs.withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}"))), "scores")
         scores = scores.join(pairs, (F.col(f"k_{x}") == F.col(f"a_{x}")) & (F.col(f"l_{x}") == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
         scores = scores.withColumn(f"s_{x}", F.when(F.col(f"k_{x}") == "", 0.0).when(F.col(f"k_{x}") == F.col(f"l_{x}"), 1.0).otherwise(F.col(f"s_{x}")))
