@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.durable import drop, durable, new_path
+from ..operators.durable import drop, durable, new_path, shuffles_freed
 from ..operators.skew import block_join
 from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, contacts_near, one_person, parse_birth
 from .variants import FIELDS, attributes
@@ -194,7 +194,8 @@ class FingerprintStore:
     def _write(self, df: DataFrame, name: str) -> None:
         """df as a batch of a table, in its partitions; a partition that is too large is written by several tasks."""
         path = f"{self.path}/{name}/batch={self.batches}"
-        df.hint("rebalance", "part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
+        with shuffles_freed(self.spark):
+            df.hint("rebalance", "part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
 
     def _part(self, c: Column, segment: int) -> Column:
         return (F.pmod(F.xxhash64(c), F.lit(self.segments[segment].partitions)) + segment * STRIDE).cast("int")
@@ -312,21 +313,25 @@ class FingerprintStore:
         for done in (batch, fresh):
             drop(done)
 
-    def offer(self, rows: DataFrame, ord_column: Column, record: str = "internal_uuid") -> DataFrame:
+    def offer(self, rows: DataFrame, ord_column: Column, record: str = "internal_uuid", shift: int | None = None) -> DataFrame:
         """(uuid, first), durable: the rows of a batch whose person was accepted before, in the store or by a smaller order in the batch, with that person's first record.
 
         Afterwards all rows are in the store, each under its person's first record. Order values must be positive,
-        unique, and greater than those of all batches before.
+        unique, and greater than those of all batches before. With ``shift``, rows are of several batches, those of one
+        having one ``order >> shift``: the result is that of offering them one after the other, but the store is
+        searched once for all.
         """
         batch = durable(prepared(rows, ord_column, record), "batch")
         fresh = durable(fingerprints(batch), "fresh")
         own, size = fresh.select("fp").distinct(), fresh.count()  # answered from the files' footers
         covered = self._covered(fresh, own, size)
         links = self._verified(covered, batch)
-        # A row's label is the first record that it is linked with; labels spread over links within the batch until none changes.
+        # A row's label is the first record that it is linked with; labels spread over links within the offer until none changes.
         labels = durable(links.groupBy("uuid", "ord").agg(F.min(F.struct(F.col("root_ord").alias("o"), F.col("root").alias("r"))).alias("label")), "labels")
         edges = links.where("within")
-        both = durable(edges.select(F.col("ord").alias("x"), F.col("old_ord").alias("y"), F.col("old_uuid").alias("u")).unionByName(edges.select(F.col("old_ord").alias("x"), F.col("ord").alias("y"), F.col("uuid").alias("u"))), "both")
+        # A later batch learns from an earlier one, which was settled before and learns nothing.
+        mutual = edges if shift is None else edges.where(F.shiftright("ord", shift) == F.shiftright("old_ord", shift))
+        both = durable(mutual.select(F.col("ord").alias("x"), F.col("old_ord").alias("y"), F.col("old_uuid").alias("u")).unionByName(edges.select(F.col("old_ord").alias("x"), F.col("ord").alias("y"), F.col("uuid").alias("u"))), "both")
         changed = both.count()  # answered from the files' footers
         while changed:
             # Over an edge x-y, y learns x's label; u is y's name. A row without a label of its own is a first record so far.
@@ -351,19 +356,18 @@ def repeated_persons(history: DataFrame, batches: DataFrame, batch: str = "batch
     The history goes into a new store, or is in the given one already and ignored. Batches come in the order of their
     number, rows of a null number last. Rows without an id are not reported; rows without two of birth date, contact
     and place, and without names and reference, have no fingerprints and count as new. An empty history or no batch is
-    allowed. The list of batch numbers comes to the driver, no row does.
+    allowed. The batches are offered together, so that the store is read once for all of them, with the result of offering
+    one after the other. The list of batch numbers comes to the driver, no row does.
     """
     spark = batches.sparkSession
     if store is None:
         store = FingerprintStore(spark)
         store.accept(history, F.lit(0), record)
-    out = None
     numbers = sorted((r[0] for r in batches.select(batch).distinct().collect()), key=lambda n: (n is None, n))
-    for number in numbers:
-        rows = batches.where(F.col(batch).eqNullSafe(F.lit(number)))
-        store.order += 1
-        found = store.offer(rows, F.lit(store.order << 40) + F.coalesce(F.col(row), F.lit(1 << 39)), record)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "uuid string, first string")
-    return out.select(F.least("uuid", "first").alias("uuid_a"), F.greatest("uuid", "first").alias("uuid_b"))
+    if not numbers:
+        return spark.createDataFrame([], "uuid_a string, uuid_b string")
+    places = spark.createDataFrame([(n, store.order + 1 + i) for i, n in enumerate(numbers)], f"__batch {batches.schema[batch].dataType.simpleString()}, __order long")
+    store.order += len(numbers)
+    rows = batches.join(F.broadcast(places), F.col(batch).eqNullSafe(F.col("__batch")))
+    found = store.offer(rows, F.shiftleft("__order", 40) + F.coalesce(F.col(row), F.lit(1 << 39)), record, shift=40)
+    return found.select(F.least("uuid", "first").alias("uuid_a"), F.greatest("uuid", "first").alias("uuid_b"))

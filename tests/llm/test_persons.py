@@ -146,6 +146,38 @@ def test_store_is_opened_again_and_read_in_part(spark, tmp_path):
     assert (u[7], u[1002]) in got or (u[1002], u[7]) in got
 
 
+def test_batches_search_the_store_once_and_settle_in_turn(spark):
+    u = ids(8, 25)
+    history = people(spark, [(u[0], "REYES", "ANA", None, None, *B)])
+    cruz = ("CRUZ", "EDUARDO", "LOPEZ", None)
+    # 1 and 2 share too little with each other, 3 is one person with both: 1 stays the first, and 2 stays a first record of its own.
+    new = [
+        (1, 1, u[1], *cruz, A[0], "09170000001", None, "M"),
+        (1, 2, u[2], *cruz, None, "09180000002", A[2], "M"),
+        (2, 1, u[3], *cruz, A[0], "09170000001", A[2], "M"),
+        (2, 2, u[4], *cruz, None, "09180000002", A[2], "M"),
+        (3, 1, u[5], *cruz, A[0], None, A[2], "M"),
+        (3, 2, u[6], "REYES", "ANA", None, None, *B),
+    ]
+    batches = spark.createDataFrame(new, "batch_no long, row_no long, " + PERSON)
+    read: list[str] = []
+    table = FingerprintStore._table
+    FingerprintStore._table = lambda self, name, schema, parts=None: (read.append(name), table(self, name, schema, parts))[1]
+    try:
+        store = FingerprintStore(spark)
+        store.accept(history, F.lit(0))
+        together = {(r.uuid_a, r.uuid_b) for r in repeated_persons(history, batches, store=store).collect()}
+    finally:
+        FingerprintStore._table = table
+    assert read.count("fingerprints") == 1
+    one_by_one, store = set(), FingerprintStore(spark)
+    store.accept(history, F.lit(0))
+    for n in (1, 2, 3):
+        one_by_one |= {(r.uuid_a, r.uuid_b) for r in repeated_persons(history, batches.where(F.col("batch_no") == n), store=store).collect()}
+    assert together == one_by_one and tuple(sorted((u[6], u[0]))) in together and tuple(sorted((u[3], u[1]))) in together
+    assert not any(set(pair) == {u[1], u[2]} for pair in together)
+
+
 def test_coverage_rejects_what_shares_a_part_of_a_run(spark):
     u = ids(4, 23)
     history = [(u[0], "CRUZ", "EDUARDO", "LOPEZ", None, A[0], None, "0101010001", "M"), (u[1], "REYES", "ANA", None, None, B[0], B[1], None, "F")]
