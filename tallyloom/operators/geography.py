@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler
+from ..functions.arrays import jaro_winkler_of
 from ..functions.text import blank, blank_to_null, collapse, location_key, lookup_key, trim_all
 from .durable import durable
 
@@ -169,18 +172,20 @@ def typed_chains(rows: DataFrame, columns: tuple[str, str, str, str] = TYPED) ->
 
 
 def _narrowed(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, columns: tuple[str, str, str, str]) -> tuple[DataFrame, DataFrame]:
-    """(survivors, typed): each distinct typed chain with the catalog chains that exact matches leave it.
+    """(state, entries, typed): each distinct typed chain with the codes (w_) to which exact matches narrow it, the catalog, and all typed chains.
 
     Level by level an equi-join by name and by code, under what the levels above left, narrows a chain to the codes
-    that match; where none does, the level is passed over. What is left is then looked up under its deepest code. Only a
-    chain of which no level matches meets the whole catalog, as its definition says.
+    that match; where none does, the level is passed over. A match gives the codes of the levels above it too, so a chain
+    without a region's code is one of which no level matches. ``entry`` numbers the catalog in the order of its codes.
     """
     raw = typed_chains(rows, columns)
     named = raw.join(aliases.select(F.col("alias").alias("__a"), F.col("region_name").alias("__n")), F.lower("region") == F.col("__a"), "left").withColumn("asked", F.coalesce("__n", "region"))
     text_of = lambda x: F.col("asked" if x == "region" else x)
     typed = named.select(*LEVELS, F.unhex(F.md5(F.concat_ws("\x1f", *LEVELS))).alias("id"), *(F.lower(text_of(x)).alias(f"t_{x}") for x in LEVELS), *(location_key(text_of(x)).alias(f"k_{x}") for x in LEVELS))
     typed = durable(typed, "typed")
-    entries = durable(catalog.select(*CHAIN, "consistent", *(lookup_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS), *(location_key(f"{x}_name").alias(f"l_{x}") for x in LEVELS)).coalesce(1), "names")
+    entries = catalog.select(*CHAIN, "consistent", *(lookup_key(f"{x}_name").alias(f"n_{x}") for x in LEVELS), *(location_key(f"{x}_name").alias(f"l_{x}") for x in LEVELS))
+    by_code = F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS))
+    entries = durable(entries.coalesce(1).sortWithinPartitions(by_code).withColumn("entry", F.monotonically_increasing_id()), "names")
     none = F.lit(None).cast("string")
     state = typed.select("id", *(f"t_{x}" for x in LEVELS), *(none.alias(f"w_{x}") for x in LEVELS), *(F.lit(False).alias(f"m_{x}") for x in LEVELS))
     for i, x in enumerate(LEVELS):
@@ -194,47 +199,99 @@ def _narrowed(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, columns:
         hit = hit.select("id", *(f"t_{y}" for y in LEVELS), *((F.col(f"e_{y}") if y in upto else F.col(f"w_{y}")).alias(f"w_{y}") for y in LEVELS), *((F.lit(True) if y == x else F.col(f"m_{y}")).alias(f"m_{y}") for y in LEVELS)).distinct()
         hit = durable(hit, f"at-{x}")
         state = hit.unionByName(state.join(hit.select("id").distinct(), "id", "left_anti"))
-    deepest = lambda of: F.coalesce(*(F.concat(F.lit(f"{x}|"), of(x)) for x in reversed(LEVELS)), F.lit("*"))
-    scoped = entries.withColumn("scope", F.explode(F.array(F.lit("*"), *(F.concat(F.lit(f"{x}|"), F.col(f"{x}_code")) for x in LEVELS))))
-    kept = state.withColumn("scope", deepest(lambda x: F.col(f"w_{x}"))).join(scoped, "scope")
-    for x in LEVELS:
-        kept = kept.where(F.col(f"w_{x}").isNull() | (F.col(f"w_{x}") == F.col(f"{x}_code")))
     whole = F.lit(True)
     for x in LEVELS:
         whole = whole & ((F.col(f"t_{x}") == "") | F.col(f"m_{x}"))
-    return durable(kept.select("id", whole.alias("whole"), *CHAIN, "consistent", *(f"l_{x}" for x in LEVELS)), "kept"), typed
+    return state.select("id", whole.alias("whole"), *(f"w_{x}" for x in LEVELS)), entries, typed
 
 
-def _ranked(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options, columns: tuple[str, str, str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sure, ranked, typed): chains that match exactly and alone; scored candidates of the others, best first; all typed chains."""
-    kept, typed = _narrowed(rows, catalog, aliases, columns)
-    alone = kept.where("whole").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id")
-    sure = kept.join(alone, "id")
-    keys = typed.select("id", *(f"k_{x}" for x in LEVELS))
-    any_filled = F.lit(False)
-    for x in LEVELS:
-        any_filled = any_filled | (F.col(f"k_{x}") != "")
-    scores = kept.join(alone, "id", "left_anti").join(keys, "id").where(any_filled)
+def _scorer(top: int, rows: int = 200_000) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Scores the chains of a group against its part of the catalog and gives the ``top`` of each; ``rows`` candidates are held at once.
+
+    n, in the first row of a chain's state, is how many candidates that state leaves; the score is null where no key is filled.
+    """
+
+    def score(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "whole": np.array([], bool), "entry": np.array([], np.int64), "score": np.array([], float), "n": np.array([], np.int64)})]
+        if not len(new) or not len(old):
+            return out[0]
+        ids, whole, entry = new["id"].to_numpy(), new["whole"].to_numpy(bool), old["entry"].to_numpy(np.int64)
+        codes, narrow = [old[f"{x}_code"].to_numpy(object) for x in LEVELS], list(zip(*(new[f"w_{x}"].to_numpy(object) for x in LEVELS)))
+        keys = [np.unique(new[f"k_{x}"].to_numpy(object).astype(str), return_inverse=True) for x in LEVELS]
+        names = [np.unique(old[f"l_{x}"].to_numpy(object).astype(str), return_inverse=True) for x in LEVELS]
+        filled = sum((k[0] != "")[k[1]].astype(np.int64) for k in keys)
+        inside: dict[tuple, np.ndarray] = {}
+
+        def left_of(w: tuple) -> np.ndarray:
+            if w not in inside:
+                fits = np.ones(len(entry), bool)
+                for c, code in zip(codes, w):
+                    if isinstance(code, str):
+                        fits &= c == code
+                inside[w] = np.flatnonzero(fits)
+            return inside[w]
+
+        def block(first: int, last: int) -> None:
+            found = [left_of(w) for w in narrow[first:last]]
+            sizes = np.array([len(f) for f in found])
+            at, chain = np.concatenate(found), np.repeat(np.arange(first, last), sizes)
+            total = np.zeros(len(at))
+            for (key, of_chain), (name, of_entry) in zip(keys, names):
+                pairs, back = np.unique(of_chain[chain] * len(name) + of_entry[at], return_inverse=True)
+                k, l = pairs // len(name), pairs % len(name)  # noqa: E741
+                same = key[k] == name[l]
+                s = np.where(same & (key[k] != ""), 1.0, 0.0)
+                s[~same] = jaro_winkler_of(key, name, k[~same], l[~same])
+                total = total + s[back]
+            score = np.where(filled[chain] > 0, total / np.maximum(filled[chain], 1), np.nan)
+            order = np.lexsort((entry[at], -score, chain))  # grouped by chain as before, so places count from each chain's start
+            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order, place = order[place < top], place[place < top]
+            c = chain[order]
+            out.append(pd.DataFrame({"id": ids[c], "whole": whole[c], "entry": entry[at[order]], "score": score[order], "n": np.where(place == 0, sizes[c - first], 0)}))
+
+        first = held = 0
+        for i, w in enumerate(narrow):
+            held += len(left_of(w))
+            if held >= rows:
+                block(first, i + 1)
+                first, held = i + 1, 0
+        if first < len(narrow):
+            block(first, len(narrow))
+        return pd.concat(out[1:])
+
+    return score
+
+
+def _ranked(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options, columns: tuple[str, str, str, str], top: int, chains_a_task: int = 1_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sure, ranked, typed): chains that match exactly and alone; the ``top`` scored candidates of the others, best first; all typed chains.
+
+    Candidates are many times the chains, so they are never rows of a table: chains meet the catalog's entries of their
+    region (of all regions if no level matches) within a task, and only the best leave it.
+    """
+    state, entries, typed = _narrowed(rows, catalog, aliases, columns)
+    state = durable(state.join(typed.select("id", *(f"k_{x}" for x in LEVELS)), "id").withColumn("scope", F.coalesce(F.concat(F.lit("r|"), "w_region"), F.lit("*"))), "state")
+    parts = durable(state.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / chains_a_task).cast("long").alias("parts")), "parts")
     tasks = max(64, 8 * rows.sparkSession.sparkContext.defaultParallelism)
-    # Names repeat, so each distinct pair of unequal keys is scored once and joined back; equal keys score 1.
-    for x in LEVELS:
-        unlike = (F.col(f"k_{x}") != "") & (F.col(f"k_{x}") != F.col(f"l_{x}"))
-        pairs = scores.where(unlike).select(F.col(f"k_{x}").alias(f"a_{x}"), F.col(f"l_{x}").alias(f"b_{x}")).distinct()
-        # Pairs are small in bytes and long in work: an explicit count keeps the runtime from merging them into few tasks.
-        pairs = pairs.repartition(tasks, f"a_{x}", f"b_{x}")
-        pairs = durable(pairs.withColumn(f"s_{x}", jaro_winkler(F.col(f"a_{x}"), F.col(f"b_{x}"))), "scores")
-        scores = scores.join(pairs, (F.col(f"k_{x}") == F.col(f"a_{x}")) & (F.col(f"l_{x}") == F.col(f"b_{x}")), "left").drop(f"a_{x}", f"b_{x}")
-        scores = scores.withColumn(f"s_{x}", F.when(F.col(f"k_{x}") == "", 0.0).when(F.col(f"k_{x}") == F.col(f"l_{x}"), 1.0).otherwise(F.col(f"s_{x}")))
-    filled = sum((F.when(F.col(f"k_{x}") != "", 1).otherwise(0) for x in LEVELS), F.lit(0))
-    total = F.col("s_region") + F.col("s_province") + F.col("s_city") + F.col("s_barangay")
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.concat_ws("|", *(F.coalesce(f"{x}_code", F.lit("")) for x in LEVELS)))
-    ranked = scores.withColumn("score", total / filled).withColumns({"place": F.row_number().over(order), "second": F.lead("score").over(order)}).where(F.col("place") <= options.candidates)
-    return sure, ranked.select("id", *CHAIN, "consistent", "score", "place", "second"), typed
+    chains_ = state.join(parts, "scope").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    places = entries.select("entry", *(f"{x}_code" for x in LEVELS), *(f"l_{x}" for x in LEVELS), F.explode(F.array(F.lit("*"), F.concat(F.lit("r|"), "region_code"))).alias("scope"))
+    places = places.join(parts, "scope").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # Groups are small in bytes and long in work: an explicit count keeps the runtime from merging them into few tasks.
+    met = [df.drop("parts").repartition(tasks, "scope", "part").groupBy("scope", "part") for df in (chains_, places)]
+    found = durable(met[0].cogroup(met[1]).applyInPandas(_scorer(top), "id binary, whole boolean, entry long, score double, n long"), "ranked")
+    one = found.groupBy("id").agg(F.sum("n").alias("n"), F.min("entry").alias("entry"), F.first("whole").alias("whole"))
+    alone = one.where("whole and n = 1").select("id", "entry")
+    chain = entries.select("entry", *CHAIN, "consistent")
+    sure = alone.join(chain, "entry").drop("entry")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "entry")
+    scores = found.where("score is not null and not isnan(score)").join(alone.select("id"), "id", "left_anti")
+    ranked = scores.withColumns({"place": F.row_number().over(order), "second": F.lead("score").over(order)}).where(F.col("place") <= options.candidates)
+    return sure, ranked.join(chain, "entry").select("id", *CHAIN, "consistent", "score", "place", "second"), typed
 
 
 def candidates(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options: Options = Options(), columns: tuple[str, str, str, str] = TYPED) -> DataFrame:
     """(the four typed texts, place, score, codes and names): the best catalog chains of each typed chain that has no exact match of its own."""
-    _, ranked, typed = _ranked(rows, catalog, aliases, options, columns)
+    _, ranked, typed = _ranked(rows, catalog, aliases, options, columns, options.candidates + 1)
     return ranked.join(typed.select("id", *LEVELS), "id").select(*LEVELS, "place", "score", *CHAIN)
 
 
@@ -246,7 +303,7 @@ def normalize(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, options:
     mean Jaro-Winkler similarity of the levels whose key is filled. Equal best scores are ambiguous, low ones need
     review, and so does a chain whose parents disagree in the tables.
     """
-    sure, ranked, typed = _ranked(rows, catalog, aliases, options, columns)
+    sure, ranked, typed = _ranked(rows, catalog, aliases, options, columns, 2)
     exact = sure.select("id", *CHAIN, "consistent", F.lit("EXACT").alias("match_source"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("said"))
     said = F.when(F.abs(F.col("score") - F.col("second")) < options.tie, "ambiguous location candidates").when(F.col("score") < options.threshold, "confidence below threshold")
     source = F.when((F.col("score") == 1) & said.isNull(), "EXACT").otherwise("FUZZY")

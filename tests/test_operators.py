@@ -394,3 +394,35 @@ def test_records_of_a_file_cut_across_blocks(spark, tmp_path):
             assert [r.raw_text for r in got] == [w for w in wanted if w] and got[6].source_reference == "f.csv#row=000007"
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_candidates_of_places_are_never_a_table(spark, monkeypatch):
+    """60 typed chains of which no level matches meet all 200 places; no table that is written holds their 12,000 pairs."""
+    import numpy as np
+
+    from tallyloom.functions.arrays import jaro_winkler_of
+    from tallyloom.functions.similarity import jaro_winkler
+
+    chain = lambda i: ("01", "Alta", "0101", "Baja", "010101", "Centro", f"0101010{i:03d}", f"San {'ABCDEFGHIJ'[i % 10]}{'aeiou' * (i % 3)}na {i}", True)
+    catalog = spark.createDataFrame([chain(i) for i in range(200)], ", ".join(f"{c} string" for c in geography.CHAIN) + ", consistent boolean")
+    typed = spark.createDataFrame([("", "", "", f"Sna {'JIHGFEDCBA'[i % 10]}aeona {i}x") for i in range(60)], "region string, province string, city_municipality string, barangay string")
+    aliases = spark.createDataFrame([], "alias string, region_name string")
+    held: list[int] = []
+    durable = geography.durable
+
+    def counted(df, name):
+        out = durable(df, name)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(geography, "durable", counted)
+    got = {(r.barangay, r.place): (r.barangay_code, r.score) for r in geography.candidates(typed, catalog, aliases).collect()}
+    assert max(held) <= 60 * 11
+    key = geography.location_key
+    names = catalog.select("barangay_code", key("barangay_name").alias("b")).crossJoin(typed.select("barangay", key("barangay").alias("a")))
+    scores = names.select("barangay", "barangay_code", "a", "b", jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()
+    assert jaro_winkler_of([r.a for r in scores], [r.b for r in scores], *[np.arange(len(scores))] * 2).tolist() == [r.s for r in scores]
+    want = {}
+    for r in scores:
+        want.setdefault(r.barangay, []).append((-r.s, r.barangay_code))
+    assert got == {(b, i + 1): (c, -s) for b, found in want.items() for i, (s, c) in enumerate(sorted(found)[:10])}
