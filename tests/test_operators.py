@@ -432,6 +432,7 @@ def test_no_table_of_records_is_sent_through_the_driver(spark):
     """Candidate pairs and matches broadcast no side of a join, though the table is small."""
     base = {c: None for c in PERSON_COLUMNS} | {"record_status": "ACTIVE", "city_code": "0101", "birth_year": 1980}
     rows = spark.createDataFrame([tuple((base | {"internal_uuid": f"u{i}", "last_name": "CRUZ", "first_name": "EDUARDO"})[c] for c in PERSON_COLUMNS) for i in range(4)], SCHEMA)
+    rows = geography.durable(rows, "records")  # a file, whose size the planner knows
     for df in (matching.candidate_pairs(matching.comparable(rows)), matching.matches(rows)):
         assert df.count() == 6
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
