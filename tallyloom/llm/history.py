@@ -1,7 +1,7 @@
 """Problem 2: new batches of person records checked against everything accepted before, without reprocessing it.
 
-Method: each record's content is winnowed to fingerprints, which live in a persistent store (a folder of tables) next
-to partitioned Bloom filters. A batch's fingerprints are first tested against the filter of their partition; only
+Method: each record's content is winnowed to fingerprints of short grams, so that a typing error leaves some of them
+alone; they live in a persistent store (a folder of tables) next to partitioned Bloom filters. A batch's fingerprints are first tested against the filter of their partition; only
 positives are looked up in the store, in the partitions that hold them; what they hit must share a coverage of one run
 of the content and then pass an exact check of names and attributes. Store, filters and accepted records are updated
 with the batch. The history is read for a lookup, but neither fingerprinted nor compared again.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -26,40 +25,50 @@ from pyspark.sql import functions as F
 from ..operators.durable import drop, durable, new_path, shuffles_freed
 from ..operators.skew import block_join
 from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, contacts_near, one_person, parse_birth
-from .variants import FIELDS, attributes
+from .variants import FIELDS, NAMES, attributes, may_agree
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Partition numbers of segment s begin at s times this.
 STRIDE = 1 << 20
 RECORD = ["uuid", "ord", "root", "root_ord", "id", *FIELDS, "reference"]
-RECORD_SCHEMA = f"uuid string, ord long, root string, root_ord long, id binary, {', '.join(f'{c} string' for c in FIELDS)}, reference string, batch int, part int"
-FINGERPRINT_SCHEMA = "fp long, run int, n int, ord long, id binary, batch int, part int"
+RECORD_SCHEMA = f"uuid string, ord long, root string, root_ord long, id long, {', '.join(f'{c} string' for c in FIELDS)}, reference string, batch int, part int"
+FINGERPRINT_SCHEMA = "fp long, id long, batch int, part int"
 FILTER_SCHEMA = "bits binary, batch int, part int"
 
 
 @dataclass(frozen=True)
 class Run:
-    """A run of content: two fields joined, grams of ``k`` characters (of all but -k if negative), the least of every ``window`` kept.
+    """A run of content: some fields' parts joined, grams of ``k`` characters (of all but -k if negative), the least of every ``window`` kept.
 
-    The second field is turned by ``turn`` characters, so that what tells little (the region of a place, the prefix of
-    a number) stands at the end, and every gram that leaves out a character or two is still a rare one.
+    Texts that have ``k + window - 1`` characters in a row in common share a fingerprint. So the parts in which a typing
+    error may fall stand at the ends of a run, what tells most stands next to the middle, and every gram is a rare one.
+    A pair must share ``coverage`` of the fingerprints that the run of the new record has, and one at least.
     """
 
-    first: str
-    second: str
-    turn: int
+    fields: tuple[str, ...]
+    parts: tuple[str, ...]
     k: int
     window: int
-
-
-#: Two records that agree in two attributes, or in names and reference, share one run whole.
-RUNS = (Run("birth", "place", 2, -2, 2), Run("birth", "contact", 3, -2, 2), Run("place", "contact", 3, -2, 2), Run("name", "reference", 0, -2, 2))
-
-
-def winnow(texts: list[str], salt: int, k: int, window: int) -> list[np.ndarray]:
-    """The fingerprints of each text: of every ``window`` neighbouring grams the one with the least hash; shorter texts are one gram."""
-    out: list = [None] * len(texts)
-    lengths = np.array([len(t) for t in texts])
+    coverage: float = 0.0
+
+
+#: Two records that agree in two attributes, or in names and reference, share one run whole. Those with one of them equal and
+#: another one near (persons.births_near, contacts_near) share 13 to 16 characters of a run in a row, which is one fingerprint or more; where the
+#: place is the equal one and the birth date near, it is so common that the initials of given and family name must be equal as well.
+#: Grams of birth and place without these are the least rare, so a pair must share most of them.
+RUNS = (
+    Run(("birth", "contact"), ("tail", "birth", "head"), 11, 3),
+    Run(("birth", "contact"), ("day", "contact", "year"), 11, 4),
+    Run(("place", "contact"), ("tail", "place", "head"), 13, 3),
+    Run(("birth", "place"), ("year", "lead", "turned", "day"), 14, 3),
+    Run(("birth", "place"), ("birth", "turned"), 15, 2, 0.8),
+    Run(("name", "reference"), ("name", "reference"), -6, 4, 0.8),
+)
+
+
+def _grams(texts: list[str], salt: int, k: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of one length at a time: their places in the list, and a row for each with the least hash of every ``window`` neighbouring grams; shorter texts are one gram."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     with np.errstate(over="ignore"):
         for n in np.unique(lengths).tolist():
             which = np.flatnonzero(lengths == n)
@@ -72,39 +81,81 @@ def winnow(texts: list[str], salt: int, k: int, window: int) -> list[np.ndarray]
                 h = (h ^ grams[:, :, j].astype(np.uint64)) * _MIX
                 h ^= h >> np.uint64(29)
             views = np.lib.stride_tricks.sliding_window_view(h, min(window, h.shape[1]), axis=1)
-            for i, row in zip(which.tolist(), views.min(axis=2)):
-                out[i] = np.unique(row)
-    return out
+            yield which, np.sort(views.min(axis=2), axis=1)
 
 
-def fingerprints(records: DataFrame) -> DataFrame:
-    """(fp, run, n, ord, id): the fingerprints of each record's runs, n being how many the run has."""
+def winnowed(texts: list[str], salt: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, fp, n): the fingerprints of texts, by the text's place in the list, n being how many distinct ones it has."""
+    taken, found, sizes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for which, least in _grams(texts, salt, k, window):
+        first = np.ones(least.shape, bool)
+        first[:, 1:] = least[:, 1:] != least[:, :-1]
+        n = first.sum(axis=1)
+        taken.append(np.repeat(which, n))
+        found.append(least[first])
+        sizes.append(np.repeat(n, n))
+    return np.concatenate(taken), np.concatenate(found), np.concatenate(sizes)
+
+
+def winnow(texts: list[str], salt: int, k: int, window: int) -> list[np.ndarray]:
+    """The fingerprints of each text."""
+    text, fp, _ = winnowed(texts, salt, k, window)
+    return [fp[text == i] for i in range(len(texts))]
 
-    def columns(batch: pa.RecordBatch) -> dict[str, list[str]]:
-        at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("birth", "contact", "place", "reference", "norm_first_name", "norm_last_name")}
-        at["birth"] = [b.replace("-", "") for b in at["birth"]]
-        at["name"] = [f"{a} {b}" if a and b else "" for a, b in zip(at["norm_first_name"], at["norm_last_name"])]
-        return at
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = columns(batch)
-        for r, run in enumerate(RUNS):
-            full = [i for i, (x, y) in enumerate(zip(at[run.first], at[run.second])) if x and y]
-            second = at[run.second]
-            found = winnow([f"{at[run.first][i]}{second[i][run.turn :]}{second[i][: run.turn]}" for i in full], r + 1, run.k, run.window)
-            if full:
-                sizes = np.array([len(f) for f in found])
-                taken = np.repeat(np.array(full, np.int64), sizes)
-                numbers = [pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.full(len(taken), r, np.int32)), pa.array(np.repeat(sizes, sizes).astype(np.int32))]
-                ids = [batch.column(batch.schema.get_field_index(c)).take(pa.array(taken)) for c in ("ord", "id")]
-                yield pa.RecordBatch.from_arrays([*numbers, *ids], names=["fp", "run", "n", "ord", "id"])
+
+def content(at: dict[str, list[str]], lexicon: Lexicon = DEFAULT) -> dict[str, list[str]]:
+    """The fields of records and the parts of them that runs name."""
+    birth = [b.replace("-", "") for b in at["birth"]]
+    return at | {
+        "birth": birth, "year": [b[:4] for b in birth], "day": [b[4:] for b in birth],
+        # The first digits of a number are nearly alike in all, so of the head the last digit stands first.
+        "head": [c[4::-1] for c in at["contact"]], "tail": [c[5:] for c in at["contact"]], "turned": [p[2:] + p[:2] for p in at["place"]],
+        "lead": [Name(*r, lexicon).lead.replace(".", "").ljust(2) for r in zip(*(at[c] for c in NAMES))],
+        "name": [f"{a} {b}" if a and b else "" for a, b in zip(at["norm_first_name"], at["norm_last_name"])],
+    }
+
+
+def run_texts(at: dict[str, list[str]], run: Run) -> tuple[list[int], list[str]]:
+    """The records that have a run's fields, by their places, and their texts."""
+    full = [i for i, fields in enumerate(zip(*(at[f] for f in run.fields))) if all(fields)]
+    return full, ["".join(parts) for parts in zip(*([at[p][i] for i in full] for p in run.parts))]
+
+
+def fingerprints(records: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(fp, run, n, ord, id): the fingerprints of each record's runs, n being how many the run has."""
+    columns = ["ord", "id", "birth", "contact", "place", "reference", *NAMES]
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from one(batch)
+            at = content({c: batch.column(i).to_pylist() for i, c in enumerate(columns) if i > 1}, lexicon)
+            for r, run in enumerate(RUNS):
+                full, texts = run_texts(at, run)
+                if full:
+                    text, fp, n = winnowed(texts, r + 1, run.k, run.window)
+                    taken = pa.array(np.array(full, np.int64)[text])
+                    numbers = [pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), r, np.int8)), pa.array(n.astype(np.int16))]
+                    yield pa.RecordBatch.from_arrays([*numbers, batch.column(0).take(taken), batch.column(1).take(taken)], names=["fp", "run", "n", "ord", "id"])
+
+    return records.select(*columns).mapInArrow(all_of, "fp long, run byte, n short, ord long, id long")
+
+
+def fingerprint_count(records: DataFrame) -> int:
+    """About how many fingerprints records have, from their fields alone; sizes a segment before they are made."""
+    names = F.when((F.col("norm_first_name") != "") & (F.col("norm_last_name") != ""), F.lit(1))
+    both = lambda a, b: F.count(F.when((F.col(a) != "") & (F.col(b) != ""), F.lit(1)))
+    # Of n - k + 1 grams of a text, 1 + (n - k + 1 - window) * 2 / (window + 1) are expected to be the least of a window.
+    weighed = 6.1 * both("birth", "contact") + 3.5 * both("place", "contact") + 5.4 * both("birth", "place") + 2.4 * F.count(F.when(F.col("reference") != "", names))
+    return int(records.agg(weighed.alias("n")).first()["n"])
+
+
+def _unlike(fp: DataFrame) -> DataFrame:
+    """A column of fingerprints without those repeated nearby, so that one that many records share fills no task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).to_numpy()))], names=["fp"])
 
-    return records.select("ord", "id", "birth", "contact", "place", "reference", "norm_first_name", "norm_last_name").mapInArrow(all_of, "fp long, run int, n int, ord long, id binary")
+    return fp.select("fp").mapInArrow(run, "fp long")
 
 
 class Bloom:
@@ -134,10 +185,10 @@ class Bloom:
 
 
 def prepared(rows: DataFrame, ord_column: Column, record: str = "internal_uuid", reference: str = "source_reference") -> DataFrame:
-    """The compared fields of each row with an id; a table without references has none. ids are 128 bits of the record's name and order."""
+    """The compared fields of each row with an id; a table without references has none. ids are 64 bits of the record's name and order; where two records share them, both are compared."""
     said = F.trim(F.coalesce(F.col(reference), F.lit(""))) if reference in rows.columns else F.lit("")
     base = rows.where(F.col(record).isNotNull()).select(F.col(record).alias("uuid"), ord_column.cast("long").alias("ord"), *attributes(), said.alias("reference"))
-    return base.withColumn("id", F.unhex(F.md5(F.concat_ws("|", F.col("ord").cast("string"), "uuid"))))
+    return base.withColumn("id", F.xxhash64("uuid", "ord"))
 
 
 @dataclass
@@ -152,12 +203,12 @@ class Segment:
 class FingerprintStore:
     """What has been accepted, in a folder: records, fingerprints and filters.
 
-    A pair must share ``coverage`` of the fingerprints that one run of the new record has. A segment takes
+    A pair must share the coverage of one run of the new record, or ``coverage`` if given. A segment takes
     ``partition_rows`` fingerprints a partition, with ``bits`` bits in its filter for each; when it is full, a segment
     twice as large as all before is opened, so there are few segments, no filter fills up and nothing is rewritten.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, partition_rows: int = 500_000, bits: int = 10, coverage: float = 0.8, least_partitions: int = 8, lexicon: Lexicon = DEFAULT):
+    def __init__(self, spark: SparkSession, path: str | None = None, partition_rows: int = 500_000, bits: int = 10, coverage: float | None = None, least_partitions: int = 8, lexicon: Lexicon = DEFAULT):
         """Opens the store in a folder, or a new one; without a path it lives as long as the session."""
         self.spark, self.coverage, self.lexicon = spark, coverage, lexicon
         self.path = path or new_path(spark, "store")
@@ -209,29 +260,34 @@ class FingerprintStore:
     def _size(self) -> int:
         return max(1024, self.partition_rows * self.bits // 8 * 8)
 
-    def _positives(self, own: DataFrame, rows: int) -> DataFrame:
-        """(fp, part) of a batch's distinct fingerprints: where the filter of a partition may hold one."""
+    def _positives(self, fresh: DataFrame, rows: int) -> DataFrame:
+        """(fp, part), each once, of a batch's fingerprints: where the filter of a partition may hold one."""
         size = self._size()
         places = []
         for i, s in enumerate(self.segments):
             # A batch much larger than a segment is tested in chunks, each with a copy of the filter.
             chunks = max(1, -(-rows // (s.partitions * self.partition_rows)))
             places.append(F.struct(self._part(F.col("fp"), i).alias("part"), F.pmod(F.shiftrightunsigned(F.col("fp"), 7), F.lit(chunks)).cast("int").alias("chunk"), F.lit(chunks).alias("chunks")))
-        asked = own.select("fp", F.explode(F.array(*places)).alias("x")).select("fp", "x.*")
+        asked = _unlike(fresh).select("fp", F.explode(F.array(*places)).alias("x")).select("fp", "x.*")
         latest = F.lit(False)
         for i, s in enumerate(self.segments):
             latest = latest | ((F.col("batch") == s.filters) & (F.floor(F.col("part") / STRIDE) == i))
-        filters = self._table("filters", FILTER_SCHEMA).where(latest).select("part", "bits").join(asked.groupBy("part").agg(F.max("chunks").alias("chunks")), "part")
+        chunks = F.lit(1)
+        for i, s in enumerate(self.segments):
+            chunks = F.when(F.floor(F.col("part") / STRIDE) == i, F.lit(max(1, -(-rows // (s.partitions * self.partition_rows))))).otherwise(chunks)
+        filters = self._table("filters", FILTER_SCHEMA).where(latest).select("part", "bits", chunks.alias("chunks"))
+        if rows <= 4 * sum(s.partitions for s in self.segments):  # more rows than partitions ask all filters
+            filters = filters.join(asked.select("part").distinct(), "part")
         filters = filters.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("part", "chunk", "bits")
 
         def test(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            fp = new["fp"].to_numpy(dtype=np.int64)
+            fp = np.unique(new["fp"].to_numpy(dtype=np.int64))
             held = Bloom(old["bits"].iloc[0], size).might_hold(fp) if len(old) and len(fp) else np.zeros(len(fp), bool)
             return pd.DataFrame({"fp": fp[held], "part": np.full(int(held.sum()), key[0], np.int32)})
 
         return asked.select("fp", "part", "chunk").groupBy("part", "chunk").cogroup(filters.groupBy("part", "chunk")).applyInPandas(test, "fp long, part int")
 
-    def _remember(self, batch: DataFrame, fresh: DataFrame, own: DataFrame, rows: int) -> None:
+    def _remember(self, batch: DataFrame, made: DataFrame, rows: int) -> None:
         """Appends a batch with its fingerprints, updates the filters of the open segment, and commits."""
         last = self.segments[-1] if self.segments else None
         if last is None or last.fingerprints + rows > last.partitions * self.partition_rows:
@@ -241,16 +297,32 @@ class FingerprintStore:
         now = self.segments[at]
         old = self._table("filters", FILTER_SCHEMA).where(F.col("batch") == now.filters).select("part", "bits")
 
-        def grow(key: tuple, new: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-            bloom = Bloom(before["bits"].iloc[0] if len(before) else None, size)
-            bloom.add(new["fp"].to_numpy(dtype=np.int64))
-            return pd.DataFrame({"bits": [bloom.table.tobytes()], "part": np.array([key[0]], np.int32)})
-
-        grown = own.select("fp", self._part(F.col("fp"), at).alias("part")).groupBy("part").cogroup(old.groupBy("part")).applyInPandas(grow, "bits binary, part int")
-        tables = {"records": batch.select(*RECORD).withColumn("part", self._part(F.col("id"), at)), "fingerprints": fresh.withColumn("part", self._part(F.col("fp"), at)), "filters": grown}
-        with ThreadPoolExecutor(3) as pool:  # three independent jobs
-            for done in [pool.submit(self._write, df, name) for name, df in tables.items()]:
-                done.result()
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blooms: dict[int, Bloom] = {}
+            flush = lambda: pa.RecordBatch.from_pydict({"bits": [b.table.tobytes() for b in blooms.values()], "part": pa.array(list(blooms), pa.int32())})
+            for rows in batches:
+                fp, parts = (rows.column(i).to_numpy() for i in (0, 1))
+                for p in np.unique(parts).tolist():
+                    blooms.setdefault(p, Bloom(None, size)).add(fp[parts == p])
+                if len(blooms) > 64:
+                    yield flush()
+                    blooms.clear()
+            if blooms:
+                yield flush()
+
+        def together(key: tuple, filters: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(size // 8, np.uint8)
+            for x in filters["bits"]:
+                bits |= np.frombuffer(x, np.uint8)
+            return pd.DataFrame({"bits": [bits.tobytes()], "part": np.array([key[0]], np.int32)})
+
+        # One table after the other, as each is on disk twice while it is written, and filters from the fingerprints as written.
+        self._write(batch.select(*RECORD).withColumn("part", self._part(F.col("id"), at)), "records")
+        self._write(made.select("fp", "id", self._part(F.col("fp"), at).alias("part")), "fingerprints")
+        written = self.spark.read.schema("fp long, part int").parquet(f"{self.path}/fingerprints/batch={self.batches}")
+        # A file holds one partition, so a task makes few filters; only these are moved, no fingerprint is.
+        filters = written.select("fp", "part").mapInArrow(partial, "bits binary, part int").unionByName(old)
+        self._write(filters.groupBy("part").applyInPandas(together, "bits binary, part int"), "filters")
         self.segments[at] = Segment(now.partitions, now.fingerprints + rows, self.batches)
         self.batches += 1
         self._commit()
@@ -263,7 +335,7 @@ class FingerprintStore:
         known = own if old is None else own.unionByName(old)
         b = known.select(F.col("id").alias("old_id"), *(F.col(c).alias(f"b_{c}") for c in ["uuid", "ord", "root", "root_ord", *FIELDS]))
         a = batch.select("id", *(F.col(c).alias(f"a_{c}") for c in ["uuid", "ord", *FIELDS]))
-        two = b.join(pairs.select("id", "old_id", "within"), "old_id").join(a, "id").where("a_sex = b_sex or a_sex = '' or b_sex = ''")
+        two = b.join(pairs.select("id", "old_id", "within"), "old_id").join(a, "id").where("a_ord > b_ord").where(may_agree("a_{}", "b_{}"))
         out, lexicon = ["a_uuid", "a_ord", "b_uuid", "b_ord", "b_root", "b_root_ord", "within"], self.lexicon
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,37 +353,45 @@ class FingerprintStore:
         ordered = two.select(*out, *(f"a_{c}" for c in FIELDS[:7]), *(f"b_{c}" for c in FIELDS[:7]))
         return durable(ordered.mapInArrow(check, "uuid string, ord long, old_uuid string, old_ord long, root string, root_ord long, within boolean"), "links")
 
-    def _covered(self, fresh: DataFrame, own: DataFrame, rows: int) -> DataFrame:
+    def _covered(self, fresh: DataFrame, rows: int) -> DataFrame:
         """Durable (id, old_id, part, within): pairs that share enough of a run of the new record, part being where the old record lies."""
-        a, b = fresh.select("fp", "run", "n", "ord", "id"), fresh.select("fp", F.col("ord").alias("old_ord"), F.col("id").alias("old_id"))
-        shared = block_join(a, b, "fp", "id", 2 * rows).where("ord > old_ord").select("id", "old_id", "run", "n", "fp", F.lit(0).alias("segment"), F.lit(True).alias("within"))
-        positives = None
-        if self.segments:
-            positives = durable(self._positives(own, rows), "positives")
-            touched = self._touched(positives)
-            if touched != []:
-                held = self._table("fingerprints", FINGERPRINT_SCHEMA, touched).select("fp", F.col("id").alias("old_id"), F.floor(F.col("part") / STRIDE).cast("int").alias("segment"))
-                # Few of the store's rows are hit, so they are reduced to these before anything is moved for a batch's copies.
-                hit = held.join(positives.select("fp").distinct(), "fp")
-                before = block_join(hit, a, "fp", "old_id", 2 * rows).select("id", "old_id", "run", "n", "fp", "segment", F.lit(False).alias("within"))
-                shared = before.unionByName(shared)
-        counted = shared.groupBy("id", "old_id", "run", "segment", "within").agg(F.count_distinct("fp").alias("shared"), F.first("n").alias("n"))
-        pairs = counted.where(F.col("shared") >= F.col("n") * self.coverage).select("id", "old_id", "segment", "within").distinct()
+        least = F.array(*(F.lit(r.coverage if self.coverage is None else self.coverage) for r in RUNS))[F.col("run")]
         part = F.lit(0)
         for i in range(len(self.segments)):
             part = F.when(F.col("segment") == i, self._part(F.col("old_id"), i)).otherwise(part)
-        found = durable(pairs.select("id", "old_id", F.when(~F.col("within"), part).alias("part"), "within"), "covered")
-        if positives is not None:
-            drop(positives)
-        return found
+
+        def covered(shared: DataFrame, within: bool) -> DataFrame:
+            counted = shared.groupBy("id", "old_id", "run", "segment").agg(F.count_distinct("fp").alias("shared"), F.first("n").alias("n"))
+            pairs = counted.where(F.col("shared") >= F.col("n") * least).select("id", "old_id", "segment").distinct()
+            return durable(pairs.select("id", "old_id", (F.lit(None).cast("int") if within else part).alias("part"), F.lit(within).alias("within")), "covered")
+
+        # What is found in the batch and in the store is written in turn, so that the files of one join are gone before the next.
+        a, b = fresh.select("fp", "run", "n", "ord", "id"), fresh.select("fp", F.col("ord").alias("old_ord"), F.col("id").alias("old_id"))
+        found = [covered(block_join(a, b, "fp", "id", 2 * rows).where("ord > old_ord").withColumn("segment", F.lit(0)), True)]
+        made: list[DataFrame] = []
+        if self.segments:
+            made = [durable(self._positives(fresh, rows), "positives")]
+            touched = self._touched(made[0])
+            if touched != []:
+                held = self._table("fingerprints", FINGERPRINT_SCHEMA, touched).select("fp", "part", F.col("id").alias("old_id"))
+                # Few of the store's rows are hit, so they are reduced to these, once, before anything is moved for a batch's copies.
+                # Broadcasting the positives pays only where the store is much larger.
+                asked = made[0].hint("merge") if 20 * made[0].count() > sum(s.fingerprints for s in self.segments) else made[0]
+                hit = durable(held.join(asked, ["fp", "part"]).select("fp", "old_id", F.floor(F.col("part") / STRIDE).cast("int").alias("segment")), "hit")
+                made.append(hit)
+                found.append(covered(block_join(hit, a.drop("ord"), "fp", "old_id", 2 * rows), False))
+        if len(found) > 1:
+            made += found
+            found = [durable(found[0].unionByName(found[1]), "covered")]
+        for done in made:
+            drop(done)
+        return found[0]
 
     def accept(self, rows: DataFrame, ord_column: Column, record: str = "internal_uuid") -> None:
         """Takes rows in without looking for repeated persons: the history, each record under its own name."""
         batch = durable(prepared(rows, ord_column, record).withColumns({"root": F.col("uuid"), "root_ord": F.col("ord")}), "batch")
-        fresh = durable(fingerprints(batch), "fresh")
-        self._remember(batch, fresh, fresh.select("fp").distinct(), fresh.count())
-        for done in (batch, fresh):
-            drop(done)
+        self._remember(batch, fingerprints(batch, self.lexicon), fingerprint_count(batch))
+        drop(batch)
 
     def offer(self, rows: DataFrame, ord_column: Column, record: str = "internal_uuid", shift: int | None = None) -> DataFrame:
         """(uuid, first), durable: the rows of a batch whose person was accepted before, in the store or by a smaller order in the batch, with that person's first record.
@@ -322,9 +402,9 @@ class FingerprintStore:
         searched once for all.
         """
         batch = durable(prepared(rows, ord_column, record), "batch")
-        fresh = durable(fingerprints(batch), "fresh")
-        own, size = fresh.select("fp").distinct(), fresh.count()  # answered from the files' footers
-        covered = self._covered(fresh, own, size)
+        fresh = durable(fingerprints(batch, self.lexicon), "fresh")
+        size = fresh.count()  # answered from the files' footers
+        covered = self._covered(fresh, size)
         links = self._verified(covered, batch)
         # A row's label is the first record that it is linked with; labels spread over links within the offer until none changes.
         labels = durable(links.groupBy("uuid", "ord").agg(F.min(F.struct(F.col("root_ord").alias("o"), F.col("root").alias("r"))).alias("label")), "labels")
@@ -343,7 +423,7 @@ class FingerprintStore:
             drop(labels)
             labels = following
         accepted = batch.join(labels.select("ord", "label"), "ord", "left").withColumns({"root": F.coalesce("label.r", "uuid"), "root_ord": F.coalesce("label.o", "ord")})
-        self._remember(accepted, fresh, own, size)
+        self._remember(accepted, fresh, size)
         repeated = durable(labels.select("uuid", F.col("label.r").alias("first")), "repeated")
         for done in (fresh, batch, covered, links, both, labels):
             drop(done)

@@ -45,6 +45,7 @@ class Lexicon:
         #: Given names in their own right: two of them are two names, however alike they are.
         self.known = frozenset(nicknames) | frozenset(self.full)
         self.long_particles = tuple(p for p in sorted(self.particles) if len(p) > 4)
+        self._seen: dict[str, tuple[int, str]] = {}
 
     def __reduce__(self) -> tuple:
         return Lexicon, (self.nicknames, self.extensions, self.legal_forms, self.particles)
@@ -57,6 +58,14 @@ class Lexicon:
         """A particle, a long one also with a typing error after its first letter."""
         return word in self.particles or any(word[:1] == p[0] and distance(word, p, 1) <= 1 for p in self.long_particles)
 
+    def kind(self, word: str) -> tuple[int, str]:
+        """What a word of a name is, with the initial of its first formal reading: 0 an extension, 1 an initial, 2 a particle, 3 a full word."""
+        if (found := self._seen.get(word)) is None:
+            found = 0 if word in self.extensions else 1 if len(word) == 1 else 2 if self.is_particle(word) else 3, min(self.formal(word))[0]
+            if len(self._seen) < 200_000:  # a memo, no limit on words
+                self._seen[word] = found
+        return found
+
 
 DEFAULT = Lexicon()
 
@@ -82,22 +91,23 @@ class Name:
         for k, text in enumerate((first, last, middle, extension)):
             first_here = True
             for w in _words(text, lexicon) if text else ():
-                if w in lexicon.extensions:
+                kind, initial = lexicon.kind(w)
+                if kind == 0:
                     self.extension = self.extension or lexicon.extensions[w]
                 elif k == 3:
                     continue
-                elif len(w) == 1:
+                elif kind == 1:
                     self.initials.append(w)
-                elif lexicon.is_particle(w):
+                elif kind == 2:
                     self.particles += w[0]
                     continue
                 elif w not in self.words:
                     self.words.append(w)
                 if k < 2 and first_here:
-                    lead.append(min(lexicon.formal(w))[0])
+                    lead.append(initial)
                     first_here = False
         if len(lead) < 2:
-            lead = [min(lexicon.formal(w))[0] for w in self.words[:2]]
+            lead = [lexicon.kind(w)[1] for w in self.words[:2]]
         #: Initials of the given and the family name, in the order of the alphabet.
         self.lead = ".".join(sorted(lead))
 

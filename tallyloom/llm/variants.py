@@ -53,6 +53,23 @@ def agreement_keys() -> Column:
     return F.array_compact(F.array(pair(1, "birth", "place"), pair(2, "birth", "contact"), pair(3, "contact", "place")))
 
 
+def may_agree(a: str, b: str) -> Column:
+    """Whether the exact check (persons.one_person) needs to see a pair, told by its attributes without its names.
+
+    ``a`` and ``b`` name the columns of either record. Two attributes must agree, or one and another be near; births in any
+    other form than YYYY-MM-DD are left to the check.
+    """
+    x, y = (lambda c: F.col(a.format(c))), (lambda c: F.col(b.format(c)))
+    agree = lambda c: (x(c) == y(c)) & (x(c) != "")
+    iso = r"^(\d{4}-\d{2}-\d{2})?$"
+    odd = ~(x("birth").rlike(iso) & y("birth").rlike(iso))
+    count = sum((agree(c).cast("int") for c in ("birth", "contact", "place")), F.lit(0))
+    turned = F.concat(F.substring(y("birth"), 1, 5), F.substring(y("birth"), 9, 2), F.lit("-"), F.substring(y("birth"), 6, 2))
+    near = (F.levenshtein(x("birth"), y("birth")) <= 1) | (x("birth") == turned) | (F.levenshtein(x("contact"), y("contact")) <= 2)
+    sex = (x("sex") == y("sex")) | (x("sex") == "") | (y("sex") == "")
+    return sex & (odd | (count >= 2) | (count == 1) & near)
+
+
 def exploded_forms(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(h, keys, forms) of classes with an agreement key."""
 

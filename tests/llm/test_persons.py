@@ -196,6 +196,23 @@ def test_coverage_rejects_what_shares_a_part_of_a_run(spark):
     assert pairs(0.8) == 1 and pairs(0.1) == 2
 
 
+def test_winnowing_finds_a_person_with_one_mistyped_attribute(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVZ", k=9))
+    digit = lambda s, k: s[:k] + str((int(s[k]) + 1) % 10) + s[k + 1 :]
+    u, history, new, want = ids(480, 32), [], [], set()
+    for i in range(240):
+        birth, contact, place = f"19{rng.randint(40, 98)}-{rng.randint(1, 9):02d}-{rng.randint(10, 12)}", f"9{rng.randint(10**8, 10**9 - 1)}", f"01010{rng.randint(10000, 99999)}"
+        names = (word(), word(), word(), None)
+        other = [(birth, digit(contact, rng.randrange(1, 10)), "0202020002"), (digit(birth, 3), contact, "0202020002"), (digit(birth, rng.choice([3, 6])), None, place), (f"{birth[:4]}-{birth[8:]}-{birth[5:7]}", contact, None), (None, digit(contact, rng.randrange(1, 10)), place), ("1939-01-30", digit(contact, 9), "0202020002")][i % 6]
+        history.append((u[2 * i], *names, birth, contact, place, "M"))
+        new.append((1, i, u[2 * i + 1], *names, *other, "M"))
+        if i % 6 < 5:  # the last has no attribute in common
+            want.add(tuple(u[2 * i : 2 * i + 2]))
+    found = repeated_persons(people(spark, history), spark.createDataFrame(new, "batch_no long, row_no long, " + PERSON))
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_reference_and_names_find_a_person_with_one_agreement(spark):
     u = ids(2, 24)
     columns = PERSON + ", source_reference string"
