@@ -4,7 +4,7 @@ Method: MinHash candidate blocking across attributes, features of each pair's ag
 on weak labels, and probabilities calibrated on labels held out. The MinHash is of the q-grams of the name's words, in
 bands of few values, each joined with the birth date: names that differ in a few letters meet if it is equal. Of two
 equal attributes any names meet, which is the limit of bands of no value at all. Records with one attribute equal and
-another one mistyped meet by keys of the equal one and the unharmed part of the other (persons.near_keys).
+another one mistyped meet by keys of the equal one and the unharmed part of the other (variants.near_keys).
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import durable
 from ..operators.skew import block_join
-from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, compare_names, contacts_near, forms, near_keys, parse_birth
-from .variants import COUNTED_SHARE, FIELDS, NAMES, agreement_keys, attributes, class_id, rarity
+from .persons import DEFAULT, Lexicon, Name, birth_parts, births_agree, births_near, compare_names, contacts_near, forms, parse_birth
+from .variants import COUNTED_SHARE, FIELDS, NAMES, agreement_keys, attributes, class_id, near_keys, rarity
 
 #: The attributes with which a band of the name is joined. A place is too common for that, and a contact needs no band.
 ANCHORS = ("birth",)
@@ -84,22 +84,22 @@ def blocks(records: DataFrame, blocking: Blocking, lexicon: Lexicon = DEFAULT) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
-            names = [Name(*r[:4], lexicon) for r in rows]
-            near = [near_keys(n.lead, *r[4:]) for n, r in zip(names, rows)]
+            names = [Name(*r, lexicon) for r in zip(*(c.to_pylist() for c in batch.columns[4:]))]
+            births = [birth_parts(b) for b in batch.column(1).to_pylist()]
             texts = [name_text(n) for n in names]
             full = [i for i, t in enumerate(texts) if t]
-            bands: list[list[int]] = [[] for _ in texts]
-            for i, keys in zip(full, band_keys([texts[i] for i in full], blocking).astype(np.int64).tolist()):
-                bands[i] = keys
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(near, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=["h", "birth", "near", "bands"])
-
-    made = records.select("h", *FIELDS[:7]).mapInArrow(run, "h long, birth string, near array<string>, bands array<long>")
+            # The bands of a name stand in one array after the other; a record without a name has an empty list.
+            ends = np.zeros(len(texts) + 1, np.int32)
+            ends[1:] = np.cumsum(np.fromiter(map(bool, texts), np.int32, len(texts))) * blocking.bands
+            keys = pa.array(band_keys([texts[i] for i in full], blocking).astype(np.int64).ravel())
+            made = [pa.array(x, pa.string()) for x in ([n.lead for n in names], [y for y, _ in births], [d for _, d in births])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made, pa.ListArray.from_arrays(pa.array(ends), keys)], names=["h", "birth", "contact", "place", "lead", "year", "day", "bands"])
+
+    made = records.select("h", "birth", "contact", "place", *NAMES).mapInArrow(run, "h long, birth string, contact string, place string, lead string, year string, day string, bands array<long>")
     # All keys of a record come from one pass over it.
     joined = lambda x: F.when(F.col(x) != "", F.transform("bands", lambda b: F.xxhash64(F.lit(x), F.col(x), b))).otherwise(F.array().cast("array<long>"))
     of_name = F.concat(*map(joined, ANCHORS))
-    keyed = made.select("h", F.explode(F.concat(of_name, F.transform("near", lambda t: F.xxhash64(t)))).alias("k"))
-    return keyed.unionByName(records.select("h", F.explode(agreement_keys()).alias("k")))
+    return made.select("h", F.explode(F.concat(of_name, near_keys(), agreement_keys())).alias("k"))
 
 
 def pair_features(row: tuple, counts: dict[str, int], n: int, lexicon: Lexicon = DEFAULT) -> list[float]:

@@ -255,20 +255,11 @@ def contacts_near(a: str, b: str) -> bool:
     return sum(x != y for x, y in zip(a, b)) <= 2
 
 
-def near_keys(lead: str, birth: str, contact: str, place: str) -> list[str]:
-    """Texts by which records meet that have one attribute equal and another one mistyped: two whose births or contacts are near share one.
-
-    The place, which many share, is joined with the initials of given and family name.
-    """
+@lru_cache(200_000)
+def birth_parts(birth: str) -> tuple[str, str]:
+    """The year of a birth date and its day of the year, '' where they aren't given; of two births that are near, one is equal."""
     b = parse_birth(birth)
-    of_birth = [f"y{b[0]}", *([f"d{b[1]}.{b[2]}"] if b[1] and b[2] else [])] if b else []
-    of_contact = [f"p{contact[:5]}", f"s{contact[5:]}"] if len(contact) == 10 else []
-    out = [f"c|{contact}|{x}" for x in of_birth] if of_contact else []
-    if b and b[1] and b[2]:
-        out += [f"b|{b[0]}.{b[1]}.{b[2]}|{x}" for x in of_contact]
-    if place and lead:
-        out += [f"a|{place}|{lead}|{x}" for x in of_birth + of_contact]
-    return out
+    return (str(b[0]), f"{b[1]}.{b[2]}" if b[1] and b[2] else "") if b else ("", "")
 
 
 def contact_key(digits: str | None) -> str:

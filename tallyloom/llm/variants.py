@@ -4,7 +4,7 @@ Method: every canonical rewriting of a name (nicknames written out, legal forms,
 and equi-joined. A rewriting alone is shared by thousands of namesakes, so it is joined together with two agreeing
 attributes of birth date, contact and place. A pair's score is the rarity of its shared rewritings; an exact check of
 names and attributes follows. Records with one attribute equal and the birth date or contact of another mistyped meet
-by the equal one and the unharmed part of the other (persons.near_keys). Records that are equal in all these fields are one class, so copies join nothing.
+by the equal one and the unharmed part of the other (near_keys). Records that are equal in all these fields are one class, so copies join nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import durable
 from ..operators.skew import block_join
-from .persons import DEFAULT, Lexicon, Name, births_agree, births_near, contacts_near, forms, near_keys, one_person, parse_birth
+from .persons import DEFAULT, Lexicon, Name, birth_parts, births_agree, births_near, contacts_near, forms, one_person, parse_birth
 
 NAMES = ["norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name"]
 #: The rarity of a form is counted if more than this share of the records has it; there are few such forms at any size, all others weigh alike.
@@ -65,32 +65,37 @@ def may_agree(a: str, b: str) -> Column:
     odd = ~(x("birth").rlike(iso) & y("birth").rlike(iso))
     count = sum((agree(c).cast("int") for c in ("birth", "contact", "place")), F.lit(0))
     turned = F.concat(F.substring(y("birth"), 1, 5), F.substring(y("birth"), 9, 2), F.lit("-"), F.substring(y("birth"), 6, 2))
-    near = (F.levenshtein(x("birth"), y("birth")) <= 1) | (x("birth") == turned) | (F.levenshtein(x("contact"), y("contact")) <= 2)
+    near = (F.levenshtein(x("birth"), y("birth")) == 1) | (x("birth") == turned) & (x("birth") != y("birth")) | F.levenshtein(x("contact"), y("contact")).between(1, 2)
     sex = (x("sex") == y("sex")) | (x("sex") == "") | (y("sex") == "")
     return sex & (odd | (count >= 2) | (count == 1) & near)
 
 
-def exploded_forms(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(h, keys, forms) of classes with an agreement key."""
+def near_keys() -> Column:
+    """Hashes by which records meet that have one attribute equal and another one mistyped: two whose births or contacts are near share one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([forms(Name(*n, lexicon)) for n in names], pa.list_(pa.string()))], names=["h", "keys", "forms"])
-
-    keyed = classes.select("h", agreement_keys().alias("keys"), *NAMES).where(F.size("keys") > 0)
-    return keyed.mapInArrow(run, "h long, keys array<long>, forms array<string>")
+    The place, which many share, is joined with the initials of given and family name. ``year`` and ``day`` are the birth_parts.
+    """
+    year, day, whole, placed = F.col("year") != "", F.col("day") != "", F.length("contact") == 10, (F.col("place") != "") & (F.col("lead") != "")
+    parts = [(year, (F.lit("y"), F.col("year"))), (day, (F.lit("d"), F.col("day"))), (whole, (F.lit("p"), F.substring("contact", 1, 5))), (whole, (F.lit("s"), F.substring("contact", 6, 5)))]
+    keys = [F.when(whole & has, F.xxhash64(F.lit("c"), "contact", *x)) for has, x in parts[:2]]
+    keys += [F.when(day & has, F.xxhash64(F.lit("b"), "year", "day", *x)) for has, x in parts[2:]]
+    keys += [F.when(placed & has, F.xxhash64(F.lit("a"), "place", "lead", *x)) for has, x in parts]
+    return F.array_compact(F.array(*keys))
 
 
-def mistyped_keys(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(h, k): by which classes meet that have one attribute equal and another one mistyped."""
+def with_forms(classes: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Classes with the forms and initials of their names and the parts of their births."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [near_keys(Name(*r[:4], lexicon).lead, *r[4:]) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], names=["h", "keys"])
+            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*NAMES, "birth"]}
+            names = [Name(*n, lexicon) for n in zip(*(at[c] for c in NAMES))]
+            births = [birth_parts(b) for b in at["birth"]]
+            made = [pa.array([forms(n) for n in names], pa.list_(pa.string())), *(pa.array(x, pa.string()) for x in ([n.lead for n in names], [y for y, _ in births], [d for _, d in births]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "forms", "lead", "year", "day"])
 
-    return classes.select("h", *FIELDS[:7]).mapInArrow(run, "h long, keys array<string>").select("h", F.explode("keys").alias("key")).select("h", F.xxhash64("key").alias("k"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(run, f"{kept}, forms array<string>, lead string, year string, day string")
 
 
 def counted_forms(formed: DataFrame, share: float = COUNTED_SHARE) -> tuple[dict[str, int], int]:
@@ -113,12 +118,12 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
     name, join nothing. Repeated ids count as records; a null id is dropped. An empty table gives no rows.
     """
     base = records.where(F.col(record).isNotNull()).select(F.col(record).alias("uuid"), *attributes()).withColumn("id", class_id())
-    classes = durable(base.groupBy("id", *FIELDS).agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64(*FIELDS)), "classes")
-    formed = durable(exploded_forms(classes, lexicon), "forms")
+    classes = durable(with_forms(base.groupBy("id", *FIELDS).agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64(*FIELDS)), lexicon), "classes")
+    formed = classes.select("h", agreement_keys().alias("keys"), "forms").where(F.size("keys") > 0)
     counts, n = counted_forms(formed)
     # Blocks carry 64 bits of a class; where two classes share them, both are compared with what they meet.
     rows = formed.select("h", "keys", F.explode("forms").alias("form")).select("h", "form", F.explode("keys").alias("key")).select("h", F.xxhash64("key", "form").alias("k"))
-    rows = rows.unionByName(mistyped_keys(classes, lexicon))
+    rows = rows.unionByName(classes.select("h", F.explode(near_keys()).alias("k")))
     pairs = block_join(rows.withColumnRenamed("h", "h_a"), rows.withColumnRenamed("h", "h_b"), "k", "h_a", 32 * classes.count()).where("h_a < h_b").select("h_a", "h_b").distinct()
     side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ["h", "id", *FIELDS]))
     two = pairs.join(side("a"), "h_a").join(side("b"), "h_b")

@@ -5,9 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyloom.llm.history import Bloom, FingerprintStore, repeated_persons, winnow
-from tallyloom.llm.linkage import FEATURES, band_keys, Blocking, link, matches, train
+from tallyloom.llm.linkage import FEATURES, band_keys, blocks, Blocking, link, matches, train
 from tallyloom.llm.persons import Name, births_agree, births_near, compare_names, contact_key, forms, parse_birth
-from tallyloom.llm.variants import name_variants
+from tallyloom.llm.variants import FIELDS, may_agree, name_variants
 
 COLUMNS = ["internal_uuid", "norm_last_name", "norm_first_name", "norm_middle_name", "norm_extension_name", "birthdate_iso", "contact_no_norm", "barangay_code", "sex"]
 PERSON = ", ".join(f"{c} string" for c in COLUMNS)
@@ -84,6 +84,17 @@ def test_variants_with_one_mistyped_attribute(spark):
     assert got == {(u[0], u[1]), (u[0], u[2])}
 
 
+def test_pairs_that_names_cannot_save_stay_out_of_python(spark):
+    base = ("1980-01-02", "9171234567", "0101010001", "M")
+    others = [
+        (base, True), (("1980-01-02", "9171234567", "", ""), True), (("1980-01-12", "", "0101010001", "M"), True), (("1980-02-01", "", "0101010001", "M"), True), (("", "9171234576", "0101010001", "M"), True),
+        (("1/2/1980", "9180000000", "0202020002", "M"), True), (base[:3] + ("F",), False), (("1980-05-17", "", "0101010001", "M"), False), (("1980-01-02", "9180000000", "0202020002", "M"), False), (("1980-01-03", "9171234566", "", "M"), False), (("", "", "", ""), False),
+    ]
+    columns = [f"{c}_{x}" for x in "ab" for c in ("birth", "contact", "place", "sex")]
+    df = spark.createDataFrame([(i, *base, *o) for i, (o, _) in enumerate(others)], ["i", *columns])
+    assert {r.i for r in df.where(may_agree("{}_a", "{}_b")).collect()} == {i for i, (_, want) in enumerate(others) if want}
+
+
 def test_bloom_and_winnowing():
     rng = random.Random(5)
     import numpy as np
@@ -291,6 +302,17 @@ def test_link(spark):
     assert link(a.limit(0), b, "internal_uuid", "partner_row").count() == 0
 
 
+def test_block_keys_are_made_in_one_pass(spark):
+    rows = [(1, "CRUZ", "EDUARDO", "", "", "1980-01-02", "9171234567", "0101010001", "M"), (2, "CRUZ", "EDUARDO", "", "", "1/2/1981", "", "0101010001", "M"), (3, "", "", "", "", "", "9171234576", "", "")]
+    records = spark.createDataFrame(rows, f"h long, {', '.join(f'{c} string' for c in FIELDS)}")
+    keyed = blocks(records, Blocking())
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    keys = {h: {r.k for r in keyed.collect() if r.h == h} for h in (1, 2, 3)}
+    # Five bands with the birth, three pairs of attributes, and 2 + 2 + 4 keys of what a typing error leaves; then 5, 1 and 2.
+    assert [len(keys[h]) for h in (1, 2, 3)] == [16, 8, 0] and len(keys[1] & keys[2]) == 1
+
+
 def test_link_with_one_mistyped_attribute(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVZ", k=9))
