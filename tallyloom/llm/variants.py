@@ -132,7 +132,7 @@ def name_variants(records: DataFrame, record: str = "internal_uuid", min_rarity:
         differ = differ | (F.col(f"{c}_a") != F.col(f"{c}_b"))
     if other_names_only:
         two = two.where(differ)
-    two = two.where("sex_a = sex_b or sex_a = '' or sex_b = ''")
+    two = two.where(may_agree("{}_a", "{}_b"))
     shared_counts = records.sparkSession.sparkContext.broadcast(counts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
