@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +131,20 @@ def icu_shapes(spark: SparkSession) -> Shapes:
     return Shapes((c, "I" if k == "l" and capital(c) else k) for c, k in zip(letters, found) if alike(c, k))
 
 
+class _Changed(dict):
+    """Whether a word changes under a function, found once for each word."""
+
+    def __init__(self, form: Callable[[str], str]):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, word: str) -> bool:
+        changed = self.form(word) != word
+        if len(word) <= 64 and len(self) < 500_000:  # a memo, no limit on words
+            self[word] = changed
+        return changed
+
+
 class Scorer:
     """Bigram scores by script. Without counts all bigrams score alike, and Latin wins where it is possible."""
 
@@ -141,6 +155,7 @@ class Scorer:
         self.alternatives, self.prototype = shapes.alternatives, shapes.prototype
         #: Whether no bigram of look-alike shapes is more frequent in another script than in Latin: then no Latin token can change.
         self.latin_first = all(n <= self.counts.get((self.prototype.get(a, a), self.prototype.get(b, b)), 0) for (a, b), n in self.counts.items() if a in self.prototype or b in self.prototype)
+        self.changed = _Changed(self._own)
 
     def __reduce__(self) -> tuple:
         return Scorer, (self.counts, self.shapes)
@@ -183,12 +198,17 @@ class Scorer:
             return self.token(t)
         return t
 
+    def _own(self, text: str) -> str:
+        """A text of plain letters whose tokens of look-alike shapes alone go through the lattice."""
+        return self.shapes.ambiguous.sub(lambda m: self.token(m[0]), text)
+
     def canonical(self, text: str) -> str:
         if _SPECIAL.search(text):
             text = unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: self.shapes.plain(m[0]), text))
             if _FOREIGN.search(text):
                 return _TOKEN.sub(self._token, text)
-        return text if self.latin_first else self.shapes.ambiguous.sub(lambda m: self.token(m[0]), text)
+        # No token reaches over white space, and few words are tokens that change, so most texts need no search.
+        return text if self.latin_first or not any(map(self.changed.__getitem__, {*text.split()})) else self._own(text)
 
 
 _LETTER = np.full(256, 52, np.int32)
@@ -208,7 +228,9 @@ def count_bigrams(texts: Iterable[str]) -> Counter:
     for a, b in np.argwhere(table[:53, :53]).tolist():
         if a != 52 or b != 52:
             out[letters[a] if a < 52 else "", letters[b] if b < 52 else ""] = int(table[a, b])
-    for token, n in Counter(_ODD.findall(joined)).items():
+    # The pattern is slow on plain words, so it sees only those with another character.
+    odd = " ".join(w for w in joined.split() if not w.isascii())
+    for token, n in Counter(_ODD.findall(odd)).items():
         if len({script_of(c) for c in token}) == 1:
             edged = ["", *token, ""]
             for a, b in zip(edged, edged[1:]):

@@ -44,6 +44,15 @@ def test_a_script_of_its_own_is_kept():
     assert s.canonical("вода") == "вода" and s.canonical("росу") == "росу" and s.canonical("pocy") == "росу"
 
 
+def test_plain_words_are_searched_once():
+    s = Scorer(dict(count_bigrams(["сор росу осе рассор жук вода " * 50, "cop"])))
+    searched: list[str] = []
+    own, text = s.changed.form, "the notes, of (pocy) a\u3000pocy\nocean-cop "
+    s.changed.form = lambda w: (searched.append(w), own(w))[1]
+    assert s.canonical(text * 40) == s._own(text.replace("\u3000", " ").replace("\n", " ") * 40) and "росу" in s.canonical(text)
+    assert len(searched) == len(set(searched)) and s.canonical("the notes " * 40) == "the notes " * 40
+
+
 def test_tokens_that_mix_scripts_and_more_scripts(spark):
     s = Scorer()
     assert s.canonical("Жaop") == s.canonical("Жаор") and s.canonical("Жaop x") != s.canonical("Жaor x")
