@@ -52,17 +52,22 @@ class Run:
     coverage: float = 0.0
 
 
-#: Two records that agree in two attributes, or in names and reference, share one run whole. Those with one of them equal and
-#: another one near (persons.births_near, contacts_near) share 13 to 16 characters of a run in a row, which is one fingerprint or more; where the
-#: place is the equal one and the birth date near, it is so common that the initials of given and family name must be equal as well.
+#: Two records that agree in two attributes, or in names and reference, share one run whole. Of those with one of them equal and
+#: another one near (persons.births_near, contacts_near) one half of the near one is equal, so a run joins each half with the other attribute:
+#: its 13 to 16 characters in a row are one fingerprint, and no gram straddles both halves, which told less and made over a third more fingerprints.
+#: Where the place is the equal one and the birth date near, it is so common that the initials of given and family name must be equal as well.
 #: Grams of birth and place without these are the least rare, so a pair must share most of them.
 RUNS = (
-    Run(("birth", "contact"), ("tail", "birth", "head"), 11, 3),
-    Run(("birth", "contact"), ("day", "contact", "year"), 11, 4),
-    Run(("place", "contact"), ("tail", "place", "head"), 13, 3),
-    Run(("birth", "place"), ("year", "lead", "turned", "day"), 14, 3),
+    Run(("birth", "contact"), ("tail", "birth"), 12, 2),
+    Run(("birth", "contact"), ("birth", "head"), 12, 2),
+    Run(("birth", "contact"), ("day", "contact"), 12, 3),
+    Run(("birth", "contact"), ("contact", "year"), 12, 3),
     Run(("birth", "place"), ("birth", "turned"), 15, 2, 0.8),
     Run(("name", "reference"), ("name", "reference"), -6, 4, 0.8),
+    Run(("place", "contact"), ("tail", "place"), 14, 2),
+    Run(("place", "contact"), ("place", "head"), 14, 2),
+    Run(("birth", "place"), ("turned", "lead", "year"), 15, 2),
+    Run(("birth", "place"), ("turned", "lead", "day"), 15, 2),
 )
 
 
@@ -121,22 +126,45 @@ def run_texts(at: dict[str, list[str]], run: Run) -> tuple[list[int], list[str]]
     return full, ["".join(parts) for parts in zip(*([at[p][i] for i in full] for p in run.parts))]
 
 
-def fingerprints(records: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(fp, run, n, ord, id): the fingerprints of each record's runs, n being how many the run has."""
-    columns = ["ord", "id", "birth", "contact", "place", "reference", *NAMES]
+#: The number of a birth date that isn't given as YYYY-MM-DD.
+_ODD = 99_999_999
+
+
+def traits() -> Column:
+    """Birth date, contact and sex of a record as digits of one number: what may_meet asks for."""
+    birth = F.when(F.col("birth").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("birth") != "0000-00-00"), F.regexp_replace("birth", "-", "").try_cast("long")).when(F.col("birth") == "", 0).otherwise(_ODD)
+    sex = F.when(F.col("sex") == "M", 1).when(F.col("sex") == "F", 2).otherwise(0)
+    return (sex.cast("long") * 10**8 + birth) * 10**10 + F.coalesce(F.col("contact").try_cast("long"), F.lit(0))
+
+
+def may_meet(a: str, b: str) -> Column:
+    """False only for traits of two records that may_agree and the exact check reject whatever their places: births and contacts neither equal nor near, or another sex."""
+    part = lambda c, below, size: F.pmod(F.expr(f"{c} div {below}"), F.lit(size))
+    (x, y), (p, q), (s, t) = ([part(c, below, size) for c in (a, b)] for below, size in ((10**10, 10**8), (1, 10**10), (10**18, 10)))
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    turned = F.floor(x / 10000) * 10000 + F.pmod(x, F.lit(100)) * 100 + F.floor(F.pmod(x, F.lit(10000)) / 100)
+    births = (x == _ODD) | (y == _ODD) | (x != 0) & (y != 0) & ((turned == y) | (F.levenshtein(digits(x, 8), digits(y, 8), 1) >= 0))
+    contacts = (p != 0) & (q != 0) & (F.levenshtein(digits(p, 10), digits(q, 10), 2) >= 0)
+    return ((s == t) | (s == 0) | (t == 0)) & (births | contacts)
+
+
+def fingerprints(records: DataFrame, lexicon: Lexicon = DEFAULT, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(fp, run, n, ord, id): the fingerprints of each record's runs, n being how many the run has; ``beside`` names further numbers of a record to be carried along."""
+    columns = ["ord", "id", *beside, "birth", "contact", "place", "reference", *NAMES]
+    kept = 2 + len(beside)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = content({c: batch.column(i).to_pylist() for i, c in enumerate(columns) if i > 1}, lexicon)
+            at = content({c: batch.column(i).to_pylist() for i, c in enumerate(columns) if i >= kept}, lexicon)
             for r, run in enumerate(RUNS):
                 full, texts = run_texts(at, run)
                 if full:
                     text, fp, n = winnowed(texts, r + 1, run.k, run.window)
                     taken = pa.array(np.array(full, np.int64)[text])
                     numbers = [pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), r, np.int8)), pa.array(n.astype(np.int16))]
-                    yield pa.RecordBatch.from_arrays([*numbers, batch.column(0).take(taken), batch.column(1).take(taken)], names=["fp", "run", "n", "ord", "id"])
+                    yield pa.RecordBatch.from_arrays([*numbers, *(batch.column(i).take(taken) for i in range(kept))], names=["fp", "run", "n", *columns[:kept]])
 
-    return records.select(*columns).mapInArrow(all_of, "fp long, run byte, n short, ord long, id long")
+    return records.select(*columns).mapInArrow(all_of, ", ".join(["fp long, run byte, n short", *(f"{c} long" for c in columns[:kept])]))
 
 
 def fingerprint_count(records: DataFrame) -> int:
@@ -144,7 +172,7 @@ def fingerprint_count(records: DataFrame) -> int:
     names = F.when((F.col("norm_first_name") != "") & (F.col("norm_last_name") != ""), F.lit(1))
     both = lambda a, b: F.count(F.when((F.col(a) != "") & (F.col(b) != ""), F.lit(1)))
     # Of n - k + 1 grams of a text, 1 + (n - k + 1 - window) * 2 / (window + 1) are expected to be the least of a window.
-    weighed = 6.1 * both("birth", "contact") + 3.5 * both("place", "contact") + 5.4 * both("birth", "place") + 2.4 * F.count(F.when(F.col("reference") != "", names))
+    weighed = 4 * both("birth", "contact") + 2 * both("place", "contact") + 4.4 * both("birth", "place") + 2.4 * F.count(F.when(F.col("reference") != "", names))
     return int(records.agg(weighed.alias("n")).first()["n"])
 
 
@@ -354,30 +382,37 @@ class FingerprintStore:
         return durable(ordered.mapInArrow(check, "uuid string, ord long, old_uuid string, old_ord long, root string, root_ord long, within boolean"), "links")
 
     def _covered(self, fresh: DataFrame, rows: int) -> DataFrame:
-        """Durable (id, old_id, part, within): pairs that share enough of a run of the new record, part being where the old record lies."""
+        """Durable (id, old_id, part, within): pairs that share enough of a run of the new record, part being where the old record lies.
+
+        Pairs that share a place and half a contact grow as the product of batch and store, so what traits rule out is
+        left where a fingerprint is joined, before pairs are counted, moved or written.
+        """
         least = F.array(*(F.lit(r.coverage if self.coverage is None else self.coverage) for r in RUNS))[F.col("run")]
         part = F.lit(0)
         for i in range(len(self.segments)):
             part = F.when(F.col("segment") == i, self._part(F.col("old_id"), i)).otherwise(part)
 
         def covered(shared: DataFrame, within: bool) -> DataFrame:
-            counted = shared.groupBy("id", "old_id", "run", "segment").agg(F.count_distinct("fp").alias("shared"), F.first("n").alias("n"))
+            counted = shared.where(may_meet("traits", "old_traits")).groupBy("id", "old_id", "run", "segment").agg(F.count_distinct("fp").alias("shared"), F.first("n").alias("n"))
             pairs = counted.where(F.col("shared") >= F.col("n") * least).select("id", "old_id", "segment").distinct()
             return durable(pairs.select("id", "old_id", (F.lit(None).cast("int") if within else part).alias("part"), F.lit(within).alias("within")), "covered")
 
         # What is found in the batch and in the store is written in turn, so that the files of one join are gone before the next.
-        a, b = fresh.select("fp", "run", "n", "ord", "id"), fresh.select("fp", F.col("ord").alias("old_ord"), F.col("id").alias("old_id"))
+        a, b = fresh.select("fp", "run", "n", "ord", "id", "traits"), fresh.select("fp", F.col("ord").alias("old_ord"), F.col("id").alias("old_id"), F.col("traits").alias("old_traits"))
         found = [covered(block_join(a, b, "fp", "id", 2 * rows).where("ord > old_ord").withColumn("segment", F.lit(0)), True)]
         made: list[DataFrame] = []
         if self.segments:
             made = [durable(self._positives(fresh, rows), "positives")]
             touched = self._touched(made[0])
             if touched != []:
-                held = self._table("fingerprints", FINGERPRINT_SCHEMA, touched).select("fp", "part", F.col("id").alias("old_id"))
-                # Few of the store's rows are hit, so they are reduced to these, once, before anything is moved for a batch's copies.
-                # Broadcasting the positives pays only where the store is much larger.
-                asked = made[0].hint("merge") if 20 * made[0].count() > sum(s.fingerprints for s in self.segments) else made[0]
-                hit = durable(held.join(asked, ["fp", "part"]).select("fp", "old_id", F.floor(F.col("part") / STRIDE).cast("int").alias("segment")), "hit")
+                held = self._table("fingerprints", FINGERPRINT_SCHEMA, touched).select("fp", F.col("id").alias("old_id"), F.floor(F.col("part") / STRIDE).cast("int").alias("segment"))
+                # Few of the store's rows are hit, so they are reduced to these, once, before anything is moved for a batch's copies. A
+                # filter forgets nothing, so one that is held in a partition is a positive there. Broadcasting pays only where the store is
+                # much larger; a batch of a fixed share of it takes one plan at any size.
+                asked = made[0].hint("merge") if 100 * made[0].count() > sum(s.fingerprints for s in self.segments) else made[0]
+                made.append(durable(held.join(asked.select("fp"), "fp", "left_semi").withColumn("part", part), "hit"))
+                old = self._table("records", RECORD_SCHEMA, self._touched(made[1])).select(F.col("id").alias("old_id"), traits().alias("old_traits"))
+                hit = durable(made[1].drop("part").join(old, "old_id"), "hit")
                 made.append(hit)
                 found.append(covered(block_join(hit, a.drop("ord"), "fp", "old_id", 2 * rows), False))
         if len(found) > 1:
@@ -402,7 +437,7 @@ class FingerprintStore:
         searched once for all.
         """
         batch = durable(prepared(rows, ord_column, record), "batch")
-        fresh = durable(fingerprints(batch, self.lexicon), "fresh")
+        fresh = durable(fingerprints(batch.withColumn("traits", traits()), self.lexicon, ("traits",)), "fresh")
         size = fresh.count()  # answered from the files' footers
         covered = self._covered(fresh, size)
         links = self._verified(covered, batch)

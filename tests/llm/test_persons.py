@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm.history import Bloom, FingerprintStore, repeated_persons, winnow
+from tallyloom.llm.history import Bloom, FingerprintStore, fingerprints, may_meet, prepared, repeated_persons, traits, winnow
 from tallyloom.llm.linkage import FEATURES, band_keys, blocks, Blocking, link, matches, train
 from tallyloom.llm.persons import Name, births_agree, births_near, compare_names, contact_key, forms, parse_birth
 from tallyloom.llm.variants import FIELDS, may_agree, name_variants
@@ -224,6 +224,39 @@ def test_winnowing_finds_a_person_with_one_mistyped_attribute(spark):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_strangers_of_one_place_are_no_candidates(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVZ", k=9))
+    birth = lambda: f"19{rng.randint(40, 98)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    # All live in one place and have numbers of one kind; one new row is of the first person, with a mistyped number.
+    u = ids(361, 42)
+    history = [(x, word(), word(), word(), None, birth(), f"90001{rng.randrange(10**5):05d}", "0101010001", "M") for x in u[:300]]
+    new = [(1, i, x, word(), word(), word(), None, birth(), f"90001{rng.randrange(10**5):05d}", "0101010001", "M") for i, x in enumerate(u[300:360])]
+    number = history[0][6]
+    new.append((1, 60, u[360], *history[0][1:5], None, number[:6] + str((int(number[6]) + 1) % 10) + number[7:], *history[0][7:]))
+    store, found = FingerprintStore(spark), []
+    store.accept(people(spark, history), F.lit(0))
+    verified = store._verified
+    store._verified = lambda covered, own: (found.append(covered.count()), verified(covered, own))[1]
+    got = repeated_persons(people(spark, history), spark.createDataFrame(new, "batch_no long, row_no long, " + PERSON), store=store)
+    assert [tuple(r) for r in got.collect()] == [(u[0], u[360])]
+    assert found[0] < 361
+    assert fingerprints(prepared(people(spark, history), F.lit(0))).count() < 11 * len(history)
+
+
+def test_traits_rule_out_only_what_the_check_rejects(spark):
+    rng = random.Random(43)
+    births = ["", "soon", "1/2/1980", "0000-00-00", "1980-01-02", "1980-02-01", "1980-01-12", "1981-01-02", "1975-05-06"]
+    contacts = ["", "0171234567", "0171234569", "0171234599", "0171234999", "9179876543"]
+    rows = [(i, *(rng.choice(x) for x in (births, contacts, ["", "0101010001", "0101010002"], ["", "M", "F", "X"]))) for i in range(250)]
+    records = spark.createDataFrame(rows, "i int, birth string, contact string, place string, sex string").withColumn("traits", traits())
+    side = lambda x: records.select(*(F.col(c).alias(f"{x}_{c}") for c in records.columns))
+    both = side("a").crossJoin(side("b")).select(may_agree("a_{}", "b_{}").alias("agree"), may_meet("a_traits", "b_traits").alias("meet")).groupBy("agree", "meet").count().collect()
+    counts = {(r["agree"], r["meet"]): r["count"] for r in both}
+    assert None not in {x for k in counts for x in k} and (True, False) not in counts
+    assert counts[True, True] > 1000 and counts[False, False] > 1000
+
+
 def test_reference_and_names_find_a_person_with_one_agreement(spark):
     u = ids(2, 24)
     columns = PERSON + ", source_reference string"
