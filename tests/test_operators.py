@@ -436,3 +436,13 @@ def test_no_table_of_records_is_sent_through_the_driver(spark):
     for df in (matching.candidate_pairs(matching.comparable(rows)), matching.matches(rows)):
         assert df.count() == 6
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_moved_once_and_pairs_never(spark):
+    """Both sides of the block join read one shuffle; it has a row for each record and key, and no pair is moved after it."""
+    rows = geography.durable(people(spark, [person(f"{i:03d}", first_name="Ann") for i in range(40)]), "records")
+    for df in (matching.candidate_pairs(matching.comparable(rows)), matching.matches(rows)):
+        assert df.count() == 780
+        df.write.format("noop").mode("overwrite").save()
+        assert df._jdf.queryExecution().executedPlan().toString().count("+- Exchange ") <= 2  # one, and its reuse
+        assert "explode(array(0" not in df._jdf.queryExecution().analyzed().toString()
