@@ -58,27 +58,28 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def _edges(a: Column, b: Column, otherwise: Column) -> Column:
+def edges(a: Column, b: Column, otherwise: Column) -> Column:
+    """The score of empty and of equal strings; otherwise the given one."""
     return F.when((a == "") & (b == ""), 100.0).when((a == "") | (b == ""), 0.0).when(a == b, 100.0).otherwise(otherwise)
 
 
 def levenshtein_score(a: Column | str, b: Column | str) -> Column:
     """0 to 100; both empty 100, one empty 0; null counts as empty."""
     a, b = _text(a), _text(b)
-    return _edges(a, b, F.round(100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))), 6))
+    return edges(a, b, F.round(100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))), 6))
 
 
 def hamming_score(a: Column | str, b: Column | str) -> Column:
     """0 to 100; strings of unequal length score 0."""
     a, b = _text(a), _text(b)
     off = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
-    return _edges(a, b, F.when(F.length(a) != F.length(b), 0.0).otherwise(F.round(100 * (1 - off / F.length(a)), 6)))
+    return edges(a, b, F.when(F.length(a) != F.length(b), 0.0).otherwise(F.round(100 * (1 - off / F.length(a)), 6)))
 
 
 def jaro_winkler_score(a: Column | str, b: Column | str) -> Column:
     """0 to 100; the prefix counts at any Jaro value."""
     a, b = _text(a), _text(b)
-    return _edges(a, b, F.round(100 * _winkler(a, b), 6))
+    return edges(a, b, F.round(100 * _winkler(a, b), 6))
 
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:

@@ -446,3 +446,20 @@ def test_blocks_are_moved_once_and_pairs_never(spark):
         df.write.format("noop").mode("overwrite").save()
         assert df._jdf.queryExecution().executedPlan().toString().count("+- Exchange ") <= 2  # one, and its reuse
         assert "explode(array(0" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_hot_blocks_and_odd_names_keep_all_pairs(spark):
+    rng = random.Random(8)
+    firsts, lasts = ["", "Al", "Ale", "Alec", "Alexa", "Ñandu", "Maria Jose", "Maria José"], ["", "Cruz", "Crus", "De la Cruz", "Dela Cruz", "Peña", "Pena", "Ng"]
+    rows = people(spark, [person(f"{i}", last_name=rng.choice(lasts), first_name=rng.choice(firsts), middle_name=rng.choice(["", "Reyes", "Reies"]), extension_name=rng.choice([None, "JR", "SR"]), city_code=rng.choice(["1", "2", None])) for i in range(150)])
+    fields = matching.comparable(rows)
+    keys = {r.internal_uuid: set(r.k) for r in fields.select("internal_uuid", matching.blocking_keys().alias("k")).collect()}
+    want = {(a, b) for a, b in combinations(sorted(keys), 2) if keys[a] & keys[b]}
+    pairs = matching.candidate_pairs(fields, least=20)
+    got = [(r.uuid_a, r.uuid_b) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plain = {r.pair_key: r for r in matching.scored(matching.with_fields(pairs, fields)).collect()}
+    for t in (40, 70, 90, 100):
+        found = matching.ordered(matching.matches(rows, t, least=20)).collect()
+        assert found == sorted((r for r in plain.values() if r.total_score >= t), key=lambda r: (-r.total_score, r.pair_key))
+        assert matching.run_totals(rows, t).first() == (len(want), len(found))
