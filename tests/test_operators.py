@@ -458,6 +458,7 @@ def test_hot_blocks_and_odd_names_keep_all_pairs(spark):
     pairs = matching.candidate_pairs(fields, least=20)
     got = [(r.uuid_a, r.uuid_b) for r in pairs.collect()]
     assert len(got) == len(want) and set(got) == want
+    assert matching.count_candidates(fields).first()[0] == len(want)
     plain = {r.pair_key: r for r in matching.scored(matching.with_fields(pairs, fields)).collect()}
     for t in (40, 70, 90, 100):
         found = matching.ordered(matching.matches(rows, t, least=20)).collect()
