@@ -464,3 +464,15 @@ def test_hot_blocks_and_odd_names_keep_all_pairs(spark):
         found = matching.ordered(matching.matches(rows, t, least=20)).collect()
         assert found == sorted((r for r in plain.values() if r.total_score >= t), key=lambda r: (-r.total_score, r.pair_key))
         assert matching.run_totals(rows, t).first() == (len(want), len(found))
+
+
+def test_numbering_moves_wanted_columns_only(spark, monkeypatch):
+    """er_run_rows orders the pair key and the score; no other column of the matches is written."""
+    from tallyloom.plans import queries
+
+    rows, held = people(spark, [person(x) for x in "cab"]), []
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    monkeypatch.setattr(ranking, "durable", lambda df, *_: held.append(df.columns) or geography.durable(df, "ranked"))
+    got = sorted((r.match_id, r.pair_key) for r in queries.er_run_rows(spark, "").collect())
+    assert got == [("run-1-00001", "a|b"), ("run-1-00002", "a|c"), ("run-1-00003", "b|c")]
+    assert [set(c) for c in held] == [{"pair_key", "total_score", "__part", "__at"}]
